@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, pii, sharding, token_counts, url_filters
+from . import bpe, exact_dedup, license_scan, ngram_join, pii, sharding, token_counts, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARD_BYTES = 1 << 20
@@ -65,6 +65,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: 3-word shingles, links from 90 %."""
+    return ngram_join.join_components(table(spark, sf_dir, "documents")).drop("fp")
+
+
 def _rules_sql() -> str:
     """Base rules, the longest first, then the method's own globs."""
     base = sorted((r for r in url_filters.BASE_RULES), key=lambda r: -len(r.text))
@@ -105,4 +110,4 @@ FROM p WHERE k = 1"""
 
 ORACLE_SQL = {"op1_url_filters": _rules_sql(), "op6_exact_dedup": OP6_SQL, "op8_sharding": OP8_SQL}
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_license_scans, op4_token_counts, op5_pii, op6_exact_dedup, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_license_scans, op4_token_counts, op5_pii, op6_exact_dedup, op8_sharding, op9_ngram_jaccard_join)}

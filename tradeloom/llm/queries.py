@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, ngram_join, pii, sharding, token_counts, url_filters
+from . import bpe, decontamination, exact_dedup, license_scan, ngram_join, pii, sharding, token_counts, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARD_BYTES = 1 << 20
@@ -70,6 +70,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, similarity, start of every document and benchmark item that a window of it is similar to."""
+    return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _rules_sql() -> str:
     """Base rules, the longest first, then the method's own globs."""
     base = sorted((r for r in url_filters.BASE_RULES), key=lambda r: -len(r.text))
@@ -110,4 +115,4 @@ FROM p WHERE k = 1"""
 
 ORACLE_SQL = {"op1_url_filters": _rules_sql(), "op6_exact_dedup": OP6_SQL, "op8_sharding": OP8_SQL}
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_license_scans, op4_token_counts, op5_pii, op6_exact_dedup, op8_sharding, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_license_scans, op4_token_counts, op5_pii, op6_exact_dedup, op8_sharding, op9_ngram_jaccard_join, op10_decontamination)}

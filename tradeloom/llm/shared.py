@@ -61,6 +61,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value taken once, however often body names it and wherever the optimizer moves it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fits_broadcast(df: DataFrame, most_rows: int) -> bool:
     """Whether df, which must be cheap to read, has at most most_rows rows."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -7,7 +7,7 @@ collisions of these hashes.
 Prefix index.  Under one order of all tokens, rare ones first, linked sets share a token among the first few positions of
 both; the number follows from the set's size, and is smaller for the set that is not the larger of the two.
 
-1. Candidates.  Document frequencies of a sixth of all tokens (by hash) order that sixth before all others.  A set whose prefix
+1. Candidates.  Document frequencies of one in `counted_every` tokens (by hash; a sixth at 90 %) order these before all others.  A set whose prefix
    holds only tokens of its own links with nothing.  The rest, mostly copies, go on with their whole sets.
 2. Index lists.  Frequencies of all tokens of the candidates give the full order; each token's list holds the sets with
    this token in their prefix, by position.  Lists are cut into blocks by position, and pairs of blocks whose positions leave too few
@@ -36,8 +36,6 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import staged, whole_text
 
-#: One token in so many is counted to find the candidates.
-COUNTED = 6
 #: Sets of a list that are compared at once.
 BLOCK = 1_000
 CHUNK_BYTES = 2_000_000
@@ -111,6 +109,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(a) for a in arrays]).astype(np.int32)), pa.array(flat))
 
 
+def counted_every(percent: int) -> int:
+    """One token in so many is counted to find the candidates: well more tokens than a prefix has."""
+    return max(1, 60 // max(1, 100 - percent))
+
+
 def probe_length(n: Column, percent: int) -> Column:
     """Prefix of a set that meets smaller or equal ones: n - ceil(percent * n / 100) + 1."""
     return n - F.expr(f"({percent} * n + 99) div 100") + 1
@@ -122,8 +125,9 @@ def index_length(n: Column, percent: int) -> Column:
 
 
 def _sets(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFrame:
-    """whole: (fp, n, toks, bits); else (id, fp, n, toks of the counted sixth, rest: further tokens of the prefix by hash)."""
+    """whole: (fp, n, toks, bits); else (id, fp, n, toks that are counted, rest: further tokens of the prefix by hash)."""
     id_type = docs.schema["id"].dataType.simpleString()
+    every = _U(counted_every(percent))
     schema = "fp binary, n int, toks array<long>, bits binary" if whole else f"id {id_type}, fp binary, n int, toks array<long>, rest array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +146,7 @@ def _sets(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFrame
                 if whole:
                     columns = [fp, n, _lists(sets), pa.array([parity_bitmap(s) for s in sets], pa.binary())]
                 else:
-                    counted = [s % _U(COUNTED) == 0 for s in sets]
+                    counted = [s % every == 0 for s in sets]
                     inside = [s[c] for s, c in zip(sets, counted, strict=True)]
                     short = [max(0, len(s) + (-percent * len(s) // 100) + 1 - len(i)) for s, i in zip(sets, inside, strict=True)]
                     columns = [ids[lo:hi], fp, n, _lists(inside), _lists([s[~c][:k] for s, c, k in zip(sets, counted, short, strict=True)])]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, license_scan, ngram_join, pii, sharding, token_counts, url_filters
+from . import bpe, decontamination, exact_dedup, license_scan, ngram_join, pii, sharding, token_counts, toxicity, url_filters
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARD_BYTES = 1 << 20
@@ -60,6 +60,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; learned from labels of rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score_toxicity(docs, machine)
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, depth, shard, shard_bytes, oversize of every document, for shards of SHARD_BYTES."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
@@ -115,4 +123,4 @@ FROM p WHERE k = 1"""
 
 ORACLE_SQL = {"op1_url_filters": _rules_sql(), "op6_exact_dedup": OP6_SQL, "op8_sharding": OP8_SQL}
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_license_scans, op4_token_counts, op5_pii, op6_exact_dedup, op8_sharding, op9_ngram_jaccard_join, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_license_scans, op4_token_counts, op5_pii, op6_exact_dedup, op7_toxicity, op8_sharding, op9_ngram_jaccard_join, op10_decontamination)}

@@ -95,7 +95,7 @@ def markov_regime(bars: DataFrame, least: int, up: bool, alpha: float = 0.2) ->
         r = (np.log(g["close"]).diff() if up else g["close"].pct_change()).to_numpy()
         known = np.isfinite(r)
         if known.sum() < least:
-            return pd.DataFrame({"symbol": [], "ts": [], "prob": [], "state": []})
+            return g.iloc[:0].assign(prob=0.0, state=0)[["symbol", "ts", "prob", "state"]]
         p, mean, var = switching_filter(r[known])
         weighted = (p * r[known][:, None]).sum(0) / np.maximum(p.sum(0), 1e-12)
         pick = int(np.argmin(weighted)) if up else int(np.argmin(var))
@@ -137,6 +137,6 @@ def greedy_match(candidates: DataFrame) -> DataFrame:
                 done.add(s)
                 used.add(p)
                 out.append((s, p))
-        return pd.DataFrame(out, columns=["statement_id", "position_id"])
+        return pd.DataFrame(out, columns=["statement_id", "position_id"], dtype="int64")
 
     return candidates.select("symbol", "statement_id", "closed_at", "position_id", "gap").groupBy("symbol").applyInPandas(run, "statement_id long, position_id long")

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite, ratio
 from .bars import forward_fill
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("ts")
+def by_symbol():
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def last_rows(n: int):
-    return BY_SYMBOL.rowsBetween(1 - n, 0)
+    return by_symbol().rowsBetween(1 - n, 0)
 
 
 def prior_rows(n: int):
-    return BY_SYMBOL.rowsBetween(-n, -1)
+    return by_symbol().rowsBetween(-n, -1)
 
 
 def _col(x) -> Column:
@@ -53,16 +54,16 @@ def with_tma(df: DataFrame, x: str, n: int, name: str = "tma") -> DataFrame:
 
 
 def true_range() -> Column:
-    close = F.lag("close").over(BY_SYMBOL)
+    close = F.lag("close").over(by_symbol())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - close), F.abs(F.col("low") - close))
 
 
 def pct_change(x, n: int) -> Column:
-    return ratio(_col(x), F.lag(_col(x), n).over(BY_SYMBOL)) - 1
+    return ratio(_col(x), F.lag(_col(x), n).over(by_symbol())) - 1
 
 
 def log_return(x, n: int = 1) -> Column:
-    return F.log(_col(x) / F.lag(_col(x), n).over(BY_SYMBOL))
+    return F.log(_col(x) / F.lag(_col(x), n).over(by_symbol()))
 
 
 def zscore(x, n: int, least: int) -> Column:
@@ -76,13 +77,13 @@ def channel_high(x, n: int) -> Column:
 
 def days_since(condition: Column) -> Column:
     """Days since condition last held, now included; null before."""
-    seen = F.last(F.when(condition, F.unix_micros("ts")), ignorenulls=True).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.last(F.when(condition, F.unix_micros("ts")), ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     return (F.unix_micros("ts") - seen) / 86_400e6
 
 
 def calendar_days_since_prior(condition: Column) -> Column:
     """Calendar days since condition held on an earlier row."""
-    seen = F.last(F.when(condition, F.to_date("ts")), ignorenulls=True).over(BY_SYMBOL.rowsBetween(Window.unboundedPreceding, -1))
+    seen = F.last(F.when(condition, F.to_date("ts")), ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, -1))
     return F.datediff(F.to_date("ts"), seen)
 
 
@@ -113,7 +114,7 @@ def with_vwap_stack(bars: DataFrame, n: int = 12, band: float = 0.005, hours: fl
     df = df.withColumn("vwap", ratio(rolling(F.sum, "_pv", n), rolling(F.sum, "volume", n)))
     df = df.withColumn("_in", (F.abs(F.col("close") / F.col("vwap") - 1) <= band).cast("double"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    back = F.lag("vwap", n - 1).over(BY_SYMBOL)
+    back = F.lag("vwap", n - 1).over(by_symbol())
     return df.withColumns({"vwap_share": zero(rolling(F.avg, "_in", n, prior=True)), "vwap_dist": zero(F.abs(ratio(F.col("close"), F.col("vwap")) - 1)), "vwap_slope": zero(ratio(F.col("vwap") - back, back) / ((n - 1) * hours))}).drop("_pv", "_in")
 
 
@@ -167,11 +168,11 @@ def with_derivatives(grid: DataFrame, hour: int, day: int, *, eps: float, low: f
 def with_context(daily: DataFrame, fast: int = 20, slow: int = 50, least: int = 50) -> DataFrame:
     """ATR share against its expanding median and the slope of the means' spread, both as of the day before; needs `atr`."""
     df = daily.withColumn("_share", ratio(F.col("atr"), F.col("close")))
-    expanding = BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)
+    expanding = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     median = F.when(F.count("_share").over(expanding) >= least, F.percentile("_share", F.lit(0.5)).over(expanding))
     df = df.withColumns({"_level": ratio(F.col("_share"), median), "_spread": sma("close", fast) - sma("close", slow)})
-    df = df.withColumn("_slope", F.col("_spread") - F.lag("_spread").over(BY_SYMBOL))
-    return df.withColumns({"vol_level": F.lag("_level").over(BY_SYMBOL), "trend_slope": F.lag("_slope").over(BY_SYMBOL)}).drop("_share", "_level", "_spread", "_slope")
+    df = df.withColumn("_slope", F.col("_spread") - F.lag("_spread").over(by_symbol()))
+    return df.withColumns({"vol_level": F.lag("_level").over(by_symbol()), "trend_slope": F.lag("_slope").over(by_symbol())}).drop("_share", "_level", "_spread", "_slope")
 
 
 def realized_vol(n: int = 20) -> Column:
@@ -184,9 +185,9 @@ def with_breakout_history(daily: DataFrame, n: int, window: int = 60, ahead: int
     A break counts only once its `ahead` rows have passed.
     """
     df = daily.withColumn("_level", channel_high("high", n)).withColumn("_break", (F.col("close") > F.col("_level")).cast("int"))
-    lowest = F.min("close").over(BY_SYMBOL.rowsBetween(1, ahead))
+    lowest = F.min("close").over(by_symbol().rowsBetween(1, ahead))
     df = df.withColumn("_failed", F.when(F.col("_break") == 1, (lowest < F.col("_level")).cast("int")).otherwise(0))
-    w = BY_SYMBOL.rowsBetween(-window - ahead, -ahead)
+    w = by_symbol().rowsBetween(-window - ahead, -ahead)
     df = df.withColumns({"breaks": F.coalesce(F.sum("_break").over(w), F.lit(0)), "failed": F.coalesce(F.sum("_failed").over(w), F.lit(0))})
     return df.withColumn("fail_rate", ratio(F.col("failed"), F.col("breaks"))).drop("_level", "_break", "_failed")
 

@@ -327,7 +327,7 @@ def compare_series(spark: S, sf: str) -> DataFrame:
 
 @query(sql("bars", f"d AS (SELECT symbol, ts, close - lag(close) OVER ({BY}) AS slope, close - lag(close) OVER ({BY}) AS c, open - lag(open) OVER ({BY}) AS o, high - lag(high) OVER ({BY}) AS h FROM bars) SELECT 'close' AS base, round(avg(abs(c - slope)), 4) AS mae FROM d UNION ALL SELECT 'open', round(avg(abs(o - slope)), 4) FROM d UNION ALL SELECT 'high', round(avg(abs(h - slope)), 4) FROM d"))
 def slope_source(spark: S, sf: str) -> DataFrame:
-    b = D.bars(spark, sf).withColumn("slope", F.col("close") - F.lag("close").over(W.BY_SYMBOL))
+    b = D.bars(spark, sf).withColumn("slope", F.col("close") - F.lag("close").over(W.by_symbol()))
     return rounded(Q.slope_source(b, "slope", ["close", "open", "high"]), 4, "mae")
 
 

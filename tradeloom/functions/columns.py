@@ -86,9 +86,9 @@ def three_way(x: Column, low: Column | float, high: Column | float) -> Column:
 
 
 def sign_code(x: Column, eps: Column | float) -> Column:
-    """-1 below -eps, 1 above eps, else 0."""
+    """-1 up to -eps, 1 from eps, else 0."""
     eps = F.lit(eps) if not isinstance(eps, Column) else eps
-    return F.when(x < -eps, -1).when(x > eps, 1).when(x.isNotNull(), 0)
+    return F.when(x <= -eps, -1).when(x >= eps, 1).when(x.isNotNull(), 0)
 
 
 def tercile_code(x: Column, low: Column | float, high: Column | float) -> Column:

@@ -67,7 +67,7 @@ def log_return(x, n: int = 1) -> Column:
 
 
 def zscore(x, n: int, least: int) -> Column:
-    return ratio(_col(x) - rolling(F.avg, x, n, least), rolling(F.stddev_samp, x, n, least))
+    return (_col(x) - rolling(F.avg, x, n, least)) / (rolling(F.stddev_samp, x, n, least) + 1e-12)  # 0 where nothing varies
 
 
 def channel_high(x, n: int) -> Column:

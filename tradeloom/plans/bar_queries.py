@@ -190,7 +190,7 @@ def volume_features(spark: S, sf: str) -> DataFrame:
 
 
 def _z(x: str, n: int, least: int) -> str:
-    return f"({x} - {full('avg', x, n, least)}) / nullif({full('stddev_samp', x, n, least)}, 0)"
+    return f"({x} - {full('avg', x, n, least)}) / ({full('stddev_samp', x, n, least)} + 1e-12)"
 
 
 DERIV = f"""fg AS (SELECT b.symbol, b.ts, b.close, b.open_interest, arg_max(f.value, f.ts) AS fr FROM grid b LEFT JOIN funding f ON f.symbol = b.symbol AND date_trunc('hour', f.ts) = b.ts GROUP BY ALL),
@@ -199,7 +199,7 @@ c AS (SELECT *, oi / nullif(lag(oi, 1) OVER ({BY}), 0) - 1 AS c1, oi / nullif(la
 z AS (SELECT *, {_z('c24', 168, 24)} AS oz, {_z('fr', 168, 24)} AS fz, {full('sum', 'fr', 72, 24)} AS f3 FROM c)"""
 
 
-@query(sql("bars oi funding", GRID + ", " + DERIV + " SELECT symbol, ts, round(oi * close, 4) AS oi_notional, round(c1, 6) AS oi_pct_1h, round(c4, 6) AS oi_pct_4h, round(c24, 6) AS oi_pct_1d, round(oz, 5) AS oi_z_7d, round(c1 - p1, 6) + 0.0 AS oi_price_div, round(fz, 5) AS funding_z_7d, round(f3, 9) AS funding_sum_3d, round((abs(oz) + 0.5) * (abs(fz) + 0.5), 4) AS est_leverage, CASE WHEN fr < -0.0001 THEN -1 WHEN fr > 0.0001 THEN 1 WHEN fr IS NOT NULL THEN 0 END AS funding_code, CASE WHEN oz <= -0.4 THEN -1 WHEN oz >= 0.4 THEN 1 WHEN oz IS NOT NULL THEN 0 END AS oi_code FROM z"))
+@query(sql("bars oi funding", GRID + ", " + DERIV + " SELECT symbol, ts, round(oi * close, 4) AS oi_notional, round(c1, 6) AS oi_pct_1h, round(c4, 6) AS oi_pct_4h, round(c24, 6) AS oi_pct_1d, round(oz, 5) AS oi_z_7d, round(c1 - p1, 6) + 0.0 AS oi_price_div, round(fz, 5) AS funding_z_7d, round(f3, 9) AS funding_sum_3d, round((abs(oz) + 0.5) * (abs(fz) + 0.5), 4) AS est_leverage, CASE WHEN fr <= -0.0001 THEN -1 WHEN fr >= 0.0001 THEN 1 WHEN fr IS NOT NULL THEN 0 END AS funding_code, CASE WHEN oz <= -0.4 THEN -1 WHEN oz >= 0.4 THEN 1 WHEN oz IS NOT NULL THEN 0 END AS oi_code FROM z"))
 def derivatives_block(spark: S, sf: str) -> DataFrame:
     fr = D.series(spark, sf, "error").groupBy("symbol", F.date_trunc("hour", "ts").alias("h")).agg(F.max_by("value", "ts").alias("funding_rate")).withColumnRenamed("h", "ts")
     df = W.with_derivatives(_grid(spark, sf).join(fr, ["symbol", "ts"], "left"), 1, 24, eps=0.0001, low=-0.4, high=0.4)
@@ -253,7 +253,7 @@ def meta_gate(spark: S, sf: str) -> DataFrame:
     return d.select("id", reason.alias("reason"), ok.alias("meta_ok"))
 
 
-@query(sql("decisions", "SELECT id, CASE WHEN v <= -0.4 THEN -1 WHEN v >= 0.4 THEN 1 ELSE 0 END AS way, CASE WHEN v < -0.1 THEN -1 WHEN v > 0.1 THEN 1 ELSE 0 END AS sign, CASE WHEN v >= 0.3 AND p >= 0.3 THEN 1 WHEN v >= 0.3 AND p <= 0.1 THEN -1 ELSE 0 END AS crowd, CASE WHEN id % 2 = 1 AND v > 0 AND p < 0.5 THEN 1 ELSE 0 END AS risk_on, (CASE WHEN v < -0.1 THEN -1 WHEN v > 0.1 THEN 1 ELSE 0 END + 1) * 3 + CASE WHEN v <= -0.4 THEN -1 WHEN v >= 0.4 THEN 1 ELSE 0 END + 1 AS s3 FROM (SELECT *, p * 2 - 1 AS v FROM decisions)"))
+@query(sql("decisions", "SELECT id, CASE WHEN v <= -0.4 THEN -1 WHEN v >= 0.4 THEN 1 ELSE 0 END AS way, CASE WHEN v <= -0.1 THEN -1 WHEN v >= 0.1 THEN 1 ELSE 0 END AS sign, CASE WHEN v >= 0.3 AND p >= 0.3 THEN 1 WHEN v >= 0.3 AND p <= 0.1 THEN -1 ELSE 0 END AS crowd, CASE WHEN id % 2 = 1 AND v > 0 AND p < 0.5 THEN 1 ELSE 0 END AS risk_on, (CASE WHEN v <= -0.1 THEN -1 WHEN v >= 0.1 THEN 1 ELSE 0 END + 1) * 3 + CASE WHEN v <= -0.4 THEN -1 WHEN v >= 0.4 THEN 1 ELSE 0 END + 1 AS s3 FROM (SELECT *, p * 2 - 1 AS v FROM decisions)"))
 def regime_codes(spark: S, sf: str) -> DataFrame:
     v = F.col("p") * 2 - 1
     way, sign = C.three_way(v, -0.4, 0.4), C.sign_code(v, 0.1)
@@ -395,3 +395,52 @@ def tradable_universe(spark: S, sf: str) -> DataFrame:
     c = D.table(spark, sf, "customer").select(name("c_custkey"), F.array(F.lower("c_mktsegment")).alias("categories"))
     bad = D.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(name("o_custkey"))
     return J.universe(c.select("symbol"), bad, c, ["HOUSEHOLD"])
+
+
+@query(sql("bars", f"a AS (SELECT *, (high + low + close) / 3 * volume AS pv FROM bars), v AS (SELECT *, close - CASE WHEN count(pv) {last(12)} >= 12 THEN sum(pv) {last(12)} / nullif(sum(volume) {last(12)}, 0) END AS dev FROM a), z AS (SELECT *, dev / nullif(CASE WHEN count(dev) {PRIOR12} >= 12 THEN stddev_samp(dev) {PRIOR12} END, 0) AS z FROM v), q AS (SELECT *, CAST(abs(z) <= 2 AS INTEGER) AS q FROM z) SELECT symbol, ts, round(dev, 6) + 0.0 AS vwap_dev, round(z, 5) + 0.0 AS vwap_z, coalesce(CASE WHEN count(q) OVER ({BY} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) >= 3 THEN min(q) OVER ({BY} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END = 1, false) AS vwap_consolidated FROM q"))
+def vwap_deviation(spark: S, sf: str) -> DataFrame:
+    df = W.with_vwap_deviation(D.bars(spark, sf), 12, 3, 2.0).select("symbol", "ts", "vwap_dev", "vwap_z", "vwap_consolidated")
+    return rounded(rounded(df, 6, "vwap_dev"), 5, "vwap_z")
+
+
+@query(sql("days", f"d AS (SELECT *, (high - low) / nullif(close, 0) AS sh, {full('avg', 'close', 3)} - {full('avg', 'close', 6)} AS sp FROM days), m AS (SELECT *, CASE WHEN count(sh) OVER w >= 5 THEN quantile_cont(sh, 0.5) OVER w END AS med, sp - lag(sp) OVER ({BY}) AS sl FROM d WINDOW w AS ({BY} ROWS UNBOUNDED PRECEDING)) SELECT symbol, ts, round(lag(sh / nullif(med, 0)) OVER ({BY}), 6) AS vol_level, round(lag(sl) OVER ({BY}), 6) + 0.0 AS trend_slope FROM m"))
+def asset_context(spark: S, sf: str) -> DataFrame:
+    d = D.bars(spark, sf, "1d").withColumn("atr", F.col("high") - F.col("low"))
+    return rounded(W.with_context(d, 3, 6, 5).select("symbol", "ts", "vol_level", "trend_slope"), 6, "vol_level", "trend_slope")
+
+
+@query(sql("bars", f"a AS (SELECT symbol, ts, {full('avg', 'close', 3)} AS f, {full('avg', 'close', 9)} AS s FROM bars) SELECT symbol, ts, round(100 * (f - s) / nullif(s, 0), 6) + 0.0 AS ema_spread_pct, CAST(f < s AS INTEGER) AS crossed_down FROM a"))
+def entry_features(spark: S, sf: str) -> DataFrame:
+    from ..operators.learning import entry_features as features
+
+    df = D.bars(spark, sf).withColumns({"ema_fast": W.sma("close", 3), "ema_slow": W.sma("close", 9)})
+    return rounded(features(df).select("symbol", "ts", "ema_spread_pct", "crossed_down"), 6, "ema_spread_pct")
+
+
+@query(sql("log", "SELECT symbol, 'decision' AS event, count(*) AS n, max(line) AS last_line FROM log GROUP BY symbol"))
+def live_events(spark: S, sf: str) -> DataFrame:
+    return L.events(D.log_lines(spark, sf)).groupBy("symbol", "event").agg(F.count("*").alias("n"), F.max("line").alias("last_line"))
+
+
+@query(sql("decisions", "SELECT id, array_to_string(list_filter([CASE WHEN id % 3 = 0 THEN 'p' END, CASE WHEN id % 5 = 0 THEN 'q' END], lambda y: y IS NOT NULL), ',') AS missing FROM decisions"))
+def missing_required(spark: S, sf: str) -> DataFrame:
+    p = F.when(F.col("id") % 3 != 0, F.col("p"))
+    q = F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("p"))
+    return D.decisions(spark, sf).select("id", F.concat_ws(",", C.missing_fields({"p": p, "q": q})).alias("missing"))
+
+
+@query(sql("decisions", "SELECT id, CASE id % 4 WHEN 0 THEN 2 WHEN 1 THEN CASE WHEN p >= 0.5 THEN 1 ELSE 0 END WHEN 2 THEN CAST(id % 7 AS INTEGER) END AS code FROM decisions"))
+def code_fallback(spark: S, sf: str) -> DataFrame:
+    k = F.col("id") % 4
+    code = C.first_code(F.when(k == 0, " bull"), {"BULL": 2, "BEAR": 0}, F.when(k == 1, F.col("p")), F.when(k == 2, F.col("id") % 7))
+    return D.decisions(spark, sf).select("id", code.alias("code"))
+
+
+@query("SELECT event_id, " + ", ".join(f"CAST(isodow(ts) - 1 = {d} AS INTEGER) AS dow_{d}" for d in range(7)) + " FROM events")
+def weekday_one_hot(spark: S, sf: str) -> DataFrame:
+    return D.table(spark, sf, "events").select("event_id", *C.weekday_flags(F.col("ts")))
+
+
+@query(sql("bars", "SELECT symbol, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS ts, round(sum(close * volume), 4) AS turnover FROM bars GROUP BY ALL"))
+def daily_turnover(spark: S, sf: str) -> DataFrame:
+    return rounded(D.bars(spark, sf).groupBy("symbol", B.bucket(F.col("ts"), "1d").alias("d")).agg(F.sum(F.col("close") * F.col("volume")).alias("turnover")).withColumnRenamed("d", "ts"), 4, "turnover")

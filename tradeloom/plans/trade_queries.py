@@ -21,20 +21,20 @@ from .registry import query
 S = SparkSession
 
 
-@query(sql("trades", "SELECT tag, count(*) AS n, round(avg(CAST(pnl > 0 AS DOUBLE)), 6) AS win_rate, round(coalesce(sum(pnl) FILTER (pnl > 0), 0), 2) AS gross_profit, round(-coalesce(sum(pnl) FILTER (pnl < 0), 0), 2) AS gross_loss, round(sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0), 6) AS profit_factor, round(avg(pnl), 4) AS expectancy, round(avg(pnl) FILTER (pnl > 0) / -avg(pnl) FILTER (pnl < 0), 6) AS payoff, round(avg(mae_usd), 4) AS avg_mae, round(avg(mfe_usd), 4) AS avg_mfe, round(avg((epoch_us(closed_at) - epoch_us(opened_at)) / 60e6), 4) AS avg_hold_min, round(sum(fees), 2) AS fees, round(sum(pnl), 2) AS net FROM trades GROUP BY tag"))
+@query(sql("trades", "SELECT tag, count(*) AS n, round(avg(CAST(pnl > 0 AS DOUBLE)), 6) AS win_rate, round(coalesce(sum(pnl) FILTER (pnl > 0), 0), 2) AS gross_profit, round(-coalesce(sum(pnl) FILTER (pnl < 0), 0), 2) AS gross_loss, round(sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0), 6) AS profit_factor, round(avg(pnl), 8) AS expectancy, round(avg(pnl) FILTER (pnl > 0) / -avg(pnl) FILTER (pnl < 0), 6) AS payoff, round(avg(mae_usd), 4) AS avg_mae, round(avg(mfe_usd), 4) AS avg_mfe, round(avg((epoch_us(closed_at) - epoch_us(opened_at)) / 60e6), 4) AS avg_hold_min, round(sum(fees), 2) AS fees, round(sum(pnl), 2) AS net FROM trades GROUP BY tag"))
 def performance_summary(spark: S, sf: str) -> DataFrame:
     df = rounded(P.summary(D.trades(spark, sf), ["tag"]), 6, "win_rate", "profit_factor", "payoff")
-    return rounded(rounded(df, 4, "expectancy", "avg_mae", "avg_mfe", "avg_hold_min"), 2, "gross_profit", "gross_loss", "fees", "net")
+    return rounded(rounded(rounded(df, 4, "avg_mae", "avg_mfe", "avg_hold_min"), 8, "expectancy"), 2, "gross_profit", "gross_loss", "fees", "net")
 
 
 SESSION = "CASE WHEN hour(opened_at) < 8 THEN 'ASIA' WHEN hour(opened_at) < 16 THEN 'EUROPE' ELSE 'US' END"
 
 
-@query(sql("trades", f"x AS (SELECT pnl, {SESSION} AS session, CAST(isodow(opened_at) - 1 AS VARCHAR) AS dow, CAST(hour(opened_at) AS VARCHAR) AS hour FROM trades) SELECT CASE WHEN session IS NOT NULL THEN 'session' WHEN dow IS NOT NULL THEN 'dow' ELSE 'hour' END AS segment, coalesce(session, dow, hour) AS value, count(*) AS n, round(avg(pnl), 4) AS avg_pnl, round(sum(pnl), 2) AS sum_pnl FROM x GROUP BY GROUPING SETS ((session), (dow), (hour)) HAVING count(*) >= 10"))
+@query(sql("trades", f"x AS (SELECT pnl, {SESSION} AS session, CAST(isodow(opened_at) - 1 AS VARCHAR) AS dow, CAST(hour(opened_at) AS VARCHAR) AS hour FROM trades) SELECT CASE WHEN session IS NOT NULL THEN 'session' WHEN dow IS NOT NULL THEN 'dow' ELSE 'hour' END AS segment, coalesce(session, dow, hour) AS value, count(*) AS n, round(avg(pnl), 8) AS avg_pnl, round(sum(pnl), 2) AS sum_pnl FROM x GROUP BY GROUPING SETS ((session), (dow), (hour)) HAVING count(*) >= 10"))
 def segment_performance(spark: S, sf: str) -> DataFrame:
     c = C.calendar(F.col("opened_at"))
     df = P.segments(D.trades(spark, sf).withColumns({k: c[k] for k in ("session", "dow", "hour")}), ["session", "dow", "hour"])
-    return rounded(rounded(df, 4, "avg_pnl"), 2, "sum_pnl")
+    return rounded(rounded(df, 8, "avg_pnl"), 2, "sum_pnl")
 
 
 @query(sql("trades", "h AS (SELECT * FROM (VALUES ('6h', 6), ('1d', 24), ('7d', 168), ('365d', 8760)) t(period, h)) SELECT period, count(*) AS n, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, round(sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0), 6) AS profit_factor FROM trades JOIN h ON closed_at > TIMESTAMP '2024-01-20' - to_hours(h) AND closed_at <= TIMESTAMP '2024-01-20' GROUP BY period"))
@@ -169,10 +169,10 @@ def purged_folds(spark: S, sf: str) -> DataFrame:
     return K.purged_folds(o, 5, 50).groupBy("fold", "role").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-@query(sql("trades", "t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9, 1.5]) AS threshold) SELECT threshold, count(id) AS n, round(avg(CAST(pnl > 0 AS DOUBLE)), 6) AS win_rate, round(avg(pnl), 4) AS avg_pnl, round(coalesce(sum(pnl), 0), 2) AS sum_pnl FROM t LEFT JOIN trades ON p >= threshold GROUP BY threshold"))
+@query(sql("trades", "t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9, 1.5]) AS threshold) SELECT threshold, count(id) AS n, round(avg(CAST(pnl > 0 AS DOUBLE)), 6) AS win_rate, round(avg(pnl), 8) AS avg_pnl, round(coalesce(sum(pnl), 0), 2) AS sum_pnl FROM t LEFT JOIN trades ON p >= threshold GROUP BY threshold"))
 def threshold_sweep(spark: S, sf: str) -> DataFrame:
     out = K.sweep(D.trades(spark, sf), [0.1, 0.3, 0.5, 0.7, 0.9, 1.5]).withColumn("n", F.col("n").cast("long"))
-    return rounded(rounded(rounded(out, 6, "win_rate"), 4, "avg_pnl"), 2, "sum_pnl")
+    return rounded(rounded(rounded(out, 6, "win_rate"), 8, "avg_pnl"), 2, "sum_pnl")
 
 
 EV = "t AS (SELECT unnest([0.2, 0.4, 0.6, 0.8]) AS threshold), g AS (SELECT threshold, count(*) AS n, avg(CAST(r > 0 AS DOUBLE)) AS w, avg(r) FILTER (r > 0) AS g, avg(-r) FILTER (r <= 0) AS l FROM t JOIN trades ON p >= threshold GROUP BY threshold), ev AS (SELECT threshold, n, w, w * coalesce(g, 0) - (1 - w) * coalesce(l, 0) AS ev_r FROM g)"
@@ -343,10 +343,10 @@ def client_ids(spark: S, sf: str) -> DataFrame:
     return D.trades(spark, sf).select("id", C.client_id(F.lit("DON"), F.col("symbol"), F.col("side"), F.col("opened_at")).alias("client_id"))
 
 
-@query(sql("trades", "a AS (SELECT unnest(['p', 'pnl', 'mfe_usd']) AS name) SELECT name, (SELECT count(*) FROM trades) AS n, CASE name WHEN 'p' THEN (SELECT round(avg(CAST(id % 10 = 0 AS DOUBLE)), 6) FROM trades) ELSE 0.0 END AS missing, CASE name WHEN 'p' THEN (SELECT round(avg(p), 4) FROM trades WHERE id % 10 <> 0) WHEN 'pnl' THEN (SELECT round(avg(pnl), 4) FROM trades) ELSE (SELECT round(avg(mfe_usd), 4) FROM trades) END AS mean, CASE name WHEN 'p' THEN (SELECT round(quantile_cont(p, 0.9), 4) FROM trades WHERE id % 10 <> 0) WHEN 'pnl' THEN (SELECT round(quantile_cont(pnl, 0.9), 4) FROM trades) ELSE (SELECT round(quantile_cont(mfe_usd, 0.9), 4) FROM trades) END AS p90 FROM a"))
+@query(sql("trades", "a AS (SELECT unnest(['p', 'pnl', 'mfe_usd']) AS name) SELECT name, (SELECT count(*) FROM trades) AS n, CASE name WHEN 'p' THEN (SELECT round(avg(CAST(id % 10 = 0 AS DOUBLE)), 6) FROM trades) ELSE 0.0 END AS missing, CASE name WHEN 'p' THEN (SELECT round(avg(p), 8) FROM trades WHERE id % 10 <> 0) WHEN 'pnl' THEN (SELECT round(avg(pnl), 8) FROM trades) ELSE (SELECT round(avg(mfe_usd), 8) FROM trades) END AS mean, CASE name WHEN 'p' THEN (SELECT round(quantile_cont(p, 0.9), 4) FROM trades WHERE id % 10 <> 0) WHEN 'pnl' THEN (SELECT round(quantile_cont(pnl, 0.9), 4) FROM trades) ELSE (SELECT round(quantile_cont(mfe_usd, 0.9), 4) FROM trades) END AS p90 FROM a"))
 def dataset_audit(spark: S, sf: str) -> DataFrame:
     t = D.trades(spark, sf).withColumn("p", F.when(F.col("id") % 10 != 0, F.col("p")))
-    return rounded(rounded(Q.column_audit(t, ["p", "pnl", "mfe_usd"]).drop("p10"), 6, "missing"), 4, "mean", "p90")
+    return rounded(rounded(Q.column_audit(t, ["p", "pnl", "mfe_usd"]).drop("p10"), 6, "missing").withColumn("mean", F.round("mean", 8)), 4, "p90")
 
 
 @query(sql("trades", "SELECT y, count(*) AS n, round(count(*) / (SELECT count(*) FROM trades), 6) AS share FROM trades GROUP BY y"))
@@ -469,6 +469,29 @@ def out_of_fold_scores(spark: S, sf: str) -> DataFrame:
     return rounded(M.out_of_fold(_training(spark, sf), FEATURES, 3, 50, ["id", "y"]), 6, "p")
 
 
+@query(sql("trades", SIZE + ", e AS (SELECT abs(CASE WHEN up = 0 THEN 0 ELSE risk END - CASE WHEN up = 0 THEN 0 ELSE risk * CASE WHEN id % 10 = 0 THEN 1.01 ELSE 1 END END) AS d FROM q) SELECT count(*) AS n, round(avg(d), 6) AS mean_error, round(quantile_cont(d, 0.9), 6) AS p90_error, round(max(d), 6) AS max_error FROM e"))
+def sizing_parity(spark: S, sf: str) -> DataFrame:
+    a = sizing_chain(spark, sf).select("id", "risk_usd")
+    b = a.select("id", (F.col("risk_usd") * F.when(F.col("id") % 10 == 0, 1.01).otherwise(1.0)).alias("other"))
+    gap = F.abs(F.col("risk_usd") - F.col("other"))
+    out = a.join(b, "id").agg(F.count("*").alias("n"), F.avg(gap).alias("mean_error"), F.percentile(gap, F.lit(0.9)).alias("p90_error"), F.max(gap).alias("max_error"))
+    return rounded(out, 6, "mean_error", "p90_error", "max_error")
+
+
+@query()
+def calibrated_scores(spark: S, sf: str) -> DataFrame:
+    t = D.trades(spark, sf).select("id", "p", "y")
+    name, _ = M.choose_calibrator(t)
+    out = M.calibrators(t)[name](t) if name != "raw" else t.withColumn("p_cal", F.col("p"))
+    return rounded(out.select("id", "p_cal", F.lit(name).alias("calibrator")), 6, "p_cal")
+
+
+@query()
+def feature_ablation(spark: S, sf: str) -> DataFrame:
+    m = M.drop_one(_training(spark, sf), ["p", "hour_sin", "notional"], 2, 50)
+    return rounded(Q.ablation(m, "baseline", 0.0, 0.005), 6, "auc", "brier", "d_auc", "d_brier")
+
+
 @query()
 def shuffle_test(spark: S, sf: str) -> DataFrame:
     return rounded(M.shuffle_p_value(D.trades(spark, sf), "id", 20), 6, "auc", "p_value")

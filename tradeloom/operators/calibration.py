@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from .windows import with_order_index, with_running
 
 
 def dedup_mean(preds: DataFrame) -> DataFrame:
@@ -49,8 +50,6 @@ def rank_bins(df: DataFrame, x: str, y: str, tie: str, bins: int) -> DataFrame:
 
     The rank comes from `windows.with_order_index`, which needs no single task.
     """
-    from .windows import with_order_index
-
     ranked = with_order_index(df.select(x, y, tie).where(F.col(x).isNotNull()), [x, tie], "_i")
     totals = ranked.agg(F.count("*").alias("_n"), F.avg(y).alias("_base"))
     last = F.greatest(F.lit(1), F.col("_n") - 1)
@@ -83,10 +82,9 @@ def ece_of_bins(bins: DataFrame, n: str, conf: str, acc: str) -> DataFrame:
 
 
 def auc_brier(df: DataFrame, p: str, y: str) -> DataFrame:
-    """(auc, brier, brier_base, accuracy): ranks by average over ties, from counts of each distinct p (bounded by distinct values)."""
+    """(auc, brier, brier_base, accuracy): ranks by average over ties, from counts of each distinct p."""
     each = df.groupBy(p).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("k"), F.sum(F.pow(F.col(p) - F.col(y), F.lit(2))).alias("b"), F.sum(((F.col(p) >= 0.5) == (F.col(y) == 1)).cast("double")).alias("hit"))
-    w = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = each.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = with_running(each, [p], {"before": F.col("n")}).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     s = ranked.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("rank") * F.col("k")).alias("r"), F.sum("b").alias("b"), F.sum("hit").alias("hit"))
     return s.select(ratio(F.col("r") - F.col("k") * (F.col("k") + 1) / 2, F.col("k") * (F.col("n") - F.col("k"))).alias("auc"), (F.col("b") / F.col("n")).alias("brier"), (F.col("k") / F.col("n") * (1 - F.col("k") / F.col("n"))).alias("brier_base"), (F.col("hit") / F.col("n")).alias("accuracy"))
 
@@ -153,8 +151,6 @@ def drawdown_breach(df: DataFrame, r: str, key: str, fractions: list[float], tri
 
     A path's steps draw rows by hash from the ranked results; paths spread over tasks by (f, trial).
     """
-    from .windows import with_order_index
-
     ranked = with_order_index(df.where(F.col(r).isNotNull()).select(r, key), [r, key], "_i")
     n = ranked.agg(F.count("*").alias("_n"))
     spark = df.sparkSession

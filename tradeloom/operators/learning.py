@@ -17,7 +17,7 @@ from ..sources.staging import staged
 from .calibration import auc_brier, ece, purged_folds, resolution, width_bin
 from .joins import window_enrichment
 from .performance import cost_audit
-from .windows import with_order_index
+from .windows import with_order_index, with_running
 
 
 def training_set(positions: DataFrame, oi: DataFrame, funding: DataFrame, bps: float = 6.0) -> DataFrame:
@@ -133,7 +133,8 @@ def shuffle_p_value(preds: DataFrame, key: str, replicates: int) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    ranked = preds.select(key, "y", (F.rank().over(Window.orderBy("p")) + (F.count("*").over(Window.partitionBy("p")) - 1) / 2).alias("r"))
+    each = with_running(preds.groupBy("p").agg(F.count("*").alias("n")), ["p"], {"before": F.col("n")})
+    ranked = preds.join(each, "p").select(key, "y", (F.col("before") + (F.col("n") + 1) / 2).alias("r"))
     both = ranked.agg(F.count("*").alias("n"), F.sum("y").alias("k"), F.sum(F.col("r") * F.col("y")).alias("s"))
     reps = ranked.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("h", F.xxhash64(key, "rep"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("h", key))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, ratio
+from ..sources.staging import staged
 from .bars import forward_fill
 
 def by_symbol():
@@ -242,19 +243,26 @@ def with_recent_win_rate(decisions: DataFrame, outcomes: DataFrame, sizes: tuple
 # order
 
 
-def with_order_index(df: DataFrame, order: list[str], name: str = "order_idx") -> DataFrame:
-    """0 .. N-1 in global order without one task for all rows: ranges of the first column, counts of the ranges before, rank within.
+def with_running(df: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """df with sums of values over all rows before each one in global order, without one task for all rows.
 
-    The table is written to no place; it is read twice, so it should be staged if it is dear.  Order must be unique.
+    The rows are staged in ranges of the order; each range's sums give the next ones' offsets (as many rows as ranges),
+    and a window inside each range does the rest.  Order must be unique.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id())
-    edges = ranged.groupBy("_part").agg(F.min(F.struct(*order)).alias("_least"), F.count("*").alias("_n"))
-    before = edges.select("_least", F.coalesce(F.sum("_n").over(Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_least").over(Window.orderBy("_least")).alias("_next"))
-    key = F.struct(*order)
-    placed = df.withColumn("_key", key).join(F.broadcast(before), (F.col("_key") >= F.col("_least")) & (F.col("_next").isNull() | (F.col("_key") < F.col("_next"))))  # one row for each range
-    rank = F.row_number().over(Window.partitionBy("_least").orderBy("_key")) - 1
-    return placed.withColumn(name, (F.col("_before") + rank).cast("long")).drop("_key", "_least", "_next", "_before")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumns({"_part": F.spark_partition_id(), **{f"_{n}": v for n, v in values.items()}})
+    ranged = staged(ranged, "ranges")
+    sums = ranged.groupBy("_part").agg(*[F.sum(f"_{n}").alias(f"_{n}_all") for n in values])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", *[F.coalesce(F.sum(f"_{n}_all").over(ahead), F.lit(0)).alias(f"_{n}_off") for n in values])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(offsets), "_part")
+    return placed.withColumns({n: F.col(f"_{n}_off") + F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)) for n in values}).select(*df.columns, *values)
+
+
+def with_order_index(df: DataFrame, order: list[str], name: str = "order_idx") -> DataFrame:
+    """0 .. N-1 in global order; order must be unique."""
+    return with_running(df, order, {name: F.lit(1).cast("long")})
 
 
 def streaks(df: DataFrame, keys: list[str], order: list[str], pnl: str = "pnl") -> DataFrame:

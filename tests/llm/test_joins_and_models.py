@@ -163,6 +163,7 @@ def test_pairwise_terms_are_learned():
     y = [float("rude" in t and "group" in t) for t in texts]
     import numpy as np
 
-    machine = toxicity.FactorizationMachine.fit([toxicity.text_buckets(t) for t in texts], np.array(y))
+    rows = [toxicity.text_buckets(t) for t in texts]
+    machine = toxicity.FactorizationMachine.fit(np.unique(np.concatenate([b for b, _ in rows])), rows, np.array(y))
     s = machine.scores(["rude group aaa", "rude aaa bbb", "group aaa bbb", "aaa bbb"])
     assert s[0] > 0.5 > max(s[1:])

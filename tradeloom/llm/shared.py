@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +72,12 @@ def bound(value: Column, body) -> Column:
 def fits_broadcast(df: DataFrame, most_rows: int) -> bool:
     """Whether df, which must be cheap to read, has at most most_rows rows."""
     return df.limit(most_rows + 1).count() <= most_rows
+
+
+def give_back() -> None:
+    """At a task's end: Python workers live on and serve later steps, so memory that is free goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

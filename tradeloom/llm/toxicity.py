@@ -6,8 +6,8 @@ fewer), keeps the `TERMS` buckets that tell the labels apart best by chi-square,
 factors for each bucket by logistic loss: score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>).  The pairwise part
 learns that two terms together mean more, or less, than each alone.  The fit is deterministic.
 
-The sample's buckets (rows times distinct terms of a text, at most MOST_TERMS for each row, taken by hash) are all that reaches the driver; all texts are
-scored whole in Arrow batches, without a shuffle.
+The sample's terms stay in a staged table; Spark counts them, and what reaches the driver is the TERMS chosen buckets and the sampled
+rows' values in them.  All texts are scored whole in Arrow batches, without a shuffle.
 
 Defined results: null or empty text scores by the bias alone.  Rows without label, or whose label is null, do not train; repeated labels of one id count once,
 as the largest.  Without both labels in the sample, every score is the sample's share of label 1 (0 without labels).
@@ -27,17 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, whole_text
+from .shared import give_back, staged, whole_text
 
 BUCKETS = 1 << 18
 TERMS = 500
 FACTORS = 4
 STEPS = 200
 SAMPLE_ROWS = 12_000
-MOST_TERMS = 4_000
 GRAM = 5
 THRESHOLD = 0.3
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 150_000
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -71,23 +70,17 @@ class FactorizationMachine:
         self.place = {int(b): k for k, b in enumerate(buckets)}
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> FactorizationMachine:
+    def fit(cls, chosen: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> FactorizationMachine:
+        """chosen: the buckets that count; rows: for each text the buckets it has and their values (others are left out)."""
         share = float(labels.mean()) if len(labels) else 0.0
         if share in (0.0, 1.0):
             return cls(np.zeros(0), np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -14, 14), np.zeros(0), np.zeros((0, FACTORS)))
-        flat = np.concatenate([r for r, _ in rows])
-        one = np.bincount(flat, np.repeat(labels, [len(r) for r, _ in rows]), minlength=BUCKETS)
-        n = np.bincount(flat, minlength=BUCKETS).astype(float)
-        expected = n * share
-        chi = np.where(n >= 5, (one - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9), 0.0)
-        chosen = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
-        chosen = chosen[n[chosen] >= 5]
-        place = np.full(BUCKETS, -1)
-        place[chosen] = np.arange(len(chosen))
+        chosen = np.sort(chosen)
         x = np.zeros((len(rows), len(chosen)), dtype=np.float32)
-        for k, (r, value) in enumerate(rows):
-            at = place[r]
-            x[k, at[at >= 0]] = value[at >= 0]
+        for k, (buckets, value) in enumerate(rows):
+            at = np.searchsorted(chosen, buckets)
+            known = np.append(chosen, -1)[at] == buckets
+            x[k, at[known]] = value[known]
         x2 = x**2
         y = labels.astype(np.float32)
         rng = np.random.default_rng(7)
@@ -107,6 +100,10 @@ class FactorizationMachine:
                 params[k] = params[k] - 0.05 * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)
         return cls(chosen, params[0][0], params[1].astype(np.float64), params[2].astype(np.float64))
 
+    def forget(self) -> None:
+        """Drop what scores() remembers of words."""
+        self.__dict__.pop("known", None)
+
     def scores(self, texts: list[str]) -> np.ndarray:
         place, known = self.place, self.__dict__.setdefault("known", {})
         out = np.full(len(texts), self.bias)
@@ -132,17 +129,16 @@ class FactorizationMachine:
 _fresh_buckets = term_buckets.__wrapped__
 
 
-def _packed(buckets: np.ndarray, value: np.ndarray) -> bytes:
-    """The row's terms; of a text with more than MOST_TERMS buckets, those that a hash of the bucket puts first."""
-    if len(buckets) > MOST_TERMS:
-        keep = np.sort(np.argsort((buckets.astype(np.int64) * 2654435761) % (1 << 32), kind="stable")[:MOST_TERMS])
-        buckets, value = buckets[keep], value[keep]
-    return buckets.astype(np.int32).tobytes() + value.astype(np.float32).tobytes()
-
+def tell_apart(terms: DataFrame, n_terms: int) -> list[int]:
+    """The buckets of (y, buckets) rows whose presence differs most by label, by chi-square; of ties the smaller bucket.
 
-def _unpacked(terms: bytes) -> tuple[np.ndarray, np.ndarray]:
-    half = len(terms) // 2
-    return np.frombuffer(terms[:half], dtype=np.int32), np.frombuffer(terms[half:], dtype=np.float32)
+    Counted in Spark; buckets that fewer than five rows have do not count.
+    """
+    totals = terms.agg(F.avg("y").alias("share"))
+    n = terms.select("y", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum("y").alias("one")).where("n >= 5")
+    gap, spread = F.col("one") - F.col("n") * F.col("share"), F.col("n") * F.col("share") * (1 - F.col("share"))
+    chi = n.crossJoin(F.broadcast(totals)).withColumn("chi", gap * gap / F.greatest(spread, F.lit(1e-9)))  # one row
+    return [r["b"] for r in chi.orderBy(F.desc("chi"), "b").limit(n_terms).collect()]  # at most n_terms
 
 
 def held_out(id_col: str) -> Column:
@@ -158,13 +154,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [_packed(*text_buckets(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.binary())], ["id", "y", "terms"])
-
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, y int, terms binary"
-    rows = sample.mapInArrow(run, schema).collect()  # bounded by sample_rows and MOST_TERMS
-    rows = sorted({(r["id"], r["y"], bytes(r["terms"])) for r in rows})[: 2 * sample_rows]
-    return FactorizationMachine.fit([_unpacked(r[2]) for r in rows], np.array([r[1] for r in rows], dtype=float))
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                found = [text_buckets(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["id", "y", "buckets", "values"])
+        term_buckets.cache_clear()
+        give_back()
+
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, y int, buckets array<int>, values array<float>"
+    terms = staged(sample.mapInArrow(run, schema), "toxicity-terms")
+    chosen = sorted(tell_apart(terms, TERMS))
+    held = F.filter(F.arrays_zip("buckets", "values"), lambda x: x["buckets"].isin(chosen) if chosen else F.lit(False))
+    rows = terms.select("id", "y", held["buckets"].alias("b"), held["values"].alias("v")).collect()  # sample_rows rows of at most TERMS values
+    rows = sorted((r["id"], r["y"], tuple(r["b"] or ()), tuple(r["v"] or ())) for r in rows)
+    return FactorizationMachine.fit(np.array(chosen, dtype=np.int64), [(np.array(r[2], dtype=np.int64), np.array(r[3], dtype=np.float32)) for r in rows], np.array([r[1] for r in rows], dtype=float))
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,6 +178,8 @@ def score_toxicity(docs: DataFrame, machine: FactorizationMachine, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(shared.value.scores(batch.column(1).to_pylist()), 6))], ["id", "score"])
+        shared.value.forget()
+        give_back()
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
@@ -187,5 +192,7 @@ def keep_clean(docs: DataFrame, machine: FactorizationMachine, text_col: str = "
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(np.round(shared.value.scores(texts), 6) < threshold, pa.bool_()))
+        shared.value.forget()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import whole_text
+from .shared import give_back, whole_text
 
 # The byte alphabet's printable bytes and the published pre-token pattern of byte-level BPE.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -48,9 +48,9 @@ NEVER = 1 << 60
 #: Bytes of a prefix by whose end the tokens that end there are remembered.
 TAIL = 6
 #: Words that a Python worker remembers between batches; the memory is emptied when full, which costs time only.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 350_000
 #: Characters of text that are handled at once.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 
 
 class ByteBpe:
@@ -146,7 +146,7 @@ class ByteBpe:
             ids.reverse()
             out[word] = tuple(ids)
             path = raw
-        if len(stable) + len(ends_of) > 2_000_000:
+        if len(stable) + len(ends_of) > 800_000:
             stable.clear()
             ends_of.clear()
         return out
@@ -179,6 +179,11 @@ class ByteBpe:
         find = self.words_fast if unusual().isdisjoint(text) else self.words_exactly
         return [w for part in parts for w in ([part] if part in self.special else find(part))]
 
+    def forget(self) -> None:
+        """Drop what is remembered of words, not the vocabulary."""
+        for memory in (self.known, self.stable, self.ends_of):
+            memory.clear()
+
     def decode_batch(self, ids: list) -> list[str]:
         """Texts of id lists; bytes that are no UTF-8 become the replacement character."""
         get = self.bytes_of.__getitem__
@@ -228,5 +233,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([keys[lo:hi], lists, pa.array(bpe.decode_batch(ids), pa.string())], ["id", "ids", "decoded"])
+        bpe.forget()
+        give_back()
 
     return rows.mapInArrow(run, out_schema).withColumnRenamed("id", id_col)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import staged, whole_text
+from .shared import give_back, staged, whole_text
 
 #: Sets of a list that are compared at once.
 BLOCK = 1_000
@@ -152,6 +152,7 @@ def _sets(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFrame
                     columns = [ids[lo:hi], fp, n, _lists(inside), _lists([s[~c][:k] for s, c, k in zip(sets, counted, short, strict=True)])]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(*x) for x in zip([y.split()[0] for y in schema.split(", ")], [c.type for c in columns], strict=True)]))
                 lo = hi
+        give_back()
 
     return docs.select("id", "text").mapInArrow(run, schema)
 
@@ -293,6 +294,7 @@ def _list_edges(postings: DataFrame, percent: int, all_pairs: bool) -> DataFrame
         if held:
             a, b = _Lists(pa.Table.from_batches(held), percent).edges(all_pairs)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
 
     return postings.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "pos", "row").mapInArrow(run, "a long, b long").distinct()
 

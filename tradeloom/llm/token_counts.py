@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, ByteBpe, chunks
-from .shared import new_path, staged, whole_text
+from .shared import give_back, new_path, staged, whole_text
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Longer runs without a break go past the regular expressions of the fast library, which limit their stack.
@@ -101,6 +101,7 @@ def encode_counts(texts: DataFrame, kind: str, content, id_type: str = "binary")
             strings = batch.column(1).to_pylist()
             n = [c for lo, hi in chunks(strings) for c in counter.count(strings[lo:hi])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+        give_back()
 
     return texts.mapInArrow(run, f"digest {id_type}, n_tokens long")
 

@@ -50,7 +50,7 @@ TAIL = 6
 #: Words that a Python worker remembers between batches; the memory is emptied when full, which costs time only.
 REMEMBERED_WORDS = 350_000
 #: Characters of text that are handled at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 
 class ByteBpe:
@@ -146,7 +146,7 @@ class ByteBpe:
             ids.reverse()
             out[word] = tuple(ids)
             path = raw
-        if len(stable) + len(ends_of) > 800_000:
+        if len(stable) + len(ends_of) > 500_000:
             stable.clear()
             ends_of.clear()
         return out

@@ -167,3 +167,29 @@ def test_pairwise_terms_are_learned():
     machine = toxicity.FactorizationMachine.fit(np.unique(np.concatenate([b for b, _ in rows])), rows, np.array(y))
     s = machine.scores(["rude group aaa", "rude aaa bbb", "group aaa bbb", "aaa bbb"])
     assert s[0] > 0.5 > max(s[1:])
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    """Kept rows as a multiset against brute force: null ids, ids of two texts, repeated rows, components of null ids only."""
+    rng = random.Random(8)
+    text = lambda: [f"w{rng.randrange(10_000)}" for _ in range(60)]
+    near = lambda t: [*t[:-1], "other"]
+    a, b, c, d, e, f = (text() for _ in range(6))
+    made = [(1, a), (None, near(a)), (None, b), (None, c), (2, d), (3, near(d)), (3, e), (1, a), (1, a), (None, f), (None, f), (None, near(f)), (9, text()), (9, text())]
+    rows = [(i, " ".join(t), k) for k, (i, t) in enumerate(made)] + [(None, "", 90), (None, None, 91), (4, " ", 92), (4, " ", 92)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(5)
+    big = 1 << 60
+    sets = [brute.shingles(t or "", 5) for _, t, _ in rows]
+    # components over row numbers, so that null and repeated ids do not merge any
+    comp = brute.components(list(enumerate(sets)), 80)
+    groups = {}
+    for k, s in enumerate(sets):
+        if s:
+            groups.setdefault(comp[k], []).append(k)
+    least = [min(big if rows[k][0] is None else rows[k][0] for k in g) for g in groups.values()]
+    want = sorted([None if i == big else i for i in least] + [rows[k][0] for k, s in enumerate(sets) if not s], key=str)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted([i for i, _, _ in got], key=str) == want
+    assert sorted([comp[n] for _, _, n in got if n < 90]) == sorted(groups) and set(got) <= set(rows)

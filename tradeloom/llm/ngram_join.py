@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import give_back, staged, whole_text
+from .shared import digest_of, give_back, kept_rows, staged, whole_text
 
 #: Sets of a list that are compared at once.
 BLOCK = 1_000
@@ -125,10 +125,11 @@ def index_length(n: Column, percent: int) -> Column:
 
 
 def _sets(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFrame:
-    """whole: (fp, n, toks, bits); else (id, fp, n, toks that are counted, rest: further tokens of the prefix by hash)."""
+    """whole: (fp, n, toks, bits); else (id, digest if docs has it, fp, n, toks that are counted, rest: further tokens of the prefix by hash)."""
     id_type = docs.schema["id"].dataType.simpleString()
+    digest = ["digest"] if "digest" in docs.columns and not whole else []
     every = _U(counted_every(percent))
-    schema = "fp binary, n int, toks array<long>, bits binary" if whole else f"id {id_type}, fp binary, n int, toks array<long>, rest array<long>"
+    schema = "fp binary, n int, toks array<long>, bits binary" if whole else f"id {id_type}, {'digest binary, ' if digest else ''}fp binary, n int, toks array<long>, rest array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,12 +150,12 @@ def _sets(docs: DataFrame, n_words: int, percent: int, whole: bool) -> DataFrame
                     counted = [s % every == 0 for s in sets]
                     inside = [s[c] for s, c in zip(sets, counted, strict=True)]
                     short = [max(0, len(s) + (-percent * len(s) // 100) + 1 - len(i)) for s, i in zip(sets, inside, strict=True)]
-                    columns = [ids[lo:hi], fp, n, _lists(inside), _lists([s[~c][:k] for s, c, k in zip(sets, counted, short, strict=True)])]
+                    columns = [ids[lo:hi], *[batch.column(2)[lo:hi] for _ in digest], fp, n, _lists(inside), _lists([s[~c][:k] for s, c, k in zip(sets, counted, short, strict=True)])]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(*x) for x in zip([y.split()[0] for y in schema.split(", ")], [c.type for c in columns], strict=True)]))
                 lo = hi
         give_back()
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text", *digest).mapInArrow(run, schema)
 
 
 def _shared_tokens(sets: DataFrame) -> DataFrame:
@@ -311,8 +312,15 @@ def _verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def join_components(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, n_shingles, component_id) for each row; fp is the set's identity, component_id the smallest id reachable by links."""
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    out = _joined(texts, n_words, percent, F.col("id"))
+    out = out.select("id", "fp", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "fp", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _joined(texts: DataFrame, n_words: int, percent: int, key: Column) -> DataFrame:
+    """(the columns of _sets, least: the smallest key of the row's component) for each row of (id, text[, digest])."""
     first = staged(_sets(texts, n_words, percent, whole=False).withColumn("row", F.monotonically_increasing_id()), "sets-first")
-    classes = staged(first.groupBy("fp", "n").agg(F.min("row").alias("row"), F.min("id").alias("least")), "sets-classes")
+    classes = staged(first.groupBy("fp", "n").agg(F.min("row").alias("row"), F.min(key).alias("least")), "sets-classes")
     wanted = staged(_candidates(first, classes, percent), "sets-candidates")
 
     again = texts.join(wanted.select(F.col("id").alias("wanted_id")).distinct().hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi")
@@ -332,13 +340,17 @@ def join_components(docs: DataFrame, n_words: int = 3, percent: int = 90, id_col
     of_set = connected_components(links).withColumnRenamed("node", "row").join(names, "row").select("fp", "label").distinct()
     grouped = staged(classes.join(of_set, "fp", "left"), "components")
     least = grouped.where("label is not null").groupBy("label").agg(F.min("least").alias("reached"))
-    ids = staged(grouped.join(least, "label", "left").select("fp", F.coalesce("reached", "least").alias("component_id")), "components-ids")
-    out = first.join(ids, "fp").select("id", "fp", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "fp", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    ids = staged(grouped.join(least, "label", "left").select("fp", F.coalesce("reached", "least").alias("least")), "components-ids")
+    return first.join(ids, "fp")
 
 
 def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of docs (the one of the smallest id), and all rows without words; all columns of docs."""
-    out = join_components(docs, n_words, percent, id_col, text_col)
-    lost = staged(out.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("lost_id")).distinct(), "near-lost")
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("lost_id")), "left_anti")
+    """One row of each component of docs (of the smallest id, then of the smallest digest), and all rows without words; all columns of docs.
+
+    A null id comes after all others.  Rows are told apart by id and text, so an id that repeats loses only the texts that are copies.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"), digest_of(whole_text(text_col)).alias("digest"))
+    out = _joined(texts, n_words, percent, F.struct(F.col("id").isNull().alias("none"), "id", "digest")).where("n > 0")
+    once = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("digest") == F.col("least.digest"))
+    marked = out.groupBy("id", "digest", once.alias("once")).agg(F.count("*").alias("rows"))
+    return kept_rows(docs, id_col, text_col, staged(marked.where("not once or rows > 1").drop("rows"), "near-marked"))

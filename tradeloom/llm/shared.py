@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts that rows of one id and text are dealt to.
+SALTS = 32
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -69,6 +71,27 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def digest_of(text: Column) -> Column:
+    """32 bytes that stand for a text."""
+    return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
+
+
+def kept_rows(docs: DataFrame, id_col: str, text_col: str, marked: DataFrame) -> DataFrame:
+    """docs without the rows of `marked` (id, digest, once), but one row of each (id, digest) that is marked once; null ids are equal."""
+    digest = digest_of(whole_text(text_col))
+    lost = marked.select(F.col("id").alias("lost_id"), F.col("digest").alias("lost_digest"))
+    kept = docs.join(lost, F.col(id_col).eqNullSafe(F.col("lost_id")) & (digest == F.col("lost_digest")), "left_anti")
+    again = marked.where("once")
+    if again.isEmpty():
+        return kept
+    # rows of one id and text may be a large part of the table: salted, so that each task gives one row at most
+    salted = again.select(F.col("id").alias("again_id"), F.col("digest").alias("again_digest"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("again_salt"))
+    tie = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), digest.alias("digest"), tie.alias("tie"), F.floor(F.rand(1) * SALTS).cast("int").alias("salt"))
+    found = rows.join(salted, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")) & (F.col("salt") == F.col("again_salt")), "left_semi")
+    return kept.unionByName(found.groupBy("id", "digest").agg(F.min_by("doc", "tie").alias("doc")).select("doc.*"))
+
+
 def fits_broadcast(df: DataFrame, most_rows: int) -> bool:
     """Whether df, which must be cheap to read, has at most most_rows rows."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -193,3 +193,36 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     got = [tuple(r) for r in kept.collect()]
     assert sorted([i for i, _, _ in got], key=str) == want
     assert sorted([comp[n] for _, _, n in got if n < 90]) == sorted(groups) and set(got) <= set(rows)
+
+
+def weighted_jaccard(window, item, benchmark):
+    """Jaccard of two texts' shingles, each weighing ln(1 + texts / texts that have it), over the benchmark's distinct texts."""
+    from math import log
+
+    grams = lambda t: {" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    texts = [grams(t) for t in set(benchmark)]
+    weight = lambda g: log(1 + len(texts) / max(1, sum(g in t for t in texts)))
+    a, b = grams(window), grams(item)
+    return sum(map(weight, a & b)) / sum(map(weight, a | b))
+
+
+def test_decontamination_of_repeated_and_overlapping_items(spark):
+    """Copies of an item do not lower its weights, and shingles of other items weigh in windows what they weigh in items."""
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    often, shared, single = text(64), text(40), text(100)
+    benchmark = [" ".join(often)] * 40 + [" ".join(shared + text(12)) for _ in range(30)] + [" ".join(single)] + [" ".join(text(30)) for _ in range(40)]
+    passages = [often[:-5] + text(5), single[:-12] + shared[:12]]  # 55 of 60 shingles; 84 of 96, and of the others 8 are those of 30 items
+    docs = [" ".join(text(20) + p + text(20)) for p in passages] + [" ".join(text(200))]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(benchmark)), "item_id long, text string")
+    want = {}
+    for i, doc in enumerate(docs):
+        words = doc.split()
+        for k, item in enumerate(benchmark):
+            n = len(item.split())
+            best = max(weighted_jaccard(" ".join(words[s : s + n]), item, benchmark) for s in range(len(words) - n + 1)) if set(words) & set(item.split()) else 0
+            if best >= 0.8:
+                want[i, k] = round(best, 4)
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 4) for r in decontamination.find_contaminated(d, b).collect()}
+    assert got == want and set(want) == {(0, k) for k in range(40)} | {(1, 70)}

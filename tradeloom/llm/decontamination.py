@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
 1. Words are runs of letters and digits, lower-cased; shingles are five words in a row (fewer words: the whole sequence).
-   Similarity is weighted Jaccard over shingle sets: a shingle of the benchmark weighs ln(1 + items / items that have it), any
-   other as much as the rarest.
+   Similarity is weighted Jaccard over shingle sets: a shingle of the benchmark weighs ln(1 + items / items that have it), in items
+   as in windows, where items of the same words count once; any other weighs as much as the rarest can.
 2. Similarity of 0.8 needs common shingles, so only texts that hold a benchmark shingle go on, with windows of an item's
    size around each alignment (place in text minus place in item) that their common shingles name.
 3. Each window and each item has a 64-bit SimHash.  Multi-index blocks: RADIUS + 1 blocks of bits, so that fingerprints
@@ -75,17 +75,18 @@ def _blocks(print_: Column) -> Column:
     return F.explode(F.array(*cut))
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, float]:
-    """(item, n, hashes, set, weights, total, print) of each item that has words; the weight of a shingle that no item has."""
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame, float]:
+    """(item, n, hashes, set, weights, total, print) of each item that has words; (h, weight) of their shingles; the weight of a shingle that no item has."""
     words = benchmark.select(F.col(item_col).alias("item"), words_of(whole_text(text_col)).alias("words"))
     items = words.select("item", bound(F.col("words"), shingles_of).alias("hashes"))
     items = staged(items.where(F.size("hashes") > 0).withColumn("set", F.array_sort(F.array_distinct("hashes"))).withColumn("n", F.size("hashes")).withColumn("key", F.monotonically_increasing_id()), "items-cut")
-    n_items = items.count()
-    df = items.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    weighed = items.select("key", F.explode("set").alias("h")).join(df, "h").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("h", F.log1p(n_items / F.col("df")).alias("w")))).alias("x"))
-    out = items.join(weighed, "key").select("key", "item", "n", "hashes", "set", F.col("x.w").alias("weights"))
+    texts = staged(items.groupBy("hashes").agg(F.first("set").alias("set")), "items-distinct")
+    n_texts = texts.count()
+    weights = staged(texts.select(F.explode("set").alias("h")).groupBy("h").agg(F.log1p(n_texts / F.count("*")).alias("weight")), "items-weights")
+    weighed = items.select("key", F.explode("set").alias("h")).join(weights, "h").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("h", "weight"))).alias("x"))
+    out = items.join(weighed, "key").select("key", "item", "n", "hashes", "set", F.col("x.weight").alias("weights"))
     out = out.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda a, w: a + w))
-    return staged(_with_simhash(out, "hashes"), "items"), math.log1p(n_items)
+    return staged(_with_simhash(out, "hashes"), "items"), weights, math.log1p(n_texts)
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_SIMILARITY) -> DataFrame:
@@ -94,9 +95,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, least: float) -> DataFrame:
-    items, rarest = _items(benchmark, item_col, item_text_col)
+    items, weights, rarest = _items(benchmark, item_col, item_text_col)
     postings = items.select("key", "n", F.posexplode("hashes").alias("at", "h"))
-    known = staged(postings.select("h").distinct(), "items-shingles")
+    known = weights.select("h")
     text = whole_text(text_col)
     row = F.monotonically_increasing_id().alias("row")  # beside a column of this kind, Spark doesn't move later filters before it and so takes no shingle twice
     cut = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), bound(words_of(text), shingles_of).alias("hashes"), row)
@@ -128,8 +129,14 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     )
     both = windows.join(near, "w").join(items.select("key", "item", "set", "weights", "total"), "key")
     common = F.aggregate(F.zip_with("set", "weights", lambda h, x: F.when(F.array_contains("window", h), x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    other = F.size(F.array_except("window", "set"))
-    scored = both.withColumn("similarity", F.round(common / (F.col("total") + other * rarest), 6)).where(F.col("similarity") >= least)
+    lightest = weights.agg(F.min("weight")).first()[0] or 0.0
+    like = lambda other: F.round(F.col("common") / (F.col("total") + other), 6)
+    pairs = both.select("w", "key", "row", "s", "id", "content", "item", "total", common.alias("common"), F.array_except("window", "set").alias("others"))
+    pairs = staged(pairs.where(like(F.size("others") * F.lit(lightest)) >= least), "pairs")  # the rest is too unlike, whatever its other shingles weigh
+    # what a window's shingles outside the item weigh less than the rarest, where other items have them
+    less = pairs.select("w", "key", F.explode("others").alias("h")).join(weights, "h").groupBy("w", "key").agg(F.sum(F.lit(rarest) - F.col("weight")).alias("less"))
+    other = F.size("others") * F.lit(rarest) - F.coalesce("less", F.lit(0.0))
+    scored = pairs.join(less, ["w", "key"], "left").withColumn("similarity", like(other)).where(F.col("similarity") >= least)
     best = scored.groupBy("row", "key").agg(F.max(F.struct("similarity", (-F.col("s")).alias("late"))).alias("x"), F.first("id").alias("id"), F.first("content").alias("content"), F.first("item").alias("item"))
     return best.select("id", "content", "item", F.col("x.similarity").alias("similarity"), (-F.col("x.late")).cast("long").alias("start"))
 

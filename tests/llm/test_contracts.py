@@ -151,3 +151,19 @@ def test_digests_are_of_the_documents(spark):
     got = {r["doc_id"]: r for r in queries.op2_bpe(spark, SF).collect()}
     for r in queries.table(spark, SF, "documents").collect():
         assert got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_pii_adds_base_kinds_that_the_strict_format_leaves_out(spark):
+    """Cards of 15 digits with a good check digit are added; numbers that nothing speaks for are not."""
+
+    def checked(head):
+        total = sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(head)))
+        return head + str(-total % 10)
+
+    docs = [(k, f"my card {checked(f'4{k:03d}31415926535')} was sent by x{k}@mail.example.com") for k in range(150)]
+    docs += [(1000 + k, f"order {100_000_007 * (k + 3)} of {17 + k} pieces, file {k}.{k + 300}.{k}.1") for k in range(150)]
+    docs += [(2000 + k, f"my card {checked(f'37828{k:03d}631000')} was sent") for k in range(5)]
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k in range(5):
+        assert got[2000 + k]["base"] == [] and [tuple(x) for x in got[2000 + k]["spans"]] == [("card", 8, 23)]
+    assert not any(got[1000 + k]["spans"] for k in range(150))

@@ -4,17 +4,21 @@
    what stands between the matches of one pattern, so Spark's regular expressions need no positions.
 2. Each span gets format features (length, digits, separators, check digit) and context features (what stands before and after).
 3. Boosted trees, fitted on at most `sample_rows` spans with weak labels (formats that prove themselves against those
-   that fail), score the spans of the kinds that no format proves.
-4. A threshold calibrated on held-back spans of that sample, for the wanted precision, selects further spans.
+   that fail with nothing to speak for them), score every span that no format proves.
+4. Thresholds for the wanted precision, calibrated on all labelled spans that the fit did not use, select further spans: one
+   threshold for each kind that has both labels, one over these kinds together for the others.
 
 Base spans (email, ip, card and phone by their formats) always stay.
 
 Defined results: null or empty text: no spans.  Repeated rows and ids keep one result each.  Columns besides id and
-text are ignored, whatever their names.  Empty tables, and tables whose sample shows one label only, get base spans only.
+text are ignored, whatever their names.  Empty tables, tables whose sample shows one label only, and tables where no score is precise
+enough get base spans only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -40,6 +44,8 @@ NEEDS = {"email": "@", "phone": "+"}
 CONTEXT_BEFORE, CONTEXT_AFTER = 24, 8
 SAMPLE_ROWS = 8_000
 WANTED_PRECISION = 0.95
+#: Scores are rounded to so many decimals, which bounds the counts that thresholds are chosen from.
+DECIMALS = 3
 
 
 def _digits(x: Column) -> Column:
@@ -125,9 +131,14 @@ def with_features(spans: DataFrame) -> DataFrame:
     })
 
 
-def _weak_label(kind: Column, valid: Column) -> Column:
-    """1: the format proves itself, or a secret is named and assigned; 0: a base format that fails; null: unknown."""
-    return F.when(valid | (kind == "secret"), 1.0).when(kind.isin(BASE_KINDS), 0.0)
+def _weak_label() -> Column:
+    """1: the format proves itself, or a secret is named and assigned; null: unknown; 0: a base format that fails with nothing to speak for it.
+
+    Unknown are other kinds, card numbers too short for the format whose check digit holds, and phone numbers one or two digits short.
+    """
+    kind, digits = F.col("kind"), F.col("f_digits")
+    speaks = ((kind == "card") & (F.col("f_luhn") == 1)) | ((kind == "phone") & digits.between(6, 7))
+    return F.when(F.col("valid") | (kind == "secret"), 1.0).when(kind.isin(BASE_KINDS) & ~speaks, 0.0)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, precision: float = WANTED_PRECISION) -> DataFrame:
@@ -136,7 +147,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     base is ordered as the kinds are listed, then by start; further kinds follow in spans.  start and end count code points, end exclusive.
     """
     rows, proposed = propose(docs, id_col, text_col)
-    spans = staged(with_features(proposed).withColumn("label", _weak_label(F.col("kind"), F.col("valid"))), "pii-features")
+    spans = staged(with_features(proposed).withColumn("label", _weak_label()), "pii-features")
     names = [c for c in spans.columns if c.startswith("f_")]
     base = spans.where("valid").select("row", "kind", "start", "end")
     further = _further(spans, names, sample_rows, precision)
@@ -158,25 +169,37 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
 
 def _further(spans: DataFrame, names: list[str], sample_rows: int, precision: float) -> DataFrame | None:
-    """Spans of unproven kinds that the boosted trees select; None if the sample cannot teach them."""
+    """Spans that no format proves and the boosted trees select; None if the sample cannot teach them or no score is precise enough."""
     place = F.xxhash64("row", "kind", "start")
-    labelled = spans.where("label is not null").select("label", *names, place.alias("place"))
-    sample = staged(labelled.orderBy("place").limit(sample_rows), "pii-sample")
     held = F.pmod("place", F.lit(4)) == 0
-    counts = {(r["held"], r["label"]): r["n"] for r in sample.groupBy(held.alias("held"), "label").agg(F.count("*").alias("n")).collect()}
-    if any(counts.get((part, label), 0) < 5 for part in (True, False) for label in (0.0, 1.0)):
+    labelled = spans.where("label is not null").select("kind", "label", *names, place.alias("place"))
+    sample = staged(labelled.where(~held).orderBy("place").limit(sample_rows), "pii-sample")
+    seen = sample.agg(F.max("place").alias("last"), F.min("label").alias("least"), F.max("label").alias("most")).first()
+    if seen["last"] is None or seen["least"] == seen["most"]:
         return None
     gather = VectorAssembler(inputCols=names, outputCol="features")
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=8, maxDepth=3, stepSize=0.3, seed=7).fit(gather.transform(sample.where(~held)))
-    score = lambda df: model.transform(gather.transform(df)).withColumn("p", F.round(vector_to_array("probability")[1], 6))
-    steps = score(sample.where(held)).groupBy("p").agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("p")).collect()  # at most sample_rows
-    good = n = 0
-    threshold = None
-    for r in steps:
-        good, n = good + r["good"], n + r["n"]
-        if good >= precision * n:
-            threshold = r["p"]
-    if threshold is None:
+    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=8, maxDepth=3, stepSize=0.3, seed=7).fit(gather.transform(sample))
+    score = lambda df: model.transform(gather.transform(df)).withColumn("p", F.round(vector_to_array("probability")[1], DECIMALS))
+    unused = labelled.where(held | (F.col("place") > seen["last"]))
+    steps = score(unused).groupBy("kind", "p").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # at most kinds times scores
+    mixed = [k for k in PATTERNS if 0 < sum(r["good"] for r in steps if r["kind"] == k) < sum(r["n"] for r in steps if r["kind"] == k)]
+    pooled = _threshold([r for r in steps if r["kind"] in mixed], precision)
+    least = {k: _threshold([r for r in steps if r["kind"] == k], precision) if k in mixed else pooled for k in PATTERNS}
+    chosen = [(F.col("kind") == k) & (F.col("p") >= max(0.5, t)) for k, t in least.items() if t is not None]
+    if not chosen:
         return None
-    unproven = spans.where(~F.col("kind").isin(BASE_KINDS))
-    return score(unproven).where(F.col("p") >= max(0.5, threshold)).select("row", "kind", "start", "end")
+    return score(spans.where("not valid")).where(reduce(lambda a, b: a | b, chosen)).select("row", "kind", "start", "end")
+
+
+def _threshold(steps: list, precision: float) -> float | None:
+    """The least score from which on the wanted share of spans is good."""
+    good: dict[float, float] = {}
+    n: dict[float, int] = {}
+    for r in steps:
+        good[r["p"]], n[r["p"]] = good.get(r["p"], 0) + r["good"], n.get(r["p"], 0) + r["n"]
+    found, sum_good, sum_n = None, 0.0, 0
+    for p in sorted(n, reverse=True):
+        sum_good, sum_n = sum_good + good[p], sum_n + n[p]
+        if sum_good >= precision * sum_n:
+            found = p
+    return found

@@ -153,6 +153,15 @@ def test_digests_are_of_the_documents(spark):
         assert got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
 
 
+def test_licenses_of_a_file_with_all_notices(spark):
+    notices = [text for text, _ in license_scan.TEMPLATES.values()]
+    filler = " with some words between notices\n"
+    docs = [(0, filler.join(notices)), (1, filler.join(notices[::-1]))] + [(2 + k, t) for k, t in enumerate(notices)]
+    got = {r["doc_id"]: set(r["labels"]) for r in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] >= set(license_scan.TEMPLATES) and got[1] >= set(license_scan.TEMPLATES)
+    assert all(name in got[2 + k] for k, name in enumerate(license_scan.TEMPLATES))
+
+
 def test_pii_adds_base_kinds_that_the_strict_format_leaves_out(spark):
     """Cards of 15 digits with a good check digit are added; numbers that nothing speaks for are not."""
 

@@ -4,7 +4,7 @@
    templates' words without function words), and the places of the phrases that must stand word by word.  The
    result is small and staged; the texts are not read again.
 2. Document frequencies of the vocabulary come from all files; they give each word's IDF.
-3. Each file's highest-IDF licence words are looked up in the templates' postings.  Postings that agree on the relative position
+3. All licence words of a file that holds a key phrase are looked up in the templates' postings.  Postings that agree on the relative position
    (position in file minus position in template) vote for a template; the share of the template's IDF mass that agrees is the score.
 4. A label needs the score and one of the template's mandatory key phrases word by word.
 
@@ -38,8 +38,6 @@ TEMPLATES = {
 }
 # Words too common to look a file up by.
 FUNCTION_WORDS = frozenset("a all and any are by for in into is it of or the this to under use with you without can free no not on person copy source terms 0 2 v".split())
-#: A file's words that are looked up, the rarest of its licence words first.
-LOOKED_UP = 8
 #: Share of a template's IDF mass that must agree on one relative position.
 LEAST_SCORE = 0.6
 
@@ -82,13 +80,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1e-6 for w in vocabulary}
     index = docs.sparkSession.createDataFrame([(name, word, k, idf[word] / sum(idf[w] for n, w, _ in postings if n == name)) for name, word, k in postings], "name string, word string, offset int, mass double")
 
-    weight = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
-    by_idf = F.array_sort(F.transform(F.array_distinct("hits.word"), lambda w: F.named_struct(F.lit("order"), -weight[w], F.lit("word"), w)))
-    rare = F.transform(F.slice(by_idf, 1, LOOKED_UP), lambda x: x["word"])
-    seen = rows.where((F.size("hits") > 0) & (F.size("keys") > 0)).select("row", "keys", rare.alias("rare"), F.explode("hits").alias("hit"))
+    seen = rows.where((F.size("hits") > 0) & (F.size("keys") > 0)).select("row", "keys", F.explode("hits").alias("hit"))
     votes = seen.join(F.broadcast(index), F.col("hit.word") == F.col("word")).where(F.array_contains("keys", F.col("name")))
-    agreed = votes.groupBy("row", "name", (F.col("hit.pos") - F.col("offset")).alias("shift")).agg(F.sum("mass").alias("score"), F.max(F.array_contains("rare", F.col("word"))).alias("looked_up"))
-    best = agreed.where("looked_up").groupBy("row").agg(F.max("score").alias("score"), F.collect_set(F.when(F.col("score") >= LEAST_SCORE, F.col("name"))).alias("own"))
+    agreed = votes.groupBy("row", "name", (F.col("hit.pos") - F.col("offset")).alias("shift")).agg(F.sum("mass").alias("score"))
+    best = agreed.groupBy("row").agg(F.max("score").alias("score"), F.collect_set(F.when(F.col("score") >= LEAST_SCORE, F.col("name"))).alias("own"))
 
     out = rows.join(best, "row", "left")
     base_labels = F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"])))

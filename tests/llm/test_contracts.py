@@ -162,6 +162,15 @@ def test_licenses_of_a_file_with_all_notices(spark):
     assert all(name in got[2 + k] for k, name in enumerate(license_scan.TEMPLATES))
 
 
+def test_exact_dedup_keeps_one_row_of_each_text(spark):
+    rows = [(None, "x", 1), (None, "x", 2), (None, "x", 3), (5, "a", 1), (5, "a", 1), (5, "a", 1), (4, "a", 1), (None, "a", 1), (5, "b", 1), (6, "", 1), (6, None, 2), (None, "z", 1)] + [(7, "hot", 1)] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(7)
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted([(r["doc_id"], r["text"] or "") for r in kept.collect()], key=str) == sorted([(None, "x"), (5, "a"), (5, "b"), (6, ""), (None, "z"), (7, "hot")], key=str)
+    assert {tuple(r) for r in kept.collect()} <= set(rows)
+
+
 def test_pii_adds_base_kinds_that_the_strict_format_leaves_out(spark):
     """Cards of 15 digits with a good check digit are added; numbers that nothing speaks for are not."""
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, whole_text
+from .shared import kept_rows, staged, whole_text
 
 #: Classes that a bucket may hold before it splits.
 CAPACITY = 50_000
@@ -74,13 +74,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows that repeat a kept id and its text stay once."""
-    index = build_index(docs, id_col, text_col, capacity)
-    lost = staged(
-        docs.select(F.col(id_col).alias("lost_id"), F.xxhash64(whole_text(text_col)).alias("lost_hash"))
-        .join(index.where("group_size > 1").select(F.col("hash").alias("lost_hash"), "keep_id"), "lost_hash")
-        .where(~F.col("lost_id").eqNullSafe(F.col("keep_id")))
-        .select("lost_id", "lost_hash"),
-        "dedup-lost",
-    )
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("lost_id")) & (F.xxhash64(whole_text(text_col)) == F.col("lost_hash")), "left_anti")
+    """One row of each distinct text (of the largest id), with all its columns; rows that repeat a kept id and its text stay once."""
+    index = build_index(docs, id_col, text_col, capacity).where("group_size > 1").select("hash", "digest", "keep_id")
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"))
+    once = F.col("id").eqNullSafe(F.col("keep_id"))
+    marked = rows.join(index, ["hash", "digest"]).groupBy("id", F.unhex("digest").alias("digest"), once.alias("once")).agg(F.count("*").alias("rows"))
+    return kept_rows(docs, id_col, text_col, staged(marked.where("not once or rows > 1").drop("rows"), "dedup-marked"))

@@ -3,20 +3,19 @@
 1. Words are runs of letters and digits, lower-cased; shingles are five words in a row (fewer words: the whole sequence).
    Similarity is weighted Jaccard over shingle sets: a shingle of the benchmark weighs ln(1 + items / items that have it), in items
    as in windows, where items of the same words count once; any other weighs as much as the rarest can.
-2. Similarity of 0.8 needs common shingles, so only texts that hold a benchmark shingle go on, with windows of an item's
-   size around each alignment (place in text minus place in item) that their common shingles name.
+2. Similarity of 0.8 needs common shingles.  The scan drops what a bitmap of the benchmark's shingles (FILTER_BITS, three bits for each) rules
+   out, and the rest meets the benchmark's postings in a join.  A text and an item whose common shingles weigh less than the
+   threshold's share of the item go no further; for the others, windows of the item's size are cut
+   around each alignment (place in text minus place in item).  None of this loses a match.
 3. Each window and each item has a 64-bit SimHash.  Multi-index blocks: RADIUS + 1 blocks of bits, so that fingerprints
    within RADIUS bits agree on one block at least; windows meet the items of their size by (block, bits), and
    the Hamming distance is then taken exactly.
-4. What lies within RADIUS is verified by the exact weighted similarity.
-
-Benchmark items are few against the texts.  Their shingles go into the scan as a literal set only while they are at most
-LITERAL_SHINGLES; beyond that the texts' shingles meet them in a shuffle join.  Items join as a plain table, so Spark broadcasts
-them only below its own size threshold.
+4. What lies within RADIUS is verified by the exact weighted similarity; so is each window with the item that it was cut for, since
+   SimHash alone may miss a match close to the threshold (`simhash_share` tells how many it finds).
 
 Defined results: null or empty texts and items match nothing.  An item of fewer than five words matches only a text that is the
 same few words.  Repeated rows are reported once for each row; repeated items once for each item.  Columns besides id
-and text are ignored, whatever their names.  Ties between windows: the earliest start.
+and text are ignored, whatever their names.  Ties between windows: the earliest start.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -27,14 +26,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound, staged, whole_text
+from .shared import bound, digest_of, packed, staged, whole_text, without_rows
 
 SHINGLE = 5
 LEAST_SIMILARITY = 0.8
 #: At similarity 0.8 the expected distance is 9.7 bits with a deviation of 2.9.
 RADIUS = 18
 BITS = 64
-LITERAL_SHINGLES = 20_000
+#: Bits of the bitmap of the benchmark's shingles: 128 KB in the plan, whatever the benchmark's size.
+FILTER_BITS = 1 << 20
 #: Starts next to an alignment that are tried as well, for words put in or left out.
 SLACK = 1
 
@@ -51,23 +51,44 @@ def shingles_of(words: Column) -> Column:
     return F.when(n > 0, each).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
-def _lane_sum(j: int, lanes: int):
-    return lambda acc, h: acc + F.call_function("shiftrightunsigned", h, F.lit(j)).bitwiseAND(F.lit(lanes))
+def _lane_sum(j: int):
+    return lambda acc, h: acc + F.call_function("shiftrightunsigned", h, F.lit(j)).bitwiseAND(F.lit(1 << 32 | 1))
 
 
 def _with_simhash(df: DataFrame, hashes: str) -> DataFrame:
-    """df with `print`, the 64-bit SimHash of an array of hashes: 16 sums of four 16-bit lanes count its bits (up to 65,535 hashes)."""
-    lanes = 0x0001000100010001
-    df = df.withColumn("sums", F.array(*[F.aggregate(hashes, F.lit(0).cast("long"), _lane_sum(j, lanes)) for j in range(16)]))
+    """df with `print`, the 64-bit SimHash of an array of hashes: 32 sums of two 32-bit lanes count its bits."""
+    df = df.withColumn("sums", F.array(*[F.aggregate(hashes, F.lit(0).cast("long"), _lane_sum(j)) for j in range(32)]))
     bits = []
-    for j in range(16):
-        for lane in range(4):
-            count = F.call_function("shiftrightunsigned", F.col("sums")[j], F.lit(16 * lane)).bitwiseAND(F.lit(0xFFFF))
-            value = 1 << (16 * lane + j)
+    for j in range(32):
+        for lane in range(2):
+            count = F.call_function("shiftrightunsigned", F.col("sums")[j], F.lit(32 * lane)).bitwiseAND(F.lit(0xFFFFFFFF))
+            value = 1 << (32 * lane + j)
             bits.append(F.when(count * 2 > F.size(hashes), F.lit(value if value < 1 << 63 else value - (1 << 64)).cast("long")).otherwise(F.lit(0).cast("long")))
     return df.withColumn("print", reduce(lambda a, b: a.bitwiseOR(b), bits)).drop("sums")
 
 
+def _filter_bit(h: Column, k: int) -> Column:
+    """The k-th of the three bits of a shingle in the bitmap."""
+    return F.call_function("shiftrightunsigned", h, F.lit(20 * k)).bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def _bitmap(hashes: DataFrame) -> list[int]:
+    """The bitmap of the column h as 64-bit words; only this, of a fixed size, comes to the driver."""
+    bit = hashes.select(F.explode(F.array(*[_filter_bit(F.col("h"), k) for k in range(3)])).alias("bit"))
+    word = F.call_function("shiftright", F.col("bit"), F.lit(6)).alias("word")
+    words = [0] * (FILTER_BITS // 64)
+    for r in bit.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    return words
+
+
+def _may_be_known(words: list[int]) -> str:
+    """SQL condition: the bitmap has all three bits of h."""
+    table = "array(" + ",".join(f"{w}L" if w != -(1 << 63) else "bigint(-9223372036854775808)" for w in words) + ")"
+    bit = lambda k: f"shiftrightunsigned(h, {20 * k}) & {FILTER_BITS - 1}L"
+    return " and ".join(f"shiftright({table}[cast(shiftright({bit(k)}, 6) as int)], cast(({bit(k)}) & 63L as int)) & 1L = 1L" for k in range(3))
+
+
 def _blocks(print_: Column) -> Column:
     """RADIUS + 1 blocks of the fingerprint's bits, each as (block, bits)."""
     edges = [BITS * k // (RADIUS + 1) for k in range(RADIUS + 2)]
@@ -91,58 +112,68 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFram
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_SIMILARITY) -> DataFrame:
     """(id, item, similarity, start): for each row and each item the most similar window, from `least` up; start counts words from 0."""
-    return _found(docs, benchmark, id_col, text_col, item_col, item_text_col, least).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "similarity", "start")
+    best = _best(_scored(docs, benchmark, id_col, text_col, item_col, item_text_col, least))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "similarity", "start")
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, least: float) -> DataFrame:
-    items, weights, rarest = _items(benchmark, item_col, item_text_col)
-    postings = items.select("key", "n", F.posexplode("hashes").alias("at", "h"))
-    known = weights.select("h")
+def simhash_share(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_SIMILARITY) -> float:
+    """Of the matches (row, item) found, the share that the SimHash blocks propose."""
+    scored = _scored(docs, benchmark, id_col, text_col, item_col, item_text_col, least)
+    n, found = scored.groupBy("row", "key").agg(F.max("near").cast("int").alias("near")).agg(F.count("*"), F.sum("near")).first()
+    return (found or 0) / n if n else 1.0
+
+
+def _windows(docs: DataFrame, items: DataFrame, weights: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(w, row, id, digest, n, s, window, print) of the windows worth a look; (w, key) of the items that they were cut for."""
     text = whole_text(text_col)
     row = F.monotonically_increasing_id().alias("row")  # beside a column of this kind, Spark doesn't move later filters before it and so takes no shingle twice
-    cut = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), bound(words_of(text), shingles_of).alias("hashes"), row)
-
-    literal = known.limit(LITERAL_SHINGLES + 1).collect()
-    if len(literal) <= LITERAL_SHINGLES:
-        wanted = ", ".join(f"{r['h']}L" if r["h"] != -(1 << 63) else "bigint(-9223372036854775808)" for r in literal) or "null"
-        hits = F.expr(f"filter(transform(hashes, (h, i) -> if(h in ({wanted}), struct(i as p, h as h), null)), x -> x is not null)")
-        held = staged(cut.select("*", hits.alias("hits"), F.monotonically_increasing_id().alias("again")).where(F.size("hits") > 0).drop("again"), "texts-hit")
-        places = held.select("row", F.size("hashes").alias("m"), F.inline("hits").alias("p", "h"))
-        held = held.drop("hits")
-    else:
-        held = staged(cut.where(F.size("hashes") > 0), "texts-cut")
-        places = held.select("row", F.size("hashes").alias("m"), F.posexplode("hashes").alias("p", "h")).join(known, "h", "left_semi")
-
+    cut = docs.select(F.col(id_col).alias("id"), digest_of(text).alias("digest"), bound(words_of(text), shingles_of).alias("hashes"), row)
+    hits = F.expr(f"filter(transform(hashes, (h, i) -> if({_may_be_known(_bitmap(weights))}, struct(i as p, h as h), null)), x -> x is not null)")
+    held = staged(cut.select("*", hits.alias("hits"), F.monotonically_increasing_id().alias("again")).where(F.size("hits") > 0).drop("again"), "texts-hit")
+    places = held.select("row", F.size("hashes").alias("m"), F.inline("hits").alias("p", "h")).join(weights, "h")
+    places = staged(places.select("row", "m", "p", "h", "weight"), "texts-places")
+
+    postings = items.select("key", "n", "total", F.posexplode("hashes").alias("at", "h"))
+    met = places.select("row", "h", "weight").distinct().join(items.select("key", "total", F.explode("set").alias("h")), "h")
+    enough = met.groupBy("row", "key").agg(F.sum("weight").alias("common"), F.first("total").alias("total")).where(F.col("common") >= (least - 1e-6) * F.col("total"))
     start = F.explode(F.sequence(F.col("p") - F.col("at") - SLACK, F.col("p") - F.col("at") + SLACK))
-    aligned = places.join(postings, "h").select("row", "m", "n", start.alias("s"))
-    span = F.least("n", "m")
-    starts = aligned.select("row", "n", F.greatest(F.lit(0), F.least(F.col("s"), F.col("m") - span)).alias("s")).distinct()
-    windows = held.join(starts, "row").select("id", "content", "row", "n", "s", F.slice("hashes", F.col("s") + 1, F.col("n")).alias("window"))
+    aligned = places.join(postings, "h").join(enough.select("row", "key"), ["row", "key"], "left_semi").select("row", "key", "m", "n", start.alias("s"))
+    starts = staged(aligned.select("row", "key", "n", F.greatest(F.lit(0), F.least(F.col("s"), F.col("m") - F.least("n", "m"))).alias("s")).distinct(), "windows-of-items")
+    windows = held.join(starts.select("row", "n", "s").distinct(), "row").select("id", "digest", "row", "n", "s", F.slice("hashes", F.col("s") + 1, F.col("n")).alias("window"))
     windows = staged(_with_simhash(windows, "window").withColumn("w", F.monotonically_increasing_id()), "windows")
+    return windows, windows.select("w", "row", "n", "s").join(starts, ["row", "n", "s"]).select("w", "key")
+
 
+def _scored(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, least: float) -> DataFrame:
+    """(row, key, id, digest, item, s, similarity, near) of the windows and items from `least` up; near: SimHash proposes the pair."""
+    items, weights, rarest = _items(benchmark, item_col, item_text_col)
+    windows, cut_for = _windows(docs, items, weights, id_col, text_col, least)
     near = (
         windows.select("w", "n", F.col("print").alias("p"), _blocks(F.col("print")).alias("b"))
         .join(items.select("key", "n", F.col("print").alias("q"), _blocks(F.col("print")).alias("b")), ["n", "b"])
         .where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= RADIUS)
         .select("w", "key")
-        .distinct()
     )
-    both = windows.join(near, "w").join(items.select("key", "item", "set", "weights", "total"), "key")
+    proposed = near.withColumn("near", F.lit(True)).unionByName(cut_for.withColumn("near", F.lit(False))).groupBy("w", "key").agg(F.max("near").alias("near"))
+    both = windows.join(proposed, "w").join(items.select("key", "item", "set", "weights", "total"), "key")
     common = F.aggregate(F.zip_with("set", "weights", lambda h, x: F.when(F.array_contains("window", h), x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
     lightest = weights.agg(F.min("weight")).first()[0] or 0.0
     like = lambda other: F.round(F.col("common") / (F.col("total") + other), 6)
-    pairs = both.select("w", "key", "row", "s", "id", "content", "item", "total", common.alias("common"), F.array_except("window", "set").alias("others"))
+    pairs = both.select("w", "key", "row", "s", "id", "digest", "item", "total", "near", common.alias("common"), F.array_except("window", "set").alias("others"))
     pairs = staged(pairs.where(like(F.size("others") * F.lit(lightest)) >= least), "pairs")  # the rest is too unlike, whatever its other shingles weigh
     # what a window's shingles outside the item weigh less than the rarest, where other items have them
     less = pairs.select("w", "key", F.explode("others").alias("h")).join(weights, "h").groupBy("w", "key").agg(F.sum(F.lit(rarest) - F.col("weight")).alias("less"))
     other = F.size("others") * F.lit(rarest) - F.coalesce("less", F.lit(0.0))
-    scored = pairs.join(less, ["w", "key"], "left").withColumn("similarity", like(other)).where(F.col("similarity") >= least)
-    best = scored.groupBy("row", "key").agg(F.max(F.struct("similarity", (-F.col("s")).alias("late"))).alias("x"), F.first("id").alias("id"), F.first("content").alias("content"), F.first("item").alias("item"))
-    return best.select("id", "content", "item", F.col("x.similarity").alias("similarity"), (-F.col("x.late")).cast("long").alias("start"))
+    return pairs.join(less, ["w", "key"], "left").withColumn("similarity", like(other)).where(F.col("similarity") >= least)
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    best = scored.groupBy("row", "key").agg(F.max(F.struct("similarity", (-F.col("s")).alias("late"))).alias("x"), *[F.first(c).alias(c) for c in ("id", "digest", "item")])
+    return best.select("id", "digest", "item", F.col("x.similarity").alias("similarity"), (-F.col("x.late")).cast("long").alias("start"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = LEAST_SIMILARITY) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    found = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, least)
-    lost = staged(found.select(F.col("id").alias("lost_id"), F.col("content").alias("lost_content")).distinct(), "contaminated")
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("lost_id")) & (F.xxhash64(whole_text(text_col)) == F.col("lost_content")), "left_anti")
+    found = _scored(docs, benchmark, id_col, text_col, item_col, item_text_col, least)
+    lost = staged(found.select("id", "digest").distinct(), "contaminated")
+    return without_rows(packed(docs, id=F.col(id_col), digest=digest_of(whole_text(text_col))), lost).select("doc.*")

@@ -1,12 +1,13 @@
 """Exact deduplication through an extendible-hash index on shared files.
 
-1. Classes.  Rows are grouped by (hash, text): Spark's grouping chains texts of one 64-bit hash and compares their
-   bytes.  It combines copies before the shuffle, so a text that a third of all rows repeat moves once for each task.
-2. Directory.  Buckets are prefixes of the hash.  Starting from one bucket, the directory doubles as long as some bucket
-   holds more than `capacity` classes, and only overfull buckets split on another bit (`directory`); counts of
-   fine prefixes decide this, one small aggregation.
-3. Index.  Classes are written to shared files, each file a range of buckets, ordered by hash: an owner task for each
-   key range.  Rows find their class in it by hash and digest.
+1. Directory.  Buckets are prefixes of a text's 64-bit hash.  Distinct hashes are counted by fine prefix (2^FINE_BITS at most);
+   starting from one bucket, the directory doubles as long as some bucket holds more than `capacity` hashes, and
+   only overfull buckets split on another bit.  Its size is bounded, so tasks get it whole by broadcast.
+2. Index.  The directory gives each row its bucket.  Classes are found inside a bucket: rows are grouped by (bucket, hash, text), so
+   texts of one hash are chained and their bytes compared.  Spark combines copies before the shuffle, so a text that a third of all rows
+   repeat moves once for each task.  Classes go to shared files, each a key range of buckets that one owner task writes in hash order.
+3. Look-up.  Rows go through the directory to their bucket and meet its entries by hash and digest.  Entries of more than
+   1 / HOT_SHARE of all rows (at most HOT_SHARE) are dealt to SALTS parts with their rows.
 
 Defined results: null counts as empty text; all empty texts are one class.  The row with the largest id stays; a null
 id stays only in a class of null ids, and repeated ids share their fate (both rows of a kept id say kept).  Columns besides id and
@@ -15,21 +16,25 @@ text are ignored, whatever their names.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept_rows, staged, whole_text
+from .shared import SALTS, kept_rows, staged, whole_text
 
-#: Classes that a bucket may hold before it splits.
+#: Distinct hashes that a bucket may hold before it splits; more where the table would need over MOST_OWNERS buckets.
 CAPACITY = 50_000
-#: Bits of the fine prefixes that are counted beyond those an even spread would need.
-SPARE_BITS = 4
+MOST_OWNERS = 4_096
+#: Bits of the prefixes that are counted.
+FINE_BITS = 16
+#: Entries of more than this part of all rows are dealt to several parts.
+HOT_SHARE = 1_000
 
 
-def hash_prefix(hash64: Column, bits: Column | int) -> Column:
+def hash_prefix(hash64: Column, bits: int) -> Column:
     """The first bits of a 64-bit hash as a number."""
-    bits = F.lit(bits) if isinstance(bits, int) else bits
-    return F.when(bits == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", hash64, (F.lit(64) - bits).cast("int")))
+    return F.call_function("shiftrightunsigned", hash64, F.lit(64 - bits))
 
 
 def directory(fine: DataFrame, bits: int, capacity: int, weight: str = "n") -> DataFrame:
@@ -45,39 +50,58 @@ def directory(fine: DataFrame, bits: int, capacity: int, weight: str = "n") -> D
     return fits.groupBy("prefix").agg(F.min(F.struct("depth", "over")).alias("at")).select("prefix", F.col("at.depth").alias("depth"), F.concat_ws(":", F.col("at.depth").cast("string"), F.col("at.over").cast("string")).alias("bucket"))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def build_directory(docs: DataFrame, text_col: str = "text", capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """The directory of docs' texts: at most 2^FINE_BITS rows (prefix, depth, bucket)."""
+    hashes = docs.select(hash_of(whole_text(text_col)).alias("hash")).distinct()
+    fine = staged(hashes.groupBy(hash_prefix(F.col("hash"), FINE_BITS).alias("prefix")).agg(F.count("*").alias("n")), "dedup-prefixes")
+    n = fine.agg(F.sum("n")).first()[0] or 0
+    return staged(directory(fine, FINE_BITS, max(capacity, -(-n // MOST_OWNERS))), "dedup-directory")
+
+
+def in_buckets(rows: DataFrame, at: DataFrame) -> DataFrame:
+    """rows with the depth and bucket of their hash; the directory has a bounded size."""
+    return rows.withColumn("prefix", hash_prefix(F.col("hash"), FINE_BITS)).join(F.broadcast(at), "prefix").drop("prefix")
+
+
+def build_index(docs: DataFrame, at: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """The index: (bucket, depth, hash, digest, keep_id, group_size), one row for each distinct text, in files by key range."""
     text = whole_text(text_col)
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    rows = in_buckets(docs.select(F.col(id_col).alias("id"), text.alias("text"), hash_of(text).alias("hash")), at)
+    classes = rows.groupBy("bucket", "depth", "hash", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    classes = staged(classes.select("bucket", "depth", "hash", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), "keep_id", "group_size"), "dedup-classes")
+    owners = max(1, at.select("bucket").distinct().count())
+    return staged(classes.repartitionByRange(owners, "bucket", "hash").sortWithinPartitions("bucket", "hash"), "dedup-index")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The index: (hash, digest, keep_id, group_size, depth, bucket), one row for each distinct text, in files by key range."""
-    rows = keyed(docs, id_col, text_col)
-    classes = rows.groupBy("hash", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    classes = staged(classes.select("hash", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), "keep_id", "group_size"), "dedup-classes")
-    n = classes.count()
-    bits = max(0, (max(1, n // capacity) - 1).bit_length()) + SPARE_BITS
-    fine = classes.groupBy(hash_prefix(F.col("hash"), bits).alias("prefix")).agg(F.count("*").alias("n"))
-    at = staged(directory(fine, bits, capacity), "dedup-directory")
-    owned = classes.withColumn("prefix", hash_prefix(F.col("hash"), bits)).join(at, "prefix")
-    owners = max(1, n // capacity)
-    return staged(owned.repartitionByRange(owners, "prefix", "hash").sortWithinPartitions("prefix", "hash").drop("prefix"), "dedup-index")
+def look_up(docs: DataFrame, at: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """(id, hash, digest, keep_id, group_size) for each row of docs whose bucket holds its text."""
+    text = whole_text(text_col)
+    rows = in_buckets(docs.select(F.col(id_col).alias("id"), hash_of(text).alias("hash"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest")), at)
+    is_hot = F.col("hash").isin(_hot_hashes(index))
+    rows = rows.withColumn("salt", F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int"))
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    keys = ["bucket", "hash", "digest", "salt"]
+    return rows.join(index.withColumn("salt", F.explode(parts)).select(*keys, "keep_id", "group_size"), keys).select("id", "hash", "digest", "keep_id", "group_size")
+
+
+def _hot_hashes(index: DataFrame) -> list[int]:
+    """Hashes of the texts that more than 1 / HOT_SHARE of all rows repeat, so at most HOT_SHARE."""
+    total = index.agg(F.sum("group_size")).first()[0] or 0
+    return [r["hash"] for r in index.where(F.col("group_size") > max(SALTS, total / HOT_SHARE)).select("hash").distinct().collect()]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256) for each row."""
-    index = build_index(docs, id_col, text_col, capacity)
-    text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"))
-    found = rows.join(index.select("hash", "digest", "keep_id", "group_size"), ["hash", "digest"])
+    at = build_directory(docs, text_col, capacity, hash_of)
+    found = look_up(docs, at, build_index(docs, at, id_col, text_col, hash_of), id_col, text_col, hash_of)
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row of each distinct text (of the largest id), with all its columns; rows that repeat a kept id and its text stay once."""
-    index = build_index(docs, id_col, text_col, capacity).where("group_size > 1").select("hash", "digest", "keep_id")
-    text = whole_text(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"))
+    at = build_directory(docs, text_col, capacity, hash_of)
+    index = build_index(docs, at, id_col, text_col, hash_of).where("group_size > 1")
+    found = look_up(docs, at, index, id_col, text_col, hash_of)
     once = F.col("id").eqNullSafe(F.col("keep_id"))
-    marked = rows.join(index, ["hash", "digest"]).groupBy("id", F.unhex("digest").alias("digest"), once.alias("once")).agg(F.count("*").alias("rows"))
+    marked = found.groupBy("id", F.unhex("digest").alias("digest"), once.alias("once")).agg(F.count("*").alias("rows"))
     return kept_rows(docs, id_col, text_col, staged(marked.where("not once or rows > 1").drop("rows"), "dedup-marked"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import digest_of, give_back, kept_rows, staged, whole_text
+from .shared import SALTS, digest_of, give_back, kept_rows, staged, whole_text
 
 #: Sets of a list that are compared at once.
 BLOCK = 1_000
@@ -339,8 +339,11 @@ def _joined(texts: DataFrame, n_words: int, percent: int, key: Column) -> DataFr
     names = sets.select("row", "fp")
     of_set = connected_components(links).withColumnRenamed("node", "row").join(names, "row").select("fp", "label").distinct()
     grouped = staged(classes.join(of_set, "fp", "left"), "components")
-    least = grouped.where("label is not null").groupBy("label").agg(F.min("least").alias("reached"))
-    ids = staged(grouped.join(least, "label", "left").select("fp", F.coalesce("reached", "least").alias("least")), "components-ids")
+    # one label may stand for a third of all sets: its least key goes to SALTS parts, and sets without links stay out of the join
+    linked = grouped.where("label is not null")
+    reached = linked.groupBy("label").agg(F.min("least").alias("reached")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = linked.select("fp", "label", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")).join(reached, ["label", "salt"])
+    ids = staged(dealt.select("fp", F.col("reached").alias("least")).unionByName(grouped.where("label is null").select("fp", "least")), "components-ids")
     return first.join(ids, "fp")
 
 

@@ -112,13 +112,10 @@ FROM t JOIN g ON t.text = g.text"""
 
 OP8_SQL = f"""
 WITH t AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
-lim AS (SELECT least(59, length(bin(CAST(sum(n_bytes) // {SHARD_BYTES} + 1 AS BIGINT))) + {sharding.SPARE_BITS}) AS bits FROM t),
-f AS (SELECT doc_id, n_bytes, h, d.depth, bits, h >> (60 - d.depth) AS over FROM t, lim, LATERAL (SELECT unnest(generate_series(0, bits)) AS depth) d),
-s AS (SELECT depth, over, sum(n_bytes) AS held FROM f GROUP BY depth, over),
-p AS (SELECT f.doc_id, f.n_bytes, f.depth, f.over, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.depth) AS k
-      FROM f JOIN s USING (depth, over) WHERE s.held <= {SHARD_BYTES} OR f.depth = f.bits)
-SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(depth AS INTEGER) AS depth, depth || ':' || over AS shard,
-       CAST(sum(n_bytes) OVER (PARTITION BY depth, over) AS BIGINT) AS shard_bytes, sum(n_bytes) OVER (PARTITION BY depth, over) > {SHARD_BYTES} AS oversize
+f AS (SELECT doc_id, n_bytes, h, d.depth, h >> (60 - d.depth) AS over FROM t, LATERAL (SELECT unnest(generate_series(0, 60)) AS depth) d),
+s AS (SELECT depth, over, sum(n_bytes) AS held, min(h) = max(h) AS one FROM f GROUP BY depth, over),
+p AS (SELECT f.doc_id, f.n_bytes, f.depth, f.over, s.held, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.depth) AS k FROM f JOIN s USING (depth, over) WHERE s.held <= {SHARD_BYTES} OR s.one)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(depth AS INTEGER) AS depth, depth || ':' || over AS shard, CAST(held AS BIGINT) AS shard_bytes, held > {SHARD_BYTES} AS oversize
 FROM p WHERE k = 1"""
 
 ORACLE_SQL = {"op1_url_filters": _rules_sql(), "op6_exact_dedup": OP6_SQL, "op8_sharding": OP8_SQL}

@@ -18,9 +18,11 @@ _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, one of our own, on a local master only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tradeloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -44,15 +46,12 @@ def _freeing_shuffles(spark: SparkSession):
             spark.conf.set(_FREE_SHUFFLES, before)
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df into the shared folder and read it again: lineage ends there, and no executor's loss costs more than the step at hand."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with _freeing_shuffles(spark):
-        writer = df.write
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,25 +75,30 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
+def packed(docs: DataFrame, **named: Column) -> DataFrame:
+    """(doc, the named columns): doc is the whole row as one column, so that no column of docs can clash with one of ours."""
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return docs.select(row.alias("doc"), *[value.alias(name) for name, value in named.items()])
+
+
+def without_rows(rows: DataFrame, lost: DataFrame) -> DataFrame:
+    """The rows (doc, id, digest) whose id and digest are not in lost (id, digest); null ids are equal."""
+    lost = lost.select(F.col("id").alias("lost_id"), F.col("digest").alias("lost_digest"))
+    return rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("digest") == F.col("lost_digest")), "left_anti")
+
+
 def kept_rows(docs: DataFrame, id_col: str, text_col: str, marked: DataFrame) -> DataFrame:
     """docs without the rows of `marked` (id, digest, once), but one row of each (id, digest) that is marked once; null ids are equal."""
-    digest = digest_of(whole_text(text_col))
-    lost = marked.select(F.col("id").alias("lost_id"), F.col("digest").alias("lost_digest"))
-    kept = docs.join(lost, F.col(id_col).eqNullSafe(F.col("lost_id")) & (digest == F.col("lost_digest")), "left_anti")
+    tie = F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    rows = packed(docs, id=F.col(id_col), digest=digest_of(whole_text(text_col)), tie=tie, salt=F.floor(F.rand(1) * SALTS).cast("int"))
+    kept = without_rows(rows, marked).select("doc")
     again = marked.where("once")
-    if again.isEmpty():
-        return kept
-    # rows of one id and text may be a large part of the table: salted, so that each task gives one row at most
-    salted = again.select(F.col("id").alias("again_id"), F.col("digest").alias("again_digest"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("again_salt"))
-    tie = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), digest.alias("digest"), tie.alias("tie"), F.floor(F.rand(1) * SALTS).cast("int").alias("salt"))
-    found = rows.join(salted, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")) & (F.col("salt") == F.col("again_salt")), "left_semi")
-    return kept.unionByName(found.groupBy("id", "digest").agg(F.min_by("doc", "tie").alias("doc")).select("doc.*"))
-
-
-def fits_broadcast(df: DataFrame, most_rows: int) -> bool:
-    """Whether df, which must be cheap to read, has at most most_rows rows."""
-    return df.limit(most_rows + 1).count() <= most_rows
+    if not again.isEmpty():
+        # rows of one id and text may be a large part of the table: salted, so that each task gives one row at most
+        salted = again.select(F.col("id").alias("again_id"), F.col("digest").alias("again_digest"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("again_salt"))
+        found = rows.join(salted, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")) & (F.col("salt") == F.col("again_salt")), "left_semi")
+        kept = kept.unionByName(found.groupBy("id", "digest").agg(F.min_by("doc", "tie").alias("doc")).select("doc"))
+    return kept.select("doc.*")
 
 
 def give_back() -> None:

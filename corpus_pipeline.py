@@ -13,32 +13,34 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; learned from all labels that are not held out, of the documents at hand."""
+    """Documents that score below the threshold; learned from all labels that are not held out, of the documents at hand.
+
+    Null and empty texts score by the bias alone; without labels of both kinds every score is their share, so nothing goes for want of labels.
+    """
     machine = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, machine)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document of the largest id."""
+    """Of equal texts, one row, of the largest id; null counts as empty, and a null id comes after all others."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by at least 80 % common five-word shingles, the document of the smallest id."""
+    """Of texts linked by at least 80 % common five-word shingles, one row, of the smallest id; rows without words all stay."""
     return ngram_join.keep_one(docs, n_words=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage that is at least 80 % similar to a benchmark item."""
+    """Documents without a passage that is at least 80 % similar to a benchmark item; without items, all of them."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and whether decoding gives the text again."""
-    columns = docs.withColumn("key", F.struct("doc_id", "lang", "source", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("digest")))
-    out = bpe.encode_decode(columns.select("key", "text"), public_tokenizers.path(TOKENIZER), id_col="key")
-    same = F.sha2(F.encode("decoded", "UTF-8"), 256) == F.col("key.digest")
-    return out.select("key.doc_id", "key.lang", "key.source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    """doc_id, lang, source, n_tokens, ids and whether decoding gives the text again; null and empty texts have no ids."""
+    rows = docs.select(F.struct("doc_id", "lang", "source").alias("key"), "text")
+    out = bpe.encode_checked(rows, public_tokenizers.path(TOKENIZER), id_col="key")
+    return out.select("key.doc_id", "key.lang", "key.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

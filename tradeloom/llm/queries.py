@@ -110,6 +110,50 @@ g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP B
 SELECT t.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.text) AS text_sha256
 FROM t JOIN g ON t.text = g.text"""
 
+
+def _licenses_sql() -> str:
+    """The positional votes of all licence words, with IDF over all documents, and key phrases of what they propose."""
+    templates, common = license_scan.TEMPLATES, license_scan.FUNCTION_WORDS
+    postings = [(name, w, k) for name, (text, _) in templates.items() for k, w in enumerate(text.split()) if w not in common]
+    keys = [(name, p) for name, (_, phrases) in templates.items() for p in phrases]
+    rows = lambda of: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in of)
+    vocabulary = rows((w,) for w in sorted({w for _, w, _ in postings}))
+    runs = {len(p.split()) for p in [*license_scan.BASE_PHRASES, *[p for _, p in keys]]}
+    run = lambda n: "SELECT doc_id, pos, " + " || ' ' || ".join(["word"] + [f"lead(word, {k}) OVER w" for k in range(1, n)]) + " AS phrase FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"
+    return f"""
+WITH cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS list FROM documents),
+words AS (SELECT doc_id, unnest(list) AS word, unnest(generate_series(0, len(list) - 1)) AS pos FROM cut),
+runs AS ({" UNION ALL ".join(map(run, sorted(runs)))}),
+base AS (SELECT * FROM runs JOIN (VALUES {rows(license_scan.BASE_PHRASES.items())}) b(phrase, label) USING (phrase)),
+of_base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+postings AS (SELECT * FROM (VALUES {rows(postings)}) p(name, word, k)),
+df AS (SELECT v.word, count(DISTINCT w.doc_id) AS n FROM (VALUES {vocabulary}) v(word) LEFT JOIN words w USING (word) GROUP BY v.word),
+idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (n + 1)) + 1e-6 AS idf FROM df),
+mass AS (SELECT name, sum(idf) AS mass FROM postings JOIN idf USING (word) GROUP BY name),
+agreed AS (SELECT doc_id, name, pos - k AS shift, sum(idf / mass) AS score FROM words JOIN postings USING (word) JOIN idf USING (word) JOIN mass USING (name) GROUP BY ALL),
+scored AS (SELECT doc_id, name, round(max(score), 6) AS score FROM agreed GROUP BY ALL),
+own AS (SELECT DISTINCT doc_id, CASE name {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in license_scan.LABELS.items())} ELSE name END AS label
+        FROM scored JOIN (VALUES {rows(keys)}) k(name, phrase) USING (name) JOIN runs USING (doc_id, phrase) WHERE score >= {license_scan.LEAST_SCORE}),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM own UNION SELECT doc_id, label FROM base) GROUP BY doc_id)
+SELECT doc_id, CAST(len(list) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, least(1.0, coalesce((SELECT max(score) FROM scored s WHERE s.doc_id = cut.doc_id), 0.0)) AS score
+FROM cut LEFT JOIN of_base USING (doc_id) LEFT JOIN labels USING (doc_id)"""
+
+
+OP9_SQL = """
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM cut),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+few AS (SELECT t FROM each GROUP BY t HAVING count(*) > 1),
+shared AS (SELECT doc_id, n, t FROM each JOIN few USING (t)),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shared a JOIN shared b ON a.t = b.t AND a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
+
 OP8_SQL = f"""
 WITH t AS (SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
 f AS (SELECT doc_id, n_bytes, h, d.depth, h >> (60 - d.depth) AS over FROM t, LATERAL (SELECT unnest(generate_series(0, 60)) AS depth) d),
@@ -118,6 +162,6 @@ p AS (SELECT f.doc_id, f.n_bytes, f.depth, f.over, s.held, row_number() OVER (PA
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(depth AS INTEGER) AS depth, depth || ':' || over AS shard, CAST(held AS BIGINT) AS shard_bytes, held > {SHARD_BYTES} AS oversize
 FROM p WHERE k = 1"""
 
-ORACLE_SQL = {"op1_url_filters": _rules_sql(), "op6_exact_dedup": OP6_SQL, "op8_sharding": OP8_SQL}
+ORACLE_SQL = {"op1_url_filters": _rules_sql(), "op3_license_scans": _licenses_sql(), "op6_exact_dedup": OP6_SQL, "op8_sharding": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL}
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_license_scans, op4_token_counts, op5_pii, op6_exact_dedup, op7_toxicity, op8_sharding, op9_ngram_jaccard_join, op10_decontamination)}

@@ -226,3 +226,57 @@ def test_decontamination_of_repeated_and_overlapping_items(spark):
                 want[i, k] = round(best, 4)
     got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 4) for r in decontamination.find_contaminated(d, b).collect()}
     assert got == want and set(want) == {(0, k) for k in range(40)} | {(1, 70)}
+
+
+def test_scores_against_brute_force():
+    """score = sigmoid(w0 + sum of w_i x_i + sum over pairs of <v_i, v_j> x_i x_j), pair by pair."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = [None, "", "You are rude, RUDE to the group!", "the the the", "été größe 12", " ".join(f"w{k}" for k in range(3000))]
+    texts = [t or "" for t in texts]
+    buckets = sorted({int(b) for t in texts for b in toxicity.text_buckets(t)[0]})[::2]
+    machine = toxicity.FactorizationMachine(np.array(buckets), -0.3, rng.standard_normal(len(buckets)) * 0.1, rng.standard_normal((len(buckets), 3)) * 0.1)
+    want = []
+    for t in texts:
+        x = {machine.place[b]: float(v) for b, v in zip(*(a.tolist() for a in toxicity.text_buckets(t)), strict=True) if b in machine.place}
+        at = np.array(sorted(x), dtype=int)
+        xs = np.array([x[i] for i in at])
+        pairs = machine.factors[at] @ machine.factors[at].T * np.outer(xs, xs)
+        z = machine.bias + (machine.weights[at] * xs).sum() + (np.triu(pairs, 1).sum() if len(at) else 0)
+        want.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    assert np.allclose(machine.scores(texts), want, atol=1e-6)
+
+
+def test_a_pair_of_terms_that_mean_nothing_alone(spark):
+    """Label 1 where both or none of two words stand: chi-square sees neither, the fitted machine tells them apart."""
+    rng = random.Random(6)
+    texts, y = [], []
+    for _ in range(3_000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = ["insult"] * a + ["group"] * b + [rng.choice("abcdefghij") * 3 for _ in range(6)]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        y.append(int(a == b))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    machine = toxicity.fit_toxicity(docs, spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"))
+    held = [k for k in range(3_000) if zlib.crc32(str(k).encode()) % 4 == 2]
+    right = [(s >= 0.5) == y[k] for k, s in zip(held, machine.scores([texts[k] for k in held]), strict=True)]
+    assert len(held) > 600 and sum(right) > 0.95 * len(right)
+
+
+def test_share_that_simhash_proposes(spark):
+    """Passages at similarities from 0.8 on: all are found, SimHash alone proposes nearly all of them."""
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    items = [text(rng.randrange(40, 90)) for _ in range(40)]
+    docs = []
+    for item in items:
+        n = len(item) - 4
+        cut = min(int(n * 0.11), len(item) - 5)  # that many shingles of each side differ
+        docs += [text(15) + item[: len(item) - cut] + text(cut) + text(15), text(15) + item + text(9)]
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_contaminated(d, b).collect()}
+    assert got == {(k, k // 2) for k in range(len(docs))}
+    assert decontamination.simhash_share(d, b) >= 0.98

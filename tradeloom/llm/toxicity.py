@@ -2,11 +2,12 @@
 
 Terms are a text's words and the character n-grams inside them, A-Z and other letters lower-cased, hashed to 2^18 buckets; a text
 has for each of its buckets half a point for having it and up to half for how often, against the text's number of words.  Training takes at most `sample_rows` labelled rows (by the hash of their id; all labels when there are
-fewer), keeps the `TERMS` buckets that tell the labels apart best by chi-square, and fits bias, weights and FACTORS latent
+fewer), keeps the `TERMS` buckets that tell the labels apart best by chi-square and the COMMON_TERMS buckets that most rows have (a term
+that alone says nothing may still say much beside another), and fits bias, weights and FACTORS latent
 factors for each bucket by logistic loss: score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>).  The pairwise part
 learns that two terms together mean more, or less, than each alone.  The fit is deterministic.
 
-The sample's terms stay in a staged table; Spark counts them, and what reaches the driver is the TERMS chosen buckets and the sampled
+The sample's terms stay in a staged table; Spark counts them, and what reaches the driver is the chosen buckets and the sampled
 rows' values in them.  All texts are scored whole in Arrow batches, without a shuffle.
 
 Defined results: null or empty text scores by the bias alone.  Rows without label, or whose label is null, do not train; repeated labels of one id count once,
@@ -31,6 +32,7 @@ from .shared import give_back, staged, whole_text
 
 BUCKETS = 1 << 18
 TERMS = 500
+COMMON_TERMS = 700
 FACTORS = 4
 STEPS = 200
 SAMPLE_ROWS = 12_000
@@ -81,7 +83,6 @@ class FactorizationMachine:
             at = np.searchsorted(chosen, buckets)
             known = np.append(chosen, -1)[at] == buckets
             x[k, at[known]] = value[known]
-        x2 = x**2
         y = labels.astype(np.float32)
         rng = np.random.default_rng(7)
         params = [np.array([np.log(share / (1 - share))], np.float32), np.zeros(len(chosen), np.float32), (rng.standard_normal((len(chosen), FACTORS)) * 0.01).astype(np.float32)]
@@ -89,10 +90,15 @@ class FactorizationMachine:
         decay = (0.0, 3e-5, 1e-4)
         for step in range(1, STEPS + 1):
             b, w, v = params
-            xv = x @ v
-            z = b[0] + x @ w + 0.5 * ((xv**2).sum(1) - x2 @ (v**2).sum(1))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-            grads = [np.array([g.sum()], np.float32), x.T @ g, x.T @ (g[:, None] * xv) - v * (x2.T @ g)[:, None]]
+            grads = [np.zeros_like(p) for p in params]
+            for lo in range(0, len(x), 2_000):  # so that no second matrix of the sample's size is held
+                part = x[lo : lo + 2_000]
+                part2, xv = part**2, part @ v
+                z = b[0] + part @ w + 0.5 * ((xv**2).sum(1) - part2 @ (v**2).sum(1))
+                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[lo : lo + 2_000]) / len(y)
+                grads[0] += g.sum()
+                grads[1] += part.T @ g
+                grads[2] += part.T @ (g[:, None] * xv) - v * (part2.T @ g)[:, None]
             for k, grad in enumerate(grads):
                 grad = grad + decay[k] * params[k]
                 mean[k] = 0.9 * mean[k] + 0.1 * grad
@@ -129,8 +135,8 @@ class FactorizationMachine:
 _fresh_buckets = term_buckets.__wrapped__
 
 
-def tell_apart(terms: DataFrame, n_terms: int) -> list[int]:
-    """The buckets of (y, buckets) rows whose presence differs most by label, by chi-square; of ties the smaller bucket.
+def tell_apart(terms: DataFrame, n_terms: int, n_common: int) -> list[int]:
+    """The buckets of (y, buckets) rows whose presence differs most by label, by chi-square, and the n_common that most rows have; of ties the smaller bucket.
 
     Counted in Spark; buckets that fewer than five rows have do not count.
     """
@@ -138,7 +144,8 @@ def tell_apart(terms: DataFrame, n_terms: int) -> list[int]:
     n = terms.select("y", F.explode("buckets").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum("y").alias("one")).where("n >= 5")
     gap, spread = F.col("one") - F.col("n") * F.col("share"), F.col("n") * F.col("share") * (1 - F.col("share"))
     chi = n.crossJoin(F.broadcast(totals)).withColumn("chi", gap * gap / F.greatest(spread, F.lit(1e-9)))  # one row
-    return [r["b"] for r in chi.orderBy(F.desc("chi"), "b").limit(n_terms).collect()]  # at most n_terms
+    first = staged(chi.select("b", "n", "chi"), "toxicity-buckets")
+    return sorted({r["b"] for key, most in (("chi", n_terms), ("n", n_common)) for r in first.orderBy(F.desc(key), "b").limit(most).collect()})
 
 
 def held_out(id_col: str) -> Column:
@@ -163,9 +170,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, y int, buckets array<int>, values array<float>"
     terms = staged(sample.mapInArrow(run, schema), "toxicity-terms")
-    chosen = sorted(tell_apart(terms, TERMS))
+    chosen = tell_apart(terms, TERMS, COMMON_TERMS)
     held = F.filter(F.arrays_zip("buckets", "values"), lambda x: x["buckets"].isin(chosen) if chosen else F.lit(False))
-    rows = terms.select("id", "y", held["buckets"].alias("b"), held["values"].alias("v")).collect()  # sample_rows rows of at most TERMS values
+    rows = terms.select("id", "y", held["buckets"].alias("b"), held["values"].alias("v")).collect()  # sample_rows rows of at most TERMS + COMMON_TERMS values
     rows = sorted((r["id"], r["y"], tuple(r["b"] or ()), tuple(r["v"] or ())) for r in rows)
     return FactorizationMachine.fit(np.array(chosen, dtype=np.int64), [(np.array(r[2], dtype=np.int64), np.array(r[3], dtype=np.float32)) for r in rows], np.array([r[1] for r in rows], dtype=float))
 
@@ -173,7 +180,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for each row."""
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # TERMS buckets
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # TERMS + COMMON_TERMS buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

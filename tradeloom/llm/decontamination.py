@@ -3,7 +3,7 @@
 1. Words are runs of letters and digits, lower-cased; shingles are five words in a row (fewer words: the whole sequence).
    Similarity is weighted Jaccard over shingle sets: a shingle of the benchmark weighs ln(1 + items / items that have it), in items
    as in windows, where items of the same words count once; any other weighs as much as the rarest can.
-2. Similarity of 0.8 needs common shingles.  The scan drops what a bitmap of the benchmark's shingles (FILTER_BITS, three bits for each) rules
+2. Similarity of 0.8 needs common shingles.  The scan drops what a bitmap of the benchmark's shingles (2^20 bits, three for each) rules
    out, and the rest meets the benchmark's postings in a join.  A text and an item whose common shingles weigh less than the
    threshold's share of the item go no further; for the others, windows of the item's size are cut
    around each alignment (place in text minus place in item).  None of this loses a match.
@@ -33,8 +33,8 @@ LEAST_SIMILARITY = 0.8
 #: At similarity 0.8 the expected distance is 9.7 bits with a deviation of 2.9.
 RADIUS = 18
 BITS = 64
-#: Bits of the bitmap of the benchmark's shingles: 128 KB in the plan, whatever the benchmark's size.
-FILTER_BITS = 1 << 20
+#: 64-bit words of the bitmap of the benchmark's shingles, 2^WORD_BITS: 128 KB in the plan, whatever the benchmark's size.
+WORD_BITS = 14
 #: Starts next to an alignment that are tried as well, for words put in or left out.
 SLACK = 1
 
@@ -67,17 +67,16 @@ def _with_simhash(df: DataFrame, hashes: str) -> DataFrame:
     return df.withColumn("print", reduce(lambda a, b: a.bitwiseOR(b), bits)).drop("sums")
 
 
-def _filter_bit(h: Column, k: int) -> Column:
-    """The k-th of the three bits of a shingle in the bitmap."""
-    return F.call_function("shiftrightunsigned", h, F.lit(20 * k)).bitwiseAND(F.lit(FILTER_BITS - 1))
+#: Where a shingle's hash names its three bits of the bitmap: shifts of the word's number and of the bit's.
+_PLACES = [(0, 58), (WORD_BITS, 52), (2 * WORD_BITS, 46)]
 
 
 def _bitmap(hashes: DataFrame) -> list[int]:
     """The bitmap of the column h as 64-bit words; only this, of a fixed size, comes to the driver."""
-    bit = hashes.select(F.explode(F.array(*[_filter_bit(F.col("h"), k) for k in range(3)])).alias("bit"))
-    word = F.call_function("shiftright", F.col("bit"), F.lit(6)).alias("word")
-    words = [0] * (FILTER_BITS // 64)
-    for r in bit.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits")).collect():
+    part = lambda shift, bits: F.call_function("shiftrightunsigned", F.col("h"), F.lit(shift)).bitwiseAND(F.lit((1 << bits) - 1))
+    places = hashes.select(F.inline(F.array(*[F.struct(part(w, WORD_BITS).alias("word"), part(b, 6).alias("bit")) for w, b in _PLACES])))
+    words = [0] * (1 << WORD_BITS)
+    for r in places.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))).alias("bits")).collect():
         words[r["word"]] = r["bits"]
     return words
 
@@ -85,8 +84,8 @@ def _bitmap(hashes: DataFrame) -> list[int]:
 def _may_be_known(words: list[int]) -> str:
     """SQL condition: the bitmap has all three bits of h."""
     table = "array(" + ",".join(f"{w}L" if w != -(1 << 63) else "bigint(-9223372036854775808)" for w in words) + ")"
-    bit = lambda k: f"shiftrightunsigned(h, {20 * k}) & {FILTER_BITS - 1}L"
-    return " and ".join(f"shiftright({table}[cast(shiftright({bit(k)}, 6) as int)], cast(({bit(k)}) & 63L as int)) & 1L = 1L" for k in range(3))
+    part = lambda shift, bits: f"cast({f'shiftrightunsigned(h, {shift})' if shift else 'h'} & {(1 << bits) - 1}L as int)"
+    return " and ".join(f"bit_get({table}[{part(w, WORD_BITS)}], {part(b, 6)}) = 1" for w, b in _PLACES)
 
 
 def _blocks(print_: Column) -> Column:

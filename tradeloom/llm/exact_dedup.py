@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SALTS, kept_rows, staged, whole_text
+from .shared import SALTS, packed, staged, whole_text
 
 #: Distinct hashes that a bucket may hold before it splits; more where the table would need over MOST_OWNERS buckets.
 CAPACITY = 50_000
@@ -37,17 +37,19 @@ def hash_prefix(hash64: Column, bits: int) -> Column:
     return F.call_function("shiftrightunsigned", hash64, F.lit(64 - bits))
 
 
-def directory(fine: DataFrame, bits: int, capacity: int, weight: str = "n") -> DataFrame:
-    """(prefix, depth, bucket): for each fine prefix of `bits` bits the bucket that it lies in.
+def directory(fine: DataFrame, bits: int, capacity: int) -> DataFrame:
+    """(prefix, depth, bucket): for each fine prefix of `bits` bits, with its number n of hashes, the bucket that it lies in.
 
-    A bucket of depth d splits if its weight exceeds capacity and d < bits; a bucket is named by its depth and prefix.
-    Every fine prefix meets its `bits` + 1 ancestors by their sums, so nothing is gathered outside Spark.
+    A bucket of depth d splits if it holds more than `capacity` hashes and d < bits; a bucket is named by its depth and prefix.
+    A prefix's depth is the number of its ancestors that split.  There are at most 2^bits nodes that split, so tasks get them by broadcast.
     """
-    depths = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")
-    up = fine.select("prefix", weight, depths).withColumn("over", F.call_function("shiftright", F.col("prefix"), (F.lit(bits) - F.col("depth")).cast("int")))
-    sums = up.groupBy("depth", "over").agg(F.sum(weight).alias("held"))
-    fits = up.join(sums, ["depth", "over"]).where((F.col("held") <= capacity) | (F.col("depth") == bits))
-    return fits.groupBy("prefix").agg(F.min(F.struct("depth", "over")).alias("at")).select("prefix", F.col("at.depth").alias("depth"), F.concat_ws(":", F.col("at.depth").cast("string"), F.col("at.over").cast("string")).alias("bucket"))
+    depths = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("depth")
+    over = lambda depth: F.call_function("shiftright", F.col("prefix"), (F.lit(bits) - depth).cast("int"))
+    up = fine.select("prefix", "n", depths).withColumn("over", over(F.col("depth")))
+    splits = staged(up.groupBy("depth", "over").agg(F.sum("n").alias("held")).where(F.col("held") > capacity).select("depth", "over"), "dedup-splits")
+    depth = up.join(F.broadcast(splits), ["depth", "over"]).groupBy("prefix").agg(F.count("*").cast("int").alias("depth"))
+    found = fine.select("prefix").join(depth, "prefix", "left").select("prefix", F.coalesce("depth", F.lit(0)).alias("depth"))
+    return found.select("prefix", "depth", F.concat_ws(":", F.col("depth").cast("string"), over(F.col("depth")).cast("string")).alias("bucket"))
 
 
 def build_directory(docs: DataFrame, text_col: str = "text", capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -98,10 +100,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """One row of each distinct text (of the largest id), with all its columns; rows that repeat a kept id and its text stay once."""
+    """One row of each distinct text (of the largest id, null ids last), with all its columns; which of rows of one id and text stays is not stated.
+
+    Rows are grouped in their buckets as for the index, but the row that stays is carried along, so no look-up has to move the texts again.
+    """
     at = build_directory(docs, text_col, capacity, hash_of)
-    index = build_index(docs, at, id_col, text_col, hash_of).where("group_size > 1")
-    found = look_up(docs, at, index, id_col, text_col, hash_of)
-    once = F.col("id").eqNullSafe(F.col("keep_id"))
-    marked = found.groupBy("id", F.unhex("digest").alias("digest"), once.alias("once")).agg(F.count("*").alias("rows"))
-    return kept_rows(docs, id_col, text_col, staged(marked.where("not once or rows > 1").drop("rows"), "dedup-marked"))
+    text = whole_text(text_col)
+    rows = in_buckets(packed(docs, text=text, hash=hash_of(text), last=F.struct(F.col(id_col).isNotNull(), F.col(id_col))), at)
+    return rows.groupBy("bucket", "hash", "text").agg(F.max_by("doc", "last").alias("doc")).select("doc.*")

@@ -82,8 +82,11 @@ def packed(docs: DataFrame, **named: Column) -> DataFrame:
 
 
 def without_rows(rows: DataFrame, lost: DataFrame) -> DataFrame:
-    """The rows (doc, id, digest) whose id and digest are not in lost (id, digest); null ids are equal."""
-    lost = lost.select(F.col("id").alias("lost_id"), F.col("digest").alias("lost_digest"))
+    """The rows (doc, id, digest) whose id and digest are not in lost (id, digest); null ids are equal.
+
+    lost grows with the table, so it is never broadcast: the plan, and what it moves, is the same at every size.
+    """
+    lost = lost.select(F.col("id").alias("lost_id"), F.col("digest").alias("lost_digest")).hint("merge")
     return rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("digest") == F.col("lost_digest")), "left_anti")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,21 +132,46 @@ def purged_folds(indexed: DataFrame, folds: int, embargo: int, index: str = "ord
     return indexed.crossJoin(F.broadcast(bounds)).withColumn("role", role).where("role is not null").drop("_n", "_lo", "_hi")  # `folds` rows
 
 
+def row_hash(*parts: str) -> Column:
+    """60 bits of MD5 over columns joined by colons, as a positive number; any engine can repeat it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
+#: Chances of a Poisson(1) draw to be at most 0, 1, ... 7.
+POISSON_STEPS = list(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(8)))
+
+
+def _weighted(df: DataFrame, p: str, y: str, key: str, replicates: int) -> DataFrame:
+    """Each row once for each replicate, with a Poisson(1) weight w drawn by hash of row and replicate."""
+    rows = df.select(key, p, y, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    u = (F.pmod(row_hash(key, "rep"), F.lit(1_000_000)) + 0.5) / 1e6
+    return rows.withColumn("u", u).withColumn("w", sum(((F.col("u") > s).cast("int") for s in POISSON_STEPS), F.lit(0)))
+
+
+def _interval(each: DataFrame, metric: str) -> DataFrame:
+    q = F.percentile(metric, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    return each.agg(q.alias("q")).select(F.lit(metric).alias("metric"), F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"))  # one value a replicate
+
+
 def bootstrap(df: DataFrame, p: str, y: str, key: str, replicates: int) -> DataFrame:
-    """(metric, low, mid, high): 2.5, 50 and 97.5 % of the Brier score over Poisson(1) weights drawn by hash of row and replicate."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("rep")), F.lit(1_000_000)) + 0.5) / 1e6
-    steps, total, mass = [], 0.0, 2.718281828459045**-1
-    for k in range(8):
-        total += mass
-        steps.append(total)
-        mass /= k + 1
-    weight = F.lit(0)
-    for s in steps:
-        weight = weight + (u > s).cast("int")
-    rows = df.select(key, p, y, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("w", weight)
-    each = rows.groupBy("rep").agg((F.sum(F.col("w") * F.pow(F.col(p) - F.col(y), F.lit(2))) / F.sum("w")).alias("brier"))
-    q = F.percentile("brier", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return each.agg(q.alias("q")).select(F.lit("brier").alias("metric"), F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"))
+    """(metric, low, mid, high): 2.5, 50 and 97.5 % of the Brier score over resampled rows."""
+    rows = _weighted(df, p, y, key, replicates)
+    return _interval(rows.groupBy("rep").agg((F.sum(F.col("w") * F.pow(F.col(p) - F.col(y), F.lit(2))) / F.sum("w")).alias("brier")), "brier")
+
+
+def bootstrap_auc(df: DataFrame, p: str, y: str, key: str, replicates: int) -> DataFrame:
+    """The same of the area under the ROC curve, from weights by score; a replicate's distinct scores are one task's sort."""
+    rows = _weighted(df, p, y, key, replicates)
+    c = rows.groupBy("rep", p).agg(F.sum(F.col("w") * F.col(y)).alias("pos"), F.sum(F.col("w") * (1 - F.col(y))).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("rep").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return _interval(c.withColumn("below", below).groupBy("rep").agg(ratio(F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))), F.sum("pos") * F.sum("neg")).alias("auc")), "auc")
+
+
+def best_by_net(df: DataFrame, p: str, pnl: str, thresholds: list[float], least: int) -> DataFrame:
+    """(threshold, n, net) of the threshold whose rows (p at or above it, `least` at least) have the highest net result; of ties the lowest."""
+    steps = F.explode(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: F.col(p) >= t)).alias("threshold")
+    sums = df.select(pnl, steps).groupBy("threshold").agg(F.count("*").alias("n"), F.round(F.sum(pnl), 2).alias("net")).where(F.col("n") >= least)
+    return sums.orderBy(F.desc("net"), "threshold").limit(1)
 
 
 def drawdown_breach(df: DataFrame, r: str, key: str, fractions: list[float], trials: int, steps: int, limit: float) -> DataFrame:
@@ -155,7 +183,7 @@ def drawdown_breach(df: DataFrame, r: str, key: str, fractions: list[float], tri
     n = ranked.agg(F.count("*").alias("_n"))
     spark = df.sparkSession
     paths = spark.range(trials).withColumnRenamed("id", "trial").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    draws = paths.crossJoin(F.broadcast(n)).withColumn("_i", F.pmod(F.xxhash64("trial", "step"), F.col("_n"))).join(ranked, "_i")
+    draws = paths.crossJoin(F.broadcast(n)).withColumn("_i", F.pmod(row_hash("trial", "step"), F.col("_n"))).join(ranked, "_i")
     each = draws.select("trial", "step", F.col(r).alias("_r"), F.explode(F.array(*[F.lit(f) for f in fractions])).alias("f"))
     w = Window.partitionBy("f", "trial").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     growth = 1 + F.col("f") * F.col("_r")

@@ -62,15 +62,21 @@ def match_candidates(statements: DataFrame, positions: DataFrame, tol: float) ->
     """Statement rows and positions of one symbol whose sizes and prices differ relatively by at most tol, with the gap in seconds.
 
     statements: statement_id, symbol, qty, entry, closed_at; positions: position_id, symbol, size, entry_price, opened_at.
-    Prices meet by logarithmic buckets (a row looks into three), so a symbol's rows are not all paired.
+    Prices and sizes meet by logarithmic cells (a row looks into three of each), so a symbol's rows are not all paired; sizes of 0 have a cell of their own.
     """
     width = 2 * tol + 1e-9
-    cell = lambda x: F.floor(F.log(x) / width).cast("long")
-    s = statements.where("entry > 0").withColumn("_cell", F.explode(F.array(*[cell(F.col("entry")) + k for k in (-1, 0, 1)])))
-    p = positions.where("entry_price > 0").withColumn("_cell", cell(F.col("entry_price")))
+    cell = lambda x: F.coalesce(F.floor(F.log(F.abs(x)) / width).cast("long"), F.lit(-(1 << 62)))
+    around = lambda x: F.explode(F.array_distinct(F.array(*[F.when(F.abs(x) > 0, cell(x) + k).otherwise(cell(x)) for k in (-1, 0, 1)])))
+    s = statements.where("entry > 0").withColumn("_price_cell", around(F.col("entry"))).withColumn("_size_cell", around(F.col("qty")))
+    p = positions.where("entry_price > 0").withColumns({"_price_cell": cell(F.col("entry_price")), "_size_cell": cell(F.col("size"))})
     close = lambda a, b: F.abs(a - b) <= tol * F.greatest(F.abs(a), F.abs(b))
-    both = s.join(p, ["symbol", "_cell"]).where(close(F.col("qty"), F.col("size")) & close(F.col("entry"), F.col("entry_price")) & (F.col("opened_at") <= F.col("closed_at")))
-    return both.withColumn("gap", F.abs(F.unix_micros("closed_at") - F.unix_micros("opened_at")) / 1e6).drop("_cell")
+    both = s.join(p, ["symbol", "_price_cell", "_size_cell"]).where(close(F.col("qty"), F.col("size")) & close(F.col("entry"), F.col("entry_price")) & (F.col("opened_at") <= F.col("closed_at")))
+    return both.withColumn("gap", F.abs(F.unix_micros("closed_at") - F.unix_micros("opened_at")) / 1e6).drop("_price_cell", "_size_cell")
+
+
+def unmatched(statements: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Statement rows that no position matches."""
+    return statements.join(candidates.select("statement_id").distinct(), "statement_id", "left_anti")
 
 
 def nearest_match(candidates: DataFrame) -> DataFrame:
@@ -133,14 +139,23 @@ def with_listing_age(rows: DataFrame, listed: DataFrame, first_bars: DataFrame,
 
 
 def with_assets(rows: DataFrame, bars: DataFrame, assets: list[str], columns: list[str], on: str = "ts") -> DataFrame:
-    """rows with `asset_column` as of their time, for each asset; null after the least of the assets' last times."""
+    """rows with `asset_column` as of their time, for each asset; null after the least of the assets' last times.
+
+    Rows and bars meet by day: each day also gets the asset's last bar before it, so days are joined in tasks of their own.  What goes
+    through one task for each asset is one row a day.
+    """
     from .asof import asof_join
 
-    some = bars.where(F.col("symbol").isin(assets))
+    some = bars.where(F.col("symbol").isin(assets)).select("symbol", "ts", F.struct(*columns).alias("_v"), F.to_date("ts").alias("_day"))
     end = some.groupBy("symbol").agg(F.max("ts").alias("e")).agg(F.min("e").alias("_end"))
-    out = rows.withColumn("_all", F.lit(0))
+    newest = some.groupBy("symbol", "_day").agg(F.max(F.struct("ts", "_v")).alias("_x"))
+    days = newest.groupBy("symbol").agg(F.min("_day").alias("_a"), F.max("_day").alias("_b")).select("symbol", F.explode(F.sequence("_a", "_b")).alias("_day"))
+    before = Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.join(newest, ["symbol", "_day"], "left").withColumn("_x", F.last("_x", ignorenulls=True).over(before)).where("_x is not null")
+    all_bars = some.select("symbol", "_day", "ts", "_v").unionByName(carried.select("symbol", "_day", "_x.ts", "_x._v"))
+    out = rows.withColumn("_day", F.to_date(on))
     for a in assets:
-        own = some.where(F.col("symbol") == a).select(F.lit(0).alias("_all"), F.col("ts").alias(on), *[F.col(c).alias(f"{a.lower()}_{c}") for c in columns])
-        out = asof_join(out, own, ["_all"], [f"{a.lower()}_{c}" for c in columns], on=on)
+        own = all_bars.where(F.col("symbol") == a).select("_day", F.col("ts").alias(on), *[F.col(f"_v.{c}").alias(f"{a.lower()}_{c}") for c in columns])
+        out = asof_join(out, own, ["_day"], [f"{a.lower()}_{c}" for c in columns], on=on)
     names = [f"{a.lower()}_{c}" for a in assets for c in columns]
-    return out.drop("_all").crossJoin(F.broadcast(end)).withColumns({n: F.when(F.col(on) <= F.col("_end"), F.col(n)) for n in names}).drop("_end")  # one row
+    return out.drop("_day").crossJoin(F.broadcast(end)).withColumns({n: F.when(F.col(on) <= F.col("_end"), F.col(n)) for n in names}).drop("_end")  # one row

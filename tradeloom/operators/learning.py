@@ -129,15 +129,24 @@ def shuffle_p_value(preds: DataFrame, key: str, replicates: int) -> DataFrame:
     """(auc, p_value): share of label shuffles against fixed scores whose AUC reaches the real one.
 
     A replicate gives each row a pseudo-random place by hash and takes the k first places as label 1; ranks by score are
-    taken once, so a replicate costs one pass and no sort by score.
+    taken once, so a replicate costs one pass and no sort by score.  Counts by the first bits of the hash tell for each replicate up to where all
+    rows are taken; only the rows of the one cell in which k falls are sorted.
     """
     from pyspark.sql import Window
 
+    from .calibration import row_hash
+
     each = with_running(preds.groupBy("p").agg(F.count("*").alias("n")), ["p"], {"before": F.col("n")})
     ranked = preds.join(each, "p").select(key, "y", (F.col("before") + (F.col("n") + 1) / 2).alias("r"))
     both = ranked.agg(F.count("*").alias("n"), F.sum("y").alias("k"), F.sum(F.col("r") * F.col("y")).alias("s"))
-    reps = ranked.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("h", F.xxhash64(key, "rep"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("h", key))
-    sums = reps.withColumn("place", place).crossJoin(F.broadcast(both)).where("place <= k").groupBy("rep").agg(F.sum("r").alias("s1"), F.first("s").alias("s0"), F.first("n").alias("n"), F.first("k").alias("k"))  # one row
-    auc = (F.first("s0") - F.first("k") * (F.first("k") + 1) / 2) / (F.first("k") * (F.first("n") - F.first("k")))
-    return sums.agg(auc.alias("auc"), F.avg((F.col("s1") >= F.col("s0")).cast("double")).alias("p_value"))
+    reps = ranked.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("h", row_hash(key, "rep"))
+    reps = reps.withColumn("cell", F.shiftright("h", 48))  # 4,096 cells
+    cells = reps.groupBy("rep", "cell").agg(F.count("*").alias("c"), F.sum("r").alias("cell_r"))
+    up = Window.partitionBy("rep").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn("ahead", F.coalesce(F.sum("c").over(up), F.lit(0))).crossJoin(F.broadcast(both.select("k")))  # one row
+    whole = placed.where("ahead + c <= k").groupBy("rep").agg(F.sum("cell_r").alias("s1"))
+    cut = placed.where("ahead < k and ahead + c > k").select("rep", "cell", (F.col("k") - F.col("ahead")).alias("left"))
+    inside = reps.join(cut, ["rep", "cell"]).withColumn("place", F.row_number().over(Window.partitionBy("rep", "cell").orderBy("h", key))).where("place <= left")
+    sums = whole.unionByName(inside.groupBy("rep").agg(F.sum("r").alias("s1"))).groupBy("rep").agg(F.sum("s1").alias("s1"))
+    auc = (F.first("s") - F.first("k") * (F.first("k") + 1) / 2) / (F.first("k") * (F.first("n") - F.first("k")))
+    return sums.crossJoin(F.broadcast(both)).agg(auc.alias("auc"), F.avg((F.col("s1") >= F.col("s")).cast("double")).alias("p_value"))  # one row

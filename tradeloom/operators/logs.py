@@ -92,3 +92,30 @@ def events(lines: DataFrame, line: str = "value") -> DataFrame:
 def latest_state(rows: DataFrame, keys: list[str], order: Column, fields: list[str]) -> DataFrame:
     """For each key the last known value of each field."""
     return rows.groupBy(*keys).agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields], F.count("*").alias("n_events"))
+
+
+# The lines of the live process, kind by kind in the order they are tried: pattern, group of the symbol, group of the detail (0: none).
+LIVE_LINES = {
+    "check": (r"Checking\s+([A-Z0-9]+)\.\.\.", 1, 0),
+    "ohlcv_limit": (r"OHLCV_LIMIT\s+symbol=([A-Z0-9]+)\s+base_tf=([0-9a-zA-Z]+).*?base_limit=(\d+)", 1, 3),
+    "backfill": (r"ENTRY_QUAL_BACKFILL\s+symbol=([A-Z0-9]+).*?from=(\d+)\s+to=(\d+)", 1, 3),
+    "decision": (r"META_DECISION.*?symbol=([A-Z0-9]+).*?decision_ts=([0-9T:\-+]+)\s+.*?reason=([A-Za-z0-9_.:-]+)", 1, 3),
+    "veto": (r"Signal for\s+([A-Z0-9]+)\s+vetoed:\s+(.+)$", 1, 2),
+    "signal": (r"SIGNAL\s+([A-Z0-9]+)\s+@\s+([0-9.]+)\s+\|\s+regime=([A-Z_]+)\s+\|\s+wp=([0-9.]+)%", 1, 4),
+    "open": (r"OPENED\s+(LONG|SHORT)\s+([A-Z0-9]+)", 2, 1),
+    "watchdog": (r"WATCHDOG\s+symbol=([A-Z0-9]+)\s+stage=([a-z_]+)\s+age=([0-9.]+)s", 1, 3),
+    "ohlcv_insufficient": (r"OHLCV_INSUFFICIENT\s+symbol=([A-Z0-9]+)\s+tf=([0-9a-zA-Z]+)\s+have=(\d+)\s+need=(\d+)", 1, 3),
+    "scan_skip": (r"SCAN_SKIP\s+symbol=([A-Z0-9]+)\s+stage=([A-Za-z0-9_:-]+)", 1, 2),
+    "feature_missing": (r"FEATURE_MISSING.*?symbol=([A-Z0-9]+).*?missing=\[(.*)\]", 1, 2),
+}
+
+
+def live_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """lines with kind (the first pattern that fits), symbol and detail; other lines, and null ones, are dropped."""
+    found = None
+    for kind, (pattern, symbol, detail) in LIVE_LINES.items():
+        part = lambda group, pattern=pattern: F.regexp_extract(line, pattern, group) if group else F.lit("")
+        one = F.struct(F.lit(kind).alias("kind"), part(symbol).alias("symbol"), part(detail).alias("detail"))
+        fits = F.col(line).rlike(pattern)
+        found = F.when(fits, one) if found is None else found.when(fits, one)
+    return lines.withColumn("_found", found).where("_found is not null").select(*lines.columns, "_found.*")

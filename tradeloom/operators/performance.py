@@ -142,9 +142,12 @@ def step_sharpe(df: DataFrame, by: list[str], at: str) -> DataFrame:
     """Sharpe of irregular steps, annualized by the upper median step."""
     w = Window.partitionBy(*by).orderBy(at, "id")
     each = df.withColumns({"r": ratio(F.col("equity"), F.lag("equity").over(w)) - 1, "step": (F.unix_micros(at) - F.lag(F.unix_micros(at)).over(w)) / 1e6})
-    steps = F.sort_array(F.collect_list("step"))
-    median = F.element_at(steps, (F.floor(F.size(steps) / 2) + 1).cast("int"))
-    out = each.groupBy(*by).agg(F.count("r").alias("n"), F.avg("r").alias("_m"), F.stddev_samp("r").alias("_s"), F.count("step").alias("_k"), F.when(F.count("step") > 0, median).alias("step_s"))
+    # the row of the upper median by counts of equal steps, so that no list of a key's steps is held
+    counts = each.where("step is not null").groupBy(*by, "step").agg(F.count("*").alias("_c"))
+    up = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    reached = counts.withColumns({"_to": F.sum("_c").over(up), "_all": F.sum("_c").over(Window.partitionBy(*by))})
+    median = reached.where(F.col("_to") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min("step").alias("step_s"))
+    out = each.groupBy(*by).agg(F.count("r").alias("n"), F.avg("r").alias("_m"), F.stddev_samp("r").alias("_s")).join(median, by, "left")
     return out.select(*by, "n", "step_s", F.when((F.col("_s") > 0) & (F.col("step_s") > 0), F.col("_m") / F.col("_s") * F.sqrt(365 * 86_400 / F.col("step_s"))).alias("sharpe"))
 
 

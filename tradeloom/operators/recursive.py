@@ -51,6 +51,21 @@ def with_indicators(bars: DataFrame, span: int = 20, n: int = 14, slope: int = 3
     return bars.select(columns).groupBy("symbol").applyInPandas(run, schema)
 
 
+def with_means(bars: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
+    """bars of (symbol, ts, open, high, low, close, volume) with exponential means: name -> (column or true_range, alpha), started at the first value."""
+    columns = ["symbol", "ts", "open", "high", "low", "close", "volume"]
+    schema = T.StructType([*[bars.schema[c] for c in columns], *[T.StructField(c, T.DoubleType()) for c in means]])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ts", ignore_index=True)
+        before = g["close"].shift()
+        true_range = pd.concat([g["high"] - g["low"], (g["high"] - before).abs(), (g["low"] - before).abs()], axis=1).max(axis=1)
+        values = {name: (true_range if x == "true_range" else g[x]).ewm(alpha=alpha, adjust=False).mean() for name, (x, alpha) in means.items()}
+        return g.assign(**values)
+
+    return bars.select(columns).groupBy("symbol").applyInPandas(run, schema)
+
+
 def switching_filter(r: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Filtered probabilities (n, 2), means and variances of a two-state normal switching model, by expectation maximization from a fixed start."""
     order = np.argsort(np.abs(r - r.mean()), kind="stable")

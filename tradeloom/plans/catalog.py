@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bar_queries, trade_queries
+from . import bar_queries, rule_queries, trade_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "bar_queries", "trade_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "bar_queries", "rule_queries", "trade_queries"]

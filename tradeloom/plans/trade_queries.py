@@ -442,16 +442,6 @@ def deflated_sharpe(spark: S, sf: str) -> DataFrame:
     return rounded(K.deflated_sharpe(D.trades(spark, sf), "r", ["tag"], 10), 6, "sharpe", "psr", "dsr")
 
 
-@query()
-def bootstrap_brier(spark: S, sf: str) -> DataFrame:
-    return rounded(K.bootstrap(D.trades(spark, sf), "p", "y", "id", 100), 6, "low", "mid", "high")
-
-
-@query()
-def drawdown_breach(spark: S, sf: str) -> DataFrame:
-    return rounded(K.drawdown_breach(D.trades(spark, sf), "r", "id", [0.005, 0.01, 0.02, 0.04], 200, 100, 0.5), 6, "breach")
-
-
 FEATURES = ["p", "hour_sin", "hour_cos", "oi_delta", "funding_last", "notional"]
 
 
@@ -490,8 +480,3 @@ def calibrated_scores(spark: S, sf: str) -> DataFrame:
 def feature_ablation(spark: S, sf: str) -> DataFrame:
     m = M.drop_one(_training(spark, sf), ["p", "hour_sin", "notional"], 2, 50)
     return rounded(Q.ablation(m, "baseline", 0.0, 0.005), 6, "auc", "brier", "d_auc", "d_brier")
-
-
-@query()
-def shuffle_test(spark: S, sf: str) -> DataFrame:
-    return rounded(M.shuffle_p_value(D.trades(spark, sf), "id", 20), 6, "auc", "p_value")

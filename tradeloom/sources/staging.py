@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again, for tables that several jobs read; a folder of our own only where none is set."""
+    """df written below spark.checkpoint.dir and read again, for tables that several jobs read; where none is set, in a folder of our own, on a local master only."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tradeloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -40,6 +40,12 @@ def first_decisions(decisions: DataFrame, late: str) -> DataFrame:
     return decisions.withWatermark("decision_ts", late).dropDuplicatesWithinWatermark(["symbol", "decision_ts"])
 
 
+def latest_decisions(decisions: DataFrame, late: str, order: str, fields: list[str]) -> DataFrame:
+    """The latest line of each symbol and time (by `order`), given again whenever a later one arrives; state goes with the watermark; update mode."""
+    newest = F.max_by(F.struct(*fields), order).alias("_newest")
+    return decisions.withWatermark("decision_ts", late).groupBy("symbol", "decision_ts").agg(newest).select("symbol", "decision_ts", "_newest.*")
+
+
 def outcome_state(outcomes: DataFrame, most: int = 50, span: int = 20) -> DataFrame:
     """(symbol, n, win_rate_20, win_rate_50, ewm) after each batch; a symbol's state is its newest `most` outcomes.
 

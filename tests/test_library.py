@@ -19,6 +19,8 @@ from tradeloom.operators import performance as P
 from tradeloom.operators import quality as Q
 from tradeloom.operators import recursive as R
 from tradeloom.operators import windows as W
+from tradeloom.functions import rules as rules_of
+from tradeloom.sources import staging
 from tradeloom.sources import tables as T
 from tradeloom.streaming import streams as X
 
@@ -219,6 +221,20 @@ def test_streams(spark, tmp_path):
     d = spark.createDataFrame([("A", T0, 1), ("A", T0, 2), ("B", T0, 3)], "symbol string, decision_ts timestamp, n int")
     d.coalesce(1).write.parquet(f"file://{tmp_path}/d")
     assert run(X.first_decisions(spark.readStream.schema(d.schema).parquet(f"file://{tmp_path}/d"), "1 hour"), "append", "firsts").count() == 2
+    late = spark.createDataFrame([("A", T0, 1, "x"), ("A", T0, 3, "z"), ("A", T0, 2, "y"), ("B", T0, 3, "b")], "symbol string, decision_ts timestamp, n int, reason string")
+    late.coalesce(1).write.parquet(f"file://{tmp_path}/late")
+    newest = run(X.latest_decisions(spark.readStream.schema(late.schema).parquet(f"file://{tmp_path}/late"), "1 hour", "n", ["n", "reason"]), "update", "newest").collect()
+    assert sorted((r["symbol"], r["reason"]) for r in newest) == [("A", "z"), ("B", "b")]
+    schema = "symbol string, tf string, ts timestamp, close double"
+    spark.sql(f"CREATE TABLE series_of_stream ({schema}) USING parquet PARTITIONED BY (symbol, tf)")
+    columns = spark.table("series_of_stream").columns
+    to_table = X.upsert_to(lambda: spark.table("series_of_stream"), lambda df: df.select(columns).write.mode("overwrite").insertInto("series_of_stream"), 2)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    to_table(spark.createDataFrame([(s, "1h", T0 + dt.timedelta(hours=k), float(k)) for k in range(3) for s in "AB"], schema), 0)
+    to_table(spark.createDataFrame([("A", "1h", T0 + dt.timedelta(hours=2), 9.0)], schema), 1)
+    assert sorted((r["symbol"], r["close"]) for r in spark.table("series_of_stream").collect()) == [("A", 1.0), ("A", 9.0), ("B", 1.0), ("B", 2.0)]
+    spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    spark.sql("DROP TABLE series_of_stream")
     kept = {}
     up = X.upsert_to(lambda: kept.get("t", spark.createDataFrame([], "symbol string, tf string, ts timestamp, close double")), lambda df: kept.update(t=spark.createDataFrame(df.collect(), df.schema)), 2)
     up(spark.createDataFrame([("A", "1h", T0 + dt.timedelta(hours=k), float(k)) for k in range(3)], "symbol string, tf string, ts timestamp, close double"), 0)
@@ -226,6 +242,46 @@ def test_streams(spark, tmp_path):
     assert sorted(r["close"] for r in kept["t"].collect()) == [1.0, 9.0]
 
 
+def test_rules_of_short_series_and_missing_context(spark):
+    """Too few bars: false; context that is missing counts as 0, too young, or long ago."""
+    _, df = walk(spark, 30)
+    short = df.limit(3).withColumns({"level": F.lit(None).cast("double"), "mean": F.lit(None).cast("double"), "atr": F.lit(None).cast("double")})
+    rules = [rules_of.RULES[n](**a) for n, a in {
+        "donch_breakout": {"period": 5}, "pullback_under_ma": {"mean": "mean", "period": 5}, "volume_surge": {"win": 5}, "trend_filter_ema": {"fast": "mean", "slow": "mean", "period": 5},
+        "micro_vol_filter": {"atr": "atr"}, "pullback_retest_close_above_break": {"level": "level", "lookback": 5}, "volume_median_multiple": {"lookback": 5, "least": 5},
+    }.items()]
+    for frame in (short, short.where("false")):
+        assert not any(v for r in frame.select(*[c.alias(f"c{k}") for k, c in enumerate(rules)]).collect() for v in r)
+    none = spark.createDataFrame([("A", T0, None, None, None, None, None, None, None)], "symbol string, ts timestamp, last_exit timestamp, age_days int, eth_macd double, eth_macd_signal double, eth_macd_hist double, rs_pct double, liquidity double")
+    context = {"blacklist_symbol": {"symbols": []}, "cooldown_hours": {"hours": 3}, "min_listing_age_days": {"days": 0}, "eth_macd_hist_above": {}, "eth_macd_bull": {}, "universe_rs_pct_gte": {}, "liquidity_median_24h_usd_gte": {}}
+    assert list(none.select(*[rules_of.RULES[n](**a).alias(n) for n, a in context.items()]).first()) == [True, True, False, True, False, True, False]
+
+
+def test_assets_meet_rows_across_days_without_bars(spark):
+    """As of the last bar before, also when it is days old; null before the first bar and after the least of the last times."""
+    at = lambda d, h: T0 + dt.timedelta(days=d, hours=h)
+    bars = spark.createDataFrame([("BTC", at(0, 3), 1.0), ("BTC", at(0, 9), 2.0), ("BTC", at(4, 1), 3.0), ("BTC", at(9, 0), 4.0), ("ETH", at(1, 0), 5.0), ("ETH", at(8, 0), None)], "symbol string, ts timestamp, close double")
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([at(0, 1), at(0, 3), at(2, 5), at(4, 0), at(4, 2), at(7, 0), at(8, 1)])], "k int, ts timestamp")
+    got = sorted(tuple(r) for r in J.with_assets(rows, bars, ["BTC", "ETH"], ["close"]).select("k", "btc_close", "eth_close").collect())
+    assert got == [(0, None, None), (1, 1.0, None), (2, 2.0, 5.0), (3, 2.0, 5.0), (4, 3.0, 5.0), (5, 3.0, 5.0), (6, None, None)]
+
+
+def test_live_lines(spark):
+    lines = ["x OPENED SHORT BTCUSDT now", "Signal for ABC vetoed: GAP, ADX", "META_DECISION bundle=a symbol=XYZ decision_ts=2026-02-15T00:05:00+00:00 schema_ok=True p_cal=0.5 reason=meta_prob err=none", "Checking 1INCH...", "nothing", None]
+    got = {tuple(r) for r in L.live_lines(spark.createDataFrame([(x,) for x in lines], "value string")).select("kind", "symbol", "detail").collect()}
+    assert got == {("open", "BTCUSDT", "SHORT"), ("veto", "ABC", "GAP, ADX"), ("decision", "XYZ", "meta_prob"), ("check", "1INCH", "")}
+
+
+def test_no_machine_local_staging_on_a_cluster():
+    class Frame:
+        class sparkSession:
+            conf = type("C", (), {"get": staticmethod(lambda key, default=None: None)})
+            sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        staging.staged(Frame, "x")
+
+
 def test_odd_rows(spark):
     """Empty tables, one row, nulls and ties give results, not errors."""
     _, df = walk(spark, 30)

@@ -351,6 +351,30 @@ def exit_reason(pnl: Column, mae: Column, mfe: Column, stop_usd: Column, tp_usd:
     )
 
 
+# Recorded exit reasons and what they stand for.
+EXIT_WORDS = {"STOP": "STOP", "SL": "STOP", "STOP_LOSS": "STOP", "TP": "TP", "TAKE_PROFIT": "TP", "TIME": "TIME", "TL": "TIME", "TIME_LIMIT": "TIME"}
+
+
+def recorded_exit(reason: Column) -> Column:
+    """The recorded reason in upper case, its synonyms as one word."""
+    word = F.upper(F.trim(F.coalesce(reason, F.lit(""))))
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in EXIT_WORDS.items() for x in pair])[word], word)
+
+
+def exit_by_result(r: Column, pnl: Column, mae: Column, stop_usd: Column, *, stop_r: float, tp_r: float, tolerance: float) -> Column:
+    """Reason by bands of the result in units of risk; between the bands, of losers by how near the stop they came."""
+    loser, tp = pnl < 0, r >= tp_r * (1 - tolerance)
+    near_stop = F.abs(F.abs(mae) - stop_usd) <= max(tolerance, 0.15) * F.greatest(F.abs(mae), F.abs(stop_usd))
+    return F.when(tp, "TP").when(r <= stop_r * (1 - tolerance), "STOP").when(loser & near_stop, "STOP").when(loser & (F.abs(mae) < 0.5 * stop_usd), "TIME").otherwise("OTHER")
+
+
+def exit_flag(recorded: Column, r: Column, pnl: Column, mae: Column, stop_usd: Column, *, tp_r: float, tolerance: float) -> Column:
+    """What speaks against the recorded reason; null: nothing."""
+    loser = pnl < 0
+    near_stop = F.abs(F.abs(mae) - stop_usd) <= max(tolerance, 0.15) * F.greatest(F.abs(mae), F.abs(stop_usd))
+    return F.when((recorded != "TP") & (r >= tp_r * (1 - tolerance)), "tp_not_recorded").when((recorded == "TIME") & loser & near_stop, "time_near_stop").when((recorded == "STOP") & loser & (F.abs(mae) < 0.5 * stop_usd), "stop_far_from_stop")
+
+
 def client_id(tag: Column, symbol: Column, side: Column, ts: Column) -> Column:
     """TAG, eight letters of the symbol, side, minute and eight digits of a SHA-1, at most 36 characters."""
     minute = F.date_format(ts, "yyyyMMddHHmm")

@@ -48,6 +48,15 @@ def truth_lookup(left: DataFrame, truth: DataFrame, keys: list[str], columns: li
     return out.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in columns}).drop("_end").withColumnRenamed("_ok", "truth_ok")
 
 
+def both_regimes(left: DataFrame, daily: DataFrame, four_hourly: DataFrame, daily_columns: list[str], four_hourly_columns: list[str], keys: list[str], on: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """(rows with all regimes as of their time, rejected rows with what they lack): a row that lacks either regime goes no further."""
+    out = truth_lookup(left, daily, keys, daily_columns, on).withColumnRenamed("truth_ok", "daily_ok")
+    out = truth_lookup(out, four_hourly, keys, four_hourly_columns, on).withColumnRenamed("truth_ok", "four_hourly_ok")
+    ok = F.col("daily_ok") & F.col("four_hourly_ok")
+    lacks = F.concat_ws(",", F.when(~F.col("daily_ok"), "daily"), F.when(~F.col("four_hourly_ok"), "4h"))
+    return out.where(ok).drop("daily_ok", "four_hourly_ok"), out.where(~ok).withColumn("lacks", lacks).select(*left.columns, "lacks")
+
+
 def rounded_mean(df: DataFrame, keys: list[str], columns: list[str], tf: str, on: str = "ts") -> DataFrame:
     """Times rounded down to tf, values of one key and time averaged; makes a right side unique."""
     from .bars import bucket

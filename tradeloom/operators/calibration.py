@@ -68,6 +68,16 @@ def value_bins(df: DataFrame, p: str, y: str, bins: int) -> DataFrame:
     return df.crossJoin(F.broadcast(edges)).withColumn("bin", cell).groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("p_mean"), F.avg(y).alias("y_rate"))  # one row
 
 
+def feature_bins(df: DataFrame, x: str, y: str, result: str, bins: int) -> DataFrame:
+    """(bin, n, x_low, x_high, win_rate, mean_result, lift) of bins between distinct quantiles of a feature; lift against the win rate of all rows."""
+    some = df.where(F.col(x).isNotNull())
+    q = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
+    edges = some.agg(F.array_distinct(F.percentile(x, q)).alias("_e"), F.avg(F.col(y).cast("double")).alias("_base"))
+    cell = F.greatest(F.lit(1), F.size(F.filter("_e", lambda e: e < F.col(x)))) - 1
+    each = some.crossJoin(F.broadcast(edges)).groupBy(cell.alias("bin"))  # one row
+    return each.agg(F.count("*").alias("n"), F.min(x).alias("x_low"), F.max(x).alias("x_high"), F.avg(F.col(y).cast("double")).alias("win_rate"), F.avg(result).alias("mean_result"), ratio(F.avg(F.col(y).cast("double")), F.first("_base")).alias("lift"))
+
+
 def width_bin(p: Column, bins: int, right_closed: bool) -> Column:
     """Equal-width bin of a probability, clipped to 0 .. bins-1."""
     raw = F.ceil(p * bins) - 1 if right_closed else F.floor(p * bins)

@@ -38,6 +38,26 @@ def excursions(trades: DataFrame, extremes: DataFrame) -> DataFrame:
     return out.withColumns({"mae_r": ratio(F.col("mae_usd"), F.col("risk_usd")), "mfe_r": ratio(F.col("mfe_usd"), F.col("risk_usd"))})
 
 
+def exits_from_bars(trades: DataFrame, bars: DataFrame, atr: DataFrame, times_atr: float, slop_bps: float) -> DataFrame:
+    """trades with implied_stop (risk_usd / size from the entry), tp_proxy (ATR as of the open) and the reason that the bars' extremes tell.
+
+    SL before TL (closed within a minute of exit_deadline) before TP; without bars, or when nothing fits: UNKNOWN.  atr: (symbol, ts, atr).
+    """
+    from .asof import asof_join
+
+    long = F.lower("side") == "long"
+    with_atr = asof_join(trades.withColumn("ts", F.col("opened_at")), atr.where("atr is not null"), ["symbol"], ["atr"]).drop("ts")
+    step = ratio(F.col("risk_usd"), F.abs("size"))
+    out = with_atr.withColumns({"implied_stop": F.col("entry") - F.when(long, step).otherwise(-step), "tp_proxy": F.col("entry") + F.when(long, times_atr).otherwise(-times_atr) * F.col("atr")}).drop("atr")
+    out = out.join(trade_extremes(trades, bars), "id", "left")
+    tol = F.col("entry") * slop_bps / 1e4
+    stopped = F.when(long, F.col("lo") <= F.col("implied_stop") + tol).otherwise(F.col("hi") >= F.col("implied_stop") - tol)
+    late = F.abs(F.unix_micros("closed_at") - F.unix_micros("exit_deadline")) <= 60_000_000
+    taken = F.when(long, F.col("hi") >= F.col("tp_proxy") - tol).otherwise(F.col("lo") <= F.col("tp_proxy") + tol)
+    reason = F.when(F.col("lo").isNull() | F.col("entry").isNull(), "UNKNOWN").when(stopped, "SL").when(late, "TL").when(taken, "TP").otherwise("UNKNOWN")
+    return out.withColumn("exit_from_bars", reason).drop("lo", "hi", "n_bars")
+
+
 def window_enrichment(trades: DataFrame, oi: DataFrame, funding: DataFrame, hours: int = 8) -> DataFrame:
     """trades (id, symbol, opened_at, ...) with the last funding, last open interest and its relative change in the hours up to the open.
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules as X
+from ..operators import asof as A
 from ..operators import calibration as K
 from ..operators import joins as J
 from ..operators import logs as L
 from ..operators import performance as P
 from ..operators import recursive as R
+from ..operators import windows as W
+from ..sources import tables as ST
 from . import domain as D
 from . import trade_queries as T
 from .domain import rounded, sql
@@ -147,3 +150,73 @@ def shuffle_test(spark: S, sf: str) -> DataFrame:
     from ..operators import learning as M
 
     return rounded(M.shuffle_p_value(D.trades(spark, sf), "id", 20), 6, "auc", "p_value")
+
+
+_FLAGS = "x AS (SELECT *, CASE exit_reason WHEN 'SL' THEN 'STOP' WHEN 'TL' THEN 'TIME' ELSE exit_reason END AS rec, pnl < 0 AS lose, abs(abs(mae_usd) - risk_usd) <= 0.15 * greatest(abs(mae_usd), abs(risk_usd)) AS near FROM trades)"
+
+
+@query(sql("trades", _FLAGS + " SELECT id, rec AS recorded, CASE WHEN r >= 2.0 * (1 - 0.1) THEN 'TP' WHEN r <= -1.0 * (1 - 0.1) THEN 'STOP' WHEN lose AND near THEN 'STOP' WHEN lose AND mae_usd < 0.5 * risk_usd THEN 'TIME' ELSE 'OTHER' END AS inferred, CASE WHEN rec <> 'TP' AND r >= 2.0 * (1 - 0.1) THEN 'tp_not_recorded' WHEN rec = 'TIME' AND lose AND near THEN 'time_near_stop' WHEN rec = 'STOP' AND lose AND mae_usd < 0.5 * risk_usd THEN 'stop_far_from_stop' END AS flag FROM x"))
+def exit_bands(spark: S, sf: str) -> DataFrame:
+    rec = C.recorded_exit(F.col("exit_reason"))
+    args = (F.col("r"), F.col("pnl"), F.col("mae_usd"), F.col("risk_usd"))
+    inferred = C.exit_by_result(*args, stop_r=-1.0, tp_r=2.0, tolerance=0.1)
+    return D.trades(spark, sf).select("id", rec.alias("recorded"), inferred.alias("inferred"), C.exit_flag(rec, *args, tp_r=2.0, tolerance=0.1).alias("flag"))
+
+
+_ATR = f"tr AS (SELECT symbol, ts, greatest(high - low, coalesce(abs(high - lag(close) OVER ({BY})), 0), coalesce(abs(low - lag(close) OVER ({BY})), 0)) AS tr FROM bars), atr AS (SELECT symbol, ts, CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END AS atr FROM tr WINDOW w AS ({BY} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))"
+
+
+@query(sql("trades bars", _ATR + ", t AS (SELECT *, CASE WHEN id % 6 = 0 THEN closed_at ELSE closed_at + to_hours(5) END AS deadline, risk_usd * 400 AS risk FROM trades), m AS (SELECT t.*, a.atr FROM t ASOF LEFT JOIN (SELECT * FROM atr WHERE atr IS NOT NULL) a ON t.symbol = a.symbol AND t.opened_at >= a.ts), e AS (SELECT t.id, min(b.low) AS lo, max(b.high) AS hi FROM t JOIN bars b ON t.symbol = b.symbol AND b.ts BETWEEN t.opened_at AND t.closed_at GROUP BY t.id), x AS (SELECT m.*, lo, hi, entry * 0.001 AS tol, entry - CASE side WHEN 'long' THEN risk / size ELSE -risk / size END AS stop, entry + CASE side WHEN 'long' THEN 3 ELSE -3 END * atr AS tp FROM m LEFT JOIN e USING (id)) SELECT id, round(stop, 2) AS implied_stop, round(tp, 2) AS tp_proxy, CASE WHEN lo IS NULL THEN 'UNKNOWN' WHEN CASE side WHEN 'long' THEN lo <= stop + tol ELSE hi >= stop - tol END THEN 'SL' WHEN abs(epoch_us(closed_at) - epoch_us(deadline)) <= 60000000 THEN 'TL' WHEN CASE side WHEN 'long' THEN hi >= tp - tol ELSE lo <= tp + tol END THEN 'TP' ELSE 'UNKNOWN' END AS exit_from_bars FROM x"))
+def exits_from_bars(spark: S, sf: str) -> DataFrame:
+    bars = D.bars(spark, sf)
+    before = F.lag("close").over(X.bars())
+    true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    atr = bars.withColumn("tr", true_range).withColumn("atr", W.sma("tr", 14)).select("symbol", "ts", "atr")
+    deadline = F.when(F.col("id") % 6 == 0, F.col("closed_at")).otherwise(F.timestamp_micros(F.unix_micros("closed_at") + 5 * 3_600_000_000))
+    t = D.trades(spark, sf).withColumns({"exit_deadline": deadline, "risk_usd": F.col("risk_usd") * 400})
+    return rounded(J.exits_from_bars(t, bars, atr, 3.0, 10.0), 2, "implied_stop", "tp_proxy").select("id", "implied_stop", "tp_proxy", "exit_from_bars")
+
+
+_REGIMES = "d AS (SELECT symbol, ts, CASE WHEN close > open THEN 1 ELSE 0 END AS trend FROM days WHERE ts < TIMESTAMP '2024-01-25'), h AS (SELECT symbol, ts, CASE WHEN date_part('hour', ts) % 5 <> 0 THEN close END AS level FROM bars WHERE ts < TIMESTAMP '2024-01-27'), x AS (SELECT z.id, z.ts, z.symbol, d.trend, d.ts AS dts FROM decisions z ASOF LEFT JOIN d ON z.symbol = d.symbol AND z.ts >= d.ts), y AS (SELECT x.*, h.level FROM x ASOF LEFT JOIN h ON x.symbol = h.symbol AND x.ts >= h.ts), e AS (SELECT symbol, max(ts) AS de FROM d GROUP BY symbol), f AS (SELECT symbol, max(ts) AS he FROM h GROUP BY symbol), w AS (SELECT y.*, coalesce(y.ts <= de AND trend IS NOT NULL, false) AS a, coalesce(y.ts <= he AND level IS NOT NULL, false) AS b FROM y LEFT JOIN e USING (symbol) LEFT JOIN f USING (symbol))"
+
+
+@query(sql("days bars decisions", _REGIMES + " SELECT id, CASE WHEN a AND b THEN trend END AS trend, CASE WHEN a AND b THEN round(level, 4) END AS level, CASE WHEN NOT (a AND b) THEN concat_ws(',', CASE WHEN NOT a THEN 'daily' END, CASE WHEN NOT b THEN '4h' END) END AS lacks FROM w"))
+def merged_regimes(spark: S, sf: str) -> DataFrame:
+    daily = D.bars(spark, sf, "1d").where("ts < timestamp'2024-01-25'").select("symbol", "ts", (F.col("close") > F.col("open")).cast("int").alias("trend"))
+    level = F.when(F.hour("ts") % 5 != 0, F.col("close")).alias("level")
+    hourly = D.bars(spark, sf).where("ts < timestamp'2024-01-27'").select("symbol", "ts", level)
+    kept, rejected = A.both_regimes(D.decisions(spark, sf).select("id", "symbol", "ts"), daily, hourly, ["trend"], ["level"], ["symbol"])
+    return kept.select("id", "trend", F.round("level", 4).alias("level")).unionByName(rejected.select("id", "lacks"), allowMissingColumns=True)
+
+
+@query(sql("trades", "e AS (SELECT list_distinct(quantile_cont(mfe_usd, [0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e, avg(y) AS base FROM trades), b AS (SELECT CAST(greatest(1, len(list_filter(e, lambda v: v < mfe_usd))) - 1 AS INTEGER) AS bin, mfe_usd AS x, y, pnl, base FROM trades, e) SELECT bin, count(*) AS n, round(min(x), 4) AS x_low, round(max(x), 4) AS x_high, round(avg(y), 6) AS win_rate, round(avg(pnl), 6) AS mean_result, round(avg(y) / nullif(min(base), 0), 6) AS lift FROM b GROUP BY bin"))
+def feature_bins(spark: S, sf: str) -> DataFrame:
+    out = K.feature_bins(D.trades(spark, sf), "mfe_usd", "y", "pnl", 5)
+    return rounded(rounded(out, 4, "x_low", "x_high"), 6, "win_rate", "mean_result", "lift")
+
+
+_RANK = "i AS (SELECT p, y, row_number() OVER (ORDER BY p, id) - 1 AS i, count(*) OVER () AS n FROM trades), b AS (SELECT CAST(greatest(0, (i * 10 + greatest(1, n - 1) - 1) // greatest(1, n - 1) - 1) AS INTEGER) AS bin, p, y FROM i), t AS (SELECT count(*) AS n, avg(p) AS c, avg(y) AS a FROM b GROUP BY bin), u AS (SELECT greatest(0, least(9, floor(p * 10))) AS bin, count(*) AS n, round(avg(p), 4) AS c, round(avg(y), 4) AS a FROM trades GROUP BY 1)"
+
+
+@query(sql("trades", _RANK + " SELECT 'rank10' AS rule, round(sum(n * abs(a - c)) / sum(n), 6) AS ece FROM t UNION ALL SELECT 'table', round(sum(n * abs(a - c)) / sum(n), 6) FROM u"))
+def calibration_error_of_tables(spark: S, sf: str) -> DataFrame:
+    """By equal-count rank bins, and from a table of bins as reports hold it (means rounded to four places)."""
+    t = D.trades(spark, sf)
+    by_rank = K.ece_of_bins(K.rank_bins(t, "p", "y", "id", 10), "n", "x_mean", "y_rate")
+    report = rounded(t.groupBy(K.width_bin(F.col("p"), 10, False).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("c"), F.avg("y").alias("a")), 4, "c", "a")
+    one = lambda name, df: df.select(F.lit(name).alias("rule"), F.round("ece", 6).alias("ece"))
+    return one("rank10", by_rank).unionByName(one("table", K.ece_of_bins(report, "n", "c", "a")))
+
+
+@query(sql("bars", _ATR + f", r AS (SELECT symbol, ts, atr, CASE WHEN count(high) OVER w = 12 THEN max(high) OVER w - min(low) OVER w END AS range FROM bars JOIN atr USING (symbol, ts) WINDOW w AS ({BY} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT symbol, ts, round(range / nullif(atr, 0), 6) AS congestion FROM r"))
+def prebreak_congestion(spark: S, sf: str) -> DataFrame:
+    before = F.lag("close").over(X.bars())
+    true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    bars = D.bars(spark, sf).withColumn("tr", true_range).withColumn("atr", W.sma("tr", 14))
+    return bars.select("symbol", "ts", F.round(W.congestion(12), 6).alias("congestion"))
+
+
+@query(sql("trades", "SELECT id, symbol, opened_at FROM trades WHERE id % 3 <> 0 AND opened_at >= TIMESTAMP '2024-01-05' AND opened_at < TIMESTAMP '2024-01-15'"))
+def closed_positions(spark: S, sf: str) -> DataFrame:
+    t = D.trades(spark, sf).withColumn("status", F.when(F.col("id") % 3 == 0, "OPEN").otherwise("CLOSED"))
+    return ST.closed_positions(t, "2024-01-05", "2024-01-15").select("id", "symbol", "opened_at")

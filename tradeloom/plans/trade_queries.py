@@ -343,10 +343,10 @@ def client_ids(spark: S, sf: str) -> DataFrame:
     return D.trades(spark, sf).select("id", C.client_id(F.lit("DON"), F.col("symbol"), F.col("side"), F.col("opened_at")).alias("client_id"))
 
 
-@query(sql("trades", "a AS (SELECT unnest(['p', 'pnl', 'mfe_usd']) AS name) SELECT name, (SELECT count(*) FROM trades) AS n, CASE name WHEN 'p' THEN (SELECT round(avg(CAST(id % 10 = 0 AS DOUBLE)), 6) FROM trades) ELSE 0.0 END AS missing, CASE name WHEN 'p' THEN (SELECT round(avg(p), 8) FROM trades WHERE id % 10 <> 0) WHEN 'pnl' THEN (SELECT round(avg(pnl), 8) FROM trades) ELSE (SELECT round(avg(mfe_usd), 8) FROM trades) END AS mean, CASE name WHEN 'p' THEN (SELECT round(quantile_cont(p, 0.9), 4) FROM trades WHERE id % 10 <> 0) WHEN 'pnl' THEN (SELECT round(quantile_cont(pnl, 0.9), 4) FROM trades) ELSE (SELECT round(quantile_cont(mfe_usd, 0.9), 4) FROM trades) END AS p90 FROM a"))
+@query(sql("trades", "a AS (SELECT unnest(['p', 'pnl', 'mfe_usd']) AS name) SELECT name, (SELECT count(*) FROM trades) AS n, CASE name WHEN 'p' THEN (SELECT round(avg(CAST(id % 10 = 0 AS DOUBLE)), 6) FROM trades) ELSE 0.0 END AS missing, CASE name WHEN 'p' THEN (SELECT round(avg(p), 8) FROM trades WHERE id % 10 <> 0) WHEN 'pnl' THEN (SELECT round(avg(pnl), 8) FROM trades) ELSE (SELECT round(avg(mfe_usd), 8) FROM trades) END AS mean, CASE name WHEN 'p' THEN (SELECT round(quantile_cont(p, 0.1), 4) FROM trades WHERE id % 10 <> 0) WHEN 'pnl' THEN (SELECT round(quantile_cont(pnl, 0.1), 4) FROM trades) ELSE (SELECT round(quantile_cont(mfe_usd, 0.1), 4) FROM trades) END AS p10, CASE name WHEN 'p' THEN (SELECT round(quantile_cont(p, 0.9), 4) FROM trades WHERE id % 10 <> 0) WHEN 'pnl' THEN (SELECT round(quantile_cont(pnl, 0.9), 4) FROM trades) ELSE (SELECT round(quantile_cont(mfe_usd, 0.9), 4) FROM trades) END AS p90 FROM a"))
 def dataset_audit(spark: S, sf: str) -> DataFrame:
     t = D.trades(spark, sf).withColumn("p", F.when(F.col("id") % 10 != 0, F.col("p")))
-    return rounded(rounded(Q.column_audit(t, ["p", "pnl", "mfe_usd"]).drop("p10"), 6, "missing").withColumn("mean", F.round("mean", 8)), 4, "p90")
+    return rounded(rounded(Q.column_audit(t, ["p", "pnl", "mfe_usd"]), 6, "missing").withColumn("mean", F.round("mean", 8)), 4, "p10", "p90")
 
 
 @query(sql("trades", "SELECT y, count(*) AS n, round(count(*) / (SELECT count(*) FROM trades), 6) AS share FROM trades GROUP BY y"))
@@ -373,10 +373,10 @@ def score_parity(spark: S, sf: str) -> DataFrame:
     return rounded(Q.parity(t.select("id", "p"), other, ["id"], ["p"]), 6, "worst")
 
 
-@query(sql("trades", "g AS (SELECT exit_reason, count(mae_usd) AS n, quantile_cont(mae_usd, [0.01, 0.1, 0.5, 0.9, 0.99]) AS q FROM trades GROUP BY 1) SELECT exit_reason, 'mae_usd' AS driver, n, round(q[1], 4) AS q01, round(q[3], 4) AS q50, round(q[5], 4) AS q99 FROM g"))
+@query(sql("trades", "g AS (SELECT exit_reason, count(mae_usd) AS n, quantile_cont(mae_usd, [0.01, 0.1, 0.5, 0.9, 0.99]) AS q FROM trades GROUP BY 1) SELECT exit_reason, 'mae_usd' AS driver, n, round(q[1], 4) AS q01, round(q[2], 4) AS q10, round(q[3], 4) AS q50, round(q[4], 4) AS q90, round(q[5], 4) AS q99 FROM g"))
 def category_drivers(spark: S, sf: str) -> DataFrame:
     d = Q.drivers(D.trades(spark, sf), "exit_reason", ["mae_usd"])
-    return d.select("exit_reason", "driver", "n", *[F.round(F.col("q")[k], 4).alias(f"q{n}") for k, n in ((0, "01"), (2, "50"), (4, "99"))])
+    return d.select("exit_reason", "driver", "n", *[F.round(F.col("q")[k], 4).alias(f"q{n}") for k, n in enumerate(("01", "10", "50", "90", "99"))])
 
 
 @query(sql("trades", "g AS (SELECT tag, exit_reason, count(DISTINCT side) AS k FROM trades GROUP BY ALL) SELECT count(*) AS tuples, max(k) AS most FROM g"))
@@ -437,7 +437,10 @@ def markdown_cells(spark: S, sf: str) -> DataFrame:
     return D.trades(spark, sf).select("id", C.markdown_cell(F.concat_ws("|", "symbol", "side")).alias("cell"))
 
 
-@query()
+_ERF = "{c} * (1 - t * exp(-x * x + -1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))))"
+
+
+@query(sql("trades", "s AS (SELECT tag, count(*) AS n, avg(r) / stddev_samp(r) AS sharpe FROM trades GROUP BY tag HAVING count(*) >= 10 AND stddev_samp(r) > 0), x AS (SELECT *, sharpe * sqrt(n - 1) / sqrt(2) AS x, 1 / (1 + 0.5 * abs(sharpe * sqrt(n - 1) / sqrt(2))) AS t FROM s), p AS (SELECT tag, n, sharpe, 0.5 * (1 + " + _ERF.format(c="sign(x)") + ") AS psr FROM x) SELECT tag, n, round(sharpe, 6) AS sharpe, round(psr, 6) AS psr, round(greatest(0, 1 - (1 - psr) * 10), 6) AS dsr FROM p"))
 def deflated_sharpe(spark: S, sf: str) -> DataFrame:
     return rounded(K.deflated_sharpe(D.trades(spark, sf), "r", ["tag"], 10), 6, "sharpe", "psr", "dsr")
 

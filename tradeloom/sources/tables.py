@@ -37,10 +37,11 @@ def read_signals(spark: SparkSession, path: str, symbols: list[str] | None = Non
 
 
 def closed_positions(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Closed positions opened in [start, end)."""
+    """Closed positions opened in [start, end), by time of opening, then id."""
     df = df.where("status = 'CLOSED'")
     df = df.where(F.col("opened_at") >= F.lit(start).cast("timestamp")) if start else df
-    return df.where(F.col("opened_at") < F.lit(end).cast("timestamp")) if end else df
+    df = df.where(F.col("opened_at") < F.lit(end).cast("timestamp")) if end else df
+    return df.orderBy("opened_at", "id")
 
 
 def read_positions(spark: SparkSession, url: str, table: str, bounds: tuple[str, str], partitions: int, **options: str) -> DataFrame:

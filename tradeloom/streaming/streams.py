@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import bars as B
 from ..operators import logs as L
+from ..sources.staging import staged
 
 
 def closed_bars(ticks: DataFrame, tf: str, late: str) -> DataFrame:
@@ -64,10 +65,16 @@ def outcome_state(outcomes: DataFrame, most: int = 50, span: int = 20) -> DataFr
 
 
 def upsert_to(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keep: int, keys: tuple[str, ...] = ("symbol", "tf")) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: the batch's rows replace those of the same keys and time in the table that read and write reach."""
+    """A foreachBatch function: the batch's rows replace those of the same keys and time in the table that read and write reach.
+
+    Only the series that the batch holds are read and written; write replaces the series of its rows and no others, as an
+    insertInto under spark.sql.sources.partitionOverwriteMode=dynamic does on a table partitioned by the keys.  What is written is staged before, so the
+    table is no longer read then.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
         new = batch.withColumn("_seq", F.monotonically_increasing_id())
-        write(B.upsert(read(), B.keep_last(new, [*keys, "ts"], ["_seq"]).drop("_seq"), keep, keys))
+        old = read().join(batch.select(*keys).distinct(), list(keys), "left_semi")
+        write(staged(B.upsert(old, B.keep_last(new, [*keys, "ts"], ["_seq"]).drop("_seq"), keep, keys), "upsert"))
 
     return run

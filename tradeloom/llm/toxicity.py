@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,9 +173,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     terms = staged(sample.mapInArrow(run, schema), "toxicity-terms")
     chosen = tell_apart(terms, TERMS, COMMON_TERMS)
     held = F.filter(F.arrays_zip("buckets", "values"), lambda x: x["buckets"].isin(chosen) if chosen else F.lit(False))
-    rows = terms.select("id", "y", held["buckets"].alias("b"), held["values"].alias("v")).collect()  # sample_rows rows of at most TERMS + COMMON_TERMS values
-    rows = sorted((r["id"], r["y"], tuple(r["b"] or ()), tuple(r["v"] or ())) for r in rows)
-    return FactorizationMachine.fit(np.array(chosen, dtype=np.int64), [(np.array(r[2], dtype=np.int64), np.array(r[3], dtype=np.float32)) for r in rows], np.array([r[1] for r in rows], dtype=float))
+    rows = terms.select("y", held["buckets"].alias("b"), held["values"].alias("v"), F.xxhash64("id", "y", "buckets").alias("order")).toArrow()  # sample_rows rows of at most TERMS + COMMON_TERMS values
+    rows = rows.take(pa.compute.sort_indices(rows["order"])).combine_chunks()
+    lists = [(b.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(np.float32)) for b, v in zip(rows["b"], rows["v"], strict=True)]
+    return FactorizationMachine.fit(np.array(chosen, dtype=np.int64), lists, rows["y"].to_numpy().astype(float))
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,11 +81,12 @@ def _bitmap(hashes: DataFrame) -> list[int]:
     return words
 
 
-def _may_be_known(words: list[int]) -> str:
-    """SQL condition: the bitmap has all three bits of h."""
+def _hits(words: list[int]) -> Column:
+    """(p, h) of the shingles in the column hashes whose three bits the bitmap has; the bitmap stands in the plan once."""
     table = "array(" + ",".join(f"{w}L" if w != -(1 << 63) else "bigint(-9223372036854775808)" for w in words) + ")"
     part = lambda shift, bits: f"cast({f'shiftrightunsigned(h, {shift})' if shift else 'h'} & {(1 << bits) - 1}L as int)"
-    return " and ".join(f"bit_get({table}[{part(w, WORD_BITS)}], {part(b, 6)}) = 1" for w, b in _PLACES)
+    known = " and ".join(f"bit_get(t[{part(w, WORD_BITS)}], {part(b, 6)}) = 1" for w, b in _PLACES)
+    return F.expr(f"transform(array({table}), t -> filter(transform(hashes, (h, i) -> if({known}, struct(i as p, h as h), null)), x -> x is not null))[0]")
 
 
 def _blocks(print_: Column) -> Column:
@@ -127,7 +128,7 @@ def _windows(docs: DataFrame, items: DataFrame, weights: DataFrame, id_col: str,
     text = whole_text(text_col)
     row = F.monotonically_increasing_id().alias("row")  # beside a column of this kind, Spark doesn't move later filters before it and so takes no shingle twice
     cut = docs.select(F.col(id_col).alias("id"), digest_of(text).alias("digest"), bound(words_of(text), shingles_of).alias("hashes"), row)
-    hits = F.expr(f"filter(transform(hashes, (h, i) -> if({_may_be_known(_bitmap(weights))}, struct(i as p, h as h), null)), x -> x is not null)")
+    hits = _hits(_bitmap(weights))
     held = staged(cut.select("*", hits.alias("hits"), F.monotonically_increasing_id().alias("again")).where(F.size("hits") > 0).drop("again"), "texts-hit")
     places = held.select("row", F.size("hashes").alias("m"), F.inline("hits").alias("p", "h")).join(weights, "h")
     places = staged(places.select("row", "m", "p", "h", "weight"), "texts-places")

@@ -99,7 +99,7 @@ def encode_counts(texts: DataFrame, kind: str, content, id_type: str = "binary")
         counter = loaded(kind, content.value)
         for batch in batches:
             strings = batch.column(1).to_pylist()
-            n = [c for lo, hi in chunks(strings) for c in counter.count(strings[lo:hi])]
+            n = [c for lo, hi in chunks(list(map(len, strings))) for c in counter.count(strings[lo:hi])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])
         give_back()
 

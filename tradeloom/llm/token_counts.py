@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, ByteBpe, chunks
+from .bpe import PATTERN, ByteBpe, Tables, chunks, read_tables
 from .shared import give_back, new_path, staged, whole_text
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -56,10 +56,11 @@ class Counter:
             return
         import tiktoken
 
-        own = ByteBpe(content.decode())
-        ranks = {x: i for i, x in own.bytes_of.items() if i not in own.special.values()}
-        fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=own.special)
-        by_rank = _ids_follow_merges(own)
+        tables = read_tables(content.decode())
+        own, at = ByteBpe(tables), tables.start.tolist()
+        ranks = {tables.raw[lo:hi]: i for i, (lo, hi) in enumerate(zip(at, at[1:], strict=False)) if hi > lo and i not in tables.special.values()}
+        fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=tables.special)
+        by_rank = _ids_follow_merges(tables)
 
         def count(texts: list[str]) -> list[int]:
             out = []
@@ -73,14 +74,10 @@ class Counter:
         self.count = count
 
 
-def _ids_follow_merges(own: ByteBpe) -> bool:
+def _ids_follow_merges(tables: Tables) -> bool:
     """Whether a merge of lower rank always makes a token of lower id, as counting by ids needs."""
-    made: dict[int, int] = {}
-    ids = {x: i for i, x in own.bytes_of.items()}
-    for (a, b), n in own.rank.items():
-        made.setdefault(ids[own.bytes_of[a] + own.bytes_of[b]], n)
-    in_order = sorted(made, key=made.get)
-    return in_order == sorted(in_order)
+    ranks = tables.made[tables.made >= 0].tolist()  # by id
+    return ranks == sorted(ranks)
 
 
 def _long_white(text: str) -> bool:

@@ -166,15 +166,15 @@ def exit_bands(spark: S, sf: str) -> DataFrame:
 _ATR = f"tr AS (SELECT symbol, ts, greatest(high - low, coalesce(abs(high - lag(close) OVER ({BY})), 0), coalesce(abs(low - lag(close) OVER ({BY})), 0)) AS tr FROM bars), atr AS (SELECT symbol, ts, CASE WHEN count(tr) OVER w = 14 THEN avg(tr) OVER w END AS atr FROM tr WINDOW w AS ({BY} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))"
 
 
-@query(sql("trades bars", _ATR + ", t AS (SELECT *, CASE WHEN id % 6 = 0 THEN closed_at ELSE closed_at + to_hours(5) END AS deadline, risk_usd * 377.7731 AS risk FROM trades), m AS (SELECT t.*, a.atr FROM t ASOF LEFT JOIN (SELECT * FROM atr WHERE atr IS NOT NULL) a ON t.symbol = a.symbol AND t.opened_at >= a.ts), e AS (SELECT t.id, min(b.low) AS lo, max(b.high) AS hi FROM t JOIN bars b ON t.symbol = b.symbol AND b.ts BETWEEN t.opened_at AND t.closed_at GROUP BY t.id), x AS (SELECT m.*, lo, hi, entry * 0.001 AS tol, entry - CASE side WHEN 'long' THEN risk / size ELSE -risk / size END AS stop, entry + CASE side WHEN 'long' THEN 3.0131 ELSE -3.0131 END * atr AS tp FROM m LEFT JOIN e USING (id)) SELECT id, round(stop, 2) AS implied_stop, round(tp, 2) AS tp_proxy, CASE WHEN lo IS NULL THEN 'UNKNOWN' WHEN CASE side WHEN 'long' THEN lo <= stop + tol ELSE hi >= stop - tol END THEN 'SL' WHEN abs(epoch_us(closed_at) - epoch_us(deadline)) <= 60000000 THEN 'TL' WHEN CASE side WHEN 'long' THEN hi >= tp - tol ELSE lo <= tp + tol END THEN 'TP' ELSE 'UNKNOWN' END AS exit_from_bars FROM x"))
+@query(sql("trades bars", _ATR + ", t AS (SELECT *, CASE WHEN id % 6 = 0 THEN closed_at ELSE closed_at + to_hours(5) END AS deadline, risk_usd * 377.77319137 AS risk FROM trades), m AS (SELECT t.*, a.atr FROM t ASOF LEFT JOIN (SELECT * FROM atr WHERE atr IS NOT NULL) a ON t.symbol = a.symbol AND t.opened_at >= a.ts), e AS (SELECT t.id, min(b.low) AS lo, max(b.high) AS hi FROM t JOIN bars b ON t.symbol = b.symbol AND b.ts BETWEEN t.opened_at AND t.closed_at GROUP BY t.id), x AS (SELECT m.*, lo, hi, entry * 0.001 AS tol, entry - CASE side WHEN 'long' THEN risk / size ELSE -risk / size END AS stop, entry + CASE side WHEN 'long' THEN 3.01317391 ELSE -3.01317391 END * atr AS tp FROM m LEFT JOIN e USING (id)) SELECT id, round(stop, 2) AS implied_stop, round(tp, 2) AS tp_proxy, CASE WHEN lo IS NULL THEN 'UNKNOWN' WHEN CASE side WHEN 'long' THEN lo <= stop + tol ELSE hi >= stop - tol END THEN 'SL' WHEN abs(epoch_us(closed_at) - epoch_us(deadline)) <= 60000000 THEN 'TL' WHEN CASE side WHEN 'long' THEN hi >= tp - tol ELSE lo <= tp + tol END THEN 'TP' ELSE 'UNKNOWN' END AS exit_from_bars FROM x"))
 def exits_from_bars(spark: S, sf: str) -> DataFrame:
     bars = D.bars(spark, sf)
     before = F.lag("close").over(X.bars())
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
     atr = bars.withColumn("tr", true_range).withColumn("atr", W.sma("tr", 14)).select("symbol", "ts", "atr")
     deadline = F.when(F.col("id") % 6 == 0, F.col("closed_at")).otherwise(F.timestamp_micros(F.unix_micros("closed_at") + 5 * 3_600_000_000))
-    t = D.trades(spark, sf).withColumns({"exit_deadline": deadline, "risk_usd": F.col("risk_usd") * 377.7731})
-    return rounded(J.exits_from_bars(t, bars, atr, 3.0131, 10.0), 2, "implied_stop", "tp_proxy").select("id", "implied_stop", "tp_proxy", "exit_from_bars")
+    t = D.trades(spark, sf).withColumns({"exit_deadline": deadline, "risk_usd": F.col("risk_usd") * 377.77319137})
+    return rounded(J.exits_from_bars(t, bars, atr, 3.01317391, 10.0), 2, "implied_stop", "tp_proxy").select("id", "implied_stop", "tp_proxy", "exit_from_bars")
 
 
 _REGIMES = "d AS (SELECT symbol, ts, CASE WHEN close > open THEN 1 ELSE 0 END AS trend FROM days WHERE ts < TIMESTAMP '2024-01-25'), h AS (SELECT symbol, ts, CASE WHEN date_part('hour', ts) % 5 <> 0 THEN close END AS level FROM bars WHERE ts < TIMESTAMP '2024-01-27'), x AS (SELECT z.id, z.ts, z.symbol, d.trend, d.ts AS dts FROM decisions z ASOF LEFT JOIN d ON z.symbol = d.symbol AND z.ts >= d.ts), y AS (SELECT x.*, h.level FROM x ASOF LEFT JOIN h ON x.symbol = h.symbol AND x.ts >= h.ts), e AS (SELECT symbol, max(ts) AS de FROM d GROUP BY symbol), f AS (SELECT symbol, max(ts) AS he FROM h GROUP BY symbol), w AS (SELECT y.*, coalesce(y.ts <= de AND trend IS NOT NULL, false) AS a, coalesce(y.ts <= he AND level IS NOT NULL, false) AS b FROM y LEFT JOIN e USING (symbol) LEFT JOIN f USING (symbol))"

@@ -169,6 +169,32 @@ def test_greedy_match_uses_each_position_once(spark):
     assert sorted((r["id"], r["accepted"]) for r in R.accepted_signals(s, 60).collect()) == [(1, True), (2, False), (3, True)]
 
 
+def test_split_groups_give_the_same_matches_and_signals(spark):
+    """Chains of candidates and runs of signals against one pass over each symbol's rows; nulls, ties and empty tables."""
+    rng = np.random.default_rng(7)
+    n = 600
+    base = pd.DataFrame({"symbol": rng.choice(["A", "B"], n), "statement_id": rng.integers(0, 150, n), "position_id": rng.integers(0, 200, n)})
+    base = base.drop_duplicates(["statement_id", "position_id"])
+    base["symbol"] = np.where(base.statement_id % 2 == 0, "A", "B")
+    base["position_id"] = base.position_id * 2 + (base.symbol == "B")
+    base["entry"], base["entry_price"] = (base.statement_id % 30).astype(float), (base.position_id % 30).astype(float)
+    base = base[(base.entry - base.entry_price).abs() <= 2]
+    base["closed_at"] = [T0 + dt.timedelta(minutes=int(s) % 40) for s in base.statement_id]
+    base["gap"] = (base.statement_id * 7 + base.position_id * 3).mod(11).astype(float)
+    df = spark.createDataFrame(base).repartition(3)
+    got = [sorted(tuple(r) for r in R.greedy_match(df, spans).collect()) for spans in ((), (("entry", "entry_price"),), (("entry", "entry_price"), ("entry", "entry_price")))]
+    assert got[0] and got[0] == got[1] == got[2]
+    assert R.greedy_match(df.where("false"), (("entry", "entry_price"),)).count() == 0
+    times = [None, None, *[T0 + dt.timedelta(seconds=int(x)) for x in np.sort(rng.integers(0, 20_000, 300))]]
+    signals = [("A" if k % 3 else "B", t, k) for k, t in enumerate(times)]
+    want, last = {}, {}
+    for s, t, k in sorted((r for r in signals if r[1]), key=lambda r: (r[1], r[2])):
+        want[k] = s not in last or (t - last[s]).total_seconds() >= 60
+        last[s] = t if want[k] else last[s]
+    found = R.accepted_signals(spark.createDataFrame(signals, "symbol string, ts timestamp, id long").repartition(3), 60).collect()
+    assert {r["id"]: r["accepted"] for r in found} == {**want, 0: False, 1: False} and len(found) == len(signals)
+
+
 def test_universe_cases(spark):
     rows = [("BTCUSDT", "BTC", "USDT", "USDT", True, True, True), ("", "PEPE", "USDT", "USDT", True, True, True), ("ETHUSDC", "ETH", "USDC", "USDC", True, True, True), ("XUSDT", "X", "USDT", "USDT", False, True, True), ("YUSDT", "Y", "USDT", "USDT", True, True, False)]
     df = spark.createDataFrame(rows, "id string, base string, quote string, settle string, swap boolean, linear boolean, active boolean")

@@ -1,14 +1,18 @@
 """The few per-symbol recursions: exponential means and what stands on them, a two-state switching filter, sequential guards, greedy matching.
 
 Each runs by applyInPandas on one symbol's rows, with the needed columns only.  A symbol has at most 288 bars a day at five
-minutes, so a group stays small (1.5 million rows for 14 years).
+minutes, so a group stays small (1.5 million rows for 14 years).  Signals and match candidates have no such bound: they are cut into
+groups that cannot affect each other, which stream through mapInPandas in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INDICATORS = ["ema", "atr", "rsi", "adx", "macd", "macd_signal", "macd_hist", "macd_slope"]
@@ -125,33 +129,70 @@ def markov_regime(bars: DataFrame, least: int, up: bool, alpha: float = 0.2) ->
     return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, prob double, state int")
 
 
-def accepted_signals(signals: DataFrame, cooldown_s: float) -> DataFrame:
-    """(symbol, ts, id, accepted): a signal is accepted if the last accepted one of its symbol is cooldown_s away."""
+def _in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with equal keys in one partition, one after another in order; the sort spills, so no group is held."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts", "id"], ignore_index=True)
-        at, last, ok = g["ts"].to_numpy().astype("datetime64[us]").astype(np.int64), None, []
-        for t in at:
-            ok.append(last is None or t - last >= cooldown_s * 1e6)
-            last = t if ok[-1] else last
-        return g.assign(accepted=ok)
 
-    return signals.select("symbol", "ts", "id").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, id long, accepted boolean")
+def accepted_signals(signals: DataFrame, cooldown_s: float) -> DataFrame:
+    """(symbol, ts, id, accepted): a signal is accepted if the last accepted one of its symbol is cooldown_s away; without a time never.
 
+    A signal cooldown_s after the one before it is accepted whatever came earlier, so it starts a run of its own that any task can
+    take; a task reads its runs in order and holds the last accepted time only.
+    """
 
-def greedy_match(candidates: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for g in batches:
+            ok = []
+            at = g["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            for key, t, known in zip(zip(g["symbol"], g["_run"], strict=True), at, g["ts"].notna(), strict=True):
+                if key != now:
+                    now, last = key, None
+                ok.append(bool(known) and (last is None or t - last >= cooldown_s * 1e6))
+                last = t if ok[-1] else last
+            yield g[["symbol", "ts", "id"]].assign(accepted=ok)
+
+    w = Window.partitionBy("symbol").orderBy("ts", "id")
+    at = F.unix_micros("ts")
+    apart = F.coalesce((at - F.lag(at).over(w) >= cooldown_s * 1e6).cast("int"), F.lit(0))
+    runs = signals.select("symbol", "ts", "id").withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _in_order(runs.drop("_apart"), ["symbol", "_run"], ["ts", "id"]).mapInPandas(run, "symbol string, ts timestamp, id long, accepted boolean")
+
+
+def _chains(rows: DataFrame, keys: list[str], lo: Column, hi: Column, name: str) -> DataFrame:
+    """rows with the number of their chain of overlapping [lo, hi] among rows of equal keys; rows of different chains share no value."""
+    w = Window.partitionBy(*keys).orderBy("_lo")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    df = rows.withColumns({"_lo": lo, "_hi": hi})
+    df = df.withColumn("_gap", F.coalesce((F.col("_lo") > F.max("_hi").over(before)).cast("int"), F.lit(0)))
+    return df.withColumn(name, F.sum("_gap").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_lo", "_hi", "_gap")
+
+
+def greedy_match(candidates: DataFrame, spans: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """(statement_id, position_id): statements in order of close time take the nearest position that is still free.
 
-    candidates: symbol, statement_id, closed_at, position_id, gap (seconds).
+    candidates: symbol, statement_id, closed_at, position_id, gap (seconds).  spans: pairs of columns, one of the statement's own values and the
+    position's own, such as the two prices: candidates compete only through a shared statement or position, hence inside chains of overlapping
+    [least, greatest], and any task can take a chain.  A task reads its chains in order and holds the ids that the present chain has used.
     """
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        used, done, out = set(), set(), []
-        for s, p in g.sort_values(["closed_at", "statement_id", "gap", "position_id"])[["statement_id", "position_id"]].itertuples(index=False):
-            if s not in done and p not in used:
-                done.add(s)
-                used.add(p)
-                out.append((s, p))
-        return pd.DataFrame(out, columns=["statement_id", "position_id"], dtype="int64")
-
-    return candidates.select("symbol", "statement_id", "closed_at", "position_id", "gap").groupBy("symbol").applyInPandas(run, "statement_id long, position_id long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, done = None, set(), set()
+        for g in batches:
+            out = []
+            for *key, s, p in g.itertuples(index=False, name=None):
+                if key != now:
+                    now, used, done = key, set(), set()
+                if s not in done and p not in used:
+                    done.add(s)
+                    used.add(p)
+                    out.append((s, p))
+            yield pd.DataFrame(out, columns=["statement_id", "position_id"], dtype="int64")
+
+    keys, rows = ["symbol"], candidates.select("symbol", "statement_id", "closed_at", "position_id", "gap", *dict.fromkeys(c for pair in spans for c in pair))
+    for k, (own, other) in enumerate(spans):
+        rows = _chains(rows, keys, F.least(own, other), F.greatest(own, other), f"_chain{k}")
+        keys = [*keys, f"_chain{k}"]
+    ordered = _in_order(rows, keys, ["closed_at", "statement_id", "gap", "position_id"])
+    return ordered.select(*keys, "statement_id", "position_id").mapInPandas(run, "statement_id long, position_id long")

@@ -342,9 +342,22 @@ def exponential_indicators(spark: S, sf: str) -> DataFrame:
     return rounded(R.with_indicators(D.bars(spark, sf)).select("symbol", "ts", "ema", "atr"), 4, "ema", "atr")
 
 
-@query()
+def _ewm(values: str, alpha: str) -> str:
+    return f"list_reduce({values}, lambda a, x: a * (1 - {alpha}) + x * {alpha})"
+
+
+MOMENTUM = f"""n AS (SELECT *, row_number() OVER ({BY}) AS k, close - lag(close) OVER ({BY}) AS mv, high - lag(high) OVER ({BY}) AS up, lag(low) OVER ({BY}) - low AS dn FROM bars),
+t AS (SELECT symbol, ts, k, list(close) OVER w AS c, list(greatest(mv, 0)) FILTER (k > 1) OVER w AS g, list(greatest(-mv, 0)) FILTER (k > 1) OVER w AS l, list(CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END) OVER w AS p, list(CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END) OVER w AS m FROM n WINDOW w AS ({BY} ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT symbol, ts, k, CASE WHEN k >= 26 THEN {_ewm("c", "(2.0 / 13)")} - {_ewm("c", "(2.0 / 27)")} END AS macd, CASE WHEN k >= 15 THEN {_ewm("g", "(1.0 / 14)")} END AS gain, CASE WHEN k >= 15 THEN {_ewm("l", "(1.0 / 14)")} END AS loss, {_ewm("p", "(1.0 / 14)")} AS plus, {_ewm("m", "(1.0 / 14)")} AS minus FROM t),
+u AS (SELECT symbol, ts, k, macd, CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END AS rsi, list(coalesce(100 * abs(plus - minus) / nullif(plus + minus, 0), 0)) FILTER (k >= 14) OVER w AS d, list(macd) FILTER (k >= 26) OVER w AS y FROM s WINDOW w AS ({BY} ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT symbol, ts, rsi, macd, CASE WHEN k >= 27 THEN {_ewm("d", "(1.0 / 14)")} END AS adx, CASE WHEN k >= 34 THEN {_ewm("y", "0.2")} END AS signal FROM u)
+SELECT symbol, ts, round(rsi, 4) AS rsi, round(adx, 4) AS adx, round(macd, 4) + 0.0 AS macd, round(signal, 4) + 0.0 AS macd_signal, round(macd - signal, 4) + 0.0 AS macd_hist, round(macd - signal - lag(macd - signal, 3) OVER ({BY}), 4) + 0.0 AS macd_slope FROM v"""
+
+
+@query(sql("bars", MOMENTUM))
 def momentum_indicators(spark: S, sf: str) -> DataFrame:
-    return rounded(R.with_indicators(D.bars(spark, sf)).select("symbol", "ts", "rsi", "adx", "macd", "macd_signal", "macd_hist", "macd_slope"), 6, "rsi", "adx", "macd")
+    names = ["rsi", "adx", "macd", "macd_signal", "macd_hist", "macd_slope"]
+    return R.with_indicators(D.bars(spark, sf)).select("symbol", "ts", *[(F.round(c, 4) + 0.0).alias(c) for c in names])
 
 
 @query()
@@ -357,7 +370,7 @@ def markov_regime_hourly_volatility(spark: S, sf: str) -> DataFrame:
     return R.markov_regime(D.bars(spark, sf), 50, up=False)
 
 
-@query()
+@query(sql("decisions", "acc AS (SELECT symbol, min({'t': ts, 'i': id}) AS k FROM decisions GROUP BY symbol UNION ALL SELECT d.symbol, min({'t': d.ts, 'i': d.id}) FROM acc a JOIN decisions d ON d.symbol = a.symbol AND d.ts >= a.k.t + INTERVAL 6 HOUR GROUP BY d.symbol) SELECT d.symbol, d.ts, d.id, a.k IS NOT NULL AS accepted FROM decisions d LEFT JOIN acc a ON a.symbol = d.symbol AND a.k.t = d.ts AND a.k.i = d.id").replace("WITH ", "WITH RECURSIVE ", 1))
 def accepted_signals(spark: S, sf: str) -> DataFrame:
     return R.accepted_signals(D.decisions(spark, sf), 6 * 3600)
 

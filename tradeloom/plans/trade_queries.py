@@ -281,9 +281,14 @@ def nearest_statement_match(spark: S, sf: str) -> DataFrame:
     return J.nearest_match(_candidates(spark, sf)).select("statement_id", "position_id", "gap")
 
 
-@query()
+GREEDY = """, sk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY closed_at, statement_id) AS k FROM (SELECT symbol, statement_id, closed_at, list(position_id ORDER BY gap, position_id) AS ps FROM cand GROUP BY ALL)),
+walk AS (SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS statement_id, CAST(NULL AS BIGINT) AS position_id, CAST([] AS BIGINT[]) AS used FROM cand
+UNION ALL SELECT symbol, k, statement_id, p, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END FROM (SELECT s.symbol, s.k, s.statement_id, w.used, list_filter(s.ps, lambda v: NOT list_contains(w.used, v))[1] AS p FROM walk w JOIN sk s ON s.symbol = w.symbol AND s.k = w.k + 1))"""
+
+
+@query(sql("trades", MATCH + GREEDY + " SELECT statement_id, position_id FROM walk WHERE position_id IS NOT NULL").replace("WITH ", "WITH RECURSIVE ", 1))
 def greedy_statement_match(spark: S, sf: str) -> DataFrame:
-    return R.greedy_match(_candidates(spark, sf))
+    return R.greedy_match(_candidates(spark, sf), (("entry", "entry_price"), ("qty", "size")))
 
 
 @query(sql("trades", "x AS (SELECT id, symbol, size, CASE WHEN id % 5 = 0 THEN size / 2 ELSE size END AS amount, side, opened_at + to_minutes(10) AS ts FROM trades WHERE symbol <> 'S7'), h AS (SELECT p.id, sum(x.amount) AS f, sum(x.amount * p.entry) / sum(x.amount) AS v FROM trades p JOIN x ON p.symbol = x.symbol AND CASE p.side WHEN 'long' THEN 'buy' ELSE 'sell' END = CASE x.side WHEN 'long' THEN 'buy' ELSE 'sell' END AND x.ts BETWEEN p.opened_at - INTERVAL 15 MINUTE AND p.opened_at + INTERVAL 15 MINUTE GROUP BY p.id) SELECT p.id, p.size AS expected, coalesce(h.f, 0) AS found FROM trades p LEFT JOIN h USING (id) WHERE p.symbol <> 'S7' AND abs(p.size - coalesce(h.f, 0)) > 0.001"))

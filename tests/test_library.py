@@ -329,3 +329,17 @@ def test_odd_rows(spark):
         K.rank_bins(t, "p", "y", "id", 5).collect()
         K.value_bins(t, "p", "y", 5).collect()
         assert J.trade_extremes(t, none).count() == 0
+
+
+def test_quantiles_of_groups_match_the_built_in(spark):
+    rows = [(k, float(i * 7 % 11) if i % 5 else None, float(i)) for k, n in (("a", 90), ("b", 1), (None, 7), ("c", 2)) for i in range(n)] + [("d", None, math.nan), ("d", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    at = [0.0, 0.05, 0.5, 0.77, 1.0]
+    q = F.array(*[F.lit(v) for v in at])
+    for by in (["k"], []):
+        want = df.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("x", q).alias("qx"), F.percentile("y", q).alias("qy"))
+        got = W.with_quantiles(df.groupBy(*by).agg(F.count("*").alias("n")), df, {"qx": F.col("x"), "qy": F.col("y")}, at, by)
+        plain = lambda d: sorted([str([None if v is None else [round(u, 9) for u in v] if isinstance(v, list) else v for v in r]) for r in d.collect()])
+        assert plain(got) == plain(want) and got.columns == want.columns
+    none = W.with_quantiles(df.limit(0).agg(F.count("*").alias("n")), df.limit(0), {"qx": F.col("x")}, at)
+    assert [tuple(r) for r in none.collect()] == [(0, None)]

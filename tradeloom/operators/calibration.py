@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from .windows import with_order_index, with_running
+from .windows import with_order_index, with_quantiles, with_running
 
 
 def dedup_mean(preds: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def rank_bins(df: DataFrame, x: str, y: str, tie: str, bins: int) -> DataFrame:
 def value_bins(df: DataFrame, p: str, y: str, bins: int) -> DataFrame:
     """(bin, n, p_mean, y_rate) of bins between distinct quantiles of p, right-closed; the first takes the least value."""
     q = [k / bins for k in range(bins + 1)]
-    edges = df.agg(F.array_distinct(F.percentile(p, F.array(*[F.lit(v) for v in q]))).alias("_e"))
+    edges = with_quantiles(df.agg(F.count("*").alias("_rows")), df, {"_e": F.col(p)}, q).select(F.array_distinct("_e").alias("_e"))
     cell = F.greatest(F.lit(1), F.size(F.filter("_e", lambda e: e < F.col(p)))) - 1
     return df.crossJoin(F.broadcast(edges)).withColumn("bin", cell).groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("p_mean"), F.avg(y).alias("y_rate"))  # one row
 
@@ -71,8 +71,8 @@ def value_bins(df: DataFrame, p: str, y: str, bins: int) -> DataFrame:
 def feature_bins(df: DataFrame, x: str, y: str, result: str, bins: int) -> DataFrame:
     """(bin, n, x_low, x_high, win_rate, mean_result, lift) of bins between distinct quantiles of a feature; lift against the win rate of all rows."""
     some = df.where(F.col(x).isNotNull())
-    q = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    edges = some.agg(F.array_distinct(F.percentile(x, q)).alias("_e"), F.avg(F.col(y).cast("double")).alias("_base"))
+    base = some.agg(F.avg(F.col(y).cast("double")).alias("_base"))
+    edges = with_quantiles(base, some, {"_e": F.col(x)}, [k / bins for k in range(bins + 1)]).withColumn("_e", F.array_distinct("_e"))
     cell = F.greatest(F.lit(1), F.size(F.filter("_e", lambda e: e < F.col(x)))) - 1
     each = some.crossJoin(F.broadcast(edges)).groupBy(cell.alias("bin"))  # one row
     return each.agg(F.count("*").alias("n"), F.min(x).alias("x_low"), F.max(x).alias("x_high"), F.avg(F.col(y).cast("double")).alias("win_rate"), F.avg(result).alias("mean_result"), ratio(F.avg(F.col(y).cast("double")), F.first("_base")).alias("lift"))

@@ -17,7 +17,7 @@ from ..sources.staging import staged
 from .calibration import auc_brier, ece, purged_folds, resolution, width_bin
 from .joins import window_enrichment
 from .performance import cost_audit
-from .windows import with_order_index, with_running
+from .windows import with_order_index, with_quantiles, with_running
 
 
 def training_set(positions: DataFrame, oi: DataFrame, funding: DataFrame, bps: float = 6.0) -> DataFrame:
@@ -83,7 +83,7 @@ def calibrators(preds: DataFrame, bins: int = 12) -> dict:
     fitted = platt.fit(vec.transform(preds.withColumn("_l", logit(F.col("p")))))
     a, b = float(fitted.coefficients[0]), float(fitted.intercept)
     iso = IsotonicRegression(featuresCol="p", labelCol="y").fit(preds)
-    edges = preds.agg(F.array_distinct(F.percentile("p", F.array(*[F.lit(k / bins) for k in range(1, bins)])))).first()[0] or []
+    edges = with_quantiles(preds.agg(F.count("*")), preds, {"_e": F.col("p")}, [k / bins for k in range(1, bins)]).select(F.array_distinct("_e")).first()[0] or []
     cell = F.lit(0)
     for e in edges:
         cell = cell + (F.col("p") > e).cast("int")

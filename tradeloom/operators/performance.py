@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from .windows import with_quantiles
 
 
 def summary(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -55,8 +56,9 @@ def decisive(df: DataFrame, by: list[str]) -> DataFrame:
 
 def distribution(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Mean, median and 95th percentile of each column."""
-    aggs = [a for c in columns for a in (F.avg(c).alias(f"{c}_mean"), F.percentile(c, F.lit(0.5)).alias(f"{c}_p50"), F.percentile(c, F.lit(0.95)).alias(f"{c}_p95"))]
-    return df.groupBy(*(by or [])).agg(*aggs)
+    means = df.groupBy(*(by or [])).agg(*[F.avg(c).alias(f"{c}_mean") for c in columns])
+    out = with_quantiles(means, df, {f"_q_{c}": F.col(c) for c in columns}, [0.5, 0.95], by)
+    return out.select(*(by or []), *[x for c in columns for x in (f"{c}_mean", F.col(f"_q_{c}")[0].alias(f"{c}_p50"), F.col(f"_q_{c}")[1].alias(f"{c}_p95"))])
 
 
 def sqn(df: DataFrame, x: str, by: list[str], least: int = 10) -> DataFrame:
@@ -67,21 +69,23 @@ def sqn(df: DataFrame, x: str, by: list[str], least: int = 10) -> DataFrame:
 
 def e_ratio(df: DataFrame, by: list[str]) -> DataFrame:
     """Median MFE against median |MAE|; groups where either is not positive are left out."""
-    out = df.groupBy(*by).agg(F.percentile("mfe_usd", F.lit(0.5)).alias("mfe_p50"), F.percentile(F.abs("mae_usd"), F.lit(0.5)).alias("mae_p50"))
+    out = with_quantiles(df.select(*by).distinct(), df, {"_f": F.col("mfe_usd"), "_a": F.abs("mae_usd")}, [0.5], by)
+    out = out.select(*by, F.col("_f")[0].alias("mfe_p50"), F.col("_a")[0].alias("mae_p50"))
     return out.where("mfe_p50 > 0 and mae_p50 > 0").withColumn("e_ratio", F.col("mfe_p50") / F.col("mae_p50"))
 
 
 def stop_diagnostics(df: DataFrame, by: list[str]) -> DataFrame:
     win, loss = F.col("pnl") > 0, F.col("pnl") < 0
     share = lambda of, test: F.avg(F.when(of, test.cast("double")))
-    return df.where("risk_usd > 0").groupBy(*by).agg(
+    df = df.where("risk_usd > 0")
+    shares = df.groupBy(*by).agg(
         share(win, F.col("mae_usd") > 0.95 * F.col("risk_usd")).alias("winners_near_stop"),
         share(loss, F.col("mae_usd") < 0.5 * F.col("risk_usd")).alias("losers_far_from_stop"),
-        F.percentile(F.when(win & (F.col("mfe_usd") > 0), F.col("pnl") / F.col("mfe_usd")), F.lit(0.5)).alias("capture_p50"),
-        F.percentile("mae_usd", F.lit(0.8)).alias("mae_p80"),
-        F.percentile("mfe_usd", F.lit(0.5)).alias("mfe_p50"),
-        F.percentile("mfe_usd", F.lit(0.7)).alias("mfe_p70"),
     )
+    capture = F.when(win & (F.col("mfe_usd") > 0), F.col("pnl") / F.col("mfe_usd"))
+    out = with_quantiles(shares, df, {"_c": capture, "_a": F.col("mae_usd"), "_f": F.col("mfe_usd")}, [0.5, 0.7, 0.8], by)
+    picked = {"capture_p50": F.col("_c")[0], "mae_p80": F.col("_a")[2], "mfe_p50": F.col("_f")[0], "mfe_p70": F.col("_f")[1]}
+    return out.withColumns(picked).drop("_c", "_a", "_f")
 
 
 def exit_consistency(df: DataFrame) -> DataFrame:

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import finite, ratio
+from .windows import with_quantiles
 
 
 def column_audit(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, n, missing, mean, p10, p90) of numeric columns in one pass."""
-    one = df.agg(F.count("*").alias("n"), *[F.struct(F.lit(c).alias("name"), F.avg(finite(F.col(c)).isNull().cast("double")).alias("missing"), F.avg(finite(F.col(c))).alias("mean"), F.percentile(finite(F.col(c)), F.lit(0.1)).alias("p10"), F.percentile(finite(F.col(c)), F.lit(0.9)).alias("p90")).alias(c) for c in columns])
-    return one.select("n", F.explode(F.array(*columns)).alias("x")).select("x.name", "n", "x.missing", "x.mean", "x.p10", "x.p90")
+    """(name, n, missing, mean, p10, p90) of numeric columns, all columns together."""
+    known = {f"_q_{c}": finite(F.col(c)) for c in columns}
+    one = df.agg(F.count("*").alias("n"), *[F.struct(F.lit(c).alias("name"), F.avg(finite(F.col(c)).isNull().cast("double")).alias("missing"), F.avg(finite(F.col(c))).alias("mean")).alias(c) for c in columns])
+    both = with_quantiles(one, df, known, [0.1, 0.9])
+    parts = [F.struct(F.col(c).alias("x"), F.col(f"_q_{c}").alias("q")) for c in columns]
+    return both.select("n", F.inline(F.array(*parts))).select("x.name", "n", "x.missing", "x.mean", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p90"))
 
 
 def class_balance(df: DataFrame, y: str) -> DataFrame:
@@ -66,14 +70,15 @@ def ewm_alpha(df: DataFrame, x: str, y: str, by: list[str], order: str) -> DataF
     """(by, alpha): median of (y - y1) / (x - y1) inside (0, 1)."""
     prev = F.lag(y).over(Window.partitionBy(*by).orderBy(order))
     a = ratio(F.col(y) - prev, F.col(x) - prev)
-    return df.withColumn("_a", a).where("_a > 0 and _a < 1").groupBy(*by).agg(F.percentile("_a", F.lit(0.5)).alias("alpha"))
+    each = df.withColumn("_a", a).where("_a > 0 and _a < 1")
+    return with_quantiles(each.select(*by).distinct(), each, {"_q": F.col("_a")}, [0.5], by).select(*by, F.col("_q")[0].alias("alpha"))
 
 
 def drivers(df: DataFrame, code: str, columns: list[str], quantiles: tuple[float, ...] = (0.01, 0.1, 0.5, 0.9, 0.99)) -> DataFrame:
     """(code, driver, n, quantiles): spread of each driver within each code."""
-    q = F.array(*[F.lit(v) for v in quantiles])
-    one = df.groupBy(code).agg(*[F.struct(F.lit(c).alias("driver"), F.count(c).alias("n"), F.percentile(c, q).alias("q")).alias(c) for c in columns])
-    return one.select(code, F.inline(F.array(*columns)))
+    one = df.groupBy(code).agg(*[F.count(c).alias(f"_n_{c}") for c in columns])
+    both = with_quantiles(one, df, {f"_q_{c}": F.col(c) for c in columns}, list(quantiles), [code])
+    return both.select(code, F.inline(F.array(*[F.struct(F.lit(c).alias("driver"), F.col(f"_n_{c}").alias("n"), F.col(f"_q_{c}").alias("q")) for c in columns])))
 
 
 def functional_dependency(df: DataFrame, determinants: list[str], dependent: str) -> DataFrame:
@@ -124,8 +129,10 @@ def closest(df: DataFrame, p: str, threshold: float, order: str, n: int) -> Data
 
 def cut_points(df: DataFrame) -> DataFrame:
     """Regime cut points: funding eps, open-interest terciles (z-score, else daily change), high volatility."""
-    one = df.agg(F.percentile(F.abs("funding_rate"), F.lit(0.2)).alias("f"), F.percentile("oi_z_7d", F.array(F.lit(0.33), F.lit(0.66))).alias("z"), F.percentile("oi_pct_1d", F.array(F.lit(0.33), F.lit(0.66))).alias("c"), F.percentile("vol_level", F.array(F.lit(0.66), F.lit(0.5))).alias("v"))
-    return one.select(F.greatest("f", F.lit(1e-8)).alias("funding_eps"), F.coalesce(F.col("z")[0], F.col("c")[0]).alias("oi_q33"), F.coalesce(F.col("z")[1], F.col("c")[1]).alias("oi_q66"), F.coalesce(F.col("v")[0], F.col("v")[1], F.lit(1.0)).alias("vol_high"))
+    values = {"f": F.abs("funding_rate"), "z": F.col("oi_z_7d"), "c": F.col("oi_pct_1d"), "v": F.col("vol_level")}
+    one = with_quantiles(df.agg(F.count("*").alias("n")), df, values, [0.2, 0.33, 0.66])
+    at = lambda name, k: F.col(name)[k]
+    return one.select(F.greatest(at("f", 0), F.lit(1e-8)).alias("funding_eps"), F.coalesce(at("z", 1), at("c", 1)).alias("oi_q33"), F.coalesce(at("z", 2), at("c", 2)).alias("oi_q66"), F.coalesce(at("v", 2), F.lit(1.0)).alias("vol_high"))
 
 
 def macro_reduce(df: DataFrame, columns: list[str], tf: str) -> DataFrame:

@@ -265,6 +265,33 @@ def with_order_index(df: DataFrame, order: list[str], name: str = "order_idx") -
     return with_running(df, order, {name: F.lit(1).cast("long")})
 
 
+def with_quantiles(base: DataFrame, df: DataFrame, values: dict[str, Column], at: list[float], by: list[str] | None = None) -> DataFrame:
+    """base, which has one row for each group of df by `by`, with one array for each of values: its exact quantiles, interpolated as F.percentile does.
+
+    F.percentile keeps a group's distinct values in one buffer.  Here equal values are counted first, their places come from `with_running` over all groups at
+    once, and a quantile is the largest value that starts no later than its place: partial maxima, however large a group is.
+    Nulls do not count, NaN is the largest value, a null key is a group; a group without values gets null.
+    """
+    by = by or []
+    parts = F.array(*[F.struct(F.struct(*by, F.lit(n).alias("_name")).alias("_g"), x.cast("double").alias("_v")) for n, x in values.items()])
+    counts = df.select(F.inline(parts)).where("_v is not null").groupBy("_g", "_v").agg(F.count("*").alias("_n"))
+    placed = with_running(counts, ["_g", "_v"], {"_at": F.col("_n")})
+    spans = placed.groupBy("_g").agg(F.min("_at").alias("_from"), F.sum("_n").alias("_all"))
+
+    def quantile(q: float) -> Column:
+        place = F.lit(q) * (F.col("_all") - 1)
+        value = lambda i: F.max(F.when(F.col("_at") - F.col("_from") <= i, F.col("_v")))
+        low, high = value(F.floor(place)), value(F.ceil(place))
+        share = F.max(place - F.floor(place))
+        return F.when(low == high, low).otherwise((1 - share) * low + share * high)
+
+    found = placed.join(spans, "_g").groupBy("_g").agg(F.array(*[quantile(q) for q in at]).alias("_q"))
+    wide = found.groupBy(*([F.struct(*[F.col("_g")[c].alias(c) for c in by]).alias("_key")] if by else [])).agg(*[F.first(F.when(F.col("_g._name") == n, F.col("_q")), ignorenulls=True).alias(n) for n in values])
+    if not by:
+        return base.crossJoin(F.broadcast(wide))  # one row
+    return base.withColumn("_key", F.struct(*by)).join(wide, "_key", "left").drop("_key")
+
+
 def streaks(df: DataFrame, keys: list[str], order: list[str], pnl: str = "pnl") -> DataFrame:
     """Runs of wins and losses: (keys, sign, length, first, last); a zero ends a run and starts none."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, license_scan, ngram_join, pii, sharding, token_counts, toxicity, url_filters
+from . import bpe, decontamination, exact_dedup, license_scan, ngram_join, pii, pivot_index, prefix_trie, sharding, token_counts, toxicity, url_filters, whitening
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARD_BYTES = 1 << 20
@@ -83,6 +83,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node of the rebuilt conversations' trie."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector: links from a cosine of 0.9."""
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error of every whole vector and each of 16 components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _rules_sql() -> str:
     """Base rules, the longest first, then the method's own globs."""
     base = sorted((r for r in url_filters.BASE_RULES), key=lambda r: -len(r.text))
@@ -162,6 +177,37 @@ p AS (SELECT f.doc_id, f.n_bytes, f.depth, f.over, s.held, row_number() OVER (PA
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(depth AS INTEGER) AS depth, depth || ':' || over AS shard, CAST(held AS BIGINT) AS shard_bytes, held > {SHARD_BYTES} AS oversize
 FROM p WHERE k = 1"""
 
-ORACLE_SQL = {"op1_url_filters": _rules_sql(), "op3_license_scans": _licenses_sql(), "op6_exact_dedup": OP6_SQL, "op8_sharding": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL}
-
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_license_scans, op4_token_counts, op5_pii, op6_exact_dedup, op7_toxicity, op8_sharding, op9_ngram_jaccard_join, op10_decontamination)}
+OP11_SQL = """
+WITH RECURSIVE raw AS (
+  SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS len FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, c - c % 100 AS base, k, len, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS i FROM raw),
+crc AS (
+  SELECT DISTINCT c, CAST(c AS VARCHAR) AS s, 0 AS b, CAST(4294967295 AS BIGINT) AS v FROM own
+  UNION ALL
+  SELECT c, s, b + 1, CASE WHEN w % 2 = 1 THEN xor(w >> 1, CAST(3988292384 AS BIGINT)) ELSE w >> 1 END
+  FROM (SELECT c, s, b, CASE WHEN b % 8 = 0 THEN xor(v, CAST(ascii(s[b // 8 + 1]) AS BIGINT)) ELSE v END AS w FROM crc WHERE b < 8 * length(s)) x),
+convs AS (SELECT c, c - c % 100 AS base, xor(v, CAST(4294967295 AS BIGINT)) % 6 AS h FROM crc WHERE b = 8 * length(s)),
+taken AS (
+  SELECT convs.c, 0 AS part, own.i, own.k, own.len FROM convs JOIN own ON own.c = convs.base AND own.i <= h
+  UNION ALL
+  SELECT convs.c, 1, own.i, own.k, own.len FROM convs JOIN own ON own.c = convs.c AND own.i > h),
+seqs AS (SELECT convs.c, coalesce(list(k ORDER BY part, i) FILTER (k IS NOT NULL), []) AS ks, list(len ORDER BY part, i) FILTER (k IS NOT NULL) AS ls FROM convs LEFT JOIN taken ON taken.c = convs.c GROUP BY convs.c),
+walks AS (SELECT c, ks, ls, unnest(generate_series(0, len(ks))) AS d FROM seqs),
+nodes AS (SELECT ks[1:d] AS p, d, min(c) AS conv_id, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE any_value(ls[d]) END AS len, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(ks) = d) AS ends FROM walks GROUP BY ks[1:d], d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS m FROM nodes WHERE d > 0 GROUP BY p[1:d - 1]),
+own_sums AS (SELECT nodes.*, coalesce(m, 0) AS m FROM nodes LEFT JOIN kids ON kids.p = nodes.p),
+ups AS (SELECT p, m, n, len, unnest(generate_series(0, d)) AS a FROM own_sums),
+sums AS (SELECT p[1:a] AS p, sum(CASE WHEN m = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * len) AS saved FROM ups GROUP BY p[1:a])
+SELECT o.conv_id, CAST(o.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(o.n AS BIGINT) AS n_convs, CAST(o.m AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(o.ends, '')) AS ends_sha256
+FROM own_sums o JOIN sums ON sums.p = o.p LEFT JOIN nodes up ON o.d > 0 AND up.p = o.p[1:o.d - 1]"""
+
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c"""
+
+ORACLE_SQL = {"op1_url_filters": _rules_sql(), "op3_license_scans": _licenses_sql(), "op6_exact_dedup": OP6_SQL, "op8_sharding": OP8_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_near_embeddings": OP12_SQL}
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_license_scans, op4_token_counts, op5_pii, op6_exact_dedup, op7_toxicity, op8_sharding, op9_ngram_jaccard_join, op10_decontamination, op11_prefix_trie, op12_near_embeddings, op13_whitening)}

@@ -18,6 +18,7 @@ from tradeloom.operators import logs as L
 from tradeloom.operators import performance as P
 from tradeloom.operators import quality as Q
 from tradeloom.operators import recursive as R
+from tradeloom.operators import scans as N
 from tradeloom.operators import windows as W
 from tradeloom.functions import rules as rules_of
 from tradeloom.sources import staging
@@ -39,7 +40,7 @@ def walk(spark, n=2_000, symbols=("A", "B"), minutes=5):
 
 def test_indicators_match_pandas(spark):
     pdf, df = walk(spark)
-    got = R.with_indicators(df).toPandas().sort_values(["symbol", "ts"], ignore_index=True)
+    got = N.with_indicators(df).toPandas().sort_values(["symbol", "ts"], ignore_index=True)
     for s, g in pdf.groupby("symbol"):
         tr = pd.concat([g.high - g.low, (g.high - g.close.shift()).abs(), (g.low - g.close.shift()).abs()], axis=1).max(axis=1)
         want = tr.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean().to_numpy()
@@ -52,7 +53,7 @@ def test_indicators_match_pandas(spark):
 
 def test_rolling_features_match_pandas(spark):
     pdf, df = walk(spark, 600)
-    got = df.select("symbol", "ts", W.sma("close", 20).alias("sma"), W.volume_multiple(100).alias("vm"), W.zscore("volume", 50, 10).alias("z"), W.channel_high("high", 20).alias("ch")).toPandas().sort_values(["symbol", "ts"], ignore_index=True)
+    got = W.with_volume_multiple(df, 100, "vm").select("symbol", "ts", W.sma("close", 20).alias("sma"), "vm", W.zscore("volume", 50, 10).alias("z"), W.channel_high("high", 20).alias("ch")).toPandas().sort_values(["symbol", "ts"], ignore_index=True)
     for s, g in pdf.groupby("symbol"):
         mine = got[got.symbol == s]
         assert np.allclose(mine.sma, g.close.rolling(20).mean(), equal_nan=True, atol=1e-10)
@@ -271,10 +272,10 @@ def test_streams(spark, tmp_path):
 def test_rules_of_short_series_and_missing_context(spark):
     """Too few bars: false; context that is missing counts as 0, too young, or long ago."""
     _, df = walk(spark, 30)
-    short = df.limit(3).withColumns({"level": F.lit(None).cast("double"), "mean": F.lit(None).cast("double"), "atr": F.lit(None).cast("double")})
+    short = df.limit(3).withColumns({"level": F.lit(None).cast("double"), "mean": F.lit(None).cast("double"), "atr": F.lit(None).cast("double"), "touched": F.lit(True)})
     rules = [rules_of.RULES[n](**a) for n, a in {
-        "donch_breakout": {"period": 5}, "pullback_under_ma": {"mean": "mean", "period": 5}, "volume_surge": {"win": 5}, "trend_filter_ema": {"fast": "mean", "slow": "mean", "period": 5},
-        "micro_vol_filter": {"atr": "atr"}, "pullback_retest_close_above_break": {"level": "level", "lookback": 5}, "volume_median_multiple": {"lookback": 5, "least": 5},
+        "channel_breakout": {"period": 5}, "pullback_under_ma": {"mean": "mean", "period": 5}, "volume_surge": {"win": 5}, "trend_filter_ema": {"fast": "mean", "slow": "mean", "period": 5},
+        "micro_vol_filter": {"atr": "atr"}, "pullback_retest_close_above_break": {"level": "level", "touched": "touched", "lookback": 5}, "volume_median_multiple": {"median": "mean", "least": 5}, "channel_breakout_daily_confirm": {"level": "level"},
     }.items()]
     for frame in (short, short.where("false")):
         assert not any(v for r in frame.select(*[c.alias(f"c{k}") for k, c in enumerate(rules)]).collect() for v in r)
@@ -315,7 +316,7 @@ def test_odd_rows(spark):
     for b in (none, df.limit(1), df.withColumn("close", F.lit(None).cast("double")), df.withColumn("volume", F.lit(0.0))):
         assert W.with_vwap_stack(b).count() == b.count()
         assert W.with_relative_strength(b).count() == b.count()
-        assert R.with_indicators(b).count() == b.count()
+        assert N.with_indicators(b).count() == b.count()
         B.resample(b, "1h").collect()
     trades = spark.createDataFrame([], "id long, symbol string, tag string, side string, size double, entry double, opened_at timestamp, closed_at timestamp, pnl double, risk_usd double, mae_usd double, mfe_usd double, fees double, p double, y int, r double")
     for t in (trades, spark.createDataFrame([(1, "A", "T", "long", 1.0, 1.0, T0, T0, 0.0, 0.0, None, None, None, 0.5, 1, None)], trades.schema)):

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .columns import finite
+
 
 def bars() -> WindowSpec:
     """A symbol's bars in order of time."""
@@ -26,7 +28,7 @@ def _held(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def donchian_breakout(period: int = 55, direction: str = "up") -> Column:
+def channel_break(period: int = 55, direction: str = "up") -> Column:
     """The close leaves the channel of the `period` bars before."""
     before = bars().rowsBetween(-period, -1)
     out = F.col("close") > F.max("high").over(before) if direction == "up" else F.col("close") < F.min("low").over(before)
@@ -55,17 +57,20 @@ def micro_volatility(atr: str, period: int = 14, least: float = 0.0001) -> Colum
     return _held(_seen(period + 5) & (F.when(F.col("close") > 0, F.col(atr) / F.col("close")).otherwise(0.0) >= least))
 
 
-def pullback_retest(level: str, band: float = 0.003, lookback: int = 288) -> Column:
-    """One of the last `lookback` bars touched the break level's band, and the close is above the level; a window of so many bars is held."""
-    recent = F.collect_list(F.struct("low", "high")).over(bars().rowsBetween(1 - lookback, 0))
-    touched = F.exists(recent, lambda b: (b["low"] <= F.col(level) * (1 + band)) & (b["high"] >= F.col(level) * (1 - band)))
-    return _held(_seen(lookback + 5) & touched & (F.col("close") > F.col(level)))
+def pullback_retest(level: str, touched: str = "touched", lookback: int = 288) -> Column:
+    """One of the last `lookback` bars touched the break level's band (column `touched`, as `windows.with_touch` makes it), and the close is above the level."""
+    return _held(_seen(lookback + 5) & F.col(touched) & (F.col("close") > F.col(level)))
+
+
+def volume_over_median(median: str, times: float = 2.0, least: int = 100) -> Column:
+    """The volume is at least `times` the median in column `median` (`scans.with_median` over the last bars, this one included)."""
+    return _held(_seen(least) & (F.when(F.col(median) > 0, F.col("volume") / F.col(median)).otherwise(0.0) >= times))
 
 
-def volume_over_median(lookback: int, times: float = 2.0, least: int = 100) -> Column:
-    """The volume is at least `times` the median of the last `lookback` bars, itself included; costs rows times frame, so lookback is a bound."""
-    median = F.percentile("volume", F.lit(0.5)).over(bars().rowsBetween(1 - lookback, 0))
-    return _held(_seen(least) & (F.when(median > 0, F.col("volume") / median).otherwise(0.0) >= times))
+def daily_channel_confirm(level: str = "daily_level", injected: str | None = None) -> Column:
+    """The close is above the highest high of the full days before (column `level`, as `windows.with_daily_level` makes it); a finite level that the decision brought along comes first."""
+    known = F.col(level) if injected is None else F.coalesce(finite(F.col(injected)), F.col(level))
+    return _held(F.col("close") > known)
 
 
 def not_blacklisted(symbols: list[str]) -> Column:
@@ -95,7 +100,8 @@ def macd_bull(macd: str = "eth_macd", signal: str = "eth_macd_signal", hist: str
 
 #: Names by which rule sets call the predicates.
 RULES: dict[str, Callable[..., Column]] = {
-    "donch_breakout": donchian_breakout,
+    "channel_breakout": channel_break,
+    "channel_breakout_daily_confirm": daily_channel_confirm,
     "pullback_under_ma": pullback_under_mean,
     "volume_surge": volume_surge,
     "trend_filter_ema": trend_of_means,

@@ -22,10 +22,67 @@ def in_interval(left: DataFrame, right: DataFrame, start: Column, end: Column, k
     return l.join(r, [key, "_day"]).where((F.col(on) >= start) & (F.col(on) <= end)).drop("_day")
 
 
-def trade_extremes(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """(id, lo, hi, n_bars) of the bars from opened_at to closed_at; trades without bars are absent."""
-    pairs = in_interval(trades.select("id", "symbol", "opened_at", "closed_at"), bars.select("symbol", "ts", "low", "high"), F.col("opened_at"), F.col("closed_at"))
-    return pairs.groupBy("id").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.count("*").alias("n_bars"))
+#: Time that the smallest cell of range aggregates spans.
+CELL = "1h"
+
+
+def range_cells(bars: DataFrame, levels: int, cell: str = CELL) -> DataFrame:
+    """(symbol, level, m, lo, hi, n): least low, highest high and number of the bars of 2^level cells of time, from m * 2^level cells on; levels 0 to `levels`.
+
+    A level has half the rows of the one below, so all have twice the cells that hold bars; bars are combined to cells first.
+    """
+    base = bars.groupBy("symbol", _cell("ts", cell).alias("m")).agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.count("*").alias("n"))
+    up = base.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("m", F.call_function("shiftright", "m", "level"))
+    return up.groupBy("symbol", "level", "m").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+
+
+def _cell(ts: str, cell: str) -> Column:
+    return F.floor(F.unix_micros(ts) / (timeframe_seconds(cell) * 1_000_000))
+
+
+def covering_cells(start: Column, end: Column, levels: int) -> Column:
+    """Cells (level, m) that together are the cells start .. end - 1 of level 0: at most two of each level.
+
+    From the lowest level up, an odd start or end is taken by itself, and what is left is halved.
+    """
+    cell = lambda level, m: F.struct(level.alias("level"), m.alias("m"))
+    none = F.expr("cast(array() as array<struct<level: int, m: bigint>>)")
+    odd = lambda x: x.bitwiseAND(1) == 1
+
+    def step(acc: Column, level: Column) -> Column:
+        first = (acc["s"] < acc["e"]) & odd(acc["s"])
+        s = acc["s"] + first.cast("long")
+        last = (s < acc["e"]) & odd(acc["e"])
+        e = acc["e"] - last.cast("long")
+        cells = F.concat(acc["cells"], F.when(first, F.array(cell(level, acc["s"]))).otherwise(none), F.when(last, F.array(cell(level, e))).otherwise(none))
+        half = lambda x: F.call_function("shiftright", x, F.lit(1))
+        return F.struct(half(s).alias("s"), half(e).alias("e"), cells.alias("cells"))
+
+    begin = F.struct(start.cast("long").alias("s"), end.cast("long").alias("e"), none.alias("cells"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), begin, step, lambda acc: acc["cells"])
+
+
+def trade_cells(trades: DataFrame, levels: int, cell: str = CELL) -> DataFrame:
+    """(id, symbol, opened_at, closed_at, level, m): the cells inside each trade, and as level -1 the cells that it opens and closes in."""
+    t = trades.select("id", "symbol", "opened_at", "closed_at").where("opened_at <= closed_at").withColumns({"_s": _cell("opened_at", cell), "_e": _cell("closed_at", cell)})
+    edge = lambda m: F.struct(F.lit(-1).alias("level"), F.col(m).alias("m"))
+    edges = F.when(F.col("_s") == F.col("_e"), F.array(edge("_s"))).otherwise(F.array(edge("_s"), edge("_e")))
+    return t.select("id", "symbol", "opened_at", "closed_at", F.inline(F.concat(edges, covering_cells(F.col("_s") + 1, F.col("_e"), levels))))
+
+
+def trade_extremes(trades: DataFrame, bars: DataFrame, cell: str = CELL) -> DataFrame:
+    """(id, lo, hi, n_bars) of the bars from opened_at to closed_at; trades without bars are absent.
+
+    Least and highest prices of cells of time by powers of two are made once; a trade reads at most two cells of each level, however long it is,
+    and bars only in the cells that it opens and closes in.
+    """
+    longest = trades.where("opened_at <= closed_at").agg(F.max(_cell("closed_at", cell) - _cell("opened_at", cell))).first()[0] or 0
+    levels = max(0, int(longest).bit_length())
+    inside = range_cells(bars, levels, cell).withColumn("at", F.lit(None).cast("timestamp"))
+    single = bars.select("symbol", F.lit(-1).alias("level"), _cell("ts", cell).alias("m"), F.col("low").alias("lo"), F.col("high").alias("hi"), F.lit(1).cast("long").alias("n"), F.col("ts").cast("timestamp").alias("at"))
+    met = trade_cells(trades, levels, cell).join(inside.unionByName(single), ["symbol", "level", "m"])
+    met = met.where((F.col("level") >= 0) | F.col("at").between(F.col("opened_at"), F.col("closed_at")))
+    return met.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n_bars"))
 
 
 def excursions(trades: DataFrame, extremes: DataFrame) -> DataFrame:

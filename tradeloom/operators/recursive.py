@@ -1,6 +1,6 @@
-"""The few per-symbol recursions: exponential means and what stands on them, a two-state switching filter, sequential guards, greedy matching.
+"""The few per-symbol recursions: a two-state switching filter, sequential guards, greedy matching.
 
-Each runs by applyInPandas on one symbol's rows, with the needed columns only.  A symbol has at most 288 bars a day at five
+The filter runs by applyInPandas on one symbol's rows, with the needed columns only.  A symbol has at most 288 bars a day at five
 minutes, so a group stays small (1.5 million rows for 14 years).  Signals and match candidates have no such bound: they are cut into
 groups that cannot affect each other, which stream through mapInPandas in order.
 """
@@ -15,61 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INDICATORS = ["ema", "atr", "rsi", "adx", "macd", "macd_signal", "macd_hist", "macd_slope"]
-
-
-def _wilder(x: pd.Series, n: int) -> pd.Series:
-    return x.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-
-
-def indicator_frame(g: pd.DataFrame, span: int, n: int, slope: int) -> pd.DataFrame:
-    """EMA(span), ATR, RSI and ADX of n, MACD(12, 26, 9) with its histogram's change over `slope` rows; rows in order of time."""
-    high, low, close = g["high"], g["low"], g["close"]
-    before = close.shift()
-    tr = pd.concat([high - low, (high - before).abs(), (low - before).abs()], axis=1).max(axis=1)
-    atr = _wilder(tr, n)
-    move = close.diff()
-    gain, loss = _wilder(move.clip(lower=0), n), _wilder(-move.clip(upper=0), n)
-    rsi = (100 - 100 / (1 + gain / loss.where(loss != 0))).where(loss != 0, 100.0).where(gain.notna())
-    up, down = high.diff(), -low.diff()
-    plus = _wilder(up.where((up > down) & (up > 0), 0.0), n)
-    minus = _wilder(down.where((down > up) & (down > 0), 0.0), n)
-    total = (plus + minus).where(plus + minus != 0)
-    adx = _wilder((100 * (plus - minus).abs() / total).fillna(0.0).where(plus.notna()), n)
-    mean = lambda x, s: x.ewm(span=s, adjust=False, min_periods=s).mean()
-    macd = mean(close, 12) - mean(close, 26)
-    signal = mean(macd, 9)
-    hist = macd - signal
-    return pd.DataFrame({"ema": close.ewm(span=span, adjust=False).mean(), "atr": atr, "rsi": rsi, "adx": adx, "macd": macd, "macd_signal": signal, "macd_hist": hist, "macd_slope": hist.diff(slope)})
-
-
-def with_indicators(bars: DataFrame, span: int = 20, n: int = 14, slope: int = 3) -> DataFrame:
-    """bars of (symbol, ts, open, high, low, close, volume) with INDICATORS; null until each has its rows."""
-    columns = ["symbol", "ts", "open", "high", "low", "close", "volume"]
-    schema = T.StructType([*[bars.schema[c] for c in columns], *[T.StructField(c, T.DoubleType()) for c in INDICATORS]])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts", ignore_index=True)
-        return pd.concat([g, indicator_frame(g, span, n, slope)], axis=1)
-
-    return bars.select(columns).groupBy("symbol").applyInPandas(run, schema)
-
-
-def with_means(bars: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
-    """bars of (symbol, ts, open, high, low, close, volume) with exponential means: name -> (column or true_range, alpha), started at the first value."""
-    columns = ["symbol", "ts", "open", "high", "low", "close", "volume"]
-    schema = T.StructType([*[bars.schema[c] for c in columns], *[T.StructField(c, T.DoubleType()) for c in means]])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts", ignore_index=True)
-        before = g["close"].shift()
-        true_range = pd.concat([g["high"] - g["low"], (g["high"] - before).abs(), (g["low"] - before).abs()], axis=1).max(axis=1)
-        values = {name: (true_range if x == "true_range" else g[x]).ewm(alpha=alpha, adjust=False).mean() for name, (x, alpha) in means.items()}
-        return g.assign(**values)
-
-    return bars.select(columns).groupBy("symbol").applyInPandas(run, schema)
-
-
 def switching_filter(r: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Filtered probabilities (n, 2), means and variances of a two-state normal switching model, by expectation maximization from a fixed start."""
     order = np.argsort(np.abs(r - r.mean()), kind="stable")

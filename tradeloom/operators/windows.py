@@ -12,6 +12,7 @@ from ..functions.columns import finite, ratio
 from ..sources.staging import staged
 from .bars import forward_fill
 
+
 def by_symbol():
     return Window.partitionBy("symbol").orderBy("ts")
 
@@ -94,6 +95,35 @@ def daily_channel_on_grid(bars: DataFrame, daily: DataFrame, n: int) -> DataFram
     return bars.withColumn("_day", F.to_date("ts")).join(levels, ["symbol", "_day"], "left").drop("_day").withColumn("channel", forward_fill("channel"))
 
 
+def with_daily_level(bars: DataFrame, daily: DataFrame, n: int = 20, name: str = "daily_level") -> DataFrame:
+    """bars with the highest daily high of the n full days before the row's day, carried over days without daily bars; null until a symbol has n + 2 daily bars."""
+    enough = F.row_number().over(by_symbol()) >= n + 2
+    levels = daily.withColumn(name, F.when(enough, channel_high("high", n))).select("symbol", F.to_date("ts").alias("_day"), name)
+    return bars.withColumn("_day", F.to_date("ts")).join(levels, ["symbol", "_day"], "left").drop("_day").withColumn(name, forward_fill(name))
+
+
+def with_touch(bars: DataFrame, level: str, band: float = 0.003, lookback: int = 288, name: str = "touched") -> DataFrame:
+    """bars with whether one of the last `lookback` bars, this one included, touched the band around the row's level.
+
+    Each run of one level (cut where it grows longer than eight lookbacks) meets the bars of its own rows and of the lookback before it, about two rows a bar where
+    levels hold for a lookback; the newest touch so far, a running maximum, then tells whether it is recent enough.
+    """
+    row = F.row_number().over(by_symbol())
+    same = F.col(level).eqNullSafe(F.lag(level).over(by_symbol()))
+    df = bars.withColumns({"_row": row.cast("long"), "_new": F.when(same & (row % (8 * lookback) != 1), 0).otherwise(1)})
+    df = staged(df.withColumn("_run", F.sum("_new").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))).drop("_new"), "level-runs")
+    runs = df.groupBy("symbol", "_run").agg(F.min("_row").alias("_from"), F.max("_row").alias("_to"), F.first(level).alias("_level")).where("_level is not null")
+    bucket = lambda c: F.floor(c / lookback)
+    runs = runs.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from") - lookback + 1), bucket(F.col("_to")))))
+    seen = df.select("symbol", "_row", "low", "high", F.col("_run").alias("_own"), bucket(F.col("_row")).alias("_bucket"))
+    met = seen.join(runs, ["symbol", "_bucket"]).where(F.col("_row").between(F.col("_from") - lookback + 1, F.col("_to")))
+    touch = (F.col("low") <= F.col("_level") * (1 + band)) & (F.col("high") >= F.col("_level") * (1 - band))
+    newest = F.max(F.when(touch, F.col("_row"))).over(Window.partitionBy("symbol", "_run").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    found = met.withColumn("_newest", newest).where(F.col("_own") == F.col("_run")).select("symbol", "_row", "_newest")
+    out = df.join(found, ["symbol", "_row"], "left").withColumn(name, F.coalesce(F.col("_newest") > F.col("_row") - lookback, F.lit(False)))
+    return out.select(*bars.columns, name)
+
+
 def entry_quality(per_day: int, atr: str = "atr") -> dict[str, Column]:
     """Prior one-day return, three-day volatility, range of 12 bars and gap from the one-day mean in ATRs."""
     return {
@@ -129,10 +159,12 @@ def with_vwap_deviation(bars: DataFrame, n: int, k: int, z_most: float) -> DataF
     return df.withColumn("_q", quiet).withColumn("vwap_consolidated", F.coalesce(rolling(F.min, "_q", k, prior=True) == 1, F.lit(False))).drop("_pv", "_q")
 
 
-def volume_multiple(n: int, least: int | None = None) -> Column:
-    """Volume against the median of the last n rows."""
-    least = max(5, n // 10) if least is None else least
-    return ratio(F.col("volume"), rolling(lambda x: F.percentile(x, F.lit(0.5)), "volume", n, least))
+def with_volume_multiple(bars: DataFrame, n: int = 8_640, name: str = "volume_multiple", least: int | None = None) -> DataFrame:
+    """bars with the volume against the median of the last n rows (30 days of five minutes)."""
+    from .scans import with_median
+
+    df = with_median(bars, "volume", "_median", n, max(5, n // 10) if least is None else least)
+    return df.withColumn(name, ratio(F.col("volume"), F.col("_median"))).drop("_median")
 
 
 def volume_surge(n: int, k: float) -> Column:
@@ -168,12 +200,12 @@ def with_derivatives(grid: DataFrame, hour: int, day: int, *, eps: float, low: f
 
 def with_context(daily: DataFrame, fast: int = 20, slow: int = 50, least: int = 50) -> DataFrame:
     """ATR share against its expanding median and the slope of the means' spread, both as of the day before; needs `atr`."""
-    df = daily.withColumn("_share", ratio(F.col("atr"), F.col("close")))
-    expanding = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-    median = F.when(F.count("_share").over(expanding) >= least, F.percentile("_share", F.lit(0.5)).over(expanding))
-    df = df.withColumns({"_level": ratio(F.col("_share"), median), "_spread": sma("close", fast) - sma("close", slow)})
+    from .scans import with_median
+
+    df = with_median(daily.withColumn("_share", ratio(F.col("atr"), F.col("close"))), "_share", "_median", least=least)
+    df = df.withColumns({"_level": ratio(F.col("_share"), F.col("_median")), "_spread": sma("close", fast) - sma("close", slow)})
     df = df.withColumn("_slope", F.col("_spread") - F.lag("_spread").over(by_symbol()))
-    return df.withColumns({"vol_level": F.lag("_level").over(by_symbol()), "trend_slope": F.lag("_slope").over(by_symbol())}).drop("_share", "_level", "_spread", "_slope")
+    return df.withColumns({"vol_level": F.lag("_level").over(by_symbol()), "trend_slope": F.lag("_slope").over(by_symbol())}).drop("_share", "_median", "_level", "_spread", "_slope")
 
 
 def realized_vol(n: int = 20) -> Column:

@@ -12,6 +12,7 @@ from ..operators import joins as J
 from ..operators import logs as L
 from ..operators import quality as Q
 from ..operators import recursive as R
+from ..operators import scans as N
 from ..operators import windows as W
 from . import domain as D
 from .domain import rounded, sql
@@ -186,7 +187,7 @@ def vwap_stack(spark: S, sf: str) -> DataFrame:
 
 @query(sql("bars", f"SELECT symbol, ts, round(volume / nullif(CASE WHEN count(volume) {last(50)} >= 5 THEN quantile_cont(volume, 0.5) {last(50)} END, 0), 6) AS vol_mult, coalesce(volume >= 2 * CASE WHEN count(volume) {PRIOR12} >= 12 THEN avg(volume) {PRIOR12} END, false) AS surge FROM bars"))
 def volume_features(spark: S, sf: str) -> DataFrame:
-    return rounded(D.bars(spark, sf).select("symbol", "ts", W.volume_multiple(50).alias("vol_mult"), W.volume_surge(12, 2.0).alias("surge")), 6, "vol_mult")
+    return rounded(W.with_volume_multiple(D.bars(spark, sf), 50, "vol_mult").select("symbol", "ts", "vol_mult", W.volume_surge(12, 2.0).alias("surge")), 6, "vol_mult")
 
 
 def _z(x: str, n: int, least: int) -> str:
@@ -339,7 +340,7 @@ def recent_win_rate(spark: S, sf: str) -> DataFrame:
 
 @query(sql("bars", f"n AS (SELECT *, row_number() OVER ({BY}) AS k FROM bars), t AS (SELECT symbol, ts, k, greatest(high - low, coalesce(abs(high - lag(close) OVER ({BY})), 0), coalesce(abs(low - lag(close) OVER ({BY})), 0)) AS tr, close FROM n), e AS (SELECT symbol, ts, list(close) OVER w AS c, list(tr) OVER w AS r, k FROM t WINDOW w AS ({BY} ROWS UNBOUNDED PRECEDING)) SELECT symbol, ts, round(list_reduce(c, lambda a, x: a * (1 - 2.0 / 21) + x * 2.0 / 21), 4) AS ema, CASE WHEN k >= 14 THEN round(list_reduce(r, lambda a, x: a * (1 - 1.0 / 14) + x / 14.0), 4) END AS atr FROM e"))
 def exponential_indicators(spark: S, sf: str) -> DataFrame:
-    return rounded(R.with_indicators(D.bars(spark, sf)).select("symbol", "ts", "ema", "atr"), 4, "ema", "atr")
+    return rounded(N.with_indicators(D.bars(spark, sf)).select("symbol", "ts", "ema", "atr"), 4, "ema", "atr")
 
 
 def _ewm(values: str, alpha: str) -> str:
@@ -357,7 +358,7 @@ SELECT symbol, ts, round(rsi, 4) AS rsi, round(adx, 4) AS adx, round(macd, 4) +
 @query(sql("bars", MOMENTUM))
 def momentum_indicators(spark: S, sf: str) -> DataFrame:
     names = ["rsi", "adx", "macd", "macd_signal", "macd_hist", "macd_slope"]
-    return R.with_indicators(D.bars(spark, sf)).select("symbol", "ts", *[(F.round(c, 4) + 0.0).alias(c) for c in names])
+    return N.with_indicators(D.bars(spark, sf)).select("symbol", "ts", *[(F.round(c, 4) + 0.0).alias(c) for c in names])
 
 
 @query()

@@ -13,6 +13,7 @@ from ..operators import joins as J
 from ..operators import logs as L
 from ..operators import performance as P
 from ..operators import recursive as R
+from ..operators import scans as N
 from ..operators import windows as W
 from ..sources import tables as ST
 from . import domain as D
@@ -33,20 +34,28 @@ SELECT symbol, ts, k >= 12 AND close > hh AS breakout, coalesce(k >= 35 AND s >
 
 @query(sql("bars", _BARS).replace("WITH ", "WITH RECURSIVE ", 1))
 def bar_rules(spark: S, sf: str) -> DataFrame:
-    bars = R.with_means(D.bars(spark, sf), {"fast": ("close", 2 / 11), "slow": ("close", 2 / 31), "atr": ("true_range", 1 / 14)})
+    bars = N.with_means(D.bars(spark, sf), {"fast": ("close", 2 / 11), "slow": ("close", 2 / 31), "atr": ("true_range", 1 / 14)})
     bars = bars.withColumn("level", F.max("high").over(X.bars().rowsBetween(-10, -1)))
+    bars = N.with_median(W.with_touch(bars, "level", band=0.1, lookback=24), "volume", "median", 48)
     rules = {
-        "breakout": X.RULES["donch_breakout"](period=10),
+        "breakout": X.RULES["channel_breakout"](period=10),
         "pullback": X.RULES["pullback_under_ma"](mean="slow", period=30, most=0.5),
         "surge": X.RULES["volume_surge"](win=10, times=1.2),
         "trend": X.RULES["trend_filter_ema"](fast="fast", slow="slow", period=30),
         "lively": X.RULES["micro_vol_filter"](atr="atr", least=0.9),
-        "retest": X.RULES["pullback_retest_close_above_break"](level="level", band=0.1, lookback=24),
-        "over_median": X.RULES["volume_median_multiple"](lookback=48, times=1.1, least=30),
+        "retest": X.RULES["pullback_retest_close_above_break"](level="level", lookback=24),
+        "over_median": X.RULES["volume_median_multiple"](median="median", times=1.1, least=30),
     }
     return bars.select("symbol", "ts", *[c.alias(n) for n, c in rules.items()])
 
 
+@query(sql("bars days", f"l AS (SELECT symbol, CAST(ts AS DATE) AS d, CASE WHEN row_number() OVER ({BY}) >= 7 THEN max(high) OVER ({BY} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) END AS lv FROM days), j AS (SELECT b.*, last_value(l.lv IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.ts ROWS UNBOUNDED PRECEDING) AS lv FROM bars b LEFT JOIN l ON l.symbol = b.symbol AND l.d = CAST(b.ts AS DATE)) SELECT symbol, ts, lv AS daily_level, coalesce(close > lv, false) AS confirmed, coalesce(close > CASE WHEN hour(ts) % 6 = 0 THEN open ELSE lv END, false) AS confirmed_injected FROM j"))
+def daily_confirm(spark: S, sf: str) -> DataFrame:
+    bars = W.with_daily_level(D.bars(spark, sf), D.bars(spark, sf, "1d"), 5).withColumn("brought", F.when(F.hour("ts") % 6 == 0, F.col("open")).otherwise(F.lit(float("inf"))))
+    rule = X.RULES["channel_breakout_daily_confirm"]
+    return bars.select("symbol", "ts", "daily_level", rule().alias("confirmed"), rule(injected="brought").alias("confirmed_injected"))
+
+
 @query(sql("decisions", "x AS (SELECT *, CASE WHEN id % 7 <> 0 THEN day(ts) END AS age, CASE WHEN id % 5 <> 0 THEN ts - to_hours(CAST(id % 20 AS INTEGER)) END AS ex, p - 0.4 AS h, p * 100 AS rs, id % 1000 * 1000.0 AS liq FROM decisions), y AS (SELECT id, symbol IN ('S3') AS bad, symbol <> 'S5' AS ok0, coalesce(ts - ex >= INTERVAL 6 HOUR, true) AS ok1, coalesce(age >= 3, false) AS ok2, h >= 0 AS ok3, rs >= 30 AS ok4, liq >= 100000 AS ok5, p > 0.5 AND h > 0 AS ok6 FROM x) SELECT id, NOT bad AND ok0 AND ok1 AND ok2 AND ok3 AND (ok4 OR ok5 OR ok6) AS should_enter, array_to_string(list_filter([CASE WHEN bad THEN 'veto:symbol_is' END, CASE WHEN ok0 THEN 'blacklist_symbol' END, CASE WHEN ok1 THEN 'cooldown_hours' END, CASE WHEN ok2 THEN 'min_listing_age_days' END, CASE WHEN ok3 THEN 'eth_macd_hist_above' END, CASE WHEN ok4 THEN 'universe_rs_pct_gte' END, CASE WHEN ok5 THEN 'liquidity_median_24h_usd_gte' END, CASE WHEN ok6 THEN 'eth_macd_bull' END], lambda v: v IS NOT NULL), ',') AS tags FROM y"))
 def context_rules(spark: S, sf: str) -> DataFrame:
     d = D.decisions(spark, sf).withColumns({
@@ -89,7 +98,7 @@ def live_lines(spark: S, sf: str) -> DataFrame:
     return L.live_lines(lines).groupBy("symbol", "kind").agg(F.count("*").alias("n"), F.max("detail").alias("last_value"))
 
 
-@query(sql("trades", T.MATCH.replace("id % 4 = 0", "id % 4 = 0").replace("entry * 1.001 AS entry", "CASE WHEN id % 8 = 0 THEN entry * 50 ELSE entry * 1.001 END AS entry") + " SELECT statement_id, symbol, qty FROM st WHERE statement_id NOT IN (SELECT statement_id FROM cand)"))
+@query(sql("trades", T.MATCH.replace("entry * 1.001 AS entry", "CASE WHEN id % 8 = 0 THEN entry * 50 ELSE entry * 1.001 END AS entry") + " SELECT statement_id, symbol, qty FROM st WHERE statement_id NOT IN (SELECT statement_id FROM cand)"))
 def unmatched_statements(spark: S, sf: str) -> DataFrame:
     t = D.trades(spark, sf)
     entry = F.when(F.col("id") % 8 == 0, F.col("entry") * 50).otherwise(F.col("entry") * 1.001)

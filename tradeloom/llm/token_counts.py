@@ -6,7 +6,7 @@ counts are appended to the cache.  Counts then come back to all rows by key.
 
 Copies meet before any text moves: what is shuffled by content digest is (digest, smallest id), combined before the
 shuffle, so a text that a third of all rows repeat is one row for each task.  Texts of misses are found by their row's
-id, which spreads evenly.
+id, which spreads evenly; rows that repeat id and text meet in one task, which encodes one of them.
 
 Defined results: null or empty text: 0 bytes and 0 tokens.  Repeated rows and ids keep one result each; a null id is
 kept.  Columns besides id and text are ignored, whatever their names.  Whole texts are encoded, of any length.
@@ -90,11 +90,13 @@ def loaded(kind: str, content: bytes) -> Counter:
 
 
 def encode_counts(texts: DataFrame, kind: str, content, id_type: str = "binary") -> DataFrame:
-    """(digest, n_tokens) of (digest, text) rows."""
+    """(digest, n_tokens) of (digest, text) rows; a task encodes each digest once, however many of its rows have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = loaded(kind, content.value)
+        counter, seen = loaded(kind, content.value), set()
         for batch in batches:
+            digests = batch.column(0).to_pylist()
+            batch = batch.take(pa.array([k for k, d in enumerate(digests) if d not in seen and not seen.add(d)], pa.int32()))
             strings = batch.column(1).to_pylist()
             n = [c for lo, hi in chunks(list(map(len, strings))) for c in counter.count(strings[lo:hi])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["digest", "n_tokens"])

@@ -280,3 +280,14 @@ def test_share_that_simhash_proposes(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_contaminated(d, b).collect()}
     assert got == {(k, k // 2) for k in range(len(docs))}
     assert decontamination.simhash_share(d, b) >= 0.98
+
+
+def test_toxicity_takes_one_row_of_a_labelled_id(spark, monkeypatch):
+    """One labelled id on 30,000 rows: the driver still sees sample_rows rows at most."""
+    docs = spark.createDataFrame([(1, f"hot text {k % 9}") for k in range(30_000)] + [(k, f"text w{k}") for k in range(2, 120)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 120)], "doc_id long, toxic int")
+    seen, fit = [], toxicity.FactorizationMachine.fit.__func__
+    monkeypatch.setattr(toxicity.FactorizationMachine, "fit", classmethod(lambda cls, chosen, rows, y: seen.append(len(rows)) or fit(cls, chosen, rows, y)))
+    toxicity.fit_toxicity(docs, labels, sample_rows=50)
+    toxicity.fit_toxicity(docs, labels)
+    assert 30 < seen[0] <= 50 and 80 < seen[1] <= 119

@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's words and the character n-grams inside them, A-Z and other letters lower-cased, hashed to 2^18 buckets; a text
-has for each of its buckets half a point for having it and up to half for how often, against the text's number of words.  Training takes at most `sample_rows` labelled rows (by the hash of their id; all labels when there are
-fewer), keeps the `TERMS` buckets that tell the labels apart best by chi-square and the COMMON_TERMS buckets that most rows have (a term
+has for each of its buckets half a point for having it and up to half for how often, against the text's number of words.  Training takes at most `sample_rows` labelled ids (by their hash; all labels when there are
+fewer) with one row for each (of rows that repeat an id, the one whose terms have the smallest hash), keeps the `TERMS` buckets that tell the labels apart best by chi-square and the COMMON_TERMS buckets that most rows have (a term
 that alone says nothing may still say much beside another), and fits bias, weights and FACTORS latent
 factors for each bucket by logistic loss: score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>).  The pairwise part
 learns that two terms together mean more, or less, than each alone.  The fit is deterministic.
@@ -170,7 +170,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         give_back()
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, y int, buckets array<int>, values array<float>"
-    terms = staged(sample.mapInArrow(run, schema), "toxicity-terms")
+    once = sample.mapInArrow(run, schema).groupBy("id").agg(F.min_by(F.struct("y", "buckets", "values"), F.xxhash64("buckets", "values")).alias("x"))  # an id may have any number of rows
+    terms = staged(once.select("id", "x.*"), "toxicity-terms")
     chosen = tell_apart(terms, TERMS, COMMON_TERMS)
     held = F.filter(F.arrays_zip("buckets", "values"), lambda x: x["buckets"].isin(chosen) if chosen else F.lit(False))
     rows = terms.select("y", held["buckets"].alias("b"), held["values"].alias("v"), F.xxhash64("id", "y", "buckets").alias("order")).toArrow()  # sample_rows rows of at most TERMS + COMMON_TERMS values

@@ -255,3 +255,28 @@ def test_of_overlapping_spans_the_best_stays(spark):
     spans = [(1, "card", 0, 20, False, 0.7), (1, "hex", 0, 30, False, 0.9), (1, "date", 25, 40, False, 0.8), (1, "name", 35, 50, False, 0.6), (1, "ip", 60, 70, True, 2.0), (1, "phone", 65, 80, True, 2.0), (1, "iban", 75, 99, False, 0.99), (2, "date", 5, 9, False, 0.6)]
     df = spark.createDataFrame(spans, "row long, kind string, start long, end long, base boolean, p double")
     assert sorted((r["row"], r["kind"]) for r in pii._without_overlaps(df).collect()) == [(1, "hex"), (1, "ip"), (1, "name"), (1, "phone"), (2, "date")]
+
+
+def test_long_values_are_whole(spark):
+    """Secrets, hex strings, names and addresses of any length are proposed from end to end."""
+    from pyspark.sql import functions as F
+
+    for n in (12, 300, 5_000):
+        secret, run, name = "k9Z_" * (n // 4), "0f" * max(16, n // 2), "A" + "b" * n
+        values = {"secret": f"token={secret}", "hex": run, "name": f"Mr. {name} Cd-Ef Gh", "address": f"12 {name} Street", "spelled_email": f"{name.lower()} [at] {name.lower()} [dot] co [dot] uk"}
+        docs = spark.createDataFrame([(k, f"x {v}, y") for k, v in enumerate(values.values())], "doc_id long, text string")
+        got = pii.propose(docs, "doc_id", "text")
+        spans = {(r["id"], r["kind"]): (r["start"], r["end"]) for r in got[1].join(got[0], "row").where(F.col("kind").isin(*values)).collect()}
+        for k, (kind, v) in enumerate(values.items()):
+            assert spans[k, kind] == (2, 2 + len(v)), (kind, n)
+
+
+def test_each_digest_is_encoded_once(spark):
+    docs = spark.createDataFrame([(7, "one text")] * 3_000 + [(8, "other")], "doc_id long, text string").repartition(6)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = token_counts.token_counts(docs, path).collect()
+    assert len(out) == 3_001 and len({(r["doc_id"], r["n_tokens"]) for r in out}) == 2
+    with open(path, "rb") as f:
+        content = spark.sparkContext.broadcast(f.read())
+    texts = docs.selectExpr("unhex(sha2(text, 256)) AS digest", "text").coalesce(1)
+    assert token_counts.encode_counts(texts, "json", content).count() == 2

@@ -30,21 +30,21 @@ from pyspark.sql import functions as F
 from .shared import staged, whole_text
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
-# The contract's formats, written so that no text makes them backtrack far; \G stands for the last match's end.
+# The contract's formats, written so that no text makes them backtrack far and no value is cut at a length; \G stands for the last match's end.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?i)\b(?:token|secret|password|api[_ -]?key)\b *[=:] *\"?[A-Za-z0-9_./+-]{12,200}\"?",
+    "secret": r"(?i)\b(?:token|secret|password|api[_ -]?key)\b *[=:] *\"?[A-Za-z0-9_./+-]{12,}+\"?",
     "local_phone": r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "spelled_email": r"(?i)\b[a-z0-9._-]{2,40} (?:\[at\]|\(at\)) [a-z0-9-]{2,40} (?:\[dot\]|\(dot\)) [a-z]{2,10}\b",
-    "hex": r"(?i)(?<![0-9a-z])[0-9a-f]{32,128}(?![0-9a-z])",
+    "spelled_email": r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,}+ (?:\[at\]|\(at\)) [a-z0-9-]{2,}+(?: (?:\[dot\]|\(dot\)) [a-z0-9-]{2,}+)++",
+    "hex": r"(?i)(?<![0-9a-z])[0-9a-f]{32,}+(?![0-9a-z])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "tax_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9./-])",
-    "address": r"\b[0-9]{1,5} \p{Lu}\p{L}{1,20}(?: \p{Lu}\p{L}{1,20}){0,2} (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr)\b|\b\p{Lu}\p{L}{1,20}(?:straße|strasse|weg|gasse) [0-9]{1,4}\b|\b[0-9]{1,4},? rue \p{L}{2,20}(?: \p{L}{2,20})?|\b[Cc]alle \p{Lu}\p{L}{1,20},? [0-9]{1,4}\b",
-    "name": r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? \p{Lu}\p{L}{1,20}(?: \p{Lu}\p{L}{1,20})?",
+    "address": r"\b[0-9]{1,5} \p{Lu}\p{L}++(?: \p{Lu}\p{L}++){0,2} (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr)\b|\b\p{Lu}\p{L}+(?:straße|strasse|weg|gasse) [0-9]{1,4}\b|\b[0-9]{1,4},? rue \p{L}{2,}+(?: \p{L}{2,}+)?|\b[Cc]alle \p{Lu}\p{L}++,? [0-9]{1,4}\b",
+    "name": r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sr|Sra)\.? \p{Lu}\p{L}++(?:[ -]\p{Lu}\p{L}++)*+",
 }
 #: A text without this character class cannot have the kind; a cheap test before the pattern.
 NEEDS = {"email": "@", "phone": "+"}

@@ -4,7 +4,7 @@
    A vector is described by its DEPTH nearest pivots, in order.
 2. Inverted lists.  A list stands for a pair of pivots and holds the vectors that have both among their NEAREST ones, so two vectors meet in a list
    if they share at least two of these; each task names a vector once, however many copies it reads.  Lists of more than BLOCK entries are dealt to pairs of parts.
-3. Shared-pivot counts.  In a list only pairs go on that share LEAST_SHARED of their DEPTH pivots, and only in the first list that both stand in.
+3. Shared-pivot counts.  In a list only pairs go on that share enough of their DEPTH pivots (LEAST_SHARED), and only in the first list that both stand in.
    What leaves the step is the entries that have such a partner, not the pairs.
 4. Verifying.  Vectors come to the lists that still need them; a pair links if its cosine, in double precision, is at least 0.9.  A task returns
    how many vectors each one is linked to, and a star for each group that it found, so the rows that leave grow with the lists and not with the pairs in them.
@@ -32,10 +32,12 @@ from .components import connected_components
 from .shared import give_back, packed, staged
 
 LEAST_COSINE = 0.9
-#: Pivots: one for VECTORS_EACH vectors, within these bounds; a pivot's id has PIVOT_BITS bits.
-LEAST_PIVOTS, MOST_PIVOTS, VECTORS_EACH, PIVOT_BITS = 128, 1_024, 200, 10
-#: Nearest pivots whose pairs name lists; nearest pivots that are compared; how many of these a pair must share.
-NEAREST, DEPTH, LEAST_SHARED = 6, 12, 4
+#: Pivots by how many of DEPTH a pair must share: fewer vectors share as many of a larger set, so that counts that unlike pairs seldom reach are lower there.
+LEAST_SHARED = {128: 9, 256: 8, 512: 8, 1_024: 7}
+#: A pivot for VECTORS_EACH vectors, as far as LEAST_SHARED goes; a pivot's id has PIVOT_BITS bits.
+MOST_PIVOTS, VECTORS_EACH, PIVOT_BITS = 1_024, 100, 10
+#: Nearest pivots whose pairs name lists; nearest pivots that are compared.
+NEAREST, DEPTH = 6, 18
 #: Two pivots' cosine is below this where the sample allows it.
 APART = 0.5
 #: Entries of a part of a list; pairs looked at in one go.
@@ -93,19 +95,17 @@ def _list_keys(described: np.ndarray) -> np.ndarray:
     return (top[:, _PAIRS_OF[:, 0]] << PIVOT_BITS) | top[:, _PAIRS_OF[:, 1]]
 
 
-def _codes(described: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The DEPTH pivots in two numbers, six of PIVOT_BITS bits each."""
-    shifts = np.arange(6) * PIVOT_BITS
-    return (described[:, :6] << shifts).sum(axis=1), (described[:, 6:] << shifts).sum(axis=1)
+def _codes(described: np.ndarray) -> list[np.ndarray]:
+    """The DEPTH pivots in three numbers, six of PIVOT_BITS bits each."""
+    return [(described[:, k : k + 6] << np.arange(6) * PIVOT_BITS).sum(axis=1) for k in range(0, DEPTH, 6)]
 
 
-def _decoded(q1: np.ndarray, q2: np.ndarray) -> np.ndarray:
-    shifts, mask = np.arange(6) * PIVOT_BITS, (1 << PIVOT_BITS) - 1
-    return np.hstack([(q1[:, None] >> shifts) & mask, (q2[:, None] >> shifts) & mask])
+def _decoded(codes: list[np.ndarray]) -> np.ndarray:
+    return np.hstack([(q[:, None] >> np.arange(6) * PIVOT_BITS) & ((1 << PIVOT_BITS) - 1) for q in codes]).astype(np.int16)
 
 
 def postings(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(key, f1, f2, q1, q2): a row for each list of each vector; a task names a vector once."""
+    """(key, f1, f2, q1, q2, q3): a row for each list of each vector; a task names a vector once."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -115,11 +115,10 @@ def postings(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             if not new:
                 continue
             d = _described(_units(b.column("v").take(pa.array(new)), pivots.shape[1]), pivots)
-            keys, (q1, q2), m = _list_keys(d), _codes(d), len(_PAIRS_OF)
-            cols = [keys.ravel(), *(np.repeat(x, m) for x in (f1[new], f2[new], q1, q2))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "f1", "f2", "q1", "q2"])
+            cols = [_list_keys(d).ravel(), *(np.repeat(x, len(_PAIRS_OF)) for x in (f1[new], f2[new], *_codes(d)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["key", "f1", "f2", "q1", "q2", "q3"])
 
-    return rows.select("v", "f1", "f2").mapInArrow(name, "key long, f1 long, f2 long, q1 long, q2 long")
+    return rows.select("v", "f1", "f2").mapInArrow(name, "key long, f1 long, f2 long, q1 long, q2 long, q3 long")
 
 
 def _dealt(entries: DataFrame, long_lists: DataFrame) -> DataFrame:
@@ -172,17 +171,17 @@ def _is_first_list(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (common & (a < high[:, None]) & (a != low[:, None])).sum(axis=1) == 0
 
 
-def _with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries that share enough pivots with another one of their list and part pair."""
+def _with_partners(batches: Iterator[pa.RecordBatch], shared: int) -> Iterator[pa.RecordBatch]:
+    """The entries that share `shared` pivots with another one of their list and part pair."""
     for t, starts in _whole_groups(batches):
         n = t.num_rows
         key, f1, f2, p, i, j = (t.column(c).to_numpy() for c in ("key", "f1", "f2", "p", "i", "j"))
-        d = _decoded(t.column("q1").to_numpy(), t.column("q2").to_numpy())
+        d = _decoded([t.column(c).to_numpy() for c in ("q1", "q2", "q3")])
         needed = np.zeros(n, bool)
         for left, right in _pairs(starts, n):
             keep = ((f1[left] != f1[right]) | (f2[left] != f2[right])) & ((i[left] == j[left]) | (p[left] != p[right]))
             left, right = left[keep], right[keep]
-            keep = (d[left][:, :, None] == d[right][:, None, :]).sum(axis=(1, 2)) >= LEAST_SHARED
+            keep = (d[left][:, :, None] == d[right][:, None, :]).sum(axis=(1, 2)) >= shared
             left, right = left[keep], right[keep]
             keep = _is_first_list(d[left][:, :NEAREST], d[right][:, :NEAREST], key[left])
             needed[left[keep]] = needed[right[keep]] = True
@@ -239,7 +238,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     stats = staged(rows.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max(F.size("v")).alias("dim")), "vector-classes")
     count, dim = stats.agg(F.count("*"), F.max("dim")).first()
     if count:
-        linked = staged(_links(rows, dim, max(LEAST_PIVOTS, min(MOST_PIVOTS, count // VECTORS_EACH)), least), "vector-links")
+        linked = staged(_links(rows, dim, next((p for p in LEAST_SHARED if p * VECTORS_EACH >= count), MOST_PIVOTS), least), "vector-links")
         degrees = linked.groupBy("f1", "f2").agg(F.sum("links").alias("links"))
         labels = connected_components(linked.select(_node("f1", "f2").alias("a"), _node("g1", "g2").alias("b")))
         named = stats.withColumn("node", _node("f1", "f2")).join(labels, "node")
@@ -260,7 +259,7 @@ def _links(rows: DataFrame, dim: int, count: int, least: float) -> DataFrame:
     lists = entries.groupBy("key").count().where(F.col("count") > BLOCK)
     long_lists = staged(lists.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "long-lists")
     dealt = _dealt(entries, long_lists).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    needs = staged(dealt.mapInArrow(_with_partners, "key long, i int, j int, p int, f1 long, f2 long").distinct(), "vector-needs")
+    needs = staged(dealt.mapInArrow(lambda it: _with_partners(it, LEAST_SHARED[count]), "key long, i int, j int, p int, f1 long, f2 long").distinct(), "vector-needs")
     needed = needs.select("f1", "f2").distinct()
     whole = rows.join(needed, ["f1", "f2"], "left_semi").groupBy("f1", "f2").agg(F.first("v").alias("v"), F.count("*").alias("n"))
     met = needs.join(whole, ["f1", "f2"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")

@@ -134,3 +134,57 @@ def test_trades_of_any_length_read_few_cells(spark):
     assert got == want and len(want) > 200
     read = J.trade_cells(t, 15).groupBy("id").count().agg(F.max("count")).first()[0]
     assert read <= 32
+
+
+def test_one_long_chain_of_signals(spark):
+    """100,000 signals of one symbol, with ties, against one pass."""
+    rng = random.Random(4)
+    at, rows = 0, []
+    for k in range(100_000):
+        at += rng.choice([0, 1, 7, 30, 61, 60, 500])
+        rows.append((at, k))
+    df = spark.createDataFrame(rows, "s long, id long").select(F.lit("A").alias("symbol"), F.timestamp_seconds("s").alias("ts"), "id").repartition(8)
+    last, want = None, set()
+    for s, k in rows:
+        if last is None or s - last >= 60:
+            want.add(k)
+            last = s
+    from tradeloom.operators import recursive as R
+
+    found = R.accepted_signals(df, 60)
+    assert {r["id"] for r in found.where("accepted").collect()} == want and found.count() == len(rows)
+    one = spark.createDataFrame([(None, T0, 1), (None, T0, 2), ("B", None, 3)], "symbol string, ts timestamp, id long")
+    assert sorted((r["id"], r["accepted"]) for r in R.accepted_signals(one, 60).collect()) == [(1, True), (2, False), (3, False)]
+    assert R.accepted_signals(one, 0).where("accepted").count() == 2 and R.accepted_signals(one.where("false"), 60).count() == 0
+
+
+def test_curve_of_one_account(spark):
+    from tradeloom.operators import performance as P
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"tag": rng.choice(["x", "y"], 5_000), "at": rng.permutation(5_000), "pnl": np.round(rng.normal(0, 50, 5_000), 2)})
+    df = spark.createDataFrame(pdf).withColumn("pnl", F.when(F.col("at") > 2, F.col("pnl"))).repartition(7)
+    for by in ([], ["tag"]):
+        want = P.drawdowns(P.equity_curve(df, by, 1_000.0, ["at"]), by, ["at"]).toPandas().sort_values("at")
+        got = P.account_curve(df, by, 1_000.0, ["at"]).toPandas().sort_values("at")
+        assert list(got.columns) == list(want.columns)
+        for c in ("equity", "peak", "dd"):
+            assert np.allclose(got[c].astype(float), want[c].astype(float), atol=1e-8, equal_nan=True)
+    assert P.account_curve(df.where("false"), [], 0.0, ["at"]).count() == 0
+
+
+def test_positions_over_jdbc(spark, tmp_path):
+    """Eight reads by ranges of time from an embedded database; filters and columns reach it."""
+    from tradeloom.sources import tables as T
+
+    url, driver = f"jdbc:derby:{tmp_path}/positions;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(800).select("id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 3_600).alias("opened_at"), F.when(F.col("id") % 3 == 0, "OPEN").otherwise("CLOSED").alias("status"), (F.col("id") * 0.5).alias("pnl"))
+    rows.coalesce(1).write.format("jdbc").option("url", url).option("driver", driver).option("dbtable", "positions").option("createTableColumnTypes", "status VARCHAR(16)").save()
+    got = T.read_positions(spark, url, "positions", ("2024-01-01", "2024-02-03"), 8, driver=driver)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert got.rdd.getNumPartitions() == 8 and len(sizes) == 8 and sum(sizes) == 800
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    kept = T.closed_positions(got, "2024-01-05", "2024-01-20").select("id", "pnl")
+    assert plain(kept) == plain(T.closed_positions(rows, "2024-01-05", "2024-01-20").select("id", "pnl"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [*" in plan and "STATUS" in plan.upper() and "*GreaterThanOrEqual" in plan

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources.staging import staged
 from .windows import with_quantiles
 
 
@@ -101,6 +102,13 @@ def confusion(df: DataFrame, row: str, column: str, values: list[str]) -> DataFr
     return df.groupBy(row).pivot(column, values).count().na.fill(0, values)
 
 
+def rollup_summary(df: DataFrame, keys: list[str]) -> DataFrame:
+    """n, net, win_rate and profit_factor of each prefix of keys, from all of them to none; a key that is rolled up is null."""
+    won = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")))
+    lost = -F.sum(F.when(F.col("pnl") < 0, F.col("pnl")))
+    return df.rollup(*keys).agg(F.count("*").alias("n"), F.sum("pnl").alias("net"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), ratio(won, lost).alias("profit_factor"))
+
+
 def equity_curve(df: DataFrame, by: list[str], start: float, order: list[str]) -> DataFrame:
     """df with equity: start and all net results so far in order."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -113,6 +121,28 @@ def drawdowns(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("peak", F.max("equity").over(w)).withColumn("dd", ratio(F.col("equity"), F.col("peak")) - 1)
 
 
+def account_curve(df: DataFrame, by: list[str], start: float, order: list[str]) -> DataFrame:
+    """df with equity, peak and dd as `equity_curve` and `drawdowns` give them, for keys that hold too many rows for one task, such as one account (`by` empty).
+
+    Rows are staged in ranges of (by, order), which must be unique; each range's sum, then its greatest equity, gives what the next ranges of the key start from,
+    and windows inside the ranges do the rest.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[F.col(c) for c in by], F.lit(0).alias("_"))
+    ranged = staged(df.repartitionByRange(parts, *by, *order).withColumns({"_part": F.spark_partition_id(), "_key": key}), "curve-ranges")
+    ahead = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_key", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy("_key", "_part").agg(F.sum("pnl").alias("_sum"))  # a row for each key and range
+    sums = sums.select("_key", "_part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0.0)).alias("_before"))
+    # before the first result there is no equity, as in a window's sum over nulls
+    seen = F.when(F.col("_before") != 0, F.coalesce(F.sum("pnl").over(inside), F.lit(0.0))).otherwise(F.sum("pnl").over(inside))
+    held = staged(ranged.join(sums, ["_key", "_part"]).withColumn("equity", F.lit(start) + F.col("_before") + seen).drop("_before"), "curve-equity")
+    peaks = held.groupBy("_key", "_part").agg(F.max("equity").alias("_top"))
+    peaks = peaks.select("_key", "_part", F.max("_top").over(ahead).alias("_top"))
+    out = held.join(peaks, ["_key", "_part"]).withColumn("peak", F.greatest("_top", F.max("equity").over(inside)))
+    return out.withColumn("dd", ratio(F.col("equity"), F.col("peak")) - 1).drop("_key", "_part", "_top")
+
+
 def curve_metrics(df: DataFrame, by: list[str], at: str) -> DataFrame:
     """max_dd, ulcer, cagr (365-day years, one day at least) and mar of curves with equity and dd."""
     days = F.greatest(F.lit(1.0), (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 86_400e6)

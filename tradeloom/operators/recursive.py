@@ -1,7 +1,7 @@
 """The few per-symbol recursions: a two-state switching filter, sequential guards, greedy matching.
 
 The filter runs by applyInPandas on one symbol's rows, with the needed columns only.  A symbol has at most 288 bars a day at five
-minutes, so a group stays small (1.5 million rows for 14 years).  Signals and match candidates have no such bound: they are cut into
+minutes, so a group stays small (1.5 million rows for 14 years).  Signals are joined to those that may follow them; match candidates are cut into
 groups that cannot affect each other, which stream through mapInPandas in order.
 """
 
@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..sources.staging import staged
 
 def switching_filter(r: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Filtered probabilities (n, 2), means and variances of a two-state normal switching model, by expectation maximization from a fixed start."""
@@ -79,30 +80,50 @@ def _in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
+def next_signals(times: DataFrame, cooldown: int) -> DataFrame:
+    """(symbol, t, to): for each distinct time t (microseconds) the symbol's first one at least `cooldown` later, null if none.
+
+    Time is cut into cells of the cooldown.  What is sought lies in the next cell, or is the first time of the first cell after it that holds any; so the windows
+    are over one cell's times, and over one row for each cell that holds any.
+    """
+    at = times.withColumn("cell", F.floor(F.col("t") / cooldown))
+    w = Window.partitionBy("symbol").orderBy("cell")
+    cells = at.groupBy("symbol", "cell").agg(F.min("t").alias("first"))
+    cells = cells.select("symbol", "cell", *[F.lead(c, k).over(w).alias(f"{c}{k}") for k in (1, 2) for c in ("cell", "first")])
+    asks = at.select("symbol", (F.col("cell") + 1).alias("cell"), (F.col("t") + cooldown).alias("at"), F.lit(1).alias("asks"), "t")
+    tells = at.select("symbol", "cell", F.col("t").alias("at"), F.lit(0).alias("asks"), "t")
+    later = Window.partitionBy("symbol", "cell").orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    near = asks.unionByName(tells).withColumn("near", F.min(F.when(F.col("asks") == 0, F.col("at"))).over(later)).where("asks = 1")
+    found = near.select("symbol", (F.col("cell") - 1).alias("cell"), "t", "near").join(cells, ["symbol", "cell"])
+    to = F.when(F.col("cell1") > F.col("cell") + 1, F.col("first1")).otherwise(F.coalesce("near", "first2"))
+    return found.select("symbol", "t", to.alias("to"))
+
+
 def accepted_signals(signals: DataFrame, cooldown_s: float) -> DataFrame:
     """(symbol, ts, id, accepted): a signal is accepted if the last accepted one of its symbol is cooldown_s away; without a time never.
 
-    A signal cooldown_s after the one before it is accepted whatever came earlier, so it starts a run of its own that any task can
-    take; a task reads its runs in order and holds the last accepted time only.
+    The accepted ones are the chain from a symbol's first signal along `next_signals`, found by pointer doubling: a round adds as many as are known, with pointers of
+    twice the length, so a chain of n takes log n rounds of joins on staged tables and no task follows it.  Of signals of one time the first by id counts.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = None, None
-        for g in batches:
-            ok = []
-            at = g["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-            for key, t, known in zip(zip(g["symbol"], g["_run"], strict=True), at, g["ts"].notna(), strict=True):
-                if key != now:
-                    now, last = key, None
-                ok.append(bool(known) and (last is None or t - last >= cooldown_s * 1e6))
-                last = t if ok[-1] else last
-            yield g[["symbol", "ts", "id"]].assign(accepted=ok)
-
-    w = Window.partitionBy("symbol").orderBy("ts", "id")
-    at = F.unix_micros("ts")
-    apart = F.coalesce((at - F.lag(at).over(w) >= cooldown_s * 1e6).cast("int"), F.lit(0))
-    runs = signals.select("symbol", "ts", "id").withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return _in_order(runs.drop("_apart"), ["symbol", "_run"], ["ts", "id"]).mapInPandas(run, "symbol string, ts timestamp, id long, accepted boolean")
+    rows = signals.select("symbol", "ts", "id")
+    first = F.row_number().over(Window.partitionBy("symbol", "ts").orderBy("id")) == 1
+    known = rows.where("ts is not null").select(F.struct("symbol").alias("symbol"), F.unix_micros("ts").alias("t")).distinct()  # as a struct a null symbol is equal to itself
+    cooldown = round(cooldown_s * 1_000_000)
+    if cooldown <= 0:
+        return rows.withColumn("accepted", F.col("ts").isNotNull())
+    jump = staged(next_signals(known, cooldown).where("to is not null"), "signal-next")
+    reached = staged(known.groupBy("symbol").agg(F.min("t").alias("t")), "signals-reached")
+    while True:
+        more = staged(reached.join(jump, ["symbol", "t"]).select("symbol", F.col("to").alias("t")), "signals-more")
+        if more.isEmpty():
+            break
+        reached = reached.unionByName(more)
+        onward = jump.select("symbol", F.col("t").alias("to"), F.col("to").alias("further"))
+        jump = staged(jump.join(onward, ["symbol", "to"]).select("symbol", "t", F.col("further").alias("to")), "signal-next")
+    taken = reached.select("symbol", "t", F.lit(True).alias("taken"))
+    placed = rows.withColumn("first", first).withColumns({"key": F.struct("symbol"), "t": F.unix_micros("ts")})
+    out = placed.join(taken.withColumnRenamed("symbol", "key"), ["key", "t"], "left")
+    return out.select("symbol", "ts", "id", (F.col("first") & F.coalesce("taken", F.lit(False))).alias("accepted"))
 
 
 def _chains(rows: DataFrame, keys: list[str], lo: Column, hi: Column, name: str) -> DataFrame:

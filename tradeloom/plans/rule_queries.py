@@ -74,6 +74,15 @@ def context_rules(spark: S, sf: str) -> DataFrame:
     return d.select("id", enter.alias("should_enter"), F.concat_ws(",", tags).alias("tags"))
 
 
+_COMPARED = {"==": (0.3, "x = 0.3"), "!=": (0.3, "x <> 0.3"), "<": (0.3, "x < 0.3"), "<=": (0.3, "x <= 0.3"), ">": (0.6, "x > 0.6"), ">=": (0.6, "x >= 0.6"), "outside": ([0.2, 0.8], "x < 0.2 OR x > 0.8"), "is_true": (None, "x <> 0"), "is_false": (None, "x = 0")}
+
+
+@query(sql("decisions", "t AS (SELECT id, CASE WHEN id % 9 <> 0 THEN CASE WHEN id % 10 = 0 THEN 0 ELSE p END END AS x FROM decisions) SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{op}' END" for op, (_, c) in _COMPARED.items()) + "], lambda v: v IS NOT NULL), ' ') AS holds FROM t"))
+def comparisons(spark: S, sf: str) -> DataFrame:
+    x = F.when(F.col("id") % 9 != 0, F.when(F.col("id") % 10 == 0, 0.0).otherwise(F.col("p")))
+    return D.decisions(spark, sf).select("id", F.concat_ws(" ", *[F.when(C.compare(x, op, v), op) for op, (v, _) in _COMPARED.items()]).alias("holds"))
+
+
 _LINES = {
     0: ("'Checking S' || u || '...'", "check"),
     1: ("'OHLCV_LIMIT symbol=S' || u || ' base_tf=5m x base_limit=' || e", "ohlcv_limit"),

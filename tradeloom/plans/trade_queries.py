@@ -119,6 +119,27 @@ def curve_metrics(spark: S, sf: str) -> DataFrame:
     return rounded(rounded(rounded(P.curve_metrics(_curve(spark, sf), ["tag"], "closed_at"), 6, "max_dd"), 5, "ulcer", "cagr"), 4, "mar")
 
 
+_ACCOUNT = "c AS (SELECT *, 10000 + sum(pnl) OVER (ORDER BY closed_at, id) AS equity FROM trades), k AS (SELECT *, max(equity) OVER (ORDER BY closed_at, id) AS peak FROM c), dd AS (SELECT *, equity / nullif(peak, 0) - 1 AS dd FROM k)"
+
+
+@query(sql("trades", _ACCOUNT + " SELECT id, round(equity, 2) AS equity, round(peak, 2) AS peak, round(dd, 6) + 0.0 AS dd FROM dd"))
+def account_drawdown(spark: S, sf: str) -> DataFrame:
+    curve = P.account_curve(D.trades(spark, sf), [], 10_000.0, ["closed_at", "id"])
+    return rounded(rounded(curve.select("id", "equity", "peak", "dd"), 2, "equity", "peak"), 6, "dd")
+
+
+@query(sql("trades", "t AS (SELECT *, CASE WHEN pnl > 0 THEN 'with' ELSE 'against' END AS kind, tag AS rule, id % 3 * 10 + 20 AS len, p > 0.5 AS up FROM trades) SELECT symbol, kind, rule, len, up, count(*) AS n, round(sum(pnl), 2) AS net, round(avg(CAST(pnl > 0 AS DOUBLE)), 6) AS win_rate, round(sum(pnl) FILTER (pnl > 0) / nullif(-sum(pnl) FILTER (pnl < 0), 0), 6) AS profit_factor FROM t GROUP BY ROLLUP (symbol, kind, rule, len, up)"))
+def results_by_entry(spark: S, sf: str) -> DataFrame:
+    t = D.trades(spark, sf).select("symbol", F.when(F.col("pnl") > 0, "with").otherwise("against").alias("kind"), F.col("tag").alias("rule"), (F.col("id") % 3 * 10 + 20).alias("len"), (F.col("p") > 0.5).alias("up"), "pnl")
+    return rounded(rounded(P.rollup_summary(t, ["symbol", "kind", "rule", "len", "up"]), 2, "net"), 6, "win_rate", "profit_factor")
+
+
+@query(sql("trades", "SELECT id, closed_at, opened_at, row_number() OVER (ORDER BY coalesce(CASE WHEN id % 5 <> 0 THEN closed_at END, opened_at), id) - 1 AS place FROM trades"))
+def trade_list(spark: S, sf: str) -> DataFrame:
+    t = D.trades(spark, sf).withColumn("at", F.coalesce(F.when(F.col("id") % 5 != 0, F.col("closed_at")), F.col("opened_at")))
+    return W.with_order_index(t.select("id", "closed_at", "opened_at", "at"), ["at", "id"], "place").drop("at")
+
+
 DAYS = CURVE + ", day AS (SELECT tag, CAST(closed_at AS DATE) AS day, arg_max(equity, (closed_at, id)) AS equity FROM dd GROUP BY ALL)"
 
 

@@ -188,3 +188,64 @@ def test_positions_over_jdbc(spark, tmp_path):
     assert plain(kept) == plain(T.closed_positions(rows, "2024-01-05", "2024-01-20").select("id", "pnl"))
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [*" in plan and "STATUS" in plan.upper() and "*GreaterThanOrEqual" in plan
+
+
+def plain_switching(r, steps):
+    """The same model, one row after another."""
+    order = np.argsort(np.abs(r - r.mean()), kind="stable")
+    half, n = len(r) // 2, len(r)
+    var = np.array([r[order[:half]].var(), r[order[half:]].var()]) + 1e-12
+    mean, trans, start = np.full(2, r.mean()), np.array([[0.95, 0.05], [0.05, 0.95]]), np.full(2, 0.5)
+    for step in range(steps + 1):
+        density = np.exp(-0.5 * (r[:, None] - mean) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
+        alpha = np.empty((n, 2))
+        beta = np.ones((n, 2))
+        for k in range(n):
+            a = (start if k == 0 else alpha[k - 1] @ trans) * density[k]
+            alpha[k] = a / a.sum()
+        if step == steps:
+            return alpha, mean, var
+        for k in range(n - 2, -1, -1):
+            b = trans @ (density[k + 1] * beta[k + 1])
+            beta[k] = b / b.sum()
+        smooth = alpha * beta
+        smooth /= smooth.sum(1, keepdims=True)
+        moves = np.zeros((2, 2))
+        for k in range(n - 1):
+            j = alpha[k][:, None] * trans * (density[k + 1] * beta[k + 1])[None]
+            moves += j / j.sum()
+        mean = (smooth * r[:, None]).sum(0) / smooth.sum(0)
+        var = (smooth * (r[:, None] - mean) ** 2).sum(0) / smooth.sum(0) + 1e-12
+        trans, start = moves / moves.sum(1, keepdims=True), smooth[0]
+
+
+@pytest.mark.parametrize("steps", [0, 1, 20])
+def test_switching_filter_against_rows_in_turn(steps):
+    from tradeloom.operators import recursive as R
+
+    rng = np.random.default_rng(5)
+    calm = np.repeat(rng.integers(0, 2, 25), 20)
+    r = rng.normal(0, np.where(calm, 0.01, 0.05))
+    got, want = R.switching_filter(r, steps), plain_switching(r, steps)
+    assert all(np.allclose(a, b, rtol=1e-6, atol=1e-9) for a, b in zip(got, want, strict=True))
+    assert R.filter_pass(r[:1], np.zeros(2), np.ones(2), np.full((2, 2), 0.5), np.full(2, 0.5))[0].tolist() == [[0.5, 0.5]]
+
+
+def test_isotonic_fit(spark):
+    """Against pooling in one pass, with ties, rising and falling data, and values between and beyond the blocks."""
+    from tradeloom.operators import learning as M
+
+    rng = random.Random(8)
+    for draw in (lambda p: rng.random() < p, lambda p: rng.random() < 1 - p, lambda p: p > 0.5):
+        rows = [(rng.randrange(400) / 400, 0) for _ in range(3_000)]
+        rows = [(p, int(draw(p))) for p, _ in rows]
+        df = spark.createDataFrame(rows, "p double, y int").repartition(4)
+        xs = sorted({p for p, _ in rows})
+        n = [sum(p == x for p, _ in rows) for x in xs]
+        means = M.monotone([sum(y for p, y in rows if p == x) / k for x, k in zip(xs, n, strict=True)], n)
+        blocks = M.isotonic_blocks(df)
+        at = spark.createDataFrame([(x,) for x in [*xs, -0.5, 1.5, 0.00125, 0.50125, None]], "p double")
+        got = {r["p"]: r["p_cal"] for r in M.apply_isotonic(at, blocks).collect()}
+        assert len(got) == at.count() and got[None] is None
+        assert np.allclose([got[x] for x in [*xs, -0.5, 1.5, 0.00125, 0.50125]], np.interp([*xs, -0.5, 1.5, 0.00125, 0.50125], xs, means), atol=1e-12)
+    assert M.isotonic_blocks(df.where("false")).count() == 0

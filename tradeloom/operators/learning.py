@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def calibrators(preds: DataFrame, bins: int = 12) -> dict:
     vec = VectorAssembler(inputCols=["_l"], outputCol="_z")
     fitted = platt.fit(vec.transform(preds.withColumn("_l", logit(F.col("p")))))
     a, b = float(fitted.coefficients[0]), float(fitted.intercept)
-    iso = IsotonicRegression(featuresCol="p", labelCol="y").fit(preds)
+    blocks = isotonic_blocks(preds)
     edges = with_quantiles(preds.agg(F.count("*")), preds, {"_e": F.col("p")}, [k / bins for k in range(1, bins)]).select(F.array_distinct("_e")).first()[0] or []
     cell = F.lit(0)
     for e in edges:
@@ -93,10 +94,61 @@ def calibrators(preds: DataFrame, bins: int = 12) -> dict:
     return {
         "platt": lambda df: df.withColumn("p_cal", 1 / (1 + F.exp(-(a * logit(F.col("p")) + b)))),
         "binned": lambda df: df.withColumn("p_cal", of[cell]),
-        "isotonic": lambda df: iso.transform(df).withColumnRenamed("prediction", "p_cal"),
+        "isotonic": lambda df: apply_isotonic(df, blocks),
     }
 
 
+_LEVEL = "lo double, hi double, n double, s double"
+
+
+def isotonic_blocks(preds: DataFrame, x: str = "p", y: str = "y") -> DataFrame:
+    """(lo, hi, value, next_lo, next_value): the blocks of the nondecreasing least-squares fit of y by x, in order of x.
+
+    Equal x are combined first.  Neighbours that fall are pooled inside ranges of x; what is left meets in fewer ranges, eight at a time, and is pooled again: a pool
+    of one range is never split by another.  The last round holds the fit's own blocks and what the eight ranges before it left.
+    """
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out.append(list(row))
+                while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
+                    _, hi, n, s = out.pop()
+                    out[-1] = [out[-1][0], hi, out[-1][2] + n, out[-1][3] + s]
+        return out
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pylist([dict(zip(("lo", "hi", "n", "s"), r, strict=True)) for r in pooled(batches)], pa.schema([(c, pa.float64()) for c in ("lo", "hi", "n", "s")]))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(lo, hi, s / n) for lo, hi, n, s in pooled(batches)]
+        after = [*rows[1:], (None, None, None)]
+        found = [{"lo": lo, "hi": hi, "value": v, "next_lo": a[0], "next_value": a[2]} for (lo, hi, v), a in zip(rows, after, strict=False)]
+        yield pa.RecordBatch.from_pylist(found, pa.schema([(c, pa.float64()) for c in ("lo", "hi", "value", "next_lo", "next_value")]))
+
+    known = preds.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    level = known.groupBy(F.col(x).cast("double").alias("lo")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("s")).select("lo", F.col("lo").alias("hi"), "n", "s")
+    parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > 1:
+        level = staged(level.repartitionByRange(parts, "lo").sortWithinPartitions("lo").mapInArrow(part, _LEVEL), "isotonic-pools")
+        parts = -(-parts // 8)
+    return staged(level.repartition(1).sortWithinPartitions("lo").mapInArrow(last, "lo double, hi double, value double, next_lo double, next_value double"), "isotonic-blocks")
+
+
+def apply_isotonic(df: DataFrame, blocks: DataFrame, x: str = "p", name: str = "p_cal", cells: int = 1_000) -> DataFrame:
+    """df with the fit's value at x: a block's own inside it, on a line between blocks, the first or last one's beyond them.  x is in 0 .. 1, and meets blocks by its cell of that range."""
+    cell = lambda c: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * cells)
+    first = blocks.agg(F.min("lo").alias("_first"))  # one row
+    reach = blocks.crossJoin(F.broadcast(first)).withColumn("_from", F.when(F.col("lo") > F.col("_first"), F.col("lo")).otherwise(F.lit(float("-inf"))))
+    reach = reach.select(*[F.col(c).alias(f"_{c}") for c in ("lo", "hi", "value", "next_lo", "next_value")], "_from", F.explode(F.sequence(cell(F.col("_from")), cell(F.coalesce("next_lo", F.lit(1.0))))).alias("_cell"))
+    inside = (F.col(x) >= F.col("_from")) & (F.col("_next_lo").isNull() | (F.col(x) < F.col("_next_lo")))
+    out = df.withColumn("_at", cell(F.col(x))).join(reach, (F.col("_at") == F.col("_cell")) & inside, "left")
+    between = F.col("_value") + (F.col("_next_value") - F.col("_value")) * (F.col(x) - F.col("_hi")) / (F.col("_next_lo") - F.col("_hi"))
+    value = F.when((F.col(x) <= F.col("_hi")) | F.col("_next_lo").isNull(), F.col("_value")).otherwise(between)
+    return out.withColumn(name, value).select(*df.columns, name)
+
+
 def monotone(values: list[float], weights: list[float]) -> list[float]:
     """Least-squares nondecreasing values: neighbours that fall are pooled."""
     blocks: list[list[float]] = []

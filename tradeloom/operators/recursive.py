@@ -16,37 +16,66 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import staged
 
+def prefix_products(m: np.ndarray) -> np.ndarray:
+    """m_0, m_0 m_1, m_0 m_1 m_2, ... of (n, 2, 2) matrices, each scaled to a largest entry of 1; by doubling, log n array operations."""
+    out = m / m.max(axis=(1, 2), keepdims=True)
+    step = 1
+    while step < len(out):
+        both = out[:-step] @ out[step:]
+        out = np.concatenate([out[:step], both / both.max(axis=(1, 2), keepdims=True)])
+        step *= 2
+    return out
+
+
+def filter_pass(r: np.ndarray, mean: np.ndarray, var: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(filtered, ahead, steps): probabilities of two normal states given the returns so far, and one step ahead; steps are the matrices trans * density.
+
+    A state's probability is the start's row times the product of all steps so far, so no row waits for the one before it.
+    """
+    density = np.exp(-0.5 * (r[:, None] - mean) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
+    steps = trans[None] * density[:, None, :]
+    steps = steps / steps.max(axis=(1, 2), keepdims=True)
+    first = start * density[0]
+    row = np.concatenate([first[None], first @ prefix_products(steps[1:])]) if len(r) > 1 else first[None]
+    filtered = row / row.sum(axis=1, keepdims=True)
+    return filtered, np.concatenate([start[None], filtered[:-1] @ trans]), steps
+
+
 def switching_filter(r: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Filtered probabilities (n, 2), means and variances of a two-state normal switching model, by expectation maximization from a fixed start."""
     order = np.argsort(np.abs(r - r.mean()), kind="stable")
     half = len(r) // 2
     var = np.array([r[order[:half]].var(), r[order[half:]].var()]) + 1e-12
     mean, trans, start = np.full(2, r.mean()), np.array([[0.95, 0.05], [0.05, 0.95]]), np.full(2, 0.5)
-    n = len(r)
-    for step in range(steps + 1):
-        density = np.exp(-0.5 * (r[:, None] - mean) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
-        filtered, ahead = np.empty((n, 2)), np.empty((n, 2))
-        p = start
-        for k in range(n):
-            ahead[k] = p
-            joint = p * density[k]
-            filtered[k] = joint / joint.sum()
-            p = filtered[k] @ trans
-        if step == steps:
-            break
-        smooth = np.empty((n, 2))
-        smooth[-1] = filtered[-1]
-        moves = np.zeros((2, 2))
-        for k in range(n - 2, -1, -1):
-            back = smooth[k + 1] / ahead[k + 1]
-            moves += filtered[k][:, None] * trans * back[None, :]
-            smooth[k] = filtered[k] * (trans @ back)
+    for _ in range(steps):
+        filtered, ahead, moved = filter_pass(r, mean, var, trans, start)
+        # what is to come, seen from each row: the product of the steps after it, from the last one back
+        later = prefix_products(moved[:0:-1].transpose(0, 2, 1))[::-1].sum(axis=1) if len(r) > 1 else np.zeros((0, 2))
+        smooth = filtered * np.concatenate([later, np.ones((1, 2))])
+        smooth = smooth / smooth.sum(axis=1, keepdims=True)
+        moves = filtered[:-1].T @ (smooth[1:] / ahead[1:]) * trans
         weight = smooth.sum(0) + 1e-12
         mean = (smooth * r[:, None]).sum(0) / weight
         var = (smooth * (r[:, None] - mean) ** 2).sum(0) / weight + 1e-12
         trans = moves / (moves.sum(1, keepdims=True) + 1e-300)
         start = smooth[0]
-    return filtered, mean, var
+    return filter_pass(r, mean, var, trans, start)[0], mean, var
+
+
+def filtered_states(bars: DataFrame, mean: list[float], var: list[float], stay: float) -> DataFrame:
+    """(symbol, ts, prob): probability of the second state given a symbol's plain returns so far, for fixed parameters; no row for a return that is not known."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ts", ignore_index=True)
+        r = g["close"].pct_change().to_numpy()
+        known = np.isfinite(r)
+        if not known.any():
+            return g.iloc[:0].assign(prob=0.0)[["symbol", "ts", "prob"]]
+        trans = np.array([[stay, 1 - stay], [1 - stay, stay]])
+        p = filter_pass(r[known], np.array(mean), np.array(var), trans, np.full(2, 0.5))[0]
+        return g[known][["symbol", "ts"]].assign(prob=p[:, 1])
+
+    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, prob double")
 
 
 def markov_regime(bars: DataFrame, least: int, up: bool, alpha: float = 0.2) -> DataFrame:

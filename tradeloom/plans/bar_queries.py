@@ -361,6 +361,14 @@ def momentum_indicators(spark: S, sf: str) -> DataFrame:
     return N.with_indicators(D.bars(spark, sf)).select("symbol", "ts", *[(F.round(c, 4) + 0.0).alias(c) for c in names])
 
 
+_DENSITY = "exp(-0.5 * r * r / {v}) / sqrt(2 * pi() * {v}) + 1e-300"
+
+
+@query(sql("bars", f"a AS (SELECT symbol, ts, close / lag(close) OVER ({BY}) - 1 AS r FROM bars), b AS (SELECT *, {_DENSITY.format(v=0.04)} AS d0, {_DENSITY.format(v=4.0)} AS d1, row_number() OVER ({BY}) AS k FROM a WHERE r IS NOT NULL AND isfinite(r)), f AS (SELECT symbol, ts, k, 0.5 * d1 / (0.5 * d0 + 0.5 * d1) AS q FROM b WHERE k = 1 UNION ALL SELECT b.symbol, b.ts, b.k, (0.1 + 0.8 * q) * d1 / ((0.9 - 0.8 * q) * d0 + (0.1 + 0.8 * q) * d1) FROM f JOIN b ON b.symbol = f.symbol AND b.k = f.k + 1) SELECT symbol, ts, round(q, 6) AS prob FROM f").replace("WITH ", "WITH RECURSIVE ", 1))
+def switching_states(spark: S, sf: str) -> DataFrame:
+    return rounded(R.filtered_states(D.bars(spark, sf), [0.0, 0.0], [0.04, 4.0], 0.9), 6, "prob")
+
+
 @query()
 def markov_regime_4h(spark: S, sf: str) -> DataFrame:
     return R.markov_regime(D.bars(spark, sf, "4h"), 80, up=True)

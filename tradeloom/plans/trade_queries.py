@@ -507,6 +507,12 @@ def calibrated_scores(spark: S, sf: str) -> DataFrame:
     return rounded(out.select("id", "p_cal", F.lit(name).alias("calibrator")), 6, "p_cal")
 
 
+@query(sql("trades", "v AS (SELECT p, count(*) AS n, sum(y) AS s FROM trades GROUP BY p), c AS (SELECT p, sum(n) OVER (ORDER BY p) AS cn, sum(s) OVER (ORDER BY p) AS cs, n, s FROM v), f AS (SELECT j.p, min((j.cs - i.cs + i.s) / CAST(j.cn - i.cn + i.n AS DOUBLE)) OVER (PARTITION BY i.p ORDER BY j.p DESC) AS low FROM c i JOIN c j ON j.p >= i.p), g AS (SELECT p, max(low) AS v FROM f GROUP BY p) SELECT id, round(v, 6) AS p_cal FROM trades JOIN g USING (p)"))
+def isotonic_scores(spark: S, sf: str) -> DataFrame:
+    t = D.trades(spark, sf).select("id", "p", "y")
+    return rounded(M.apply_isotonic(t, M.isotonic_blocks(t)).select("id", "p_cal"), 6, "p_cal")
+
+
 @query()
 def feature_ablation(spark: S, sf: str) -> DataFrame:
     m = M.drop_one(_training(spark, sf), ["p", "hour_sin", "notional"], 2, 50)

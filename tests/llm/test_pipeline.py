@@ -78,3 +78,21 @@ def test_run_applies_all(spark, planted):
     out = corpus_pipeline.run(spark, sf)
     kept = {r["doc_id"] for r in out.collect()}
     assert len(kept) == out.count() and {20_000, 20_001} & kept and max(k for k in kept if k < 20_000) < 10_040
+
+
+def test_run_on_empty_and_odd_tables(spark, tmp_path):
+    """No documents, labels or items; and repeated rows, null ids and null texts, with columns that clash with the stages' own."""
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["one two three four five six seven", None, "", "x", "é ü"]
+    odd = [(None if k % 4 == 0 else k % 7, texts[k % 5], "en", "s", 1) for k in range(60)]
+    for name, rows in (("none", []), ("odd", odd)):
+        sf = f"file://{tmp_path}/{name}"
+        docs = spark.createDataFrame(rows, schema).withColumns({"lost_id": F.lit(1), "h": F.lit("h")})
+        docs.write.parquet(f"{sf}/documents.parquet")
+        queries.table(spark, SF, "labels").where("false").write.parquet(f"{sf}/labels.parquet")
+        queries.table(spark, SF, "benchmark").where("false").write.parquet(f"{sf}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, sf).collect()
+        assert len(out) == (len({t or "" for t in texts}) if rows else 0)
+        assert all(r["round_trip"] for r in out)

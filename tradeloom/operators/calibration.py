@@ -94,12 +94,12 @@ def ece_of_bins(bins: DataFrame, n: str, conf: str, acc: str) -> DataFrame:
     return bins.agg((F.sum(F.col(n) * F.abs(F.col(acc) - F.col(conf))) / F.sum(n)).alias("ece"))
 
 
-def auc_brier(df: DataFrame, p: str, y: str) -> DataFrame:
-    """(auc, brier, brier_base, accuracy): ranks by average over ties, from counts of each distinct p."""
-    each = df.groupBy(p).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("k"), F.sum(F.pow(F.col(p) - F.col(y), F.lit(2))).alias("b"), F.sum(((F.col(p) >= 0.5) == (F.col(y) == 1)).cast("double")).alias("hit"))
-    ranked = with_running(each, [p], {"before": F.col("n")}).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
-    s = ranked.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("rank") * F.col("k")).alias("r"), F.sum("b").alias("b"), F.sum("hit").alias("hit"))
-    return s.select(ratio(F.col("r") - F.col("k") * (F.col("k") + 1) / 2, F.col("k") * (F.col("n") - F.col("k"))).alias("auc"), (F.col("b") / F.col("n")).alias("brier"), (F.col("k") / F.col("n") * (1 - F.col("k") / F.col("n"))).alias("brier_base"), (F.col("hit") / F.col("n")).alias("accuracy"))
+def auc_brier(df: DataFrame, p: str, y: str, by: list[str] = ()) -> DataFrame:
+    """(by, auc, brier, brier_base, accuracy): ranks by average over ties, from counts of each distinct p; places run over all groups at once."""
+    each = df.groupBy(*by, p).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("k"), F.sum(F.pow(F.col(p) - F.col(y), F.lit(2))).alias("b"), F.sum(((F.col(p) >= 0.5) == (F.col(y) == 1)).cast("double")).alias("hit"))
+    ranked = with_running(each, [*by, p], {"before": F.col("n")}).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    s = ranked.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), (F.sum(F.col("rank") * F.col("k")) - F.min("before") * F.sum("k")).alias("r"), F.sum("b").alias("b"), F.sum("hit").alias("hit"))
+    return s.select(*by, ratio(F.col("r") - F.col("k") * (F.col("k") + 1) / 2, F.col("k") * (F.col("n") - F.col("k"))).alias("auc"), (F.col("b") / F.col("n")).alias("brier"), (F.col("k") / F.col("n") * (1 - F.col("k") / F.col("n"))).alias("brier_base"), (F.col("hit") / F.col("n")).alias("accuracy"))
 
 
 def resolution(df: DataFrame, raw: str, cal: str) -> DataFrame:

@@ -1,9 +1,8 @@
-"""Training sets and models on tables: pyspark.ml logistic regression over purged folds, calibrators, ablation, shuffle test."""
+"""Training sets and models on tables: logistic models over purged folds, calibrators, ablation, shuffle test."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import calendar, logit, ratio, weekday_flags
 from ..sources.staging import staged
-from .calibration import auc_brier, ece, purged_folds, resolution, width_bin
+from .calibration import auc_brier, ece, resolution, width_bin
+from .fits import Variant, fit_all, packed_rows, score_all, scores_of
 from .joins import window_enrichment
 from .performance import cost_audit
 from .windows import with_order_index, with_quantiles, with_running
@@ -56,25 +56,18 @@ def scored(fitted: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, features: list[str], folds: int, embargo: int, keep: list[str]) -> DataFrame:
-    """Scores of each fold's test rows by a model of its training rows; a single-class training part scores its share."""
-    df = df.withColumns({c: F.col(c).cast("double") for c in features})
-    parts, split = [], staged(purged_folds(df, folds, embargo), "folds")
-    for k in range(folds):
-        train = split.where((F.col("fold") == k) & (F.col("role") == "train"))
-        test = split.where((F.col("fold") == k) & (F.col("role") == "test"))
-        n, share = train.agg(F.count("*"), F.avg("y")).first()  # one row
-        if not n or share in (0.0, 1.0):
-            parts.append(test.select(*keep, F.lit(share).cast("double").alias("p")))
-        else:
-            parts.append(scored(model(known_features(train, features)).fit(train), test, keep))
-    return reduce(DataFrame.unionByName, parts)
+    """Scores of each fold's test rows by a model of its training rows; a single-class training part scores its share, one without rows null."""
+    rows = packed_rows(df, features, F.array("y"), keep=keep)
+    m = fit_all(rows, features, [Variant("all", tuple(features))], folds, embargo)
+    return score_all(rows, m, keep).select(*keep, F.nanvl(F.col("_p")[0], F.lit(None)).alias("p"))
 
 
 def drop_one(df: DataFrame, features: list[str], folds: int, embargo: int) -> DataFrame:
-    """(feature, auc, brier) with each feature left out; `baseline` keeps all."""
-    runs = [("baseline", features)] + [(f, [x for x in features if x != f]) for f in features]
-    parts = [auc_brier(out_of_fold(df, fs, folds, embargo, ["y"]), "p", "y").select(F.lit(name).alias("feature"), "auc", "brier") for name, fs in runs]
-    return reduce(DataFrame.unionByName, parts)
+    """(feature, auc, brier) with each feature left out; `baseline` keeps all.  All models are fitted together."""
+    rows = packed_rows(df, features, F.array("y"))
+    left = [Variant("baseline", tuple(features)), *[Variant(f, tuple(x for x in features if x != f)) for f in features]]
+    m = fit_all(rows, features, left, folds, embargo)
+    return auc_brier(scores_of(score_all(rows, m), m), "p", "y", ["variant"]).select(F.col("variant").alias("feature"), "auc", "brier")
 
 
 def calibrators(preds: DataFrame, bins: int = 12) -> dict:

@@ -148,26 +148,26 @@ _U = "CAST('0x' || substr(md5(id || ':' || rep), 1, 15) AS BIGINT)"
 _STEPS = " + ".join(f"CAST(u > {s!r} AS INTEGER)" for s in K.POISSON_STEPS)
 
 
-@query(sql("trades", f"u AS (SELECT p, y, rep, ({_U} % 1000000 + 0.5) / 1e6 AS u FROM trades, generate_series(1, 100) g(rep)), w AS (SELECT *, {_STEPS} AS w FROM u), b AS (SELECT rep, sum(w * pow(p - y, 2)) / sum(w) AS brier FROM w GROUP BY rep) SELECT 'brier' AS metric, round(quantile_cont(brier, 0.025), 6) AS low, round(quantile_cont(brier, 0.5), 6) AS mid, round(quantile_cont(brier, 0.975), 6) AS high FROM b"))
+@query(sql("trades", f"u AS (SELECT p, y, rep, ({_U} % 1000000 + 0.5) / 1e6 AS u FROM trades, generate_series(1, 2000) g(rep)), w AS (SELECT *, {_STEPS} AS w FROM u), b AS (SELECT rep, sum(w * pow(p - y, 2)) / sum(w) AS brier FROM w GROUP BY rep) SELECT 'brier' AS metric, round(quantile_cont(brier, 0.025), 6) AS low, round(quantile_cont(brier, 0.5), 6) AS mid, round(quantile_cont(brier, 0.975), 6) AS high FROM b"))
 def bootstrap_brier(spark: S, sf: str) -> DataFrame:
-    return rounded(K.bootstrap(D.trades(spark, sf), "p", "y", "id", 100), 6, "low", "mid", "high")
+    return rounded(K.bootstrap(D.trades(spark, sf), "p", "y", "id", 2_000), 6, "low", "mid", "high")
 
 
-@query(sql("trades", f"u AS (SELECT p, y, rep, ({_U} % 1000000 + 0.5) / 1e6 AS u FROM trades, generate_series(1, 100) g(rep)), w AS (SELECT *, {_STEPS} AS w FROM u), c AS (SELECT rep, p, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM w GROUP BY rep, p), x AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c), b AS (SELECT rep, sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM x GROUP BY rep) SELECT 'auc' AS metric, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.5), 6) AS mid, round(quantile_cont(auc, 0.975), 6) AS high FROM b"))
+@query(sql("trades", f"u AS (SELECT p, y, rep, ({_U} % 1000000 + 0.5) / 1e6 AS u FROM trades, generate_series(1, 2000) g(rep)), w AS (SELECT *, {_STEPS} AS w FROM u), c AS (SELECT rep, p, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM w GROUP BY rep, p), x AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c), b AS (SELECT rep, sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM x GROUP BY rep) SELECT 'auc' AS metric, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.5), 6) AS mid, round(quantile_cont(auc, 0.975), 6) AS high FROM b"))
 def bootstrap_auc(spark: S, sf: str) -> DataFrame:
-    return rounded(K.bootstrap_auc(D.trades(spark, sf), "p", "y", "id", 100), 6, "low", "mid", "high")
+    return rounded(K.bootstrap_auc(D.trades(spark, sf), "p", "y", "id", 2_000), 6, "low", "mid", "high")
 
 
-@query(sql("trades", "o AS (SELECT r, row_number() OVER (ORDER BY r, id) - 1 AS i FROM trades WHERE r IS NOT NULL), d AS (SELECT trial, step, CAST('0x' || substr(md5(trial || ':' || step), 1, 15) AS BIGINT) % (SELECT count(*) FROM o) AS i FROM generate_series(0, 199) a(trial), generate_series(1, 100) b(step)), e AS (SELECT trial, step, f, 1 + f * r AS g FROM d JOIN o USING (i), (VALUES (0.005), (0.01), (0.02), (0.04)) v(f)), l AS (SELECT *, sum(ln(greatest(g, 1e-12))) OVER (PARTITION BY f, trial ORDER BY step) AS a FROM e), m AS (SELECT *, 1 - exp(a - greatest(0, max(a) OVER (PARTITION BY f, trial ORDER BY step))) AS dd FROM l), b AS (SELECT f, trial, max(CAST(g <= 0 OR dd > 0.5 AS INTEGER)) AS b FROM m GROUP BY f, trial) SELECT CAST(f AS DOUBLE) AS f, round(avg(b), 6) AS breach FROM b GROUP BY f"))
+@query(sql("trades", "o AS (SELECT r, row_number() OVER (ORDER BY r, id) - 1 AS i FROM trades WHERE r IS NOT NULL), d AS (SELECT trial, step, CAST('0x' || substr(md5(trial || ':' || step), 1, 15) AS BIGINT) % (SELECT count(*) FROM o) AS i FROM generate_series(0, 4999) a(trial), generate_series(1, 200) b(step)), e AS (SELECT trial, step, f, 1 + f * r AS g FROM d JOIN o USING (i), (SELECT round(0.25 + 0.05 * k, 2) AS f FROM generate_series(0, 15) h(k)) v), l AS (SELECT *, sum(ln(greatest(g, 1e-12))) OVER (PARTITION BY f, trial ORDER BY step) AS a FROM e), m AS (SELECT *, 1 - exp(a - greatest(0, max(a) OVER (PARTITION BY f, trial ORDER BY step))) AS dd FROM l), b AS (SELECT f, trial, max(CAST(g <= 0 OR dd > 0.5 AS INTEGER)) AS b FROM m GROUP BY f, trial) SELECT CAST(f AS DOUBLE) AS f, round(avg(b), 6) AS breach FROM b GROUP BY f"))
 def drawdown_breach(spark: S, sf: str) -> DataFrame:
-    return rounded(K.drawdown_breach(D.trades(spark, sf), "r", "id", [0.005, 0.01, 0.02, 0.04], 200, 100, 0.5), 6, "breach")
+    return rounded(K.drawdown_breach(D.trades(spark, sf), "r", "id", [round(0.25 + 0.05 * k, 2) for k in range(16)], 5_000, 200, 0.5), 6, "breach")
 
 
-@query(sql("trades", "c AS (SELECT p, count(*) AS n FROM trades GROUP BY p), k AS (SELECT p, coalesce(sum(n) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS r FROM c), t AS (SELECT id, y, k.r FROM trades JOIN k USING (p)), b AS (SELECT count(*) AS n, sum(y) AS k, sum(r * y) AS s FROM t), h AS (SELECT t.r, rep, row_number() OVER (PARTITION BY rep ORDER BY CAST('0x' || substr(md5(id || ':' || rep), 1, 15) AS BIGINT), id) AS place FROM t, generate_series(1, 20) g(rep)), s AS (SELECT rep, sum(h.r) AS s1 FROM h, b WHERE place <= b.k GROUP BY rep) SELECT round((b.s - b.k * (b.k + 1) / 2) / (b.k * (b.n - b.k)), 6) AS auc, round((SELECT avg(CAST(s1 >= b.s AS INTEGER)) FROM s), 6) AS p_value FROM b"))
+@query(sql("trades", "c AS (SELECT p, count(*) AS n FROM trades GROUP BY p), k AS (SELECT p, coalesce(sum(n) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS r FROM c), t AS (SELECT id, y, k.r FROM trades JOIN k USING (p)), b AS (SELECT count(*) AS n, sum(y) AS k, sum(r * y) AS s FROM t), h AS (SELECT t.r, rep, row_number() OVER (PARTITION BY rep ORDER BY CAST('0x' || substr(md5(id || ':' || rep), 1, 15) AS BIGINT), id) AS place FROM t, generate_series(1, 200) g(rep)), s AS (SELECT rep, sum(h.r) AS s1 FROM h, b WHERE place <= b.k GROUP BY rep) SELECT round((b.s - b.k * (b.k + 1) / 2) / (b.k * (b.n - b.k)), 6) AS auc, round((SELECT avg(CAST(s1 >= b.s AS INTEGER)) FROM s), 6) AS p_value FROM b"))
 def shuffle_test(spark: S, sf: str) -> DataFrame:
     from ..operators import learning as M
 
-    return rounded(M.shuffle_p_value(D.trades(spark, sf), "id", 20), 6, "auc", "p_value")
+    return rounded(M.shuffle_p_value(D.trades(spark, sf), "id", 200), 6, "auc", "p_value")
 
 
 _FLAGS = "x AS (SELECT *, CASE exit_reason WHEN 'SL' THEN 'STOP' WHEN 'TL' THEN 'TIME' ELSE exit_reason END AS rec, pnl < 0 AS lose, abs(abs(mae_usd) - risk_usd) <= 0.15 * greatest(abs(mae_usd), abs(risk_usd)) AS near FROM trades)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import calibration as K
+from ..operators import fits
 from ..operators import joins as J
 from ..operators import learning as M
 from ..operators import performance as P
@@ -515,5 +516,33 @@ def isotonic_scores(spark: S, sf: str) -> DataFrame:
 
 @query()
 def feature_ablation(spark: S, sf: str) -> DataFrame:
-    m = M.drop_one(_training(spark, sf), ["p", "hour_sin", "notional"], 2, 50)
+    m = M.drop_one(_training(spark, sf), FEATURES, 5, 50)
     return rounded(Q.ablation(m, "baseline", 0.0, 0.005), 6, "auc", "brier", "d_auc", "d_brier")
+
+
+@query()
+def refit_shuffle_test(spark: S, sf: str) -> DataFrame:
+    return rounded(fits.refit_p_value(fits.refit_shuffle(_training(spark, sf), FEATURES, 5, 50, 200)), 6, "auc", "brier", "p_value")
+
+
+SINGLE = ["p", "size", "fees_seen"]
+_SINGLE = (
+    "o AS (SELECT *, CASE WHEN id % 10 <> 0 THEN fees END AS fees_seen, row_number() OVER (ORDER BY opened_at, symbol, id) - 1 AS i FROM trades), "
+    "f AS (SELECT k AS fold, k * (n // 3) + least(k, n % 3) AS lo, (k + 1) * (n // 3) + least(k + 1, n % 3) - 1 AS hi FROM generate_series(0, 2) g(k), (SELECT count(*) AS n FROM trades)), "
+    "v AS (" + " UNION ALL ".join(f"SELECT y, i, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM o" for c in SINGLE) + "), "
+    "t AS (SELECT v.*, fold FROM v JOIN f ON i < lo - 50 OR i > hi + 50), "
+    "m AS (SELECT fold, feature, median(x) AS med FROM t GROUP BY fold, feature), c AS (SELECT fold, feature, y, coalesce(x, med) AS x FROM t JOIN m USING (fold, feature)), "
+    "s AS (SELECT fold, feature, avg(x) AS mu, stddev_samp(x) AS sd, count(*) AS n FROM c GROUP BY fold, feature), z AS (SELECT fold, feature, y, (x - mu) / sd AS z FROM c JOIN s USING (fold, feature)), "
+    "w(step, fold, feature, a, b) AS (SELECT 0, fold, feature, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM s UNION ALL "
+    "SELECT step + 1, fold, feature, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM ("
+    "SELECT step, fold, feature, a, b, avg(y - p) AS g0, avg((y - p) * z) - 0.01 * b AS g1, avg(p * (1 - p)) AS h00, avg(p * (1 - p) * z) AS h01, avg(p * (1 - p) * z * z) + 0.01 AS h11 "
+    "FROM (SELECT w.*, y, z, 1 / (1 + exp(-(a + b * z))) AS p FROM w JOIN z USING (fold, feature) WHERE step < 12) GROUP BY step, fold, feature, a, b)) "
+    "SELECT feature AS model, CAST(fold AS INTEGER) AS fold, n AS rows, unnest(['intercept', feature]) AS feature, round(unnest([a, b]), 6) AS value FROM w JOIN s USING (fold, feature) WHERE step = 12"
+)
+
+
+@query(sql("trades", _SINGLE).replace("WITH ", "WITH RECURSIVE ", 1))
+def single_feature_fits(spark: S, sf: str) -> DataFrame:
+    t = W.with_order_index(D.trades(spark, sf).withColumn("fees_seen", F.when(F.col("id") % 10 != 0, F.col("fees"))), ["opened_at", "symbol", "id"])
+    m = fits.fit_all(fits.packed_rows(t, SINGLE, F.array("y")), SINGLE, [fits.Variant(c, (c,)) for c in SINGLE], 3, 50)
+    return rounded(fits.coefficients(spark, m), 6, "value")

@@ -205,6 +205,23 @@ def test_universe_cases(spark):
     assert {r["feature"]: r["disable"] for r in Q.ablation(metrics, "baseline", 0.0, 0.005).collect()} == {"x": True, "y": False}
 
 
+def test_multipliers_at_their_ends(spark):
+    rows = [(None, None, None), (0.4, 0.001, -5.0), (0.6, -0.015, 5.0), (0.9, 0.5, float("nan"))]
+    df = spark.createDataFrame(rows, "share double, gap double, x double")
+    one = [{"feature": "x", "default": 2.0, "in_min": 0, "in_max": 4, "mult_min": 1, "mult_max": 3}]
+    got = df.select(C.stack_multiplier(F.col("share"), F.col("gap"), low=1.0, high=2.0), C.scaler_product(one), C.scaler_product(one * 2, 2.0, 5.0), C.scaler_product([])).collect()
+    assert np.allclose([list(r) for r in got], [[1.0, 2.0, 4.0, 1.0], [1.0, 1.0, 2.0, 1.0], [1.7, 3.0, 5.0, 1.0], [2.0, 2.0, 4.0, 1.0]])
+
+
+def test_enrichment_extract_is_written_as_csv(spark, tmp_path):
+    trades = spark.createDataFrame([(1, "A", T0), (2, "B", T0)], "id long, symbol string, opened_at timestamp")
+    series = spark.createDataFrame([("A", T0 - dt.timedelta(hours=2), 10.0), ("A", T0 - dt.timedelta(hours=1), 12.0)], "symbol string, ts timestamp, value double")
+    out = J.enrichment_extract(trades, series, series, f"file://{tmp_path}/extract")
+    back = spark.read.option("header", True).schema(out.schema).csv(f"file://{tmp_path}/extract")
+    assert back.columns == ["id", "symbol", "opened_at", "funding_last_at_entry", "oi_last_at_entry", "oi_delta_pct_win"]
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, out.collect())) and back.where("id = 1").first()["oi_delta_pct_win"] == pytest.approx(0.2)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "o.jsonl").write_text('{"ts":"2024-01-01T00:00:00Z","win":1,"pnl":2.0}\nbad\n{"ts":"2024-01-03T00:00:00Z","win":0,"pnl":-1.0}\n{"ts":"2024-01-02T00:00:00Z","win":1,"pnl":1.0}\n')
     assert [r["ts"].day for r in T.read_outcomes(spark, f"file://{tmp_path}/o.jsonl", 2).collect()] == [3, 2]

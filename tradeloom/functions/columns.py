@@ -269,6 +269,26 @@ def clip_linear(x: Column, x0: float, x1: float, y0: float, y1: float) -> Column
     return y0 + share * (y1 - y0)
 
 
+def stack_multiplier(share: Column, expansion: Column, *, low: float = 1.0, high: float = 1.0, share_from: float = 0.5, share_to: float = 0.7, expansion_from: float = 0.006, expansion_to: float = 0.015, share_weight: float = 0.6, expansion_weight: float = 0.4) -> Column:
+    """Between low and high by a weighted mean of two scores in 0 .. 1: the share of closes near the VWAP and the absolute expansion; missing values count as 0."""
+    if share_weight + expansion_weight <= 0:
+        share_weight, expansion_weight = 1.0, 0.0
+    score = lambda x, a, b: clip_linear(F.coalesce(finite(x), F.lit(0.0)), a, b if b > a else a + 1e-6, 0.0, 1.0)
+    both = share_weight * score(share, share_from, share_to) + expansion_weight * score(F.abs(expansion), expansion_from, expansion_to)
+    return low + both / (share_weight + expansion_weight) * (high - low)
+
+
+def scaler_product(scalers: list[dict], least: float = 0.0, most: float = 1e18) -> Column:
+    """Product of lines held at their ends, one for each scaler (feature, in_min, in_max, mult_min, mult_max, default, cap_min, cap_max), itself held in least .. most."""
+    out = F.lit(1.0)
+    for s in scalers:
+        x = F.coalesce(finite(F.col(s["feature"])), F.lit(float(s.get("default", 0.0))))
+        low, high = float(s.get("in_min", 0.0)), float(s.get("in_max", 1.0))
+        one = clip_linear(x, low, high if high > low else low + 1e-9, float(s.get("mult_min", 1.0)), float(s.get("mult_max", 1.0)))
+        out = out * F.least(F.greatest(one, F.lit(float(s.get("cap_min", -1e18)))), F.lit(float(s.get("cap_max", 1e18))))
+    return F.least(F.greatest(out, F.lit(max(least, 0.0))), F.lit(most))
+
+
 def size_multiplier(p: Column, eth_hist: Column, *, p0: float = 0.4, p1: float = 0.9, m0: float = 1.0, m1: float = 2.0, down: float = 0.5, cap: float | None = None) -> Column:
     """Linear in p between p0 and p1; times `down` while the histogram is negative; capped."""
     m = clip_linear(finite(p), p0, p1, m0, m1) * F.when(finite(eth_hist) < 0, down).otherwise(1.0)

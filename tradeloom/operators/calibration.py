@@ -43,6 +43,20 @@ def ev_curve(df: DataFrame, thresholds: list[float], least: int = 1) -> DataFram
     return each.where(F.col("n") >= least).select("threshold", "n", "win_rate", ev.alias("ev_r"))
 
 
+def cost_aware_sweep(df: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, n, win_rate, ev_r): mean p times mean gain less (1 - mean p) times mean loss, in R, of rows with p >= threshold.
+
+    Where no row of a threshold has an R, wins are told by pnl and ev_r is null; it is null without a gain or a loss, too.  Thresholds that none reaches stay with n = 0.
+    """
+    each = df.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).where("p >= threshold")
+    share = lambda won: F.avg(F.coalesce(won, F.lit(False)).cast("double"))
+    won = F.col("r") > 0
+    lost = ~F.coalesce(won, F.lit(False))
+    sums = each.groupBy("threshold").agg(F.count("*").alias("n"), F.when(F.count("r") > 0, share(won)).otherwise(share(F.col("pnl") > 0)).alias("win_rate"), F.avg("p").alias("_p"), F.avg(F.when(won, F.col("r"))).alias("_g"), F.avg(F.when(lost, -F.col("r"))).alias("_l"))
+    grid = df.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
+    return grid.join(sums, "threshold", "left").select("threshold", F.coalesce("n", F.lit(0)).alias("n"), "win_rate", (F.col("_p") * F.col("_g") - (1 - F.col("_p")) * F.col("_l")).alias("ev_r"))
+
+
 def best_threshold(curve: DataFrame, value: str, least: int) -> DataFrame:
     """The row of the largest value among thresholds with at least `least` trades; of ties the lowest threshold."""
     return curve.where(F.col("n") >= least).orderBy(F.desc(value), "threshold").limit(1)

@@ -115,6 +115,14 @@ def exits_from_bars(trades: DataFrame, bars: DataFrame, atr: DataFrame, times_at
     return out.withColumn("exit_from_bars", reason).drop("lo", "hi", "n_bars")
 
 
+def enrichment_extract(trades: DataFrame, oi: DataFrame, funding: DataFrame, path: str | None = None) -> DataFrame:
+    """(id, symbol, opened_at, funding_last_at_entry, oi_last_at_entry, oi_delta_pct_win) of each trade; with a path, also written there as CSV with a header."""
+    out = window_enrichment(trades, oi, funding).select("id", "symbol", "opened_at", F.col("funding_last").alias("funding_last_at_entry"), F.col("oi_last").alias("oi_last_at_entry"), F.col("oi_delta").alias("oi_delta_pct_win"))
+    if path:
+        out.write.mode("overwrite").option("header", True).csv(path)
+    return out
+
+
 def window_enrichment(trades: DataFrame, oi: DataFrame, funding: DataFrame, hours: int = 8) -> DataFrame:
     """trades (id, symbol, opened_at, ...) with the last funding, last open interest and its relative change in the hours up to the open.
 

@@ -185,6 +185,17 @@ def vwap_stack(spark: S, sf: str) -> DataFrame:
     return rounded(W.with_vwap_stack(D.bars(spark, sf), 12, 0.05).select("symbol", "ts", "vwap", "vwap_share", "vwap_dist", "vwap_slope"), 6, "vwap", "vwap_share", "vwap_dist", "vwap_slope")
 
 
+_STACK = f"s AS (SELECT symbol, ts, volume, vwap, coalesce(CASE WHEN count(inb) {PRIOR12} >= 12 THEN avg(inb) {PRIOR12} END, 0) AS share, coalesce(abs(close / vwap - 1), 0) AS gap FROM i), k AS (SELECT *, greatest(0, least(1, (share - 0.5) / 0.2)) AS a, greatest(0, least(1, (gap - 0.006) / 0.009)) AS b FROM s)"
+
+
+@query(sql("bars", VW + ", " + _STACK + " SELECT symbol, ts, round(0.8 + (0.6 * a + 0.4 * b) * 0.7, 6) AS stack_mult, round(least(1.2, greatest(0.5, (0.6 + 0.9 * greatest(0, least(1, (coalesce(vwap, 50) - 40) / 20))) * least(1.1, 0.8 + greatest(0, least(1, volume / 200)) * 0.5))), 6) AS scaled FROM k"))
+def stack_multipliers(spark: S, sf: str) -> DataFrame:
+    bars = W.with_vwap_stack(D.bars(spark, sf), 12, 0.05)
+    scalers = [{"feature": "vwap", "default": 50, "in_min": 40, "in_max": 60, "mult_min": 0.6, "mult_max": 1.5}, {"feature": "volume", "in_max": 200, "mult_min": 0.8, "mult_max": 1.3, "cap_max": 1.1}]
+    both = (C.stack_multiplier(F.col("vwap_share"), F.col("vwap_dist"), low=0.8, high=1.5).alias("stack_mult"), C.scaler_product(scalers, 0.5, 1.2).alias("scaled"))
+    return rounded(bars.select("symbol", "ts", *both), 6, "stack_mult", "scaled")
+
+
 @query(sql("bars", f"SELECT symbol, ts, round(volume / nullif(CASE WHEN count(volume) {last(50)} >= 5 THEN quantile_cont(volume, 0.5) {last(50)} END, 0), 6) AS vol_mult, coalesce(volume >= 2 * CASE WHEN count(volume) {PRIOR12} >= 12 THEN avg(volume) {PRIOR12} END, false) AS surge FROM bars"))
 def volume_features(spark: S, sf: str) -> DataFrame:
     return rounded(W.with_volume_multiple(D.bars(spark, sf), 50, "vol_mult").select("symbol", "ts", "vol_mult", W.volume_surge(12, 2.0).alias("surge")), 6, "vol_mult")
@@ -293,6 +304,11 @@ def missing_field_ranks(spark: S, sf: str) -> DataFrame:
     return L.missing_counts(_decisions(spark, sf), ["symbol"], 2)
 
 
+@query(sql("log logs", "f AS (SELECT unnest(fields) AS field FROM logs) SELECT field, count(*) AS n FROM f WHERE field <> 'days_since_prev_break' GROUP BY field HAVING count(*) >= 3"))
+def incident_fields(spark: S, sf: str) -> DataFrame:
+    return L.incidents(_decisions(spark, sf))
+
+
 @query(sql("log logs", "SELECT symbol, decision_ts, CASE WHEN schema_ok THEN 'unknown' WHEN fields <> ['days_since_prev_break'] THEN 'integration_defect' WHEN CAST(substr(symbol, 2) AS INTEGER) >= 6 THEN 'unknown' WHEN floor((epoch_us(decision_ts) - epoch_us(TIMESTAMP '2023-12-20')) / 86400e6) <= 20 THEN 'warmup_expected' ELSE 'integration_defect' END AS schema_fail_class FROM logs"))
 def schema_fail_classes(spark: S, sf: str) -> DataFrame:
     meta = D.table(spark, sf, "nation").where("n_nationkey < 6").select(F.concat(F.lit("S"), F.col("n_nationkey").cast("string")).alias("symbol"), F.lit("2023-12-20").cast("timestamp").alias("listed_at"))

@@ -205,6 +205,15 @@ def ev_curve(spark: S, sf: str) -> DataFrame:
     return rounded(K.ev_curve(D.trades(spark, sf), [0.2, 0.4, 0.6, 0.8]), 6, "win_rate", "ev_r")
 
 
+_KNOWN = "k AS (SELECT p, pnl, CASE WHEN p < 0.9 THEN r END AS r FROM trades), g AS (SELECT unnest([0.0, 0.3, 0.6, 0.9, 1.5]) AS threshold)"
+
+
+@query(sql("trades", _KNOWN + " SELECT CAST(threshold AS DOUBLE) AS threshold, count(p) AS n, round(CASE WHEN count(r) > 0 THEN avg(CAST(coalesce(r > 0, false) AS INTEGER)) FILTER (p IS NOT NULL) ELSE avg(CAST(pnl > 0 AS INTEGER)) END, 6) AS win_rate, round(avg(p) * avg(r) FILTER (r > 0) + (1 - avg(p)) * avg(r) FILTER (r <= 0), 6) AS ev_r FROM g LEFT JOIN k ON p >= threshold GROUP BY threshold"))
+def cost_aware_sweep(spark: S, sf: str) -> DataFrame:
+    known = D.trades(spark, sf).withColumn("r", F.when(F.col("p") < 0.9, F.col("r")))
+    return rounded(K.cost_aware_sweep(known, [0.0, 0.3, 0.6, 0.9, 1.5]), 6, "win_rate", "ev_r")
+
+
 @query(sql("trades", EV + " SELECT threshold, n, round(ev_r, 6) AS ev_r FROM ev WHERE n >= 50 ORDER BY ev.ev_r DESC, threshold LIMIT 1"))
 def suggested_threshold(spark: S, sf: str) -> DataFrame:
     return rounded(K.best_threshold(K.ev_curve(D.trades(spark, sf), [0.2, 0.4, 0.6, 0.8]), "ev_r", 50).select("threshold", "n", "ev_r"), 6, "ev_r")
@@ -277,6 +286,12 @@ def window_enrichment(spark: S, sf: str) -> DataFrame:
     return out.select("id", F.round("oi_last", 4).alias("oi_last"), F.round("funding_last", 9).alias("funding_last"), F.round("oi_delta", 6).alias("oi_delta"))
 
 
+@query(sql("trades oi funding", "o AS (SELECT t.id, arg_max(value, ts) AS l, arg_min(value, ts) AS f, count(*) AS n FROM trades t JOIN oi o ON t.symbol = o.symbol AND o.ts BETWEEN t.opened_at - INTERVAL 8 HOUR AND t.opened_at GROUP BY t.id), g AS (SELECT t.id, arg_max(value, ts) AS v FROM trades t JOIN funding o ON t.symbol = o.symbol AND o.ts BETWEEN t.opened_at - INTERVAL 8 HOUR AND t.opened_at GROUP BY t.id) SELECT t.id, t.symbol, t.opened_at, round(g.v, 9) AS funding_last_at_entry, round(o.l, 4) AS oi_last_at_entry, round(CASE WHEN o.n >= 2 THEN o.l / nullif(o.f, 0) - 1 END, 6) AS oi_delta_pct_win FROM trades t LEFT JOIN o USING (id) LEFT JOIN g USING (id)"))
+def enrichment_extract(spark: S, sf: str) -> DataFrame:
+    out = J.enrichment_extract(D.trades(spark, sf), D.series(spark, sf, "view"), D.series(spark, sf, "error"))
+    return rounded(rounded(rounded(out, 9, "funding_last_at_entry"), 4, "oi_last_at_entry"), 6, "oi_delta_pct_win")
+
+
 @query(sql("trades", "SELECT a.id, a.p, b.pnl FROM trades a JOIN trades b ON a.id = b.id WHERE a.id % 3 = 0"))
 def predictions_with_trades(spark: S, sf: str) -> DataFrame:
     t = D.trades(spark, sf)

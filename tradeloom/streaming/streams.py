@@ -7,8 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from ..functions.columns import timeframe_seconds
 from ..operators import bars as B
 from ..operators import logs as L
 from ..sources.staging import staged
@@ -64,6 +67,42 @@ def outcome_state(outcomes: DataFrame, most: int = 50, span: int = 20) -> DataFr
     return outcomes.groupBy("symbol").applyInPandasWithState(run, "symbol string, n long, win_rate_20 double, win_rate_50 double, ewm double", "ts array<long>, win array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
+_OUTCOMES = "symbol string, n long, win_rate_20 double, win_rate_50 double, ewm double"
+
+
+def expiring_outcome_state(outcomes: DataFrame, late: str, keep: str, most: int = 50, span: int = 20) -> DataFrame:
+    """outcome_state whose symbols are forgotten once the watermark is `keep` (such as 7d) past their newest outcome; such a symbol is given once more, with n = 0.
+
+    Needs the RocksDB state store; outcomes later than the watermark are dropped.
+    """
+    hold = timeframe_seconds(keep) * 1_000
+
+    class Newest(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.newest = handle.getListState("newest", "ts long, win double")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+            old = pd.DataFrame(list(self.newest.get()) if self.newest.exists() else [], columns=["ts", "win"])
+            new = [pd.DataFrame({"ts": b["ts"].astype("datetime64[us]").astype("int64"), "win": b["win"].astype(float)}) for b in rows]
+            held = pd.concat([f for f in [old, *new] if len(f)]).sort_values("ts", kind="stable").tail(most)
+            self.newest.put([(int(t), float(w)) for t, w in zip(held["ts"], held["win"], strict=True)])
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(held["ts"].iloc[-1]) // 1_000 + hold)
+            win = held["win"]
+            yield pd.DataFrame({"symbol": [key[0]], "n": [len(win)], "win_rate_20": [win.tail(20).mean()], "win_rate_50": [win.tail(50).mean()], "ewm": [win.ewm(span=span, adjust=False).mean().iloc[-1]]})
+
+        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.newest.clear()
+            yield pd.DataFrame({"symbol": [key[0]], "n": [0], "win_rate_20": [float("nan")], "win_rate_50": [float("nan")], "ewm": [float("nan")]})
+
+        def close(self) -> None:
+            pass
+
+    return outcomes.withWatermark("ts", late).groupBy("symbol").transformWithStateInPandas(Newest(), _OUTCOMES, "update", "eventTime")
+
+
 def upsert_to(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keep: int, keys: tuple[str, ...] = ("symbol", "tf")) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: the batch's rows replace those of the same keys and time in the table that read and write reach.
 

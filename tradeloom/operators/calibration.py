@@ -161,14 +161,22 @@ def row_hash(*parts: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
+#: A prime: draws have that many values.
+DRAWS = 2_147_483_647
 #: Chances of a Poisson(1) draw to be at most 0, 1, ... 7.
 POISSON_STEPS = list(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(8)))
 
 
 def _weighted(df: DataFrame, p: str, y: str, key: str, replicates: int) -> DataFrame:
-    """Each row once for each replicate, with a Poisson(1) weight w drawn by hash of row and replicate."""
-    rows = df.select(key, p, y, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    u = (F.pmod(row_hash(key, "rep"), F.lit(1_000_000)) + 0.5) / 1e6
+    """Each row once for each replicate, with a Poisson(1) weight w.
+
+    A row is hashed once; its draw in a replicate is that number times the replicate's multiplier modulo a prime, so draws of one replicate are as independent as the hashes.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # hashed before the explosion, and dealt evenly: each of these few bytes becomes `replicates` rows
+    once = df.select(F.pmod(row_hash(key), F.lit(DRAWS)).alias("_s"), p, y).repartition(parts)
+    rows = once.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias("rep"))
+    u = (F.col("_s") * (F.col("rep") * 1_103_515_245 % DRAWS + 1) % DRAWS + 0.5) / DRAWS
     return rows.withColumn("u", u).withColumn("w", sum(((F.col("u") > s).cast("int") for s in POISSON_STEPS), F.lit(0)))
 
 

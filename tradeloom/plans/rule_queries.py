@@ -144,16 +144,16 @@ def threshold_by_net_pnl(spark: S, sf: str) -> DataFrame:
     return K.best_by_net(D.trades(spark, sf), "p", "pnl", [k / 20 for k in range(21)], 20)
 
 
-_U = "CAST('0x' || substr(md5(id || ':' || rep), 1, 15) AS BIGINT)"
+_U = "CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15) AS BIGINT)"
 _STEPS = " + ".join(f"CAST(u > {s!r} AS INTEGER)" for s in K.POISSON_STEPS)
 
 
-@query(sql("trades", f"u AS (SELECT p, y, rep, ({_U} % 1000000 + 0.5) / 1e6 AS u FROM trades, generate_series(1, 2000) g(rep)), w AS (SELECT *, {_STEPS} AS w FROM u), b AS (SELECT rep, sum(w * pow(p - y, 2)) / sum(w) AS brier FROM w GROUP BY rep) SELECT 'brier' AS metric, round(quantile_cont(brier, 0.025), 6) AS low, round(quantile_cont(brier, 0.5), 6) AS mid, round(quantile_cont(brier, 0.975), 6) AS high FROM b"))
+@query(sql("trades", f"s AS (SELECT p, y, {_U} % 2147483647 AS s FROM trades), u AS (SELECT p, y, rep, (s * (rep * 1103515245 % 2147483647 + 1) % 2147483647 + 0.5) / 2147483647 AS u FROM s, generate_series(1, 2000) g(rep)), w AS (SELECT *, {_STEPS} AS w FROM u), b AS (SELECT rep, sum(w * pow(p - y, 2)) / sum(w) AS brier FROM w GROUP BY rep) SELECT 'brier' AS metric, round(quantile_cont(brier, 0.025), 6) AS low, round(quantile_cont(brier, 0.5), 6) AS mid, round(quantile_cont(brier, 0.975), 6) AS high FROM b"))
 def bootstrap_brier(spark: S, sf: str) -> DataFrame:
     return rounded(K.bootstrap(D.trades(spark, sf), "p", "y", "id", 2_000), 6, "low", "mid", "high")
 
 
-@query(sql("trades", f"u AS (SELECT p, y, rep, ({_U} % 1000000 + 0.5) / 1e6 AS u FROM trades, generate_series(1, 2000) g(rep)), w AS (SELECT *, {_STEPS} AS w FROM u), c AS (SELECT rep, p, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM w GROUP BY rep, p), x AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c), b AS (SELECT rep, sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM x GROUP BY rep) SELECT 'auc' AS metric, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.5), 6) AS mid, round(quantile_cont(auc, 0.975), 6) AS high FROM b"))
+@query(sql("trades", f"s AS (SELECT p, y, {_U} % 2147483647 AS s FROM trades), u AS (SELECT p, y, rep, (s * (rep * 1103515245 % 2147483647 + 1) % 2147483647 + 0.5) / 2147483647 AS u FROM s, generate_series(1, 2000) g(rep)), w AS (SELECT *, {_STEPS} AS w FROM u), c AS (SELECT rep, p, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM w GROUP BY rep, p), x AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY rep ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c), b AS (SELECT rep, sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM x GROUP BY rep) SELECT 'auc' AS metric, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.5), 6) AS mid, round(quantile_cont(auc, 0.975), 6) AS high FROM b"))
 def bootstrap_auc(spark: S, sf: str) -> DataFrame:
     return rounded(K.bootstrap_auc(D.trades(spark, sf), "p", "y", "id", 2_000), 6, "low", "mid", "high")
 

@@ -82,7 +82,9 @@ def fold_bounds(n: int, folds: int) -> list[tuple[int, int]]:
 def packed_rows(df: DataFrame, features: list[str], labels: Column, index: str = "order_idx", keep: list[str] = ()) -> DataFrame:
     """(_i, _x, _y, keep): the order index, the features (NaN and infinities are missing) and the labels of each row, staged for the passes to come."""
     clean = [F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in features]
-    return staged(df.select(F.col(index).cast("long").alias("_i"), F.array(*clean).alias("_x"), labels.cast("array<tinyint>").alias("_y"), *keep), "fit-rows")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(index).cast("long").alias("_i"), F.array(*clean).alias("_x"), labels.cast("array<tinyint>").alias("_y"), *keep)
+    return staged(rows.repartition(parts), "fit-rows")  # dealt evenly: each pass takes every row through every model
 
 
 def _scales(rows: DataFrame, features: list[str], bounds: list[tuple[int, int]], embargo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -220,7 +222,8 @@ def shuffled_labels(df: DataFrame, y: str, index: str, replicates: int) -> DataF
     """
     place = lambda rep: F.conv(F.substring(F.md5(F.concat_ws(":", F.col(index).cast("string"), rep.cast("string"))), 1, 15), 16, 10).cast("long")
     k = df.agg(F.sum(y).cast("long").alias("k"))
-    reps = df.select(F.col(index).alias("_at"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"), F.col(index)).select("rep", "_at", place(F.col("rep")).alias("h"))
+    dealt = df.select(index).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    reps = dealt.select(index, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).select("rep", F.col(index).alias("_at"), place(F.col("rep")).alias("h"))
     reps = reps.withColumn("cell", F.shiftright("h", 48))  # 4,096 cells
     up = Window.partitionBy("rep").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = reps.groupBy("rep", "cell").agg(F.count("*").alias("c")).withColumn("ahead", F.coalesce(F.sum("c").over(up), F.lit(0))).crossJoin(F.broadcast(k))  # one row

@@ -184,7 +184,8 @@ def shuffle_p_value(preds: DataFrame, key: str, replicates: int) -> DataFrame:
     each = with_running(preds.groupBy("p").agg(F.count("*").alias("n")), ["p"], {"before": F.col("n")})
     ranked = preds.join(each, "p").select(key, "y", (F.col("before") + (F.col("n") + 1) / 2).alias("r"))
     both = ranked.agg(F.count("*").alias("n"), F.sum("y").alias("k"), F.sum(F.col("r") * F.col("y")).alias("s"))
-    reps = ranked.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("h", row_hash(key, "rep"))
+    dealt = ranked.repartition(int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # each row becomes `replicates` rows
+    reps = dealt.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("h", row_hash(key, "rep"))
     reps = reps.withColumn("cell", F.shiftright("h", 48))  # 4,096 cells
     cells = reps.groupBy("rep", "cell").agg(F.count("*").alias("c"), F.sum("r").alias("cell_r"))
     up = Window.partitionBy("rep").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

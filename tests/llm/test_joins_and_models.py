@@ -291,3 +291,23 @@ def test_toxicity_takes_one_row_of_a_labelled_id(spark, monkeypatch):
     toxicity.fit_toxicity(docs, labels, sample_rows=50)
     toxicity.fit_toxicity(docs, labels)
     assert 30 < seen[0] <= 50 and 80 < seen[1] <= 119
+
+
+def test_unlike_windows_and_items_do_not_meet(spark):
+    """A window among many unrelated items of its size meets few of them by prefix shingle and block, however common their phrases are."""
+    rng = random.Random(11)
+    boilerplate = "choose the best answer to the question below".split()
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = [boilerplate + words(32) for _ in range(2_000)]
+    texts = [" ".join(words(60) + items[k] + words(60)) for k in range(40)] + [" ".join(boilerplate + words(150)) for _ in range(200)]
+    b = spark.createDataFrame([(f"b{k}", " ".join(t)) for k, t in enumerate(items)], "item_id string, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held, weights, rarest = decontamination._items(b, "item_id", "text", 0.8)
+    windows, cut_for = decontamination._windows(d, held, weights, "doc_id", "text", 0.8)
+    n = windows.count()
+    assert n >= 40 and cut_for.count() <= 2 * n
+    met = decontamination._blocks_met(windows, held, weights, rarest, 0.8).select("w", "key").distinct()
+    assert met.count() < 5 * n
+    found = decontamination.find_contaminated(d, b)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} >= {(k, f"b{k}") for k in range(40)}
+    assert decontamination.simhash_share(d, b) >= 0.95

@@ -8,8 +8,10 @@
    threshold's share of the item go no further; for the others, windows of the item's size are cut
    around each alignment (place in text minus place in item).  None of this loses a match.
 3. Each window and each item has a 64-bit SimHash.  Multi-index blocks: RADIUS + 1 blocks of bits, so that fingerprints
-   within RADIUS bits agree on one block at least; windows meet the items of their size by (block, bits), and
-   the Hamming distance is then taken exactly.
+   within RADIUS bits agree on one block at least.  Under one order of all shingles, heavy ones first, a window and an item that
+   reach the threshold have their first common shingle among the heaviest few of both (what follows weighs less than the threshold's
+   share), so windows meet the items of their size by (prefix shingle, block, bits), and unlike ones hardly ever; the Hamming
+   distance is then taken exactly.  Texts meet items by the items' prefix shingles too, so a passage that many items share pairs nothing.
 4. What lies within RADIUS is verified by the exact weighted similarity; so is each window with the item that it was cut for, since
    SimHash alone may miss a match close to the threshold (`simhash_share` tells how many it finds).
 
@@ -35,6 +37,8 @@ RADIUS = 18
 BITS = 64
 #: 64-bit words of the bitmap of the benchmark's shingles, 2^WORD_BITS: 128 KB in the plan, whatever the benchmark's size.
 WORD_BITS = 14
+#: Taken off the threshold before sums of weights are compared with it: similarities are rounded to six places.
+MARGIN = 2e-6
 #: Starts next to an alignment that are tried as well, for words put in or left out.
 SLACK = 1
 
@@ -96,8 +100,15 @@ def _blocks(print_: Column) -> Column:
     return F.explode(F.array(*cut))
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame, float]:
-    """(item, n, hashes, set, weights, total, print) of each item that has words; (h, weight) of their shingles; the weight of a shingle that no item has."""
+def _prefix(x: Column, least: Column) -> Column:
+    """Of (weight, h) in rising order, the heaviest ones: all but the lightest that weigh less than `least` together."""
+    more = lambda a, e: F.struct((a["sum"] + e["weight"]).alias("sum"), (a["light"] + (a["sum"] + e["weight"] < least).cast("int")).alias("light"))
+    light = F.aggregate(x, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("light")), more)["light"]
+    return F.slice(x, light + 1, F.greatest(F.lit(1), F.size(x)))["h"]
+
+
+def _items(benchmark: DataFrame, item_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame, float]:
+    """(key, item, n, hashes, set, weights, total, prefix, print) of each item that has words; (h, weight) of their shingles; the weight of a shingle that no item has."""
     words = benchmark.select(F.col(item_col).alias("item"), words_of(whole_text(text_col)).alias("words"))
     items = words.select("item", bound(F.col("words"), shingles_of).alias("hashes"))
     items = staged(items.where(F.size("hashes") > 0).withColumn("set", F.array_sort(F.array_distinct("hashes"))).withColumn("n", F.size("hashes")).withColumn("key", F.monotonically_increasing_id()), "items-cut")
@@ -107,6 +118,8 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFram
     weighed = items.select("key", F.explode("set").alias("h")).join(weights, "h").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("h", "weight"))).alias("x"))
     out = items.join(weighed, "key").select("key", "item", "n", "hashes", "set", F.col("x.weight").alias("weights"))
     out = out.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda a, w: a + w))
+    rising = F.array_sort(F.zip_with("weights", "set", lambda w, h: F.struct(w.alias("weight"), h.alias("h"))))
+    out = out.withColumn("prefix", _prefix(rising, (least - MARGIN) * F.col("total")))
     return staged(_with_simhash(out, "hashes"), "items"), weights, math.log1p(n_texts)
 
 
@@ -133,27 +146,36 @@ def _windows(docs: DataFrame, items: DataFrame, weights: DataFrame, id_col: str,
     places = held.select("row", F.size("hashes").alias("m"), F.inline("hits").alias("p", "h")).join(weights, "h")
     places = staged(places.select("row", "m", "p", "h", "weight"), "texts-places")
 
-    postings = items.select("key", "n", "total", F.posexplode("hashes").alias("at", "h"))
-    met = places.select("row", "h", "weight").distinct().join(items.select("key", "total", F.explode("set").alias("h")), "h")
-    enough = met.groupBy("row", "key").agg(F.sum("weight").alias("common"), F.first("total").alias("total")).where(F.col("common") >= (least - 1e-6) * F.col("total"))
+    postings = items.select("key", "n", F.posexplode("hashes").alias("at", "h"))
+    once = places.select("row", "h", "weight").distinct()
+    pairs = once.select("row", "h").join(items.select("key", F.explode("prefix").alias("h")), "h").select("row", "key").distinct()
+    met = pairs.join(items.select("key", "total", F.explode("set").alias("h")), "key").join(once, ["row", "h"])
+    enough = met.groupBy("row", "key").agg(F.sum("weight").alias("common"), F.first("total").alias("total")).where(F.col("common") >= (least - MARGIN) * F.col("total"))
     start = F.explode(F.sequence(F.col("p") - F.col("at") - SLACK, F.col("p") - F.col("at") + SLACK))
-    aligned = places.join(postings, "h").join(enough.select("row", "key"), ["row", "key"], "left_semi").select("row", "key", "m", "n", start.alias("s"))
+    aligned = enough.select("row", "key").join(postings, "key").join(places.select("row", "m", "p", "h"), ["row", "h"]).select("row", "key", "m", "n", start.alias("s"))
     starts = staged(aligned.select("row", "key", "n", F.greatest(F.lit(0), F.least(F.col("s"), F.col("m") - F.least("n", "m"))).alias("s")).distinct(), "windows-of-items")
     windows = held.join(starts.select("row", "n", "s").distinct(), "row").select("id", "digest", "row", "n", "s", F.slice("hashes", F.col("s") + 1, F.col("n")).alias("window"))
     windows = staged(_with_simhash(windows, "window").withColumn("w", F.monotonically_increasing_id()), "windows")
     return windows, windows.select("w", "row", "n", "s").join(starts, ["row", "n", "s"]).select("w", "key")
 
 
+def _blocks_met(windows: DataFrame, items: DataFrame, weights: DataFrame, rarest: float, least: float) -> DataFrame:
+    """(w, key, p, q) with the prints of a window and an item of its size, for each prefix shingle and block of bits that they share."""
+    known = windows.select("w", F.explode(F.array_distinct("window")).alias("h")).join(weights, "h")
+    known = known.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("weight", "h"))).alias("x"), F.sum("weight").alias("held"))
+    total = F.col("held") + (F.size(F.array_distinct("window")) - F.size("x")) * F.lit(rarest)
+    heavy = windows.select("w", "n", "window", "print").join(known, "w").withColumn("least", (least - MARGIN) * total).where(F.col("held") >= F.col("least"))
+    heavy = heavy.select("w", "n", F.col("print").alias("p"), F.explode(_prefix(F.col("x"), F.col("least"))).alias("h"))
+    heads = items.select("key", "n", F.col("print").alias("q"), F.explode("prefix").alias("h"))
+    return heavy.select("*", _blocks(F.col("p")).alias("b")).join(heads.select("*", _blocks(F.col("q")).alias("b")), ["n", "h", "b"]).select("w", "key", "p", "q")
+
+
 def _scored(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, least: float) -> DataFrame:
     """(row, key, id, digest, item, s, similarity, near) of the windows and items from `least` up; near: SimHash proposes the pair."""
-    items, weights, rarest = _items(benchmark, item_col, item_text_col)
+    items, weights, rarest = _items(benchmark, item_col, item_text_col, least)
     windows, cut_for = _windows(docs, items, weights, id_col, text_col, least)
-    near = (
-        windows.select("w", "n", F.col("print").alias("p"), _blocks(F.col("print")).alias("b"))
-        .join(items.select("key", "n", F.col("print").alias("q"), _blocks(F.col("print")).alias("b")), ["n", "b"])
-        .where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= RADIUS)
-        .select("w", "key")
-    )
+    met = _blocks_met(windows, items, weights, rarest, least)
+    near = met.where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= RADIUS).select("w", "key")
     proposed = near.withColumn("near", F.lit(True)).unionByName(cut_for.withColumn("near", F.lit(False))).groupBy("w", "key").agg(F.max("near").alias("near"))
     both = windows.join(proposed, "w").join(items.select("key", "item", "set", "weights", "total"), "key")
     common = F.aggregate(F.zip_with("set", "weights", lambda h, x: F.when(F.array_contains("window", h), x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)

@@ -311,3 +311,45 @@ def test_unlike_windows_and_items_do_not_meet(spark):
     found = decontamination.find_contaminated(d, b)
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} >= {(k, f"b{k}") for k in range(40)}
     assert decontamination.simhash_share(d, b) >= 0.95
+
+
+def test_long_lists_of_the_ngram_join(rows, monkeypatch):
+    """Lists of many parts, with sets of several components in each: the same links as by brute force."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "SKIPPED", 3)
+    got = ngram_join.join_components(rows, 3, 80).collect()
+    data = [(r["doc_id"], brute.shingles(r["text"], 3)) for r in rows.collect()]
+    big = 1 << 60
+    comp = brute.components([(big if i is None else i, s) for i, s in data], 80)
+    want = sorted([(i, len(s), None if comp[k] == big else comp[k]) for k, (i, s) in enumerate(data)], key=str)
+    assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], key=str) == want
+
+
+def test_near_copies_are_dealt_once(spark, monkeypatch):
+    """6,000 near copies of one text: neither pass deals twice the postings, and all are one component."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(6_000):
+        copy = list(base)
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(200)] = f"v{rng.randrange(10_000)}"
+        texts.append((k, " ".join(copy)))
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    seen = []
+
+    def counted(name):
+        deal = getattr(ngram_join, name)
+
+        def run(postings):
+            dealt = deal(postings)
+            seen.append((postings.count(), dealt.count()))
+            return dealt
+
+        monkeypatch.setattr(ngram_join, name, run)
+
+    counted("_to_parts")
+    counted("_to_pairs")
+    out = ngram_join.join_components(d)
+    assert {r["component_id"] for r in out.select("component_id").distinct().collect()} == {0}
+    assert len(seen) == 2 and all(dealt < 2 * postings for postings, dealt in seen), seen

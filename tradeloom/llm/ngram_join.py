@@ -13,11 +13,12 @@ both; the number follows from the set's size, and is smaller for the set that is
    this token in their prefix, by position.  Lists are cut into blocks by position, and pairs of blocks whose positions leave too few
    tokens to overlap are skipped whole.  Within a pair of blocks, positions, sizes and parity bitmaps (whose distance never
    exceeds the sets' difference) leave out what cannot link.
-3. Answers.  A set's answer comes first from the most similar set before it in the list: one edge for each set, not all
-   pairs of a group.  Edges are verified on the whole sets, and what they connect shares its answer from then on: the second pass
-   looks only at pairs of different components, all of which it verifies.
+3. Answers.  A set's answer comes first from the most similar set before it in its part of the list: one edge for each set, not all
+   pairs of a group; two pivots of each list visit all its parts.  Edges are verified on the whole sets, and what they connect shares
+   its answer from then on: the second pass looks only at pairs of different components, all of which it verifies, and sets of a list's
+   largest component meet only those outside of it.
 
-No list or group is capped: long lists become many pairs of blocks, which are spread over tasks.
+No list or group is capped: long lists become many parts, which are spread over tasks.
 
 Defined results: null or empty text, or only white space: an empty set, linked with nothing, each row its own component.  Fewer
 words than n: the whole sequence is the one n-gram.  Repeated rows and ids get one result each; a null id never is a component's
@@ -43,6 +44,8 @@ CHUNK_BYTES = 2_000_000
 BITS = 512
 #: Consecutive sets of a list that are skipped together.
 SKIPPED = 128
+#: Sets of a part that are compared as a whole with each pivot of another part.
+OF_PIVOT = 3
 #: Pairs that are looked at at once.
 PAIRS = 500_000
 _U = np.uint64
@@ -186,18 +189,35 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     return wide.select(F.col("x.t").alias("t"), "row", "n", pos.alias("pos"), (pos < index_length(F.col("n"), percent)).alias("indexed"), "bits")
 
 
-def _dealt(postings: DataFrame, label: bool) -> DataFrame:
-    """Postings dealt to pairs of parts of their lists, so that no task holds a long list.
+def _to_parts(postings: DataFrame) -> DataFrame:
+    """Postings for the first pass: a list of m sets has m / BLOCK parts, filled by hash, and each set goes to its own part only.
 
-    A list of m sets has m / BLOCK parts, filled by hash; a set goes to each pair of parts that its own part is in.
+    Two sets of each list, its pivots, visit all parts, so that what the parts connect can be connected across them.
     """
-    lists = postings.groupBy("t").agg(F.count("*").alias("m"), F.max("indexed").alias("any_indexed"), F.min("label").alias("c0"), F.max("label").alias("c1"))
-    lists = lists.where("m > 1 and any_indexed")
-    if label:
-        lists = lists.where("c0 != c1")
-    lists = staged(lists.select("t", F.expr(f"cast((m - 1) div {BLOCK} + 1 as int)").alias("parts")), "lists")
-    dealt = postings.join(lists, "t").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    order = F.struct(F.xxhash64("row").alias("hash"), "row")
+    lists = postings.groupBy("t").agg(F.count("*").alias("m"), F.max("indexed").alias("any_indexed"), F.min(order).alias("first"), F.max(order).alias("last"))
+    lists = lists.where("m > 1 and any_indexed").select("t", F.expr(f"cast((m - 1) div {BLOCK} + 1 as int)").alias("parts"), F.array("first.row", "last.row").alias("pivots"))
+    dealt = postings.join(staged(lists, "lists"), "t").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    visits = F.when(F.array_contains("pivots", F.col("row")), F.expr("sequence(0, parts - 1)")).otherwise(F.array("part"))
+    return dealt.withColumn("i", F.explode(visits)).select("t", "i", F.col("i").alias("j"), "part", "row", "n", "pos", "indexed", "label", "bits")
+
+
+def _to_pairs(postings: DataFrame) -> DataFrame:
+    """Postings for the second pass, dealt to pairs of parts of their lists, so that no task holds a long list.
+
+    Sets of a list's commonest label need not meet each other.  They fill the first parts and the others the last ones, BLOCK sets each;
+    others go to all pairs that their part is in, the former only to pairs with a part of the latter.  So a list of m sets with u
+    of other labels costs m + u * m / BLOCK rows.  Lists of up to BLOCK sets are one part; lists of one label are left out.
+    """
+    labels = postings.groupBy("t", "label").agg(F.count("*").alias("held"), F.max("indexed").alias("any_indexed"))
+    top = F.max(F.struct("held", "label"))
+    lists = labels.groupBy("t").agg(F.sum("held").alias("m"), F.max("any_indexed").alias("any_indexed"), F.count("*").alias("labels"), top.alias("top")).where("labels > 1 and any_indexed")
+    parts = lambda n: f"cast(({n} + {BLOCK - 1}) div {BLOCK} as int)"
+    short = f"m <= {BLOCK}"
+    lists = lists.select("t", F.col("top.label").alias("main"), F.expr(f"if({short}, 0, {parts('top.held')})").alias("mains"), F.expr(f"if({short}, 1, {parts('(m - top.held)')})").alias("others"))
+    dealt = postings.join(staged(lists, "lists"), "t").withColumn("is_main", (F.col("label") == F.col("main")) & (F.col("mains") > 0))
+    own = F.expr("cast(if(is_main, pmod(xxhash64(row), mains), mains + pmod(xxhash64(row), others)) as int)")
+    pairs = dealt.withColumn("part", own).withColumn("other", F.explode(F.expr("sequence(if(is_main, mains, 0), mains + others - 1)")))
     return pairs.select("t", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "row", "n", "pos", "indexed", "label", "bits")
 
 
@@ -245,7 +265,7 @@ class _Lists:
             yield np.concatenate(later), np.concatenate(earlier)
 
     def edges(self, all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of pairs that may link; of each later set the nearest earlier one only, unless all_pairs."""
+        """Rows of pairs that may link; unless all_pairs, of each later set the nearest earlier one, and the sets nearest to each visiting pivot."""
         ys, xs, fars = [], [], []
         for y, x in self._later_with_earlier():
             nx, ny = self.n[x], self.n[y]
@@ -261,15 +281,26 @@ class _Lists:
             fars.append(far[ok])
         y, x, far = (np.concatenate([np.zeros(0, dtype=np.int64), *v]) for v in (ys, xs, fars))
         if not all_pairs and len(y):
-            order = np.lexsort((x, far, y))
-            y, x = y[order], x[order]
-            first = np.concatenate(([True], y[1:] != y[:-1]))
-            y, x = y[first], x[first]
+            visits = self.part != self.i
+            guest = visits[x] | visits[y]
+            pivot, host = np.where(visits[x], x, y)[guest], np.where(visits[x], y, x)[guest]
+            later = _nearest(y[~guest], x[~guest], far[~guest], 1)
+            met = _nearest(pivot, host, far[guest], OF_PIVOT)
+            y, x = (np.concatenate(v) for v in zip(later, met, strict=True))
         a, b = self.row[x], self.row[y]
         both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1) if len(a) else np.zeros((2, 0), dtype=np.int64)
         return both[0], both[1]
 
 
+def _nearest(of: np.ndarray, to: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each number in `of`, its k pairs of the smallest `far`."""
+    order = np.lexsort((to, far, of))
+    of, to = of[order], to[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), dtype=bool), of[1:] != of[:-1])))
+    rank = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
+    return of[rank < k], to[rank < k]
+
+
 def _list_edges(postings: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """(a, b) with a < b: for each set of a list the nearest set before it, or all pairs of different labels that may link."""
 
@@ -329,11 +360,11 @@ def _joined(texts: DataFrame, n_words: int, percent: int, key: Column) -> DataFr
 
     postings = staged(_postings(sets, percent), "postings")
     postings = postings.withColumn("label", F.col("row"))
-    near = staged(_list_edges(_dealt(postings, label=False), percent, all_pairs=False), "edges-near")
+    near = staged(_list_edges(_to_parts(postings), percent, all_pairs=False), "edges-near")
     links = _verified(near, sets, percent)
     label = staged(connected_components(links), "components-near").withColumnsRenamed({"node": "row", "label": "found"})
     labelled = staged(postings.join(label, "row", "left").withColumn("label", F.coalesce("found", "row")).drop("found"), "postings-labelled")
-    rest = staged(_list_edges(_dealt(labelled, label=True), percent, all_pairs=True), "edges-rest")
+    rest = staged(_list_edges(_to_pairs(labelled), percent, all_pairs=True), "edges-rest")
     links = links.unionByName(_verified(rest.join(near, ["a", "b"], "left_anti"), sets, percent))
 
     names = sets.select("row", "fp")

@@ -35,6 +35,12 @@ def series(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return ticks(spark, sf).where(F.col("event_type") == kind).select("symbol", "ts", value.alias("value"))
 
 
+def binary_round(x: Column, places: int) -> Column:
+    """x rounded as the SQL's round does a double: the product with 10^places to the nearest whole, halves away from 0.  F.round goes by decimal digits, so it lifts 0.285 where 28.499999999999996 falls."""
+    scale = float(10**places)
+    return F.round(x * scale) / scale
+
+
 def trades(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")])
     key = F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11
@@ -49,7 +55,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_extendedprice") / F.col("l_quantity") / 20).alias("entry"),
         hours(base, key % 600).alias("opened_at"),
         hours(base, key % 600 + F.col("l_partkey") % 48 + 1).alias("closed_at"),
-        F.round(F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")) / 100, 2).alias("pnl"),
+        binary_round(F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")) / 100, 2).alias("pnl"),
         (F.col("l_extendedprice") * 0.0004).alias("risk_usd"),
         (F.col("l_extendedprice") * 0.0001 * F.col("l_linenumber")).alias("mae_usd"),
         (F.col("l_extendedprice") * 0.0002 * (F.col("l_partkey") % 5)).alias("mfe_usd"),
@@ -86,11 +92,11 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), places) for c in columns})
+    return df.withColumns({c: binary_round(F.col(c), places) for c in columns})
 
 
 def money(*columns: str) -> list[Column]:
-    return [F.round(F.col(c), 2).alias(c) for c in columns]
+    return [binary_round(F.col(c), 2).alias(c) for c in columns]
 
 
 SQL = {

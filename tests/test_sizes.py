@@ -31,3 +31,25 @@ def test_results_that_lie_between_two_cents_round_as_in_sql(spark, tmp_path):
     names, want = duck_rows(tmp_path, "exit_consistency")
     got = catalog.QUERIES["exit_consistency"](spark, str(tmp_path)).select(*names).collect()
     assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 3
+
+
+def test_bootstrap_draws_in_blocks_are_one_draw_at_a_time(spark):
+    """Weights against the formula with whole numbers; AUC over scores that fill several ranges (or are one score, or unknown) against one replicate at a time; no row is copied for a replicate."""
+    from tradeloom.operators import calibration as K
+
+    rng = np.random.default_rng(4)
+    for scores in (np.round(rng.random(3_000), 2), rng.random(3_000), np.full(300, 0.5)):
+        rows = [(k, None if k % 97 == 0 else float(p), int(rng.random() < 0.4)) for k, p in enumerate(scores)]
+        df = spark.createDataFrame(rows, "id long, p double, y int").repartition(3)
+        s = np.array([r[0] for r in df.orderBy("id").select(F.pmod(K.row_hash("id"), F.lit(K.DRAWS))).collect()])
+        w = np.array([[sum(((int(x) * (rep * 1_103_515_245 % K.DRAWS + 1) % K.DRAWS) + 0.5) / K.DRAWS > c for c in K.POISSON_STEPS) for x in s] for rep in range(1, 41)])
+        assert (K.poisson_weights(s, 1, 40) == w).all()
+        p, y = np.array([-1.0 if r[1] is None else r[1] for r in rows]), np.array([r[2] for r in rows])
+        more = (p[:, None] > p[None, :]) + 0.5 * (p[:, None] == p[None, :])
+        auc = [(a * y) @ more @ (a * (1 - y)) / ((a * y).sum() * (a * (1 - y)).sum()) for a in w]
+        known = p >= 0
+        brier = [(a[known] @ (p - y)[known] ** 2) / a.sum() for a in w]
+        for one, each in ((K.bootstrap_auc, auc), (K.bootstrap, brier)):
+            got = one(df, "p", "y", "id", 40).first()
+            assert np.allclose([got["low"], got["mid"], got["high"]], np.quantile(each, [0.025, 0.5, 0.975]), atol=1e-12)
+    assert "Generate" not in K.bootstrap(df, "p", "y", "id", 40)._jdf.queryExecution().toString()

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources.staging import staged
 from .windows import with_order_index, with_quantiles, with_running
 
 
@@ -167,17 +171,39 @@ DRAWS = 2_147_483_647
 POISSON_STEPS = list(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(8)))
 
 
-def _weighted(df: DataFrame, p: str, y: str, key: str, replicates: int) -> DataFrame:
-    """Each row once for each replicate, with a Poisson(1) weight w.
+#: Rows and replicates whose weights are made at once; some 70,000 numbers stay in a core's cache.
+_ROWS, _REPS = 2_048, 32
 
-    A row is hashed once; its draw in a replicate is that number times the replicate's multiplier modulo a prime, so draws of one replicate are as independent as the hashes.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # hashed before the explosion, and dealt evenly: each of these few bytes becomes `replicates` rows
-    once = df.select(F.pmod(row_hash(key), F.lit(DRAWS)).alias("_s"), p, y).repartition(parts)
-    rows = once.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias("rep"))
-    u = (F.col("_s") * (F.col("rep") * 1_103_515_245 % DRAWS + 1) % DRAWS + 0.5) / DRAWS
-    return rows.withColumn("u", u).withColumn("w", sum(((F.col("u") > s).cast("int") for s in POISSON_STEPS), F.lit(0)))
+
+def _hashed(df: DataFrame, p: str, y: str, key: str) -> DataFrame:
+    """(_s, p, y): each row's hash, once; its draw in a replicate is that number times the replicate's multiplier modulo a prime, so draws of one replicate are as independent as the hashes."""
+    return df.select(F.pmod(row_hash(key), F.lit(DRAWS)).alias("_s"), F.col(p).cast("double").alias("_p"), F.col(y).cast("double").alias("_y"))
+
+
+def poisson_weights(s: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Poisson(1) weights of rows with hashes s in the replicates first .. last: replicates x rows."""
+    rep = np.arange(first, last + 1, dtype=np.uint64) * np.uint64(1_103_515_245) % np.uint64(DRAWS) + np.uint64(1)
+    x = np.multiply.outer(rep, s.astype(np.uint64))
+    # modulo 2^31 - 1: low and high 31 bits are added, and the prime is taken off where it fits (an unsigned difference wraps where it does not)
+    low = (x & np.uint64(DRAWS)).astype(np.uint32)
+    x >>= np.uint64(31)
+    low += x.astype(np.uint32)
+    draw = np.minimum(low, low - np.uint32(DRAWS))
+    w = np.zeros(draw.shape, np.uint8)
+    for least in _LEAST_DRAWS:
+        w += (draw >= least).view(np.uint8)
+    return w
+
+
+def _least_draw(chance: float) -> np.uint32:
+    """The first draw whose (draw + 0.5) / DRAWS lies above chance."""
+    d = max(0, int(chance * DRAWS) - 3)
+    while d < DRAWS and not (d + 0.5) / DRAWS > chance:
+        d += 1
+    return np.uint32(d)
+
+
+_LEAST_DRAWS = [_least_draw(c) for c in POISSON_STEPS]
 
 
 def _interval(each: DataFrame, metric: str) -> DataFrame:
@@ -186,17 +212,80 @@ def _interval(each: DataFrame, metric: str) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, p: str, y: str, key: str, replicates: int) -> DataFrame:
-    """(metric, low, mid, high): 2.5, 50 and 97.5 % of the Brier score over resampled rows."""
-    rows = _weighted(df, p, y, key, replicates)
-    return _interval(rows.groupBy("rep").agg((F.sum(F.col("w") * F.pow(F.col(p) - F.col(y), F.lit(2))) / F.sum("w")).alias("brier")), "brier")
+    """(metric, low, mid, high): 2.5, 50 and 97.5 % of the Brier score over resampled rows.
+
+    A task draws the weights of its rows for blocks of replicates and keeps two sums a replicate; rows are never copied for one.
+    """
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((replicates, 2))
+        for b in batches:
+            s, e = b.column("_s").to_numpy(), np.column_stack([b.column("_e").to_numpy(), np.ones(b.num_rows)])
+            for i in range(0, len(s), _ROWS):
+                for k in range(0, replicates, _REPS):
+                    to = min(replicates, k + _REPS)
+                    total[k:to] += poisson_weights(s[i : i + _ROWS], k + 1, to).astype(np.float64) @ e[i : i + _ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1)), pa.array(total[:, 0]), pa.array(total[:, 1])], ["rep", "e", "w"])
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _hashed(df, p, y, key).select("_s", F.coalesce(F.pow(F.col("_p") - F.col("_y"), F.lit(2)), F.lit(0.0)).alias("_e")).repartition(parts)
+    sums = rows.mapInArrow(part, "rep long, e double, w double")
+    return _interval(sums.groupBy("rep").agg(ratio(F.sum("e"), F.sum("w")).alias("brier")), "brier")
 
 
 def bootstrap_auc(df: DataFrame, p: str, y: str, key: str, replicates: int) -> DataFrame:
-    """The same of the area under the ROC curve, from weights by score; a replicate's distinct scores are one task's sort."""
-    rows = _weighted(df, p, y, key, replicates)
-    c = rows.groupBy("rep", p).agg(F.sum(F.col("w") * F.col(y)).alias("pos"), F.sum(F.col("w") * (1 - F.col(y))).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("rep").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return _interval(c.withColumn("below", below).groupBy("rep").agg(ratio(F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))), F.sum("pos") * F.sum("neg")).alias("auc")), "auc")
+    """The same of the area under the ROC curve.
+
+    Rows lie in ranges of the score.  A task goes through its range in order and keeps, for each replicate, weights of both labels and the pairs that they make inside the range;
+    the first and the last score, which neighbouring ranges may share, stay apart.  So ranges x replicates numbers meet in the end, however many scores there are.
+    """
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zero = lambda: np.zeros(replicates, np.int64)
+        now, pos, neg, first = None, zero(), zero(), True
+        inner, inner_pos, inner_neg, twice = None, zero(), zero(), zero()
+        out = []
+        for b in batches:
+            score, label, s = (b.column(c).to_numpy() for c in ("_p", "_y", "_s"))
+            for i in range(0, len(s), _ROWS):
+                at, mark = score[i : i + _ROWS], label[i : i + _ROWS] == 1
+                new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (mark[1:] != mark[:-1])])
+                sums = np.empty((len(new), replicates), np.int64)
+                for k in range(0, replicates, _REPS):
+                    to = min(replicates, k + _REPS)
+                    sums[:, k:to] = np.add.reduceat(poisson_weights(s[i : i + _ROWS], k + 1, to), new, axis=1, dtype=np.int64).T
+                for j, each in zip(new, sums, strict=True):
+                    if at[j] != now:
+                        if now is not None and first:
+                            out.append((now, True, pos, neg, zero()))
+                            first = False
+                        elif now is not None:
+                            inner = now if inner is None else inner
+                            twice += pos * (2 * inner_neg + neg)
+                            inner_pos += pos
+                            inner_neg += neg
+                        now, pos, neg = at[j], zero(), zero()
+                    if mark[j]:
+                        pos += each
+                    else:
+                        neg += each
+        if now is not None:
+            out.append((now, True, pos, neg, zero()))
+        if inner is not None:
+            out.append((inner, False, inner_pos, inner_neg, twice))
+        lists = [pa.array([r[c] for r in out], pa.list_(pa.int64())) for c in (2, 3, 4)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.float64()), pa.array([r[1] for r in out], pa.bool_()), *lists], ["p", "one", "pos", "neg", "twice"])
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # unknown scores are the lowest, as in a window's order, NaN the highest; rows without a label make no pair
+    score = F.coalesce(F.nanvl("_p", F.lit(float("inf"))), F.lit(float("-inf")))
+    rows = staged(_hashed(df, p, y, key).where("_y is not null").select("_s", score.alias("_p"), "_y"), "bootstrap-rows")
+    ranges = rows.repartitionByRange(parts, "_p", "_s").sortWithinPartitions("_p", "_y").mapInArrow(part, "p double, one boolean, pos array<long>, neg array<long>, twice array<long>")
+    blocks = ranges.select("p", "one", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(replicates)).alias("rep"), "pos", "neg", "twice")).alias("x")).select("p", "one", "x.*")
+    c = blocks.groupBy("rep", "p", "one").agg(*[F.sum(n).alias(n) for n in ("pos", "neg", "twice")])
+    inside = F.when(F.col("one"), 0.5 * F.col("pos") * F.col("neg")).otherwise(0.5 * F.col("twice"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("rep").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return _interval(c.withColumns({"below": below, "inside": inside}).groupBy("rep").agg(ratio(F.sum(F.col("pos") * F.col("below").cast("double") + F.col("inside")), F.sum("pos").cast("double") * F.sum("neg")).alias("auc")), "auc")
 
 
 def best_by_net(df: DataFrame, p: str, pnl: str, thresholds: list[float], least: int) -> DataFrame:

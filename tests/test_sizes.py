@@ -53,3 +53,43 @@ def test_bootstrap_draws_in_blocks_are_one_draw_at_a_time(spark):
             got = one(df, "p", "y", "id", 40).first()
             assert np.allclose([got["low"], got["mid"], got["high"]], np.quantile(each, [0.025, 0.5, 0.975]), atol=1e-12)
     assert "Generate" not in K.bootstrap(df, "p", "y", "id", 40)._jdf.queryExecution().toString()
+
+
+
+def test_windows_of_time_make_no_pairs(spark):
+    """Enrichment and exchange checks where one window holds thousands of rows: values against one window at a time, and no operator gives more rows than it was given."""
+    from tradeloom.operators import joins as J
+
+    rng = np.random.default_rng(5)
+    at = lambda s: T0 + dt.timedelta(seconds=int(s))
+    oi = [("A" if k % 3 else "B", at(s), float(s % 53)) for k, s in enumerate(rng.choice(40 * 3_600, 3_000, replace=False))]
+    funding = [("A", at(s), float(s)) for s in (0, 8 * 3_600, 30 * 3_600)]
+    opens = [*rng.integers(-3_600, 60 * 3_600, 300), 0, 8 * 3_600, 16 * 3_600, 16 * 3_600 + 1]
+    trades = [(k, "C" if k % 50 == 49 else "AB"[k % 2], None if k == 7 else at(s)) for k, s in enumerate(opens)]
+    kinds = "symbol string, ts timestamp, value double"
+    df = spark.createDataFrame(trades, "id long, symbol string, opened_at timestamp")
+    out = J.window_enrichment(df, spark.createDataFrame(oi, kinds), spark.createDataFrame(funding, kinds))
+    got = {r["id"]: (r["oi_last"], r["oi_delta"], r["funding_last"]) for r in out.collect()}
+    seen = lambda rows, s, t: sorted((x, v) for k, x, v in rows if t and k == s and t - dt.timedelta(hours=8) <= x <= t)
+    assert len(got) == len(trades)
+    for k, s, t in trades:
+        o, f = seen(oi, s, t), seen(funding, s, t)
+        delta = o[-1][1] / o[0][1] - 1 if len(o) > 1 and o[0][1] else None
+        assert got[k] == (o[-1][1] if o else None, delta, f[-1][1] if f else None)
+
+    size = lambda r: float(r % 7 + 1)
+    x = [("A" if k % 4 else "B", at(s), "buy" if k % 2 else "sell", size(s), 2.0 + int(s) % 3) for k, s in enumerate(rng.integers(0, 7_200, 2_000))]
+    held = [(k, "ABC"[k % 3], 3.0, "long" if k % 2 else "SHORT", at(s), None if k == 5 else at(s + 1_000)) for k, s in enumerate(rng.integers(-2_000, 9_000, 90))]
+    positions = spark.createDataFrame(held, "id long, symbol string, size double, side string, opened_at timestamp, closed_at timestamp")
+    exchange = spark.createDataFrame(x, "symbol string, ts timestamp, trade_side string, amount double, price double")
+    found = {(r["id"], r["kind"]): (r["found"], r["vwap"]) for r in J.exchange_check(positions, exchange, "15m", -1.0).collect()}
+    want = {}
+    for k, s, _, side, a, b in held:
+        for kind, t, buys in (("ENTRY_SIZE_MISMATCH", a, "long"), ("EXIT_SIZE_MISMATCH", b, "short")):
+            side_wanted = "buy" if side.lower() == buys else "sell"
+            near = [(q, p) for y, u, d, q, p in x if t and y == s and d == side_wanted and abs((u - t).total_seconds()) <= 900]
+            if s != "C":
+                want[k, kind] = (sum(q for q, _ in near), pytest.approx(sum(q * p for q, p in near) / sum(q for q, _ in near)) if near else None)
+    assert found == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "timestamp_micros" not in plan

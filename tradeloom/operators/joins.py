@@ -1,25 +1,37 @@
-"""Joins of trades, bars, fills and statements: intervals by day buckets, one-to-one checks, allocation, universes."""
+"""Joins of trades, bars, fills and statements: windows of time by cells, one-to-one checks, allocation, universes."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, timeframe_seconds
+from ..sources.staging import staged
 
 
-def _days(start: Column, end: Column) -> Column:
-    return F.explode(F.sequence(F.to_date(start), F.to_date(end)))
-
-
-def in_interval(left: DataFrame, right: DataFrame, start: Column, end: Column, key: str = "symbol", on: str = "ts") -> DataFrame:
-    """Pairs of left rows and right rows (key, on, ...) with start <= on <= end: an equi-join on key and day, then the exact test.
+def trailing_windows(points: DataFrame, events: DataFrame, keys: list[str], width_us: int, running: dict[str, Callable[[Column], Column]], merged: dict[str, Column]) -> DataFrame:
+    """(keys, _at, merged): what the events (keys, ts, _x) from _at - width_us to _at, both included, give for each of the points (keys, _at), which must be distinct.
 
-    Columns of right besides key must not be in left.  A left row is copied once for each day it spans.
+    In cells of just that width a window is the end of one cell and the beginning of the next: two running values, one from each side, and no pair of a point with an event.
+    running: by name, the aggregate of _x of which a running value is kept; merged puts its two halves, `name_old` and `name_new`, together.
     """
-    l = left.where(start <= end).withColumn("_day", _days(start, end))
-    r = right.withColumn("_day", F.to_date(on))
-    return l.join(r, [key, "_day"]).where((F.col(on) >= start) & (F.col(on) <= end)).drop("_day")
+    cell = lambda c: F.floor(F.col(c) / width_us)
+    span = lambda t, d: (t - d * width_us).alias("_t")
+    known = lambda df, *c: df.where(" and ".join(f"{k} is not null" for k in (*keys, *c)))
+    e = known(events, "ts").select(*keys, F.unix_micros("ts").alias("_t"), F.lit(0).alias("_side"), "_x")
+    p = known(points, "_at").select(*keys, "_at", F.unix_micros("_at").alias("_end"))
+    both = e
+    for side, d in ((1, 0), (2, 1)):
+        both = both.unionByName(p.select(*keys, "_at", span(F.col("_end"), d), F.lit(side).alias("_side")), allowMissingColumns=True)
+    both = both.withColumn("_cell", cell("_t"))
+    w = Window.partitionBy(*keys, "_cell")
+    up, down = (w.orderBy(t, "_side").rowsBetween(Window.unboundedPreceding, 0) for t in ("_t", F.desc("_t")))
+    halves = both.withColumns({f"{n}_{h}": f("_x").over(o) for n, f in running.items() for h, o in (("new", up), ("old", down))}).where("_side > 0")
+    one = lambda n, h, side: F.max(F.when(F.col("_side") == side, F.struct(F.col(f"{n}_{h}").alias("v"))))["v"].alias(f"{n}_{h}")
+    each = halves.groupBy(*keys, "_at").agg(*[one(n, h, side) for n in running for h, side in (("new", 1), ("old", 2))])
+    return each.select(*keys, "_at", *[v.alias(n) for n, v in merged.items()])
 
 
 #: Time that the smallest cell of range aggregates spans.
@@ -128,13 +140,20 @@ def window_enrichment(trades: DataFrame, oi: DataFrame, funding: DataFrame, hour
 
     The change needs two points and a first one other than 0.
     """
-    opened = F.col("opened_at")
-    start = F.timestamp_micros(F.unix_micros(opened) - hours * 3_600_000_000)
-    t = trades.select("id", "symbol", "opened_at")
-    o = in_interval(t, oi.select("symbol", "ts", F.col("value").alias("v")), start, opened).groupBy("id").agg(F.max_by("v", "ts").alias("oi_last"), F.min_by("v", "ts").alias("_first"), F.count("*").alias("_n"))
-    f = in_interval(t, funding.select("symbol", "ts", F.col("value").alias("v")), start, opened).groupBy("id").agg(F.max_by("v", "ts").alias("funding_last"))
-    out = trades.join(o, "id", "left").join(f, "id", "left")
-    return out.withColumn("oi_delta", F.when(F.col("_n") >= 2, ratio(F.col("oi_last"), F.col("_first")) - 1)).drop("_first", "_n")
+    points = staged(trades.select("symbol", F.col("opened_at").alias("_at")).distinct(), "window-points")
+    running = {"last": lambda x: F.max(x), "first": lambda x: F.min(x), "n": lambda x: F.count(x)}
+    merged = {"_last": F.coalesce("last_new", "last_old"), "_first": F.coalesce("first_old", "first_new"), "_n": F.col("n_old") + F.col("n_new")}
+
+    def windows(series: DataFrame) -> DataFrame:
+        x = F.struct("ts", F.col("value").alias("v")).alias("_x")
+        return trailing_windows(points, series.select("symbol", "ts", x), ["symbol"], hours * 3_600_000_000, running, merged)
+
+    o = windows(oi).select("symbol", "_at", F.col("_last.v").alias("oi_last"), F.when(F.col("_n") >= 2, ratio(F.col("_last.v"), F.col("_first.v")) - 1).alias("oi_delta"))
+    f = windows(funding).select("symbol", "_at", F.col("_last.v").alias("funding_last"))
+    # as many rows as distinct opens of a symbol; staged, so that Spark knows whether they can be broadcast to the trades
+    found = staged(o.join(f, ["symbol", "_at"]), "windows").withColumnRenamed("symbol", "_symbol")
+    same = (F.col("symbol") == F.col("_symbol")) & (F.col("opened_at") == F.col("_at"))
+    return trades.join(found, same, "left").select(*trades.columns, "oi_last", "funding_last", "oi_delta")
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -176,17 +195,20 @@ def exchange_check(positions: DataFrame, exchange: DataFrame, pad: str, tol: flo
     exchange: symbol, ts, trade_side, amount, price.  Result: id, kind (ENTRY_ or EXIT_SIZE_MISMATCH), expected, found, vwap.
     Symbols that the exchange side lacks are skipped.
     """
-    seconds = timeframe_seconds(pad) * 1_000_000
-    known = positions.join(exchange.select("symbol").distinct(), "symbol", "left_semi")
-    both = None
+    micros = timeframe_seconds(pad) * 1_000_000
+    worth = F.struct(F.sum("amount").alias("a"), F.sum(F.col("amount") * F.col("price")).alias("v")).alias("_x")
+    x = staged(exchange.groupBy("symbol", F.col("trade_side").alias("_want"), "ts").agg(worth), "exchange-times")
+    known = positions.join(x.select("symbol").distinct(), "symbol", "left_semi")
+    t = None
     for kind, at, buys in (("ENTRY_SIZE_MISMATCH", "opened_at", "long"), ("EXIT_SIZE_MISMATCH", "closed_at", "short")):
-        t = known.select("id", "symbol", "size", F.col(at).alias("_at"), F.when(F.lower("side") == buys, "buy").otherwise("sell").alias("_want"))
-        lo, hi = (F.timestamp_micros(F.unix_micros("_at") + d * seconds) for d in (-1, 1))
-        hits = in_interval(t, exchange.select("symbol", "ts", "trade_side", "amount", "price"), lo, hi).where("trade_side = _want")
-        got = hits.groupBy("id").agg(F.sum("amount").alias("found"), ratio(F.sum(F.col("amount") * F.col("price")), F.sum("amount")).alias("vwap"))
-        part = t.join(got, "id", "left").select("id", F.lit(kind).alias("kind"), F.abs("size").alias("expected"), F.coalesce("found", F.lit(0.0)).alias("found"), "vwap")
-        both = part if both is None else both.unionByName(part)
-    return both.where(F.abs(F.col("expected") - F.col("found")) > tol)
+        part = known.select("id", F.lit(kind).alias("kind"), F.abs("size").alias("expected"), "symbol", F.when(F.lower("side") == buys, "buy").otherwise("sell").alias("_want"), (F.timestamp_micros(F.unix_micros(at) + micros)).alias("_at"))
+        t = part if t is None else t.unionByName(part)
+    points = t.select("symbol", "_want", "_at").distinct()
+    running = {"a": lambda x: F.sum(F.col(f"{x}.a")), "v": lambda x: F.sum(F.col(f"{x}.v"))}
+    both = lambda c: F.coalesce(F.col(f"{c}_old") + F.col(f"{c}_new"), f"{c}_old", f"{c}_new")
+    got = staged(trailing_windows(points, x, ["symbol", "_want"], 2 * micros, running, {"_a": both("a"), "_v": both("v")}), "exchange-windows")
+    out = t.join(got, ["symbol", "_want", "_at"], "left").select("id", "kind", "expected", F.coalesce("_a", F.lit(0.0)).alias("found"), ratio(F.col("_v"), F.col("_a")).alias("vwap"))
+    return out.where(F.abs(F.col("expected") - F.col("found")) > tol)
 
 
 def backfill_entry(positions: DataFrame, fills: DataFrame) -> DataFrame:

@@ -93,3 +93,20 @@ def test_windows_of_time_make_no_pairs(spark):
     assert found == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "timestamp_micros" not in plan
+
+
+@pytest.mark.parametrize("n, ones", [(2_000, 700), (50, 50), (30, 1), (5, 0)])
+def test_the_kth_place_of_each_shuffle(spark, n, ones):
+    """Places hashed in blocks against hashlib; the k-th place and the sum up to it against all places in order."""
+    import hashlib
+
+    from tradeloom.operators.shuffles import kth_places
+
+    rows = [(7 * 10 ** (k % 12) + k, k / 2) for k in range(n)]
+    got = {r["rep"]: (r["h"], r["id"], r["s1"]) for r in kth_places(spark.createDataFrame(rows, "id long, r double").repartition(3), "id", "r", 30, n, ones).collect()}
+    want = {}
+    for rep in range(1, 31):
+        order = sorted((int(hashlib.md5(f"{i}:{rep}".encode()).hexdigest()[:15], 16), i, r) for i, r in rows)[:ones]
+        if order:
+            want[rep] = (*order[-1][:2], sum(r for _, _, r in order))
+    assert got == want

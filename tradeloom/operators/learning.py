@@ -18,6 +18,7 @@ from .calibration import auc_brier, ece, resolution, width_bin
 from .fits import Variant, fit_all, packed_rows, score_all, scores_of
 from .joins import window_enrichment
 from .performance import cost_audit
+from .shuffles import kth_places
 from .windows import with_order_index, with_quantiles, with_running
 
 
@@ -154,12 +155,12 @@ def monotone(values: list[float], weights: list[float]) -> list[float]:
     return [v for v, _, n in blocks for _ in range(int(n))]
 
 
-def choose_calibrator(preds: DataFrame, least_std: float = 0.5, least_unique: float = 0.05) -> tuple[str, list[dict]]:
-    """(name, report): the first calibrator that lowers ECE without raising Brier and keeps spread and distinct values; else raw."""
+def choose_calibrator(preds: DataFrame, least_std: float = 0.5, least_unique: float = 0.05, found: dict | None = None) -> tuple[str, list[dict]]:
+    """(name, report): the first calibrator that lowers ECE without raising Brier and keeps spread and distinct values; else raw.  found: `calibrators` of preds, where they are fitted already."""
     raw = {"ece": ece(preds, "p", "y", width_bin(F.col("p"), 15, True)).first()[0], "brier": auc_brier(preds, "p", "y").first()["brier"]}
     report = [{"name": "raw", **raw}]
     chosen = "raw"
-    for name, apply in calibrators(preds).items():
+    for name, apply in (found or calibrators(preds)).items():
         out = apply(preds).select("p", "y", "p_cal")
         r = resolution(out, "p", "p_cal").first()
         one = {"name": name, "ece": ece(out, "p_cal", "y", width_bin(F.col("p_cal"), 15, True)).first()[0], "brier": auc_brier(out, "p_cal", "y").first()["brier"], "std_ratio": r["std_ratio"], "unique_ratio": r["unique_ratio"]}
@@ -173,26 +174,13 @@ def choose_calibrator(preds: DataFrame, least_std: float = 0.5, least_unique: fl
 def shuffle_p_value(preds: DataFrame, key: str, replicates: int) -> DataFrame:
     """(auc, p_value): share of label shuffles against fixed scores whose AUC reaches the real one.
 
-    A replicate gives each row a pseudo-random place by hash and takes the k first places as label 1; ranks by score are
-    taken once, so a replicate costs one pass and no sort by score.  Counts by the first bits of the hash tell for each replicate up to where all
-    rows are taken; only the rows of the one cell in which k falls are sorted.
+    A replicate gives each row a pseudo-random place by hash and takes the k first places as label 1; ranks by score are taken once, and `kth_places` sums them
+    up to the k-th place without a row for each replicate.
     """
-    from pyspark.sql import Window
-
-    from .calibration import row_hash
-
+    preds = staged(preds.select(key, "p", "y"), "shuffle-scores")
     each = with_running(preds.groupBy("p").agg(F.count("*").alias("n")), ["p"], {"before": F.col("n")})
-    ranked = preds.join(each, "p").select(key, "y", (F.col("before") + (F.col("n") + 1) / 2).alias("r"))
-    both = ranked.agg(F.count("*").alias("n"), F.sum("y").alias("k"), F.sum(F.col("r") * F.col("y")).alias("s"))
-    dealt = ranked.repartition(int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # each row becomes `replicates` rows
-    reps = dealt.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("h", row_hash(key, "rep"))
-    reps = reps.withColumn("cell", F.shiftright("h", 48))  # 4,096 cells
-    cells = reps.groupBy("rep", "cell").agg(F.count("*").alias("c"), F.sum("r").alias("cell_r"))
-    up = Window.partitionBy("rep").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.withColumn("ahead", F.coalesce(F.sum("c").over(up), F.lit(0))).crossJoin(F.broadcast(both.select("k")))  # one row
-    whole = placed.where("ahead + c <= k").groupBy("rep").agg(F.sum("cell_r").alias("s1"))
-    cut = placed.where("ahead < k and ahead + c > k").select("rep", "cell", (F.col("k") - F.col("ahead")).alias("left"))
-    inside = reps.join(cut, ["rep", "cell"]).withColumn("place", F.row_number().over(Window.partitionBy("rep", "cell").orderBy("h", key))).where("place <= left")
-    sums = whole.unionByName(inside.groupBy("rep").agg(F.sum("r").alias("s1"))).groupBy("rep").agg(F.sum("s1").alias("s1"))
-    auc = (F.first("s") - F.first("k") * (F.first("k") + 1) / 2) / (F.first("k") * (F.first("n") - F.first("k")))
-    return sums.crossJoin(F.broadcast(both)).agg(auc.alias("auc"), F.avg((F.col("s1") >= F.col("s")).cast("double")).alias("p_value"))  # one row
+    ranked = staged(preds.join(each, "p").select(key, "y", (F.col("before") + (F.col("n") + 1) / 2).alias("r")), "shuffle-ranks")
+    n, k, s = ranked.agg(F.count("*"), F.sum("y"), F.sum(F.col("r") * F.col("y"))).first()  # one row
+    sums = kth_places(ranked, key, "r", replicates, n, k or 0)
+    auc = (s - k * (k + 1) / 2) / (k * (n - k)) if k and k < n else None
+    return sums.agg(F.lit(auc).cast("double").alias("auc"), F.avg((F.col("s1") >= F.lit(s)).cast("double")).alias("p_value"))

@@ -110,3 +110,33 @@ def test_the_kth_place_of_each_shuffle(spark, n, ones):
         if order:
             want[rep] = (*order[-1][:2], sum(r for _, _, r in order))
     assert got == want
+
+
+def test_streaks_run_across_ranges(spark):
+    """Losses in a row that cross many ranges, whole ranges of losses, unknown results, two keys; no task holds a key."""
+    from tradeloom.operators import windows as W
+
+    rng = np.random.default_rng(8)
+    for share in (0.3, 0.9, 1.0):
+        rows = [(k, "AB"[k % 5 == 0], None if k % 211 == 210 else float(-1 if rng.random() < share else k % 2)) for k in range(2_000)]
+        df = spark.createDataFrame(rows, "at long, symbol string, pnl double").repartition(5)
+        for k in (3, 50, 150):
+            want, run = {}, {}
+            for at, s, pnl in rows:
+                run[s] = run.get(s, 0) + 1 if pnl is not None and pnl < 0 else 0
+                if run[s] >= k:
+                    want.setdefault(s, at)
+            out = W.loss_streak_times(df, ["symbol"], ["at"], k)
+            assert {r["symbol"]: r["at"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_part" in line for line in plan.splitlines() if "Window [" in line) and "Window [" in plan
+
+
+def test_equal_spans_are_looked_up_once(spark):
+    from tradeloom.operators import joins as J
+
+    bars = spark.createDataFrame([("A", T0 + dt.timedelta(hours=k), float(k), float(k + 1)) for k in range(200)], "symbol string, ts timestamp, low double, high double")
+    spans = [(T0 + dt.timedelta(hours=k % 7), T0 + dt.timedelta(hours=k % 7 + 60)) for k in range(5_000)]
+    out = J.trade_extremes(spark.createDataFrame([(k, "A", *s) for k, s in enumerate(spans)], "id long, symbol string, opened_at timestamp, closed_at timestamp"), bars)
+    assert {tuple(r) for r in out.collect()} == {(k, float(k % 7), float(k % 7 + 61), 61) for k in range(5_000)}
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -83,18 +83,22 @@ def trade_cells(trades: DataFrame, levels: int, cell: str = CELL) -> DataFrame:
 
 
 def trade_extremes(trades: DataFrame, bars: DataFrame, cell: str = CELL) -> DataFrame:
-    """(id, lo, hi, n_bars) of the bars from opened_at to closed_at; trades without bars are absent.
+    """(id, lo, hi, n_bars) of the bars from opened_at to closed_at; trades without bars are absent.  Ids must be unique.
 
     Least and highest prices of cells of time by powers of two are made once; a trade reads at most two cells of each level, however long it is,
     and bars only in the cells that it opens and closes in.
     """
-    longest = trades.where("opened_at <= closed_at").agg(F.max(_cell("closed_at", cell) - _cell("opened_at", cell))).first()[0] or 0
+    # trades of one symbol, open and close read the same bars: each such interval is looked up once
+    spans = staged(trades.where("opened_at <= closed_at").select("symbol", "opened_at", "closed_at").distinct(), "trade-spans")
+    longest = spans.agg(F.max(_cell("closed_at", cell) - _cell("opened_at", cell))).first()[0] or 0
     levels = max(0, int(longest).bit_length())
     inside = range_cells(bars, levels, cell).withColumn("at", F.lit(None).cast("timestamp"))
     single = bars.select("symbol", F.lit(-1).alias("level"), _cell("ts", cell).alias("m"), F.col("low").alias("lo"), F.col("high").alias("hi"), F.lit(1).cast("long").alias("n"), F.col("ts").cast("timestamp").alias("at"))
-    met = trade_cells(trades, levels, cell).join(inside.unionByName(single), ["symbol", "level", "m"])
+    key = ["symbol", "opened_at", "closed_at"]
+    met = trade_cells(spans.withColumn("id", F.lit(0)), levels, cell).join(inside.unionByName(single), ["symbol", "level", "m"])
     met = met.where((F.col("level") >= 0) | F.col("at").between(F.col("opened_at"), F.col("closed_at")))
-    return met.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n_bars"))
+    found = staged(met.groupBy(*key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n_bars")), "trade-extremes")
+    return trades.select("id", *key).join(found, key).select("id", "lo", "hi", "n_bars")
 
 
 def excursions(trades: DataFrame, extremes: DataFrame) -> DataFrame:

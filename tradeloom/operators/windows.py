@@ -308,7 +308,9 @@ def with_quantiles(base: DataFrame, df: DataFrame, values: dict[str, Column], at
     parts = F.array(*[F.struct(F.struct(*by, F.lit(n).alias("_name")).alias("_g"), x.cast("double").alias("_v")) for n, x in values.items()])
     counts = df.select(F.inline(parts)).where("_v is not null").groupBy("_g", "_v").agg(F.count("*").alias("_n"))
     placed = with_running(counts, ["_g", "_v"], {"_at": F.col("_n")})
-    spans = placed.groupBy("_g").agg(F.min("_at").alias("_from"), F.sum("_n").alias("_all"))
+    # one row a group; staged, so that Spark knows whether it can be broadcast and no group's values meet in one task
+    placed = staged(placed, "quantile-places")
+    spans = staged(placed.groupBy("_g").agg(F.min("_at").alias("_from"), F.sum("_n").alias("_all")), "quantile-groups")
 
     def quantile(q: float) -> Column:
         place = F.lit(q) * (F.col("_all") - 1)
@@ -335,12 +337,23 @@ def streaks(df: DataFrame, keys: list[str], order: list[str], pnl: str = "pnl")
 
 
 def loss_streak_times(df: DataFrame, keys: list[str], order: list[str], k: int, pnl: str = "pnl") -> DataFrame:
-    """(keys, at): the first time of k losses in a row; a result of 0 or more starts anew."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_reset", F.sum((F.coalesce(F.col(pnl), F.lit(0.0)) >= 0).cast("int")).over(up))
-    df = df.withColumn("_loss", F.sum((F.col(pnl) < 0).cast("int")).over(Window.partitionBy(*keys, "_reset").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    return df.where(F.col("_loss") >= k).groupBy(*keys).agg(F.min(order[0]).alias("at"))
+    """(keys, at): the first time of k losses in a row; a result of 0 or more, or an unknown one, starts anew.
+
+    Rows are staged in ranges of (keys, order), which must be unique; the losses in a row that a range ends with are carried into the next ranges of the key, so that
+    no task sorts all rows of one.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.struct(*keys).alias("_key"), *order, F.coalesce(F.col(pnl) < 0, F.lit(False)).alias("_lost"))
+    ranged = staged(rows.repartitionByRange(parts, "_key", *order).withColumn("_part", F.spark_partition_id()), "streak-ranges")
+    inside = Window.partitionBy("_key", "_part").orderBy(*order)
+    ranged = ranged.withColumn("_row", F.row_number().over(inside))
+    ends = ranged.groupBy("_key", "_part").agg(F.count("*").alias("_all"), F.max(F.when(~F.col("_lost"), F.col("_row"))).alias("_last"))  # a row for each key and range
+    over = Window.partitionBy("_key").orderBy("_part")
+    ends = ends.withColumn("_run", F.count("_last").over(over)).withColumn("_tail", F.sum(F.col("_all") - F.coalesce("_last", F.lit(0))).over(Window.partitionBy("_key", "_run").orderBy("_part")))
+    carried = staged(ends.select("_key", "_part", F.coalesce(F.lag("_tail").over(over), F.lit(0)).alias("_carried")), "streak-ends")
+    last = F.max(F.when(~F.col("_lost"), F.col("_row"))).over(inside)
+    found = ranged.withColumn("_last", last).join(carried, ["_key", "_part"]).where(F.col("_row") - F.coalesce("_last", -F.col("_carried")) >= k)
+    return found.groupBy("_key").agg(F.min(order[0]).alias("at")).select("_key.*", "at")
 
 
 def guards(signals: DataFrame, exits: DataFrame, opens: DataFrame, cooldown: str, dedup: str) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import quality as Q
 from ..operators import recursive as R
 from ..operators import windows as W
 from ..sources import tables as T
+from ..sources.staging import staged
 from . import domain as D
 from .domain import rounded, sql
 from .registry import query
@@ -125,7 +126,7 @@ _ACCOUNT = "c AS (SELECT *, 10000 + sum(pnl) OVER (ORDER BY closed_at, id) AS eq
 
 @query(sql("trades", _ACCOUNT + " SELECT id, round(equity, 2) AS equity, round(peak, 2) AS peak, round(dd, 6) + 0.0 AS dd FROM dd"))
 def account_drawdown(spark: S, sf: str) -> DataFrame:
-    curve = P.account_curve(D.trades(spark, sf), [], 10_000.0, ["closed_at", "id"])
+    curve = P.account_curve(D.trades(spark, sf).select("id", "closed_at", "pnl"), [], 10_000.0, ["closed_at", "id"])
     return rounded(rounded(curve.select("id", "equity", "peak", "dd"), 2, "equity", "peak"), 6, "dd")
 
 
@@ -517,9 +518,10 @@ def sizing_parity(spark: S, sf: str) -> DataFrame:
 
 @query()
 def calibrated_scores(spark: S, sf: str) -> DataFrame:
-    t = D.trades(spark, sf).select("id", "p", "y")
-    name, _ = M.choose_calibrator(t)
-    out = M.calibrators(t)[name](t) if name != "raw" else t.withColumn("p_cal", F.col("p"))
+    t = staged(D.trades(spark, sf).select("id", "p", "y"), "calibration-rows")  # read by each calibrator and each of its figures
+    known = M.calibrators(t)
+    name, _ = M.choose_calibrator(t, found=known)
+    out = known[name](t) if name != "raw" else t.withColumn("p_cal", F.col("p"))
     return rounded(out.select("id", "p_cal", F.lit(name).alias("calibrator")), 6, "p_cal")
 
 

@@ -140,3 +140,27 @@ def test_equal_spans_are_looked_up_once(spark):
     out = J.trade_extremes(spark.createDataFrame([(k, "A", *s) for k, s in enumerate(spans)], "id long, symbol string, opened_at timestamp, closed_at timestamp"), bars)
     assert {tuple(r) for r in out.collect()} == {(k, float(k % 7), float(k % 7 + 61), 61) for k in range(5_000)}
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_without_candidates_are_those_of_candidates(spark):
+    """Nearest and greedy matches against all candidates: equal times and ids in any order, sizes of 0, negative and at the edge of the tolerance, unknown values; the plan joins no pairs."""
+    from tradeloom.operators import joins as J
+    from tradeloom.operators import matches as X
+    from tradeloom.operators import recursive as R
+
+    rng = np.random.default_rng(11)
+    sizes = [0.0, 1.0, 49.0, 50.0, -49.0, -50.0, 100.0, 102.0, 104.0]
+    at = lambda: T0 + dt.timedelta(hours=int(rng.integers(0, 30)))
+    pick = lambda k: None if k % 199 == 198 else float(rng.choice(sizes))
+    price = lambda k: -1.0 if k % 97 == 96 else float(np.round(np.exp(rng.normal(4, 0.2)), 2))
+    s = [(k, "AB"[k % 2], pick(k), price(k), None if k % 150 == 149 else at()) for k in range(400)]
+    p = [(int(i), "AB"[k % 2], pick(k), price(k), at()) for k, i in enumerate(rng.permutation(1_500))]
+    s = spark.createDataFrame(s, "statement_id long, symbol string, qty double, entry double, closed_at timestamp").repartition(3)
+    p = spark.createDataFrame(p, "position_id long, symbol string, size double, entry_price double, opened_at timestamp").repartition(3)
+    c = J.match_candidates(s, p, 0.02).cache()
+    near, greedy = X.nearest_of(s, p, 0.02), X.greedy_of(s, p, 0.02)
+    want = {tuple(r) for r in J.nearest_match(c).select("statement_id", "position_id", "gap").collect()}
+    assert {tuple(r) for r in near.collect()} == want and len(want) > 150
+    want = {tuple(r) for r in R.greedy_match(c).collect()}
+    assert {tuple(r) for r in greedy.collect()} == want and len(want) > 150
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()

@@ -10,9 +10,9 @@ from ..operators import calibration as K
 from ..operators import fits
 from ..operators import joins as J
 from ..operators import learning as M
+from ..operators import matches as X
 from ..operators import performance as P
 from ..operators import quality as Q
-from ..operators import recursive as R
 from ..operators import windows as W
 from ..sources import tables as T
 from ..sources.staging import staged
@@ -308,15 +308,15 @@ def repeated_keys(spark: S, sf: str) -> DataFrame:
 MATCH = "st AS (SELECT id AS statement_id, symbol, size AS qty, entry * 1.001 AS entry, closed_at FROM trades WHERE id % 4 = 0), cand AS (SELECT s.statement_id, s.symbol, s.closed_at, t.id AS position_id, abs(epoch_us(s.closed_at) - epoch_us(t.opened_at)) / 1e6 AS gap FROM st s JOIN trades t ON s.symbol = t.symbol AND abs(s.qty - t.size) <= 0.02 * greatest(abs(s.qty), abs(t.size)) AND abs(s.entry - t.entry) <= 0.02 * greatest(abs(s.entry), abs(t.entry)) AND t.opened_at <= s.closed_at)"
 
 
-def _candidates(spark: S, sf: str) -> DataFrame:
+def _both_sides(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
     t = D.trades(spark, sf)
     s = t.where("id % 4 = 0").select(F.col("id").alias("statement_id"), "symbol", F.col("size").alias("qty"), (F.col("entry") * 1.001).alias("entry"), "closed_at")
-    return J.match_candidates(s, t.select(F.col("id").alias("position_id"), "symbol", "size", F.col("entry").alias("entry_price"), "opened_at"), 0.02)
+    return s, t.select(F.col("id").alias("position_id"), "symbol", "size", F.col("entry").alias("entry_price"), "opened_at")
 
 
 @query(sql("trades", MATCH + " SELECT statement_id, position_id, gap FROM cand QUALIFY row_number() OVER (PARTITION BY statement_id ORDER BY gap, position_id) = 1"))
 def nearest_statement_match(spark: S, sf: str) -> DataFrame:
-    return J.nearest_match(_candidates(spark, sf)).select("statement_id", "position_id", "gap")
+    return X.nearest_of(*_both_sides(spark, sf), 0.02)
 
 
 GREEDY = """, sk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY closed_at, statement_id) AS k FROM (SELECT symbol, statement_id, closed_at, list(position_id ORDER BY gap, position_id) AS ps FROM cand GROUP BY ALL)),
@@ -326,7 +326,7 @@ UNION ALL SELECT symbol, k, statement_id, p, CASE WHEN p IS NULL THEN used ELSE
 
 @query(sql("trades", MATCH + GREEDY + " SELECT statement_id, position_id FROM walk WHERE position_id IS NOT NULL").replace("WITH ", "WITH RECURSIVE ", 1))
 def greedy_statement_match(spark: S, sf: str) -> DataFrame:
-    return R.greedy_match(_candidates(spark, sf), (("entry", "entry_price"), ("qty", "size")))
+    return X.greedy_of(*_both_sides(spark, sf), 0.02)
 
 
 @query(sql("trades", "x AS (SELECT id, symbol, size, CASE WHEN id % 5 = 0 THEN size / 2 ELSE size END AS amount, side, opened_at + to_minutes(10) AS ts FROM trades WHERE symbol <> 'S7'), h AS (SELECT p.id, sum(x.amount) AS f, sum(x.amount * p.entry) / sum(x.amount) AS v FROM trades p JOIN x ON p.symbol = x.symbol AND CASE p.side WHEN 'long' THEN 'buy' ELSE 'sell' END = CASE x.side WHEN 'long' THEN 'buy' ELSE 'sell' END AND x.ts BETWEEN p.opened_at - INTERVAL 15 MINUTE AND p.opened_at + INTERVAL 15 MINUTE GROUP BY p.id) SELECT p.id, p.size AS expected, coalesce(h.f, 0) AS found FROM trades p LEFT JOIN h USING (id) WHERE p.symbol <> 'S7' AND abs(p.size - coalesce(h.f, 0)) > 0.001"))

@@ -1,7 +1,8 @@
 """Many logistic models at once: folds, left-out features and shuffled labels are columns of one Newton step over the table.
 
 Each round is one pass: a task keeps, for every model, the sums of gradient and curvature over its rows, and only those sums (models x coefficients^2
-numbers, whatever the number of rows) are added up and solved.  Rows are never copied for a model.
+numbers, whatever the number of rows) are added up and solved.  Rows are never copied for a model or a fold: medians are found by counts of leading bits,
+means and deviations are put together from the spans between the folds' ends, and each fold's scaling is a linear map of features that all models share.
 """
 
 from __future__ import annotations
@@ -15,12 +16,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .calibration import auc_brier
-from .windows import with_quantiles
+from .shuffles import Places, kth_places, prefix
 
-#: Newton rounds at most; ridge models of standardized features need some six.
-ROUNDS = 40
+#: Newton rounds at most; ridge models of standardized features need some three.
+ROUNDS = 60
 TOLERANCE = 1e-11
+#: Rows of one block of products, so that a block of all models stays in the cache.
+_BLOCK = 1_000
+#: Leading bits of a value that one pass counts, until all 64 are known.
+_BITS = (13, 13, 13, 13, 12)
+#: Scores that meet in one task of the ranks, and rows whose scores tell where to cut them.
+_CELL = 2_000_000
+_CUT_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -55,6 +62,20 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(column), width)
 
 
+def _labels(column: pa.Array, rows: slice = slice(None)) -> np.ndarray:
+    """rows x labels: a list column, or packed bits."""
+    column = column[rows]
+    if not pa.types.is_binary(column.type):
+        return _matrix(column, len(column[0]) if len(column) else 0)
+    bits = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.unpackbits(bits, axis=1).astype(np.float64)
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).ravel()))
+
+
 def _design(x: np.ndarray, m: Fitted, fold: int) -> np.ndarray:
     """1 and the filled, standardized features; a feature unknown or constant in the fold's training part is 0."""
     filled = np.where(np.isnan(x), m.center[fold], x)
@@ -64,13 +85,12 @@ def _design(x: np.ndarray, m: Fitted, fold: int) -> np.ndarray:
 
 
 def _sigmoid(t: np.ndarray) -> np.ndarray:
-    e = np.exp(-np.abs(t))
-    return np.where(t >= 0, 1.0, e) / (1.0 + e)
-
-
-def _train(index: np.ndarray, m: Fitted, fold: int) -> np.ndarray:
-    lo, hi = m.bounds[fold]
-    return (index < lo - m.embargo) | (index > hi + m.embargo)
+    """1 / (1 + exp(-t)), in place."""
+    np.negative(t, out=t)
+    with np.errstate(over="ignore"):  # infinity gives 0
+        np.exp(t, out=t)
+    t += 1.0
+    return np.reciprocal(t, out=t)
 
 
 def fold_bounds(n: int, folds: int) -> list[tuple[int, int]]:
@@ -79,6 +99,13 @@ def fold_bounds(n: int, folds: int) -> list[tuple[int, int]]:
     return [(k * size + min(k, more), (k + 1) * size + min(k + 1, more) - 1) for k in range(folds)]
 
 
+def _spans(bounds: list[tuple[int, int]], embargo: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where spans of the order index begin (the first before all), so that a span lies in a fold's training part or outside of it; folds x spans, whether it lies inside."""
+    cuts = np.unique([c for lo, hi in bounds for c in (lo - embargo, hi + embargo + 1)])
+    first = np.concatenate([[cuts[0] - 1], cuts])
+    return cuts, np.array([(first < lo - embargo) | (first > hi + embargo) for lo, hi in bounds])
+
+
 def packed_rows(df: DataFrame, features: list[str], labels: Column, index: str = "order_idx", keep: list[str] = ()) -> DataFrame:
     """(_i, _x, _y, keep): the order index, the features (NaN and infinities are missing) and the labels of each row, staged for the passes to come."""
     clean = [F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in features]
@@ -87,100 +114,220 @@ def packed_rows(df: DataFrame, features: list[str], labels: Column, index: str =
     return staged(rows.repartition(parts), "fit-rows")  # dealt evenly: each pass takes every row through every model
 
 
-def _scales(rows: DataFrame, features: list[str], bounds: list[tuple[int, int]], embargo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Medians, means and deviations of the filled features, and rows, of each fold's training part; folds x features numbers reach the driver."""
-    folds = F.filter(F.array(*[F.when((F.col("_i") < lo - embargo) | (F.col("_i") > hi + embargo), F.lit(k)) for k, (lo, hi) in enumerate(bounds)]), lambda k: k.isNotNull())
-    train = rows.select(F.explode(folds).alias("fold"), "_x")
-    value = {c: F.col("_x")[j] for j, c in enumerate(features)}
-    named = {f"f{j}": v for j, v in enumerate(value.values())}
-    medians = staged(with_quantiles(train.groupBy("fold").agg(F.count("*").alias("n")), train, named, [0.5], ["fold"]).select("fold", "n", *[F.col(c)[0].alias(c) for c in named]), "fit-medians")
-    filled = train.join(F.broadcast(medians), "fold")  # one row a fold
-    stats = filled.groupBy("fold").agg(*[f(F.coalesce(v, F.col(c))).alias(f"{c}_{name}") for c, v in named.items() for name, f in (("m", F.avg), ("s", F.stddev_samp))])
-    d = len(features)
-    center, mean, scale, n = (np.zeros((len(bounds), d)) for _ in range(4))
-    for r in medians.join(stats, "fold").collect():
-        at = r["fold"]
-        n[at] = r["n"]
-        center[at] = [r[f"f{j}"] or 0.0 for j in range(d)]
-        mean[at] = [r[f"f{j}_m"] or 0.0 for j in range(d)]
-        scale[at] = [0.0 if r[f"f{j}_s"] is None or r[f"f{j}"] is None else r[f"f{j}_s"] for j in range(d)]
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of x."""
+    u = (x + 0.0).view(np.uint64)  # -0 is 0
+    return np.where(u >> np.uint64(63), ~u, u | np.uint64(1 << 63))
+
+
+def _value(u: int) -> float:
+    return float(np.array([u & ~(1 << 63) if u >> 63 else ~u & (2**64 - 1)], np.uint64).view(np.float64)[0])
+
+
+def _scales(rows: DataFrame, features: list[str], bounds: list[tuple[int, int]], embargo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Medians, means and deviations of the filled features, and rows, of each fold's training part; means, deviations and known values of each feature in all rows.
+
+    A pass counts the values of each span and feature by some more of their leading bits, below the bits that are known of the folds' two middle values; the first
+    pass sums values as well, the second one squares about the mean.  At most 8,192 counts for each span and pair of known bits reach the driver.
+    """
+    d, folds = len(features), len(bounds)
+    cuts, inside = _spans(bounds, embargo)
+    spans = len(cuts) + 1
+    center, mean, scale, n = np.zeros((folds, d)), np.zeros((folds, d)), np.zeros((folds, d)), np.zeros(folds)
+    all_mean, all_scale, known_all = np.zeros(d), np.zeros(d), np.zeros(d)
+    known, sums, squares = np.zeros((spans, d)), np.zeros((spans, d)), np.zeros((spans, d))
+    wanted: dict[tuple[int, int], list] = {}  # (feature, fold): bits and remaining place of the lower and of the upper middle value
+    top, done = [[0] for _ in range(d)], 0
+    for turn, bits in enumerate(_BITS):
+        shift, mask = 64 - done - bits, (1 << bits) - 1
+
+        def part(batches: Iterator[pa.RecordBatch], turn=turn, bits=bits, shift=shift, mask=mask, done=done, top=top, about=all_mean.copy()) -> Iterator[pa.RecordBatch]:
+            counts = [np.zeros(len(t) * spans << bits, np.int64) for t in top]
+            at_all, more = np.zeros(spans, np.int64), np.zeros((spans, d))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                span, x = np.searchsorted(cuts, b.column("_i").to_numpy(), side="right"), _matrix(b.column("_x"), d)
+                at_all += np.bincount(span, minlength=spans)
+                for j in range(d):
+                    there = ~np.isnan(x[:, j])
+                    s, v = span[there], x[there, j]
+                    if turn < 2:
+                        more[:, j] += np.bincount(s, v if turn == 0 else (v - about[j]) ** 2, minlength=spans)
+                    u = _ordered(v)
+                    if turn:
+                        lead = (u >> np.uint64(64 - done)).astype(np.int64)
+                        slot = np.minimum(np.searchsorted(top[j], lead), len(top[j]) - 1)
+                        hit = np.asarray(top[j])[slot] == lead
+                        s, u, slot = s[hit], u[hit], slot[hit]
+                    else:
+                        slot = 0
+                    place = ((slot * spans + s) << bits) + ((u >> np.uint64(shift)) & np.uint64(mask)).astype(np.int64)
+                    if len(place):
+                        counts[j] += np.bincount(place, minlength=len(counts[j]))
+            kinds, at, c, v = [], [], [], []
+            for j in range(d):
+                found = np.flatnonzero(counts[j])
+                kinds.append(np.full(len(found), j)), at.append(found), c.append(counts[j][found]), v.append(np.zeros(len(found)))
+                kinds.append(np.full(spans, -2 - j)), at.append(np.arange(spans)), c.append(np.zeros(spans, np.int64)), v.append(more[:, j])
+            kinds.append(np.full(spans, -1)), at.append(np.arange(spans)), c.append(at_all), v.append(np.zeros(spans))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (kinds, at, c, v)], ["kind", "at", "c", "v"])
+
+        out = rows.select("_i", "_x").mapInArrow(part, "kind long, at long, c long, v double").groupBy("kind", "at").agg(F.sum("c").alias("c"), F.sum("v").alias("v"))
+        counts = [np.zeros((len(t), spans, 1 << bits), np.int64) for t in top]
+        for r in out.collect():
+            if r["kind"] >= 0:
+                counts[r["kind"]].reshape(-1)[r["at"]] = r["c"]
+            elif r["kind"] == -1:
+                n = n + inside[:, r["at"]] * r["c"] if turn == 0 else n
+            elif turn < 2:
+                (sums if turn == 0 else squares)[r["at"], -2 - r["kind"]] = r["v"]
+        if turn == 0:
+            for j in range(d):
+                known[:, j] = counts[j][0].sum(axis=1)
+            known_all = known.sum(axis=0)
+            all_mean = sums.sum(axis=0) / np.maximum(known_all, 1)
+            for j in range(d):
+                for k in range(folds):
+                    size = int(known[inside[k], j].sum())
+                    wanted[j, k] = [[0, (size - 1) // 2], [0, size // 2]] if size else []
+        for (j, k), two in wanted.items():
+            for w in two:
+                up = np.cumsum(counts[j][top[j].index(w[0])][inside[k]].sum(axis=0))
+                cell = int(np.searchsorted(up, w[1], side="right"))
+                w[0], w[1] = (w[0] << bits) | cell, w[1] - (int(up[cell - 1]) if cell else 0)
+        done += bits
+        top = [sorted({w[0] for k in range(folds) for w in wanted[j, k]}) or [0] for j in range(d)]
+    all_scale = np.sqrt(squares.sum(axis=0) / np.maximum(known_all - 1, 1))
+    for (j, k), two in wanted.items():
+        if not two:
+            continue
+        low, high = (_value(w[0]) for w in two)
+        center[k, j] = low if low == high else 0.5 * low + 0.5 * high
+        size, missing = known[inside[k], j].sum(), n[k] - known[inside[k], j].sum()
+        # sums about the mean of all rows, in which filled values count as well
+        off = sums[inside[k], j].sum() - size * all_mean[j] + missing * (center[k, j] - all_mean[j])
+        square = squares[inside[k], j].sum() + missing * (center[k, j] - all_mean[j]) ** 2
+        mean[k, j] = all_mean[j] + off / n[k]
+        scale[k, j] = np.sqrt(max(0.0, square - off * off / n[k]) / (n[k] - 1)) if n[k] > 1 else 0.0
     # deviations that are rounding only: the feature is constant
     scale[scale <= 1e-12 * np.maximum(1.0, np.abs(mean))] = 0.0
-    return center, mean, scale, n[:, 0] if d else np.zeros(len(bounds))
+    all_scale[all_scale <= 1e-12 * np.maximum(1.0, np.abs(all_mean))] = 0.0
+    return center, mean, scale, n, all_mean, all_scale, known_all
 
 
-def _sums(rows: DataFrame, m: Fitted) -> np.ndarray:
-    """folds x variants x (sum of labels, log loss, gradient, upper triangle of the curvature), at the present coefficients."""
-    d, count, labels = len(m.features) + 1, len(m.variants), [v.label for v in m.variants]
-    upper = np.triu_indices(d)
-    width = 2 + d + len(upper[0])
+@dataclass
+class _Shared:
+    """The features that all folds share: 1, features by their mean and deviation in all rows (unknown: 0), and whether a feature is unknown, for those that are in some row."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    gaps: np.ndarray
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        away = np.isnan(x)
+        v = np.where(away | (self.scale == 0), 0.0, (x - self.mean) / np.where(self.scale > 0, self.scale, 1.0))
+        return np.column_stack([np.ones(len(x)), v, away[:, self.gaps]])
+
+    def fold(self, m: Fitted, k: int) -> np.ndarray:
+        """What makes the fold's own design of these features: coefficients x features here."""
+        d = len(m.features)
+        used = m.scale[k] > 0
+        per = np.where(used, 1.0 / np.where(used, m.scale[k], 1.0), 0.0)
+        out = np.zeros((d + 1, 1 + d + len(self.gaps)))
+        out[0, 0] = 1.0
+        out[1:, 0] = (self.mean - m.mean[k]) * per
+        out[np.arange(1, d + 1), np.arange(1, d + 1)] = self.scale * per
+        out[1 + self.gaps, 1 + d + np.arange(len(self.gaps))] = (m.center[k] - self.mean)[self.gaps] * per[self.gaps]
+        return out
+
+
+def _sums(rows: DataFrame, m: Fitted, shared: _Shared, left: list[list[int]] | None) -> np.ndarray:
+    """folds x variants x (gradient, upper triangle of the curvature) of the shared features at the present coefficients, for the variants left in each fold.
+
+    left: None: sums of label times feature, and the triangle of the features themselves.
+    """
+    d, count, label = len(m.features), len(m.variants), np.array([v.label for v in m.variants])
+    size = 1 + d + len(shared.gaps)
+    upper = np.triu_indices(size)
+    width, folds = size + len(upper[0]), len(m.bounds)
+    cuts, inside = _spans(m.bounds, m.embargo)
+    betas = [shared.fold(m, k).T @ m.beta[k] for k in range(folds)]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(m.bounds), count, width))
+        total = np.zeros((folds, count, width))
         for b in batches:
-            if not b.num_rows:
-                continue
-            index = b.column("_i").to_numpy()
-            x = _matrix(b.column("_x"), d - 1)
-            every = _matrix(b.column("_y"), len(b.column("_y")[0]))
-            for k in range(len(m.bounds)):
-                at = _train(index, m, k)
-                if not at.any():
-                    continue
-                z, y = _design(x[at], m, k), every[at][:, labels]
-                t = z @ m.beta[k]
-                p = _sigmoid(t)
-                total[k, :, 0] += y.sum(axis=0)
-                total[k, :, 1] += (np.logaddexp(0.0, t) - y * t).sum(axis=0)
-                total[k, :, 2 : 2 + d] += ((y - p).T @ z)
-                total[k, :, 2 + d :] += ((p * (1 - p)).T @ (z[:, upper[0]] * z[:, upper[1]]))
-        flat = total.reshape(-1, width)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(list(flat), pa.list_(pa.float64()))], ["fit", "sums"])
+            for i in range(0, b.num_rows, _BLOCK):
+                some = b.slice(i, _BLOCK)
+                train = inside[:, np.searchsorted(cuts, some.column("_i").to_numpy(), side="right")].astype(np.float64)
+                u, y = shared.of(_matrix(some.column("_x"), d)), _labels(some.column("_y"))
+                uu = u[:, upper[0]] * u[:, upper[1]]
+                for k in range(folds):
+                    at = train[k][:, None]
+                    if left is None:
+                        total[k, :, :size] += (y.T @ (u * at))[label]
+                        total[k, :, size:] += train[k] @ uu
+                    elif left[k]:
+                        p = _sigmoid(u @ betas[k][:, left[k]])
+                        total[k, left[k], :size] += (y[:, label[left[k]]] - p).T @ (u * at)
+                        total[k, left[k], size:] += (p - p * p).T @ (uu * at)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(folds * count), pa.int32()), _lists(total.reshape(-1, width))], ["fit", "sums"])
 
     each = rows.select("_i", "_x", "_y").mapInArrow(part, "fit int, sums array<double>")
-    out = np.zeros((len(m.bounds) * count, width))
+    out = np.zeros((folds * count, width))
     for r in each.groupBy("fit").agg(F.array(*[F.sum(F.col("sums")[j]) for j in range(width)]).alias("sums")).collect():  # one row a model
         out[r["fit"]] = r["sums"]
-    return out.reshape(len(m.bounds), count, width)
+    return out.reshape(folds, count, width)
 
 
 def fit_all(rows: DataFrame, features: list[str], variants: list[Variant], folds: int, embargo: int, strength: float = 0.01) -> Fitted:
     """All variants fitted in all folds on `packed_rows`: mean log loss plus strength / 2 times the squared coefficients, the intercept free.
 
-    A training part of one class gets its share as a constant, one without rows null.  A step that raises the loss is halved.
+    A training part of one class gets its share as a constant, one without rows null.  Models start at the share; a step after which the gradient is longer is halved.
     """
-    bounds = fold_bounds(rows.count(), folds)
-    center, mean, scale, n = _scales(rows, features, bounds, embargo)
+    total = rows.count()
+    bounds = fold_bounds(total, folds)
+    center, mean, scale, n, all_mean, all_scale, known = _scales(rows, features, bounds, embargo)
     d = len(features) + 1
     m = Fitted(features, variants, bounds, embargo, center, mean, scale, n, np.zeros((folds, d, len(variants))), np.full((folds, len(variants)), np.nan))
+    shared = _Shared(all_mean, all_scale, np.flatnonzero(known < total))
+    maps = [shared.fold(m, k) for k in range(folds)]
     used = [[0, *[1 + features.index(c) for c in v.features]] for v in variants]
-    upper = np.triu_indices(d)
+    size = 1 + len(features) + len(shared.gaps)
+    upper = np.triu_indices(size)
+    ridge = np.diag([0.0] + [strength] * (d - 1))
     best, step = np.full((folds, len(variants)), np.inf), np.zeros((folds, d, len(variants)))
     open_ = {(k, g) for k in range(folds) for g in range(len(variants))}
     for _ in range(ROUNDS):
-        sums = _sums(rows, m)
+        left = [[g for g in range(len(variants)) if (k, g) in open_] for k in range(folds)]
+        sums = _sums(rows, m, shared, left if m.rounds else None)
         m.rounds += 1
         for k, g in sorted(open_):
-            total, s = n[k], sums[k, g]
+            first, curve = sums[k, g, :size].copy(), np.zeros((size, size))
+            curve[upper] = sums[k, g, size:]
+            curve = np.triu(curve) + np.triu(curve, 1).T
             if m.rounds == 1:
-                m.share[k, g] = s[0] / total if total else np.nan
-                if not total or s[0] in (0.0, total):
+                share = m.share[k, g] = first[0] / n[k] if n[k] else np.nan
+                if not n[k] or first[0] in (0.0, n[k]):
                     open_.discard((k, g))
                     continue
+                m.beta[k, 0, g] = np.log(share / (1 - share))
+                first -= share * curve[0]
+                curve *= share * (1 - share)
+            at = [0] + [j for j in used[g][1:] if scale[k, j - 1] > 0]
             b = m.beta[k, :, g]
-            loss = s[1] / total + strength / 2 * float(b[1:] @ b[1:])
-            if loss > best[k, g] + 1e-9:
+            gradient = (maps[k] @ first / n[k] - ridge @ b)[at]
+            length = float(np.sqrt(gradient @ gradient))
+            if length > best[k, g] + 1e-13:
                 step[k, :, g] /= 2
                 m.beta[k, :, g] -= step[k, :, g]
+                if np.abs(step[k, :, g]).max() < TOLERANCE:
+                    open_.discard((k, g))
                 continue
-            best[k, g] = loss
-            at = [0] + [j for j in used[g][1:] if scale[k, j - 1] > 0]
-            h = np.zeros((d, d))
-            h[upper] = s[2 + d :] / total
-            h = np.triu(h) + np.triu(h, 1).T + np.diag([0.0] + [strength] * (d - 1))
-            gradient = s[2 : 2 + d] / total - strength * np.concatenate([[0.0], b[1:]])
+            best[k, g] = length
+            h = maps[k] @ curve @ maps[k].T / n[k] + ridge
             step[k, :, g] = 0.0
-            step[k, at, g] = np.linalg.solve(h[np.ix_(at, at)], gradient[at])
+            step[k, at, g] = np.linalg.solve(h[np.ix_(at, at)], gradient)
             m.beta[k, :, g] += step[k, :, g]
             if np.abs(step[k, :, g]).max() < TOLERANCE:
                 open_.discard((k, g))
@@ -189,56 +336,143 @@ def fit_all(rows: DataFrame, features: list[str], variants: list[Variant], folds
     return m
 
 
+def _scores(index: np.ndarray, x: np.ndarray, m: Fitted) -> np.ndarray:
+    """rows x variants: scores by the models of the fold that tests a row; NaN where its training part had no rows."""
+    p = np.full((len(index), len(m.variants)), np.nan)
+    for k, (lo, hi) in enumerate(m.bounds):
+        at = np.flatnonzero((index >= lo) & (index <= hi))
+        if len(at):
+            constant = (m.share[k] == 0.0) | (m.share[k] == 1.0) | np.isnan(m.share[k])
+            p[at] = np.where(constant, m.share[k], _sigmoid(_design(x[at], m, k) @ m.beta[k]))
+    return p
+
+
 def score_all(rows: DataFrame, m: Fitted, keep: list[str] = ()) -> DataFrame:
     """(keep, _y, _p): for each row the scores of all variants by the models of the fold that tests it; NaN where its training part had no rows."""
-    d = len(m.features)
-    constant = np.array([[s in (0.0, 1.0) or np.isnan(s) for s in fold] for fold in m.share])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            index, x = b.column("_i").to_numpy(), _matrix(b.column("_x"), d)
-            p = np.full((b.num_rows, len(m.variants)), np.nan)
-            for k, (lo, hi) in enumerate(m.bounds):
-                at = (index >= lo) & (index <= hi)
-                p[at] = np.where(constant[k], m.share[k], _sigmoid(_design(x[at], m, k) @ m.beta[k]))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(list(p), pa.list_(pa.float64()))], [*kept, "_p"])
+            p = _scores(b.column("_i").to_numpy(), _matrix(b.column("_x"), len(m.features)), m)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], _lists(p)], [*kept, "_p"])
 
     kept = [*keep, "_y"]
     kinds = dict(rows.dtypes)
     return rows.select("_i", "_x", *kept).mapInArrow(part, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", _p array<double>")
 
 
-def scores_of(scored: DataFrame, m: Fitted) -> DataFrame:
-    """(variant, y, p): the scores one below the other, each with the label that its variant learns."""
-    each = F.array(*[F.struct(F.lit(v.name).alias("variant"), F.col("_y")[v.label].cast("int").alias("y"), F.col("_p")[g].alias("p")) for g, v in enumerate(m.variants)])
-    return scored.select(F.inline(each)).where(~F.isnan("p"))
-
+def figures(rows: DataFrame, m: Fitted) -> DataFrame:
+    """(variant, auc, brier) over the test rows of all folds, scores of no value left out; ties of scores count half.
 
-def shuffled_labels(df: DataFrame, y: str, index: str, replicates: int) -> DataFrame:
-    """df with `labels`: the label, and `replicates` shuffles of it, each with just as many ones.
+    A task gives out the scores of a block of rows as sorted arrays, for each variant and each cell of its scores, equal scores counted.  A cell's arrays meet in one task, and
+    cells are added up in order.  Where cells are cut comes from the scores of some 10,000 rows; it moves work only.
+    """
+    count, d, label = len(m.variants), len(m.features), np.array([v.label for v in m.variants])
+    total = m.bounds[-1][1] + 1
+    some = rows.where(F.col("_i") % max(1, total // _CUT_ROWS) == 0).select("_i", "_x").collect() if total > _CELL else []
+    cells, cuts = -(-total // _CELL), np.empty((count, 0))
+    if some:
+        p = _scores(np.array([r["_i"] for r in some]), np.array([[np.nan if v is None else v for v in r["_x"]] for r in some]), m)
+        cuts = np.sort(p, axis=0)[(np.arange(1, cells) * len(p)) // cells].T.copy()
+    kind = "variant int, cell int, p binary, ones binary, zeros binary, b double"
+
+    def block(index: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        p = _scores(index, x, m)
+        variants, at, packed, b = [], [], [], []
+        for g in range(count):
+            one = y[:, label[g]]
+            there = ~np.isnan(p[:, g])
+            order = np.argsort(p[there, g])
+            v, one = p[there, g][order], one[there][order]
+            if not len(v):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+            ones, zeros, loss = np.add.reduceat(one, new), np.add.reduceat(1.0 - one, new), np.cumsum(np.concatenate([[0.0], (v - one) ** 2]))
+            v, ends = v[new], np.append(new, len(v))
+            edges = np.concatenate([[0], np.searchsorted(v, cuts[g]), [len(v)]])
+            for c in range(len(edges) - 1):
+                lo, hi = edges[c], edges[c + 1]
+                if lo < hi:
+                    variants.append(g), at.append(c), b.append(loss[ends[hi]] - loss[ends[lo]])
+                    packed.append((v[lo:hi].tobytes(), ones[lo:hi].astype(np.int32).tobytes(), zeros[lo:hi].astype(np.int32).tobytes()))
+            if len(variants) > 2_000:
+                yield pa.RecordBatch.from_arrays([pa.array(variants, pa.int32()), pa.array(at, pa.int32()), *[pa.array([q[i] for q in packed], pa.binary()) for i in range(3)], pa.array(b)], ["variant", "cell", "p", "ones", "zeros", "b"])
+                variants, at, packed, b = [], [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(variants, pa.int32()), pa.array(at, pa.int32()), *[pa.array([q[i] for q in packed], pa.binary()) for i in range(3)], pa.array(b, pa.float64())], ["variant", "cell", "p", "ones", "zeros", "b"])
 
-    A shuffle gives a row a pseudo-random place by hash of index and replicate, and label 1 to the first k places.  Counts by the first bits of the hash tell where the k-th
-    place falls, and only the rows of that one cell are sorted.
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, held, n = max(10_000, 4_000_000 // count), [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            yield from block(*[np.concatenate(a) for a in zip(*held, strict=True)])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append((batch.column("_i").to_numpy(), _matrix(batch.column("_x"), d), _labels(batch.column("_y"))))
+                n += batch.num_rows
+            if n >= most:
+                yield from out()
+                held, n = [], 0
+        if n:
+            yield from out()
+
+    def cell(t: pa.Table) -> pa.Table:
+        v, ones, zeros = (np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()]) for c, k in (("p", np.float64), ("ones", np.int32), ("zeros", np.int32)))
+        order = np.argsort(v, kind="stable")  # arrays are sorted already, so they are merged
+        v, ones, zeros = v[order], ones[order].astype(np.float64), zeros[order].astype(np.float64)
+        new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        ones, zeros = np.add.reduceat(ones, new), np.add.reduceat(zeros, new)
+        wins = float(ones @ (np.cumsum(zeros) - zeros / 2))
+        return pa.table({"variant": t.column("variant")[:1], "cell": t.column("cell")[:1], "ones": [float(ones.sum())], "zeros": [float(zeros.sum())], "wins": [wins], "b": [float(np.sum(t.column("b").to_numpy()))]})
+
+    each = rows.select("_i", "_x", "_y").mapInArrow(part, kind).groupBy("variant", "cell").applyInArrow(cell, "variant int, cell int, ones double, zeros double, wins double, b double")
+    below = F.coalesce(F.sum("zeros").over(Window.partitionBy("variant").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = each.withColumn("wins", F.col("wins") + F.col("ones") * below).groupBy("variant").agg(*[F.sum(c).alias(c) for c in ("ones", "zeros", "wins", "b")])
+    name = F.array(*[F.lit(v.name) for v in m.variants])[F.col("variant")]
+    auc = F.when(F.col("ones") * F.col("zeros") > 0, F.col("wins") / (F.col("ones") * F.col("zeros")))
+    return sums.select(name.alias("variant"), auc.alias("auc"), (F.col("b") / (F.col("ones") + F.col("zeros"))).alias("brier"))
+
+
+def _shuffles(df: DataFrame, y: str, index: str, replicates: int, bits: bool, name: str) -> DataFrame:
+    """df with one more column: the label, and `replicates` shuffles of it, as a list or as packed bits.
+
+    A shuffle gives a row a pseudo-random place by hash of index and replicate, and label 1 to the first k places, up to the place that `kth_places` finds.
     """
-    place = lambda rep: F.conv(F.substring(F.md5(F.concat_ws(":", F.col(index).cast("string"), rep.cast("string"))), 1, 15), 16, 10).cast("long")
-    k = df.agg(F.sum(y).cast("long").alias("k"))
-    dealt = df.select(index).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    reps = dealt.select(index, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).select("rep", F.col(index).alias("_at"), place(F.col("rep")).alias("h"))
-    reps = reps.withColumn("cell", F.shiftright("h", 48))  # 4,096 cells
-    up = Window.partitionBy("rep").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = reps.groupBy("rep", "cell").agg(F.count("*").alias("c")).withColumn("ahead", F.coalesce(F.sum("c").over(up), F.lit(0))).crossJoin(F.broadcast(k))  # one row
-    cut = cells.where("ahead < k and ahead + c >= k").select("rep", "cell", (F.col("k") - F.col("ahead")).alias("left"))
-    inside = reps.join(cut, ["rep", "cell"]).withColumn("place", F.row_number().over(Window.partitionBy("rep", "cell").orderBy("h", "_at"))).where("place = left")
-    last = inside.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("rep", F.struct("h", F.col("_at").alias("i"))))).alias("_last"))  # one row, `replicates` entries
-    labels = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda rep: F.coalesce(F.struct(place(rep).alias("h"), F.col(index).alias("i")) <= F.col("_last")[rep], F.lit(False)).cast("tinyint"))
-    return df.crossJoin(F.broadcast(last)).withColumn("labels", F.concat(F.array(F.col(y).cast("tinyint")), labels)).drop("_last")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = staged(df.withColumns({"_at": F.col(index).cast("long"), "_one": F.col(y).cast("tinyint")}).withColumn("_prefix", prefix("_at")).repartition(parts).sortWithinPartitions(F.length("_prefix")), "shuffle-rows")
+    n, k = rows.agg(F.count("*"), F.sum("_one")).first()  # one row
+    k = k or 0
+    cuts = {r["rep"]: (r["h"], r["_at"]) for r in kth_places(rows.withColumn("_r", F.lit(0.0)), "_at", "_r", replicates, n, k).collect()} if k else {}  # one row a replicate
+    kind = "binary" if bits else "array<tinyint>"
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 5_000):
+                some = b.slice(i, 5_000)
+                at, places = some.column("_at").to_numpy(), Places(some.column("_prefix"))
+                labels = np.zeros((some.num_rows, replicates + 1), np.int8)
+                labels[:, 0] = some.column("_one").to_numpy(zero_copy_only=False)
+                for rep, (last, row) in cuts.items():
+                    h = places.of(rep)
+                    labels[:, rep] = (h < last) | ((h == last) & (at <= row))
+                made = pa.array([r.tobytes() for r in np.packbits(labels, axis=1)], pa.binary()) if bits else _lists(labels)
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], made], [*kept, name])
+
+    kept = [c for c in df.columns if c != name]
+    kinds = dict(df.dtypes)
+    return rows.mapInArrow(part, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", `{name}` {kind}")
+
+
+def shuffled_labels(df: DataFrame, y: str, index: str, replicates: int) -> DataFrame:
+    """df with `labels`: the label, and `replicates` shuffles of it, each with just as many ones."""
+    return _shuffles(df, y, index, replicates, False, "labels")
 
 
 def refit_shuffle(df: DataFrame, features: list[str], folds: int, embargo: int, replicates: int = 200, y: str = "y", index: str = "order_idx", strength: float = 0.01) -> DataFrame:
     """(trial, auc, brier): out-of-fold figures of the real labels (trial 0) and of models fitted anew on each shuffle of them."""
-    rows = packed_rows(shuffled_labels(df.select(*dict.fromkeys([index, y, *features])), y, index, replicates), features, F.col("labels"), index)
+    base = packed_rows(df, features, F.array(y), index).withColumn("_real", F.col("_y")[0])
+    rows = staged(_shuffles(base, "_real", "_i", replicates, True, "_y"), "fit-shuffles")
     m = fit_all(rows, features, [Variant(str(r), tuple(features), r) for r in range(replicates + 1)], folds, embargo, strength)
-    return auc_brier(scores_of(score_all(rows, m), m), "p", "y", ["variant"]).select(F.col("variant").cast("int").alias("trial"), "auc", "brier")
+    return figures(rows, m).select(F.col("variant").cast("int").alias("trial"), "auc", "brier")
 
 
 def refit_p_value(trials: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import calendar, logit, ratio, weekday_flags
 from ..sources.staging import staged
 from .calibration import auc_brier, ece, resolution, width_bin
-from .fits import Variant, fit_all, packed_rows, score_all, scores_of
+from .fits import Variant, figures, fit_all, packed_rows, score_all
 from .joins import window_enrichment
 from .performance import cost_audit
 from .shuffles import kth_places
@@ -68,7 +68,7 @@ def drop_one(df: DataFrame, features: list[str], folds: int, embargo: int) -> Da
     rows = packed_rows(df, features, F.array("y"))
     left = [Variant("baseline", tuple(features)), *[Variant(f, tuple(x for x in features if x != f)) for f in features]]
     m = fit_all(rows, features, left, folds, embargo)
-    return auc_brier(scores_of(score_all(rows, m), m), "p", "y", ["variant"]).select(F.col("variant").alias("feature"), "auc", "brier")
+    return figures(rows, m).select(F.col("variant").alias("feature"), "auc", "brier")
 
 
 def calibrators(preds: DataFrame, bins: int = 12) -> dict:

@@ -22,12 +22,13 @@ from .shuffles import kth_places
 from .windows import with_order_index, with_quantiles, with_running
 
 
-def training_set(positions: DataFrame, oi: DataFrame, funding: DataFrame, bps: float = 6.0) -> DataFrame:
-    """Closed trades with calendar features, funding and open interest, costs, label and order index."""
+def training_set(positions: DataFrame, oi: DataFrame, funding: DataFrame, bps: float = 6.0, keep: list[str] | None = None) -> DataFrame:
+    """Closed trades with calendar features, funding and open interest, costs, label and order index; of the columns only `keep` and the order's, where given."""
     c = calendar(F.col("opened_at"))
     df = positions.where("closed_at is not null").withColumns({"hour_sin": c["hour_sin"], "hour_cos": c["hour_cos"]}).select("*", *weekday_flags(F.col("opened_at")))
     df = cost_audit(window_enrichment(df, oi, funding), bps)
-    return with_order_index(df.withColumn("y", (F.col("pnl") > 0).cast("int")), ["opened_at", "symbol", "id"])
+    df, order = df.withColumn("y", (F.col("pnl") > 0).cast("int")), ["opened_at", "symbol", "id"]
+    return with_order_index(df if keep is None else df.select(*dict.fromkeys([*order, *keep])), order)
 
 
 def entry_features(df: DataFrame) -> DataFrame:

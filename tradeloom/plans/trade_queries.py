@@ -491,13 +491,14 @@ def deflated_sharpe(spark: S, sf: str) -> DataFrame:
 FEATURES = ["p", "hour_sin", "hour_cos", "oi_delta", "funding_last", "notional"]
 
 
-def _training(spark: S, sf: str) -> DataFrame:
-    return M.training_set(D.trades(spark, sf), D.series(spark, sf, "view"), D.series(spark, sf, "error"))
+def _training(spark: S, sf: str, keep: list[str] | None = None) -> DataFrame:
+    """The training set; of its columns those that are learnt from, or `keep`."""
+    return M.training_set(D.trades(spark, sf), D.series(spark, sf, "view"), D.series(spark, sf, "error"), keep=keep or ["y", *FEATURES])
 
 
 @query(sql("trades", "SELECT id, y, CAST(row_number() OVER (ORDER BY opened_at, symbol, id) - 1 AS BIGINT) AS order_idx, round(abs(size) * entry * 6 / 1e4, 9) AS fee_est FROM trades"))
 def training_set(spark: S, sf: str) -> DataFrame:
-    return rounded(_training(spark, sf).select("id", "y", "order_idx", "fee_est"), 9, "fee_est")
+    return rounded(_training(spark, sf, ["y", "fee_est"]).select("id", "y", "order_idx", "fee_est"), 9, "fee_est")
 
 
 @query()
@@ -560,6 +561,7 @@ _SINGLE = (
 
 @query(sql("trades", _SINGLE).replace("WITH ", "WITH RECURSIVE ", 1))
 def single_feature_fits(spark: S, sf: str) -> DataFrame:
-    t = W.with_order_index(D.trades(spark, sf).withColumn("fees_seen", F.when(F.col("id") % 10 != 0, F.col("fees"))), ["opened_at", "symbol", "id"])
+    seen = D.trades(spark, sf).withColumn("fees_seen", F.when(F.col("id") % 10 != 0, F.col("fees")))
+    t = W.with_order_index(seen.select("opened_at", "symbol", "id", "y", *SINGLE), ["opened_at", "symbol", "id"])
     m = fits.fit_all(fits.packed_rows(t, SINGLE, F.array("y")), SINGLE, [fits.Variant(c, (c,)) for c in SINGLE], 3, 50)
     return rounded(fits.coefficients(spark, m), 6, "value")

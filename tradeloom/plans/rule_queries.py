@@ -10,8 +10,8 @@ from ..functions import rules as X
 from ..operators import asof as A
 from ..operators import calibration as K
 from ..operators import joins as J
-from ..operators import matches as X
 from ..operators import logs as L
+from ..operators import matches
 from ..operators import performance as P
 from ..operators import recursive as R
 from ..operators import scans as N
@@ -113,7 +113,7 @@ def unmatched_statements(spark: S, sf: str) -> DataFrame:
     t = D.trades(spark, sf)
     entry = F.when(F.col("id") % 8 == 0, F.col("entry") * 50).otherwise(F.col("entry") * 1.001)
     s = t.where("id % 4 = 0").select(F.col("id").alias("statement_id"), "symbol", F.col("size").alias("qty"), entry.alias("entry"), "closed_at")
-    c = X.nearest_of(s, t.select(F.col("id").alias("position_id"), "symbol", "size", F.col("entry").alias("entry_price"), "opened_at"), 0.02)
+    c = matches.nearest_of(s, t.select(F.col("id").alias("position_id"), "symbol", "size", F.col("entry").alias("entry_price"), "opened_at"), 0.02)
     return J.unmatched(s, c).select("statement_id", "symbol", "qty")
 
 

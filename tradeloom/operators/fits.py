@@ -8,7 +8,7 @@ means and deviations are put together from the spans between the folds' ends, an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .shuffles import Places, kth_places, prefix
+from .shuffles import drawn, with_draws
 
 #: Newton rounds at most; ridge models of standardized features need some three.
 ROUNDS = 60
@@ -26,8 +26,10 @@ _BLOCK = 1_000
 #: Leading bits of a value that one pass counts, until all 64 are known.
 _BITS = (13, 13, 13, 13, 12)
 #: Scores that meet in one task of the ranks, and rows whose scores tell where to cut them.
-_CELL = 2_000_000
+_CELL = 500_000
 _CUT_ROWS = 10_000
+#: Scores that lie on the disk at a time, and models whose scores do so in any case.
+_TURN_SCORES, _TURN_VARIANTS = 50_000_000, 8
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,10 @@ class Variant:
 
 @dataclass
 class Fitted:
-    """Models by fold: what fills and scales the features, and coefficients (intercept first, one column a variant); a constant in `share` where a training part has one class."""
+    """Models by fold: what fills and scales the features, and coefficients (intercept first, one column a variant); a constant in `share` where a training part has one class.
+
+    cuts: what reads the rows' labels, where they are shuffles.
+    """
 
     features: list[str]
     variants: list[Variant]
@@ -54,6 +59,7 @@ class Fitted:
     beta: np.ndarray
     share: np.ndarray
     rounds: int = 0
+    cuts: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -62,13 +68,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(column), width)
 
 
-def _labels(column: pa.Array, rows: slice = slice(None)) -> np.ndarray:
-    """rows x labels: a list column, or packed bits."""
-    column = column[rows]
-    if not pa.types.is_binary(column.type):
-        return _matrix(column, len(column[0]) if len(column) else 0)
-    bits = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-    return np.unpackbits(bits, axis=1).astype(np.float64)
+def _labels(b: pa.RecordBatch, cuts: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """rows x labels: lists, or shuffles with their cuts."""
+    y = b.column("_y")
+    if cuts is None:
+        return _matrix(y, len(y[0]) if len(y) else 0)
+    return drawn(y, b.column("_i").to_numpy(), cuts)
 
 
 def _lists(values: np.ndarray) -> pa.ListArray:
@@ -260,7 +265,7 @@ def _sums(rows: DataFrame, m: Fitted, shared: _Shared, left: list[list[int]] | N
             for i in range(0, b.num_rows, _BLOCK):
                 some = b.slice(i, _BLOCK)
                 train = inside[:, np.searchsorted(cuts, some.column("_i").to_numpy(), side="right")].astype(np.float64)
-                u, y = shared.of(_matrix(some.column("_x"), d)), _labels(some.column("_y"))
+                u, y = shared.of(_matrix(some.column("_x"), d)), _labels(some, m.cuts).astype(np.float64)
                 uu = u[:, upper[0]] * u[:, upper[1]]
                 for k in range(folds):
                     at = train[k][:, None]
@@ -280,7 +285,7 @@ def _sums(rows: DataFrame, m: Fitted, shared: _Shared, left: list[list[int]] | N
     return out.reshape(folds, count, width)
 
 
-def fit_all(rows: DataFrame, features: list[str], variants: list[Variant], folds: int, embargo: int, strength: float = 0.01) -> Fitted:
+def fit_all(rows: DataFrame, features: list[str], variants: list[Variant], folds: int, embargo: int, strength: float = 0.01, cuts: tuple[np.ndarray, np.ndarray] | None = None) -> Fitted:
     """All variants fitted in all folds on `packed_rows`: mean log loss plus strength / 2 times the squared coefficients, the intercept free.
 
     A training part of one class gets its share as a constant, one without rows null.  Models start at the share; a step after which the gradient is longer is halved.
@@ -289,7 +294,7 @@ def fit_all(rows: DataFrame, features: list[str], variants: list[Variant], folds
     bounds = fold_bounds(total, folds)
     center, mean, scale, n, all_mean, all_scale, known = _scales(rows, features, bounds, embargo)
     d = len(features) + 1
-    m = Fitted(features, variants, bounds, embargo, center, mean, scale, n, np.zeros((folds, d, len(variants))), np.full((folds, len(variants)), np.nan))
+    m = Fitted(features, variants, bounds, embargo, center, mean, scale, n, np.zeros((folds, d, len(variants))), np.full((folds, len(variants)), np.nan), cuts=cuts)
     shared = _Shared(all_mean, all_scale, np.flatnonzero(known < total))
     maps = [shared.fold(m, k) for k in range(folds)]
     used = [[0, *[1 + features.index(c) for c in v.features]] for v in variants]
@@ -360,44 +365,45 @@ def score_all(rows: DataFrame, m: Fitted, keep: list[str] = ()) -> DataFrame:
     return rows.select("_i", "_x", *kept).mapInArrow(part, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", _p array<double>")
 
 
-def figures(rows: DataFrame, m: Fitted) -> DataFrame:
-    """(variant, auc, brier) over the test rows of all folds, scores of no value left out; ties of scores count half.
+def _sorted_bytes(v: np.ndarray, n: np.ndarray) -> tuple[int, bytes]:
+    """Scores in order with their counts, as compressed differences: of scores that lie close, the leading bytes vanish, and so do counts of 1."""
+    steps = np.diff(v.view(np.int64), prepend=np.int64(0))
+    planes = np.concatenate([steps.view(np.uint8).reshape(-1, 8).T.ravel(), n.astype(np.int32).view(np.uint8).reshape(-1, 4).T.ravel()])
+    return len(v), pa.compress(planes, codec="zstd", asbytes=True)
 
-    A task gives out the scores of a block of rows as sorted arrays, for each variant and each cell of its scores, equal scores counted.  A cell's arrays meet in one task, and
-    cells are added up in order.  Where cells are cut comes from the scores of some 10,000 rows; it moves work only.
-    """
+
+def _sorted_values(sizes: list[int], packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and counts of many arrays, one after another."""
+    found = [(np.empty(0), np.empty(0, np.int32))]
+    for size, x in zip(sizes, packed, strict=True):
+        planes = np.frombuffer(pa.decompress(x, 12 * size, codec="zstd"), np.uint8)
+        steps, n = planes[: 8 * size].reshape(8, size), planes[8 * size :].reshape(4, size)
+        found.append((np.cumsum(np.ascontiguousarray(steps.T).view(np.int64).ravel()).view(np.float64), np.ascontiguousarray(n.T).view(np.int32).ravel()))
+    return np.concatenate([v for v, _ in found]), np.concatenate([n for _, n in found]).astype(np.float64)
+
+
+def _cell_figures(rows: DataFrame, m: Fitted, cuts: np.ndarray) -> DataFrame:
+    """(variant, cell, ones, zeros, wins, b): counts of both labels, pairs in order and squared errors inside each variant's cells of scores."""
     count, d, label = len(m.variants), len(m.features), np.array([v.label for v in m.variants])
-    total = m.bounds[-1][1] + 1
-    some = rows.where(F.col("_i") % max(1, total // _CUT_ROWS) == 0).select("_i", "_x").collect() if total > _CELL else []
-    cells, cuts = -(-total // _CELL), np.empty((count, 0))
-    if some:
-        p = _scores(np.array([r["_i"] for r in some]), np.array([[np.nan if v is None else v for v in r["_x"]] for r in some]), m)
-        cuts = np.sort(p, axis=0)[(np.arange(1, cells) * len(p)) // cells].T.copy()
-    kind = "variant int, cell int, p binary, ones binary, zeros binary, b double"
+    kind, names = "variant int, cell int, n1 int, p1 binary, n0 int, p0 binary, b double", ["variant", "cell", "n1", "p1", "n0", "p0", "b"]
 
     def block(index: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
-        p = _scores(index, x, m)
-        variants, at, packed, b = [], [], [], []
+        p, made = _scores(index, x, m), []
         for g in range(count):
-            one = y[:, label[g]]
             there = ~np.isnan(p[:, g])
-            order = np.argsort(p[there, g])
-            v, one = p[there, g][order], one[there][order]
-            if not len(v):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            ones, zeros, loss = np.add.reduceat(one, new), np.add.reduceat(1.0 - one, new), np.cumsum(np.concatenate([[0.0], (v - one) ** 2]))
-            v, ends = v[new], np.append(new, len(v))
-            edges = np.concatenate([[0], np.searchsorted(v, cuts[g]), [len(v)]])
-            for c in range(len(edges) - 1):
-                lo, hi = edges[c], edges[c + 1]
-                if lo < hi:
-                    variants.append(g), at.append(c), b.append(loss[ends[hi]] - loss[ends[lo]])
-                    packed.append((v[lo:hi].tobytes(), ones[lo:hi].astype(np.int32).tobytes(), zeros[lo:hi].astype(np.int32).tobytes()))
-            if len(variants) > 2_000:
-                yield pa.RecordBatch.from_arrays([pa.array(variants, pa.int32()), pa.array(at, pa.int32()), *[pa.array([q[i] for q in packed], pa.binary()) for i in range(3)], pa.array(b)], ["variant", "cell", "p", "ones", "zeros", "b"])
-                variants, at, packed, b = [], [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(variants, pa.int32()), pa.array(at, pa.int32()), *[pa.array([q[i] for q in packed], pa.binary()) for i in range(3)], pa.array(b, pa.float64())], ["variant", "cell", "p", "ones", "zeros", "b"])
+            v, one = p[there, g], y[there, g] == 1
+            loss, sides = float(((v - one) ** 2).sum()), []
+            for s in (one, ~one):
+                side = np.sort(v[s])
+                new = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]])) if len(side) else np.empty(0, np.int64)
+                side, n = side[new], np.diff(np.append(new, len(side)))
+                sides.append((side, n, np.concatenate([[0], np.searchsorted(side, cuts[g]), [len(side)]])))
+            for c in range(cuts.shape[1] + 1):
+                packed = [(side[e[c] : e[c + 1]], n[e[c] : e[c + 1]]) for side, n, e in sides]
+                if len(packed[0][0]) or len(packed[1][0]):
+                    made.append((g, c, *_sorted_bytes(*packed[0]), *_sorted_bytes(*packed[1]), loss))
+                    loss = 0.0
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.float64()))], names)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most, held, n = max(10_000, 4_000_000 // count), [], 0
@@ -407,7 +413,7 @@ def figures(rows: DataFrame, m: Fitted) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column("_i").to_numpy(), _matrix(batch.column("_x"), d), _labels(batch.column("_y"))))
+                held.append((batch.column("_i").to_numpy(), _matrix(batch.column("_x"), d), _labels(batch, m.cuts)[:, label]))
                 n += batch.num_rows
             if n >= most:
                 yield from out()
@@ -416,15 +422,34 @@ def figures(rows: DataFrame, m: Fitted) -> DataFrame:
             yield from out()
 
     def cell(t: pa.Table) -> pa.Table:
-        v, ones, zeros = (np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()]) for c, k in (("p", np.float64), ("ones", np.int32), ("zeros", np.int32)))
-        order = np.argsort(v, kind="stable")  # arrays are sorted already, so they are merged
-        v, ones, zeros = v[order], ones[order].astype(np.float64), zeros[order].astype(np.float64)
-        new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        ones, zeros = np.add.reduceat(ones, new), np.add.reduceat(zeros, new)
-        wins = float(ones @ (np.cumsum(zeros) - zeros / 2))
-        return pa.table({"variant": t.column("variant")[:1], "cell": t.column("cell")[:1], "ones": [float(ones.sum())], "zeros": [float(zeros.sum())], "wins": [wins], "b": [float(np.sum(t.column("b").to_numpy()))]})
-
-    each = rows.select("_i", "_x", "_y").mapInArrow(part, kind).groupBy("variant", "cell").applyInArrow(cell, "variant int, cell int, ones double, zeros double, wins double, b double")
+        (v1, n1), (v0, n0) = (_sorted_values(t.column(f"n{s}").to_pylist(), t.column(f"p{s}").to_pylist()) for s in (1, 0))
+        order = np.argsort(v0)
+        v0, below = v0[order], np.concatenate([[0.0], np.cumsum(n0[order])])
+        wins = float(n1 @ (below[np.searchsorted(v0, v1)] + below[np.searchsorted(v0, v1, side="right")]) / 2)
+        return pa.table({"variant": t.column("variant")[:1], "cell": t.column("cell")[:1], "ones": [float(n1.sum())], "zeros": [float(n0.sum())], "wins": [wins], "b": [float(np.sum(t.column("b").to_numpy()))]})
+
+    return rows.select("_i", "_x", "_y").mapInArrow(part, kind).groupBy("variant", "cell").applyInArrow(cell, "variant int, cell int, ones double, zeros double, wins double, b double")
+
+
+def figures(rows: DataFrame, m: Fitted) -> DataFrame:
+    """(variant, auc, brier) over the test rows of all folds, scores of no value left out; ties of scores count half.
+
+    A task gives out the scores of a block of rows as sorted arrays, for each variant, label and cell of its scores, equal scores counted.  A cell's arrays meet in one task, and
+    cells are added up in order.  Where cells are cut comes from the scores of some 10,000 rows; it moves work only.  Variants go in turns, and the scores of a turn leave the disk with it.
+    """
+    count = len(m.variants)
+    total = m.bounds[-1][1] + 1
+    some = rows.where(F.col("_i") % max(1, total // _CUT_ROWS) == 0).select("_i", "_x").collect() if total > _CELL else []
+    cells, cuts = -(-total // _CELL), np.empty((count, 0))
+    if some:
+        p = _scores(np.array([r["_i"] for r in some]), np.array([[np.nan if v is None else v for v in r["_x"]] for r in some]), m)
+        cuts = np.sort(p, axis=0)[(np.arange(1, cells) * len(p)) // cells].T.copy()
+    turn, each = max(_TURN_VARIANTS, _TURN_SCORES // max(total, 1)), None
+    for g in range(0, count, turn):
+        at = slice(g, g + turn)
+        now = _cell_figures(rows, replace(m, variants=m.variants[at], beta=m.beta[:, :, at], share=m.share[:, at]), cuts[at])
+        now = staged(now.withColumn("variant", F.col("variant") + g), "fit-figures")
+        each = now if each is None else each.unionByName(now)
     below = F.coalesce(F.sum("zeros").over(Window.partitionBy("variant").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     sums = each.withColumn("wins", F.col("wins") + F.col("ones") * below).groupBy("variant").agg(*[F.sum(c).alias(c) for c in ("ones", "zeros", "wins", "b")])
     name = F.array(*[F.lit(v.name) for v in m.variants])[F.col("variant")]
@@ -432,46 +457,25 @@ def figures(rows: DataFrame, m: Fitted) -> DataFrame:
     return sums.select(name.alias("variant"), auc.alias("auc"), (F.col("b") / (F.col("ones") + F.col("zeros"))).alias("brier"))
 
 
-def _shuffles(df: DataFrame, y: str, index: str, replicates: int, bits: bool, name: str) -> DataFrame:
-    """df with one more column: the label, and `replicates` shuffles of it, as a list or as packed bits.
-
-    A shuffle gives a row a pseudo-random place by hash of index and replicate, and label 1 to the first k places, up to the place that `kth_places` finds.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = staged(df.withColumns({"_at": F.col(index).cast("long"), "_one": F.col(y).cast("tinyint")}).withColumn("_prefix", prefix("_at")).repartition(parts).sortWithinPartitions(F.length("_prefix")), "shuffle-rows")
-    n, k = rows.agg(F.count("*"), F.sum("_one")).first()  # one row
-    k = k or 0
-    cuts = {r["rep"]: (r["h"], r["_at"]) for r in kth_places(rows.withColumn("_r", F.lit(0.0)), "_at", "_r", replicates, n, k).collect()} if k else {}  # one row a replicate
-    kind = "binary" if bits else "array<tinyint>"
+def shuffled_labels(df: DataFrame, y: str, index: str, replicates: int) -> DataFrame:
+    """df with `labels`: the label, and `replicates` shuffles of it, each with just as many ones."""
+    rows, cuts = with_draws(df.withColumn("_at", F.col(index).cast("long")), y, "_at", replicates, "labels")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 5_000):
-                some = b.slice(i, 5_000)
-                at, places = some.column("_at").to_numpy(), Places(some.column("_prefix"))
-                labels = np.zeros((some.num_rows, replicates + 1), np.int8)
-                labels[:, 0] = some.column("_one").to_numpy(zero_copy_only=False)
-                for rep, (last, row) in cuts.items():
-                    h = places.of(rep)
-                    labels[:, rep] = (h < last) | ((h == last) & (at <= row))
-                made = pa.array([r.tobytes() for r in np.packbits(labels, axis=1)], pa.binary()) if bits else _lists(labels)
-                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], made], [*kept, name])
-
-    kept = [c for c in df.columns if c != name]
-    kinds = dict(df.dtypes)
-    return rows.mapInArrow(part, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", `{name}` {kind}")
-
+            if b.num_rows:
+                labels = drawn(b.column("labels"), b.column("_at").to_numpy(), cuts)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], _lists(labels.astype(np.int8))], [*kept, "labels"])
 
-def shuffled_labels(df: DataFrame, y: str, index: str, replicates: int) -> DataFrame:
-    """df with `labels`: the label, and `replicates` shuffles of it, each with just as many ones."""
-    return _shuffles(df, y, index, replicates, False, "labels")
+    kept, kinds = [c for c in df.columns if c != "labels"], dict(df.dtypes)
+    return rows.mapInArrow(part, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", labels array<tinyint>")
 
 
 def refit_shuffle(df: DataFrame, features: list[str], folds: int, embargo: int, replicates: int = 200, y: str = "y", index: str = "order_idx", strength: float = 0.01) -> DataFrame:
     """(trial, auc, brier): out-of-fold figures of the real labels (trial 0) and of models fitted anew on each shuffle of them."""
-    base = packed_rows(df, features, F.array(y), index).withColumn("_real", F.col("_y")[0])
-    rows = staged(_shuffles(base, "_real", "_i", replicates, True, "_y"), "fit-shuffles")
-    m = fit_all(rows, features, [Variant(str(r), tuple(features), r) for r in range(replicates + 1)], folds, embargo, strength)
+    base = packed_rows(df, features, F.array(y), index).select("_i", "_x", F.col("_y")[0].alias("_y"))
+    rows, cuts = with_draws(base, "_y", "_i", replicates, "_y")
+    m = fit_all(rows, features, [Variant(str(r), tuple(features), r) for r in range(replicates + 1)], folds, embargo, strength, cuts)
     return figures(rows, m).select(F.col("variant").cast("int").alias("trial"), "auc", "brier")
 
 

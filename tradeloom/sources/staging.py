@@ -4,8 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _freeing_shuffles(spark: SparkSession):
+    """Shuffle files go when the query that made them ends, not when the driver collects its garbage."""
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -18,5 +35,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         at = "file://" + tempfile.mkdtemp(prefix="tradeloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _freeing_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Matches of statements and positions without a row for each pair: both lie in one task's lists by price and time, and a statement looks back from its own time."""
+"""Matches of statements and positions without a row for each pair: both meet in blocks of size and price, where a statement's nearest position is found by bits of the order of time."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a block of prices or sizes, and of the lists inside it, in tolerances.
-_BLOCK, _LIST = 16, 0.5
+#: Width of a block of prices or sizes, and of a list of prices inside a chain, in tolerances.
+_BLOCK, _LIST = 8, 0.5
+#: Statements that are looked up together.
+_ASKS = 1 << 16
 _KIND = "statement_id long, position_id long, gap long"
 _SCHEMA = pa.schema([("statement_id", pa.int64()), ("position_id", pa.int64()), ("gap", pa.int64())])
 
@@ -39,11 +41,6 @@ class _Lists:
     def cell(self, price: np.ndarray) -> np.ndarray:
         return np.floor(np.log(price) / self.width).astype(np.int64)
 
-    def fits(self, size: np.ndarray, price: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Whether positions fit sizes and prices, by the very test of candidates."""
-        close = lambda a, b: np.abs(a - b) <= self.tol * np.maximum(np.abs(a), np.abs(b))
-        return close(size, self.size[at]) & close(price, self.price[at])
-
     def starts(self, price: np.ndarray, time: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each list that prices within the tolerance can lie in, from the own one outwards: its beginning, and its last position up to the time (before the beginning: none)."""
         own, reach = self.cell(price), int(np.ceil((self.tol + 2 * self.tol**2) / self.width)) + 1
@@ -54,20 +51,75 @@ class _Lists:
             yield self.first[k], np.where(there, np.searchsorted(self.key, k * (len(self.times) + 1) + now) - 1, self.first[k] - 1)
 
 
-def _nearest(p: _Lists, size: np.ndarray, price: np.ndarray, time: np.ndarray) -> np.ndarray:
-    """Index of the newest fitting position up to each time, of equal times the least id; -1 where none fits.  Looking back ends where what is known is newer."""
-    best = np.full(len(size), -1)
-    for begin, last in p.starts(price, time):
-        at, todo = last.copy(), np.flatnonzero(last >= begin)
+def _span(values: np.ndarray, x: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of the values, in order, that fit x by the very test of candidates."""
+    fits = lambda i, k: np.abs(values[i] - x[k]) <= tol * np.maximum(np.abs(values[i]), np.abs(x[k]))
+    near, far = x * (1 - tol), x / (1 - tol)
+    low, high = np.minimum(near, far), np.maximum(near, far)
+    first = np.searchsorted(values, low - 1e-15 * np.abs(low))
+    end = np.searchsorted(values, high + 1e-15 * np.abs(high), side="right")
+    for at, last, step in ((first, 0, 1), (end, -1, -1)):  # what rounding let in at either end
+        todo = np.flatnonzero(first < end)
         while len(todo):
-            i, b = at[todo], best[todo]
-            better = (b < 0) | (p.at[i] > p.at[b]) | ((p.at[i] == p.at[b]) & (p.id[i] < p.id[b]))
-            todo, i = todo[better], i[better]
-            fit = p.fits(size[todo], price[todo], i)
-            best[todo[fit]] = i[fit]
-            todo = todo[~fit]
-            at[todo] -= 1
-            todo = todo[at[todo] >= begin[todo]]
+            todo = todo[~fits(at[todo] + last, todo)]
+            at[todo] += step
+            todo = todo[first[todo] < end[todo]]
+    return first, end
+
+
+class _Levels:
+    """Different numbers below n, dealt by one bit after the other: the largest one below a limit among any places next to each other, in as many steps as n has bits."""
+
+    def __init__(self, numbers: np.ndarray, n: int):
+        self.levels = []
+        for bit in reversed(range(n.bit_length())):
+            one = (numbers >> bit) & 1 == 1
+            self.levels.append((bit, np.concatenate([[0], np.cumsum(~one)]).astype(np.int32)))
+            numbers = np.concatenate([numbers[~one], numbers[one]])
+
+    def below(self, first: np.ndarray, end: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """-1 where there is none."""
+        count, a, b = np.zeros(len(first), np.int64), first, end
+        for bit, zeros in self.levels:  # how many are below the limit
+            up, za, zb = (limit >> bit) & 1 == 1, zeros[a], zeros[b]
+            count += np.where(up, zb - za, 0)
+            a, b = np.where(up, zeros[-1] + a - za, za), np.where(up, zeros[-1] + b - zb, zb)
+        out, left, a, b = np.zeros(len(first), np.int64), count - 1, first, end
+        for bit, zeros in self.levels:  # the last one of them
+            za, zb = zeros[a], zeros[b]
+            up = left >= zb - za
+            out |= up.astype(np.int64) << bit
+            left = np.where(up, left - (zb - za), left)
+            a, b = np.where(up, zeros[-1] + a - za, za), np.where(up, zeros[-1] + b - zb, zb)
+        return np.where(count > 0, out, -1)
+
+
+def _nearest(psize: np.ndarray, pprice: np.ndarray, pat: np.ndarray, size: np.ndarray, price: np.ndarray, time: np.ndarray, tol: float) -> np.ndarray:
+    """Index of the last of the positions, which are in order of time, that fits each statement and is no later; -1 where none fits.
+
+    Sizes that fit are at most two nodes of each level of a tree over all sizes; inside a node, prices that fit are next to each other.  So the work for a statement grows with the logarithm
+    of the group, whatever sizes, prices and times it holds.
+    """
+    (sizes, s), (prices, p) = np.unique(psize, return_inverse=True), np.unique(pprice, return_inverse=True)
+    (left, right), (low, high) = _span(sizes, size, tol), _span(prices, price, tol)
+    limit, best, level = np.searchsorted(pat, time, side="right"), np.full(len(size), -1), 0
+    todo = np.flatnonzero((left < right) & (low < high) & (limit > 0))
+    while len(todo):
+        odd = [todo[left[todo] & 1 == 1], todo[right[todo] & 1 == 1]]
+        nodes = [left[odd[0]], right[odd[1]] - 1]
+        asked = np.zeros((len(sizes) >> level) + 1, bool)
+        asked[np.concatenate(nodes)] = True
+        at = np.flatnonzero(asked[s >> level])
+        if len(at):
+            key = (s[at] >> level) * len(prices) + p[at]
+            order = np.argsort(key, kind="stable")
+            key, levels = key[order], _Levels(at[order], len(pat))
+            for ask, node in zip(odd, nodes, strict=True):
+                for i in range(0, len(ask), _ASKS):
+                    k, base = ask[i : i + _ASKS], node[i : i + _ASKS] * len(prices)
+                    best[k] = np.maximum(best[k], levels.below(np.searchsorted(key, base + low[k]), np.searchsorted(key, base + high[k]), limit[k]))
+        left, right, level = (left + 1) >> 1, right >> 1, level + 1
+        todo = todo[left[todo] < right[todo]]
     return best
 
 
@@ -85,17 +137,18 @@ def _grouped(rows: DataFrame, keys: list[str], of_group) -> DataFrame:
 def nearest_of(statements: DataFrame, positions: DataFrame, tol: float) -> DataFrame:
     """(statement_id, position_id, gap): the position that `nearest_match` takes from `match_candidates`, with the gap in seconds.
 
-    Both sides meet in blocks of size and price, some sixteen tolerances wide; a statement whose tolerance reaches into more blocks goes to each, and a position to one.
+    Both sides meet in blocks of size and price, some eight tolerances wide; a statement whose tolerance reaches into more blocks goes to each, and a position to one.
     """
 
     def of_group(pid, psize, pprice, pat, sid, size, price, at):
-        lists = _Lists(pid, psize, pprice, pat, tol)
-        best = _nearest(lists, size, price, at)
+        order = np.lexsort((-pid, pat))  # of equal times the least id last
+        pid, pat = pid[order], pat[order]
+        best = _nearest(psize[order], pprice[order], pat, size, price, at, tol)
         found = best >= 0
-        return [pa.array(sid[found]), pa.array(lists.id[best[found]]), pa.array(at[found] - lists.at[best[found]])]
+        return [pa.array(sid[found]), pa.array(pid[best[found]]), pa.array(at[found] - pat[best[found]])]
 
     block = lambda x: F.coalesce(F.floor(F.log(F.abs(x)) / (_BLOCK * tol)), F.lit(-(1 << 62)))
-    around = lambda x: F.explode(F.array_distinct(F.array(block(x), block(x * (1 - 1.5 * tol)), block(x * (1 + 1.5 * tol)))))
+    around = lambda x: F.explode(F.array_distinct(F.array(block(x), block(x * (1 - tol) * (1 - 1e-9)), block(x / (1 - tol) * (1 + 1e-9)))))
     s, p = _sides(statements, positions)
     s = s.withColumn("_b", around(F.col("price"))).withColumn("_c", around(F.col("size")))
     rows = s.unionByName(p.withColumns({"_b": block(F.col("price")), "_c": block(F.col("size"))}))
